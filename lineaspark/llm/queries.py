@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import byte_bpe, line_dedup, secrets, simhash, simple8b
 
 
 def queries() -> dict:
     return {
+        "op3_line_dedup": line_dedup.op3,
+        "op4_secret_scan": secrets.op4,
+        "op5_byte_bpe": byte_bpe.op5,
         "op7_simhash_near_dedup": simhash.op7,
+        "op10_simple8b": simple8b.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": line_dedup.SQL}
