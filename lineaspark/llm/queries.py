@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, line_dedup, secrets, simhash, simple8b
+from . import byte_bpe, decontaminate, hilbert, language_id, line_dedup, media, secrets, simhash, simple8b, unit_dedup
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": language_id.op1,
+        "op2_unit_dedup": unit_dedup.op2,
         "op3_line_dedup": line_dedup.op3,
         "op4_secret_scan": secrets.op4,
         "op5_byte_bpe": byte_bpe.op5,
+        "op6_hilbert_shards": hilbert.op6,
         "op7_simhash_near_dedup": simhash.op7,
+        "op8_media_columns": media.op8,
+        "op9_decontamination": decontaminate.op9,
         "op10_simple8b": simple8b.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.SQL}
+    return {"op3_line_dedup": line_dedup.SQL, "op9_decontamination": decontaminate.SQL}
