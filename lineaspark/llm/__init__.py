@@ -12,6 +12,6 @@ Conventions that all operators share:
   long; ``doc_id`` may be null or repeated: such rows are kept and get the
   result that their text gives.
 * Intermediate tables are written to the shared folder in
-  ``spark.checkpoint.dir`` (see :mod:`lineaspark.llm.shared`), so that a lost
+  ``spark.checkpoint.dir`` (see :mod:`lineaspark.sources.snapshots`), so that a lost
   executor costs a re-run of tasks and never the lineage of the whole job.
 """

@@ -1,52 +1,19 @@
-"""Shared folder, written intermediate tables and code shipping."""
+"""Written intermediate tables (as the rest of the library writes them) and code shipping."""
 
 from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-ROOT = Path(__file__).resolve().parents[2]
+from ..sources.snapshots import Scratch
 
+__all__ = ["Scratch", "ship"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as a URI.
-
-    ``spark.checkpoint.dir`` of the session, else the checkpoint folder set on
-    the context.  Where neither is set a temporary folder is set, which is only
-    right (and only allowed) in local mode.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="lineaspark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-class Scratch:
-    """Tables of one run of one operator, below the shared folder."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.base = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write a frame and read it back: its lineage ends here."""
-        path = f"{self.base}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        """Remove a table that nothing reads any more."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+ROOT = Path(__file__).resolve().parents[2]
 
 
 def ship(spark: SparkSession) -> None:
