@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import DEFAULT
 from ..functions import columns as C
-from ..operators import closure, decide, ledger, lookups, paths, signing, writes
+from ..operators import closure, decide, ledger, lookups, paths, report, signing, writes
 from ..sources import star
 from ..sources.snapshots import Scratch
 from ..sources.tables import read
@@ -446,6 +446,41 @@ def request_bodies(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", (C.media_type(header) == "application/json").alias("json"), ok.alias("scenario_ok"))
 
 
+# results and reports
+
+
+def _results(spark, sf_dir):
+    scratch = Scratch(spark, "graph")
+    artifacts, edges = (scratch.table(x, n) for x, n in zip(signed(spark, sf_dir), ("artifacts", "edges"), strict=True))
+    return (artifacts, *(scratch.table(x, n) for x, n in zip(report.results(artifacts, edges, artifacts.where("role = 'action_argument'")), ("heads", "sources", "witnesses"), strict=True)))
+
+
+@query(f"WITH {O.OBS} SELECT child AS artifact_id, NOT (child LIKE '%3-1' OR child LIKE '%5-2' OR child LIKE '%7-3') AS valid FROM edg WHERE child LIKE 'lineitem/%' GROUP BY child")
+def verification_contract(spark, sf_dir):
+    """Results with a lost witness, a foreign digest or a wrong source fail the contract."""
+    _, heads, sources, witnesses = _results(spark, sf_dir)
+    like = lambda p: F.col("root").rlike(p)
+    witnesses = witnesses.where(~(like("3-1$") & F.col("parent_artifact_id").startswith("order/")))
+    heads = heads.withColumn("digest", F.when(like("5-2$"), F.lit("0" * 64)).otherwise(F.col("content_hash")))
+    sources = writes.tamper(sources, like("7-3$") & F.col("artifact_id").startswith("region/"), "trust_state", "unknown")
+    return report.contract(heads, sources, witnesses).withColumnRenamed("root", "artifact_id")
+
+
+@query(f"""WITH RECURSIVE {O.WALK} SELECT root, count(*) AS nodes, count(*) FILTER (WHERE role = 'source') AS source_labels, count(*) FILTER (WHERE root = node) AS roots FROM reach JOIN art ON node = artifact_id GROUP BY root""")
+def graph_hydration(spark, sf_dir):
+    artifacts, heads, _, witnesses = _results(spark, sf_dir)
+    n = report.graph_nodes(heads, witnesses, artifacts)
+    return n.groupBy("root").agg(F.count("*").alias("nodes"), F.count_if(F.col("label") == "Source").alias("source_labels"), F.count_if("is_root").alias("roots"))
+
+
+@query(f"""WITH RECURSIVE {O.WALK}, {O.INTENTS}, s AS (SELECT root, string_agg(node, ',' ORDER BY node) AS source_ids, max(depth) AS d FROM reach JOIN art ON node = artifact_id WHERE role = 'source' GROUP BY root)
+SELECT event_id, provenance_artifact_id AS root, status = 'ALLOW' AS executed, detail, source_ids FROM (SELECT * REPLACE ('BLOCK' AS status) FROM intents) i LEFT JOIN s ON provenance_artifact_id = root WHERE NOT no_object""")
+def action_proof(spark, sf_dir):
+    _, heads, sources, _ = _results(spark, sf_dir)
+    rows = decide.validate_intents(star.intents(spark, sf_dir)).where("provenance_artifact_id is not null").select("event_id", F.col("provenance_artifact_id").alias("root"), F.lit("BLOCK").alias("status"), "detail")
+    return report.action_proof(rows, heads, sources).select("event_id", "root", "executed", "detail", "source_ids")
+
+
 # writes
 
 
