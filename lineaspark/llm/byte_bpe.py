@@ -18,19 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .pieces import encoder
+from .pieces import byte_characters, encoder
 from .shared import ship
 
 SLICE = 1 << 20  # ids that are decoded together
 
 
-def byte_characters() -> list[str]:
-    """The character that stands for each of the 256 bytes."""
-    plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    other = iter(range(256, 512))
-    return [chr(b) if b in set(plain) else chr(next(other)) for b in range(256)]
-
-
 class ByteTable:
     """Bytes of every id of a vocabulary file."""
 

@@ -3,48 +3,124 @@
 Both tokenizers here cut a text into pre-tokens that never hold white space
 after other characters and never join a letter to a following full stop or
 comma.  So a text may be cut before any run of white space, and between a
-letter and ``.`` or ``,``, and the ids of the parts, in order, are the ids of
-the whole.  Parts repeat, so each worker keeps the ids of those it has seen in
-a bounded memo and asks the library for new ones only, a batch at a time.
+letter and a last ``.`` or ``,``, and the ids of the parts, in order, are the
+ids of the whole.  Parts repeat, so each worker keeps the ids of those it has
+seen in a bounded memo and asks the library for new ones only.  A new plain word
+goes straight to the library's BPE model, as the one pre-token that it is.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 
-#: Leading white space and a word, or up to the next white space; the first form stops before "." and ",".
-_PART = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ɏ]++(?=[.,])|\s*\S+|\s+")
+#: For texts with unusual white space: leading white space and a word, or up to the next white space.
+_PART = re.compile(r"\s*\S+|\s+")
 #: White space to Python, but not to the library: such a text is encoded in one piece.
 _ODD = re.compile(r"[\x1c-\x1f]")
+#: White space that is rare: with it, or with runs of white space that aren't of line ends only, a text is cut by pattern.
+_RARE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+_RARE_WIDE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _unusual(text: str) -> bool:
+    if "  " in text or " \n" in text or "\n " in text or any(c in text for c in _RARE):
+        return True
+    return not text.isascii() and any(c in text for c in _RARE_WIDE)
+
+
+def parts_of(text: str) -> list[str]:
+    """Parts for the memo, whose texts (see :func:`text_of`) joined are ``text``.
+
+    The usual text is cut by ``split`` alone, before each space and each run of
+    line ends.  A part stands for itself if it begins with a line end or with
+    NUL (which is dropped), and else for a space and itself.
+    """
+    if "\0" in text or _unusual(text):
+        return ["\0" + text] if "\0" in text or _ODD.search(text) else ["\0" + p for p in _PART.findall(text)]
+    cut = text.replace("\n", " \n")
+    while "\n \n" in cut:
+        cut = cut.replace("\n \n", "\n\n")
+    parts = cut.split(" ")
+    if not parts[0]:
+        del parts[0]  # the text is empty or begins with a space or line end
+    elif parts[0][0] != "\n":
+        parts[0] = "\0" + parts[0]
+    return parts
+
+
+def text_of(part: str) -> str:
+    if part[:1] == "\0":
+        return part[1:]
+    return part if part[:1] == "\n" else " " + part
+
+
+#: Words that are one pre-token, keep their letters under NFC and lower-case letter by letter.
+_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 GROUP = 1 << 20  # characters that are encoded together
 
 
+def byte_characters() -> list[str]:
+    """The character that stands for each of the 256 bytes: printable Latin-1 for itself, the others from 256 on."""
+    plain = {*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
+
+
 class PieceEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
     ``limit`` bounds the memo: at that many parts the older half goes.
     """
 
-    def __init__(self, path: str, specials_as_text: bool, limit: int = 300_000):
+    def __init__(self, path: str, specials_as_text: bool, limit: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = specials_as_text
         self.limit = limit
+        self.model = self.tokenizer.model
+        self.folds = self.tokenizer.normalizer is not None  # lower case, and white space dropped rather than led by
+        self.lead = "" if self.folds else byte_characters()[32]
+        self.bytes = str.maketrans(dict(enumerate(byte_characters())))
         self.memo: dict[str, bytes] = {}
 
-    def _learn(self, parts: list[str]) -> dict[str, bytes]:
+    def _learn(self, new: set[str]) -> None:
         memo = self.memo
-        new = list(set(parts).difference(memo))
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            for part, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+        ended = [p for p in new if p[-1:] in (".", ",") and p[-2:-1].isalnum()]
+        new.difference_update(ended)
+        new.update(p for p in {p[:-1] for p in ended} if p not in memo)
+        new.update(p for p in ("\0.", "\0,") if p not in memo)
+        plain = [p for p in new if _WORD.fullmatch(p)]
+        new.difference_update(plain)
+        tokenize, lead, table = self.model.tokenize, self.lead, self.bytes
+        for p in plain:
+            word = p.lower() if self.folds else p
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(table)
+            ids = [t.id for t in tokenize(lead + word)]
+            memo[p] = struct.pack(f"<{len(ids)}I", *ids)
+        some = [p for p in new if p and p[0] not in "\0\n"]
+        for k in range(0, len(some), 4096):  # one text of many parts, cut again by where the ids come from
+            part = some[k : k + 4096]
+            e = self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False)
+            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+            of = np.searchsorted(ends, np.fromiter((a for a, _ in e.offsets), np.int64, len(e)), "right")
+            cuts = (4 * np.searchsorted(of, np.arange(len(part) + 1))).tolist()
+            data = np.array(e.ids, "<u4").tobytes()
+            memo.update(zip(part, [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+        other = [p for p in new if not p or p[0] in "\0\n"]
+        for k in range(0, len(other), 4096):
+            some = other[k : k + 4096]
+            for part, e in zip(some, self.tokenizer.encode_batch_fast([text_of(p) for p in some], add_special_tokens=False), strict=True):
                 memo[part] = np.array(e.ids, "<u4").tobytes()
-        return memo
+        last = {c: memo["\0" + c] for c in ".,"}
+        for p in ended:
+            memo[p] = memo[p[:-1]] + last[p[-1]]
 
     def _trim(self) -> None:
         if len(self.memo) > self.limit:
@@ -55,21 +131,27 @@ class PieceEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null text has none."""
         out: list[bytes] = []
-        group: list[list[str]] = []
+        group: list[tuple[list[str], list[bytes | None]]] = []
         held = 0
 
         def flush() -> None:
             nonlocal held
-            get = self._learn([p for parts in group for p in parts]).__getitem__
-            out.extend(b"".join(map(get, parts)) for parts in group)
+            holes = [(parts, found, [i for i, v in enumerate(found) if v is None]) for parts, found in group if None in found]
+            new = {parts[i] for parts, _, at in holes for i in at}
+            if new:
+                self._learn(new)
+            for parts, found, at in holes:
+                for i in at:
+                    found[i] = self.memo[parts[i]]
+            out.extend(b"".join(found) for _, found in group)
             group.clear()
             held = 0
             self._trim()
 
         for text in texts:
-            text = text or ""
-            group.append([text] if text and _ODD.search(text) else _PART.findall(text))
-            held += len(text)
+            parts = parts_of(text or "")
+            group.append((parts, list(map(self.memo.get, parts))))
+            held += len(text or "")
             if held >= GROUP:
                 flush()
         flush()

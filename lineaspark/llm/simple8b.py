@@ -37,8 +37,13 @@ COUNT = np.array([0, *(n for n, _ in PACK), 1], np.int64)
 WIDTH = np.array([0, *(b for _, b in PACK), 0], np.uint64)
 
 
+_SMALL = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
+
 def _widths(ids: np.ndarray) -> np.ndarray:
     """Bit lengths."""
+    if ids.max() < 1 << 16:
+        return _SMALL[ids]
     high = (ids >> np.uint64(32)).astype(np.float64)
     low = (ids & np.uint64(0xFFFFFFFF)).astype(np.float64)
     return np.where(high > 0, 32 + np.frexp(high)[1], np.frexp(low)[1]).astype(np.uint8)
@@ -278,7 +283,8 @@ def read(manifest: DataFrame) -> DataFrame:
                 cols = list(zip(*rows, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return files.repartition("uri").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    # a given number of partitions isn't merged, however small the manifest is
+    return files.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
