@@ -115,17 +115,23 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, broadcast_lines: int = 2_000_000) -> DataFrame:
     """``docs`` without later copies of repeated runs of 2 lines or more; all columns stay.
 
     A document that had lines and has only blank ones left goes as a whole; a
     null, empty or blank text stays as it is.
+
+    The lists of lines to delete are broadcast if they hold ``broadcast_lines``
+    line numbers at most, counted first, so that texts aren't shuffled; beyond
+    that the join is by shuffle.
     """
     columns = docs.columns
     scratch = Scratch(docs.sparkSession, "lines")
     docs = numbered(docs, scratch)
     found = removed_lines(docs.select("_doc", "text"), scratch).where("n_removed > 0")
     found = scratch.table(found.select("_doc", F.col("gone").alias("_gone"), (F.col("n_lines") == F.col("n_removed")).alias("_all")), "found")
+    if (found.agg(F.sum(F.size("_gone") + 8)).first()[0] or 0) <= broadcast_lines:
+        found = F.broadcast(found)
     rows = docs.join(found, "_doc", "left").where("not coalesce(_all, false)")
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     return rows.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)).select(*columns)

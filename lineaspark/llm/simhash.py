@@ -214,18 +214,22 @@ def near_duplicates(docs: DataFrame, bits: int = 4, width: int = 4) -> DataFrame
     return all_fps.join(labels, "fp").select("doc_id", hexed, "component_id")
 
 
-def keep_one(docs: DataFrame, bits: int = 4, width: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, bits: int = 4, width: int = 4, broadcast_rows: int = 1_000_000) -> DataFrame:
     """The rows of ``docs`` that stay when each group keeps the document of its least ``doc_id``.
 
     Of rows that repeat that ``doc_id`` one stays.  Rows without ``doc_id``
-    can't be told apart and stay.
+    can't be told apart and stay.  The ids that go are broadcast up to
+    ``broadcast_rows`` of them, counted first, so that texts aren't shuffled;
+    beyond that the join is by shuffle.
     """
     scratch = Scratch(docs.sparkSession, "simhash-keep")
-    found = scratch.table(near_duplicates(docs, bits, width).select("doc_id", "component_id"), "found")
-    keep = found.where("doc_id = component_id").groupBy("doc_id").count()
-    keep = scratch.table(keep, "keep")
-    rows = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-    again = keep.where("count > 1")
+    found = near_duplicates(docs, bits, width).where("doc_id is not null")
+    ids = scratch.table(found.groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("n")), "ids")
+    gone = ids.where("n = 0").select("doc_id")
+    if gone.count() <= broadcast_rows:
+        gone = F.broadcast(gone)
+    rows = docs.join(gone, "doc_id", "left_anti")
+    again = ids.where("n > 1").select("doc_id")
     if again.isEmpty():
         return rows
     once = rows.join(again, "doc_id", "left_anti")
