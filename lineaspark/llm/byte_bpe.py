@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .pieces import byte_characters, encoder
-from .shared import ship
+from .shared import freeing, ship
 
 SLICE = 1 << 20  # ids that are decoded together
+PARTS = 300_000  # parts whose ids a worker keeps
 
 
 class ByteTable:
@@ -94,14 +95,14 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         t = table(path)
         for b in batches:
             texts = b.column("text").to_pylist()
-            ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in encoder(path, True).encode(texts)]
+            ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in encoder(path, True, PARTS).encode(texts)]
             spans = [t.offsets(i, (x or "").encode()) for i, x in zip(ids, texts, strict=True)]
             cols = [ids, [s for s, _ in spans], [e for _, e in spans]]
             arrays = [pa.array([v.astype(np.int32) for v in c], pa.list_(pa.int32())) for c in cols]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *arrays], ["doc_id", "ids", "starts", "ends"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, starts array<int>, ends array<int>")
+    return docs.select("doc_id", "text").mapInArrow(freeing(run), f"doc_id {kind}, ids array<int>, starts array<int>, ends array<int>")
 
 
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
@@ -117,7 +118,7 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(data, pa.binary()), pa.array(text, pa.string())], ["doc_id", "data", "text"])
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
-    return tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, data binary, text string")
+    return tokens.select("doc_id", "ids").mapInArrow(freeing(run), f"doc_id {kind}, data binary, text string")
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -134,7 +135,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
         for b in batches:
             n, ids, data = [], [], []
             for k in range(0, b.num_rows, 256):
-                for x in encoder(path, True).encode(b.column("text")[k : k + 256].to_pylist()):
+                for x in encoder(path, True, PARTS).encode(b.column("text")[k : k + 256].to_pylist()):
                     n.append(len(x) // 4)
                     ids.append(hashlib.sha256(x).hexdigest())
                     data.append(hashlib.sha256(t.decode(np.frombuffer(x, "<u4"))).hexdigest())
@@ -145,7 +146,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+        freeing(run), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     )
 
 

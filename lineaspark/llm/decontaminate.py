@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import ship
+from .shared import freeing, ship
 
 #: Beyond ASCII, what separates words: signs and spaces of Latin-1, general punctuation and symbols, ideographic and full-width punctuation.
 _SEPARATOR = re.compile("[\u00a0-\u00bf\u00d7\u00f7\u2000-\u2bff\u3000-\u303f\uff00-\uff0f]")
@@ -219,7 +219,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 32 << 20
         from pyspark.sql.pandas.types import to_arrow_type
 
         item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
-        one = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, n_shingles bigint, n_shared bigint, containment double")
+        one = docs.select("doc_id", "text").mapInArrow(freeing(run), f"doc_id {kinds[0]}, item_id {kinds[1]}, n_shingles bigint, n_shared bigint, containment double")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -239,7 +239,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 32 << 2
                     keep[[k for k, _, _ in shared.value.search(part.column("text").to_pylist())]] = False
                     yield part.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(freeing(run), docs.schema)
     return docs
 
 

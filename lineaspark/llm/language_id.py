@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import Scratch, ship
+from .shared import Scratch, freeing, ship
 
 BINS = 1 << 16
 SLICE = 1 << 18  # n-grams whose weights are gathered at once
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, scratch: Scratch, sample_docs: int = 2400) -> Model:
 
     counts = np.zeros((len(langs), BINS))
     place = {lang: k for k, lang in enumerate(langs)}
-    found = sample.mapInArrow(count, "lang string, bin int, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
+    found = sample.mapInArrow(freeing(count), "lang string, bin int, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
     where = np.array([place[x] for x in found.column("lang").to_pylist()], np.int64)
     counts[where, found.column("bin").to_numpy()] = found.column("n").to_numpy()
     model = Model(langs, counts)
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, scratch: Scratch, sample_docs: int = 2400) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(s), pa.array(right[i, s]), pa.array(n[i])], ["i", "s", "ok", "n"])
 
     trust = np.zeros(model.code.shape)
-    for r in sample.mapInArrow(judge, "i bigint, s bigint, ok bigint, n bigint").groupBy("i", "s").agg(F.sum("ok").alias("ok"), F.sum("n").alias("n")).collect():
+    for r in sample.mapInArrow(freeing(judge), "i bigint, s bigint, ok bigint, n bigint").groupBy("i", "s").agg(F.sum("ok").alias("ok"), F.sum("n").alias("n")).collect():
         trust[r.i, r.s] = (r.ok + 1) / (r.n + 2)
     model.trust = trust / trust.sum(axis=1, keepdims=True) if trust.all() else model.trust
     return model
@@ -179,7 +179,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
+    return docs.select("doc_id", "text").mapInArrow(freeing(run), f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
 
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
@@ -190,10 +190,12 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            margins = [m.margins(t.as_py()) if m.langs else None for t in b.column("text")]
-            yield b.filter(pa.array([f is not None and not m.decode(f)[2] for f in margins], pa.bool_()))
+            for j in range(0, b.num_rows, 1024):
+                part = b.slice(j, 1024)
+                margins = [m.margins(t.as_py()) if m.langs else None for t in part.column("text")]
+                yield part.filter(pa.array([f is not None and not m.decode(f)[2] for f in margins], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freeing(run), docs.schema)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -161,9 +161,9 @@ class PieceEncoder:
 _encoders: dict[tuple, PieceEncoder] = {}
 
 
-def encoder(path: str, specials_as_text: bool) -> PieceEncoder:
+def encoder(path: str, specials_as_text: bool, limit: int = 700_000) -> PieceEncoder:
     """The worker's encoder of a vocabulary file; it outlives a task."""
-    key = (path, specials_as_text)
+    key = (path, specials_as_text, limit)
     if key not in _encoders:
-        _encoders[key] = PieceEncoder(path, specials_as_text)
+        _encoders[key] = PieceEncoder(path, specials_as_text, limit)
     return _encoders[key]

@@ -1,17 +1,19 @@
-"""Written intermediate tables (as the rest of the library writes them) and code shipping."""
+"""Written intermediate tables (as the rest of the library writes them), code shipping, and workers that give memory back."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 from ..sources.snapshots import Scratch
 
-__all__ = ["Scratch", "ship"]
+__all__ = ["Scratch", "freeing", "ship"]
 
 ROOT = Path(__file__).resolve().parents[2]
 
@@ -28,3 +30,13 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(ROOT))
     sc.addPyFile(name)
     sc._lineaspark_shipped = True
+
+
+def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, after whose partition the worker gives its unused Arrow memory back: workers stay, and wait beside later stages."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return go

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
-from .shared import Scratch, ship
+from .shared import Scratch, freeing, ship
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return docs.select("doc_id", "text").mapInArrow(freeing(run), f"doc_id {kind}, fp bigint")
 
 
 def cells(fps: DataFrame) -> DataFrame:
@@ -184,7 +184,7 @@ def links(fps: DataFrame, scratch: Scratch, bits: int = 4, block: int = 8192) ->
         at = at.join(big, "cell", "left_anti")
     found.append(at.select("cell", "fp"))
     parts = [
-        x.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda b: _runs(b, bits), "a bigint, b bigint") for x in found
+        x.repartition("cell").sortWithinPartitions("cell").mapInArrow(freeing(lambda b: _runs(b, bits)), "a bigint, b bigint") for x in found
     ]
     out = parts[0]
     for x in parts[1:]:
