@@ -11,6 +11,8 @@ In each interval the occurrence that comes first (by document, then line)
 stays, and the runs at the others are later copies.  The union of those runs,
 cut at gaps, gives the maximal repeated runs that are deleted: a run of n >= 2
 lines with an earlier copy is covered by the intervals of its own suffixes.
+A run of one line counts on request only, if the line is long: the report keeps
+to its SQL, which knows pairs of lines, and the corpus pipeline asks for both.
 
 Only DataFrame operations.  Ranks are made without a global window: groups are
 range-partitioned and sorted, and a row's number within its partition, below
@@ -25,6 +27,10 @@ from .shared import Scratch
 
 #: A line counts if it has any character but these.
 _NOT_BLANK = r"[^\t\x0B\f\r ]"
+#: Words from which a single line counts as a passage, and the characters of scripts without spaces, of which two count as a word.
+LONG = 20
+_CLOSE = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+_IS_LONG = rf"^\s*+(?:(?:[{_CLOSE}]{{2}}|[{_CLOSE}](?![{_CLOSE}])|[^\s{_CLOSE}]++)\s*+){{{LONG}}}"
 
 
 def _ranked(groups: DataFrame, keys: list[str]) -> DataFrame:
@@ -45,10 +51,10 @@ def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(``_doc``, ``seq`` among lines that are not blank, ``line_no`` among all, and the line's 128-bit id ``h1``, ``h2``)."""
+    """(``_doc``, ``seq`` among lines that are not blank, ``line_no`` among all, the line's 128-bit id ``h1``, ``h2``, and whether it is ``long``)."""
     split = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line_no"), x.alias("line")))
     rows = docs.select("_doc", F.posexplode(F.filter(split, lambda x: x["line"].rlike(_NOT_BLANK))).alias("seq", "x"))
-    return rows.select("_doc", "seq", "x.line_no", F.xxhash64("x.line").alias("h1"), F.xxhash64(F.lit(7), "x.line").alias("h2"))
+    return rows.select("_doc", "seq", "x.line_no", F.xxhash64("x.line").alias("h1"), F.xxhash64(F.lit(7), "x.line").alias("h2"), F.col("x.line").rlike(_IS_LONG).alias("long"))
 
 
 def intervals(lines: DataFrame, scratch: Scratch, most_levels: int = 40) -> list[DataFrame]:
@@ -70,15 +76,23 @@ def intervals(lines: DataFrame, scratch: Scratch, most_levels: int = 40) -> list
     return found
 
 
-def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def long_copies(lines: DataFrame) -> DataFrame:
+    """(``_doc``, ``seq``, ``size`` 1) of the later copies of single long lines."""
+    some = lines.where("long")
+    first = some.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("_doc", "seq")).alias("first")).where("n > 1")
+    return some.join(first, ["h1", "h2"]).where(F.struct("_doc", "seq") > F.col("first")).select("_doc", "seq", F.lit(1).alias("size"))
+
+
+def removed_lines(docs: DataFrame, scratch: Scratch, single: bool = False) -> DataFrame:
     """(``_doc``, ``n_lines``, ``n_removed``, ``gone`` line numbers, ``removed_runs``) for documents with a line.
 
     ``removed_runs`` are the maximal deleted runs as ``first-last`` line
-    numbers from 0, joined by commas; a run goes on over blank lines.
+    numbers from 0, joined by commas; a run goes on over blank lines.  With
+    ``single`` a long line is a run by itself.
     """
     lines = scratch.table(lines_of(docs), "lines")
     levels = intervals(lines, scratch)
-    spans = None
+    spans = long_copies(lines) if single else None
     for k, level in enumerate(levels, 1):
         later = level.where(F.struct("_doc", "seq") > F.col("first")).select("_doc", "seq", F.lit(1 << k).alias("size"))
         spans = later if spans is None else spans.unionByName(later)
@@ -116,7 +130,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, broadcast_lines: int = 2_000_000) -> DataFrame:
-    """``docs`` without later copies of repeated runs of 2 lines or more; all columns stay.
+    """``docs`` without later copies of repeated runs of 2 lines or more, or of single lines of ``LONG`` words or more; all columns stay.
 
     A document that had lines and has only blank ones left goes as a whole; a
     null, empty or blank text stays as it is.
@@ -128,7 +142,7 @@ def dedup_lines(docs: DataFrame, broadcast_lines: int = 2_000_000) -> DataFrame:
     columns = docs.columns
     scratch = Scratch(docs.sparkSession, "lines")
     docs = numbered(docs, scratch)
-    found = removed_lines(docs.select("_doc", "text"), scratch).where("n_removed > 0")
+    found = removed_lines(docs.select("_doc", "text"), scratch, True).where("n_removed > 0")
     found = scratch.table(found.select("_doc", F.col("gone").alias("_gone"), (F.col("n_lines") == F.col("n_removed")).alias("_all")), "found")
     if (found.agg(F.sum(F.size("_gone") + 8)).first()[0] or 0) <= broadcast_lines:
         found = F.broadcast(found)

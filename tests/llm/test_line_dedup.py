@@ -62,3 +62,15 @@ def test_repeated_and_null_ids_and_empty(spark):
     assert got == [(0, 0, 0), (0, 3, 0), (1, 2, 2), (1, 2, 2)]
     assert line_dedup.report(spark.createDataFrame([], SCHEMA)).collect() == []
     assert line_dedup.dedup_lines(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_later_copies_of_single_long_lines_go(spark):
+    words = lambda n, k: " ".join(f"w{k}x{j}" for j in range(n))
+    chinese = "".join(chr(0x4E00 + 7 * k) for k in range(60))
+    texts = [f"a\n{words(60, 1)}\nb", words(231, 2), f"{chinese}\nc", f"d\n{words(19, 3)}\ne", f"f\n  {words(20, 4)}", "z" * 100_000]
+    texts += [f"g\n{words(60, 1)}\nh", words(231, 2), f"i\n{chinese}", f"j\n{words(19, 3)}\nk", f"  {words(20, 4)}\nl", f"{words(60, 1)}\n{words(60, 1)}\nm", "z" * 100_000]
+    rows = [(k, t, "", 0, 0) for k, t in enumerate(texts)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    want = dict(enumerate(texts)) | {6: "g\nh", 8: "i", 10: "l", 11: "m"}
+    del want[7]  # a document of one line, with an earlier copy
+    assert got == want
