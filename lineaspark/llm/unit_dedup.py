@@ -7,11 +7,18 @@ words is normalised (lower case, white space as one space) and its 128-bit
 digest is grouped over all documents; the earliest occurrence (by document,
 then place) stays, and every other one is removed.  Offsets are code points of
 the original text throughout.
+
+A shorter unit is no match by itself but, in the query, in a passage: from each one a window
+of consecutive units, short or not, goes on until it has ``PASSAGE`` words, and
+another goes back.  Windows are grouped like units.  A shared passage of twice
+that length has such a window for each of its short units.  Of a script without
+spaces two characters count as a word, and its full stops end sentences.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,21 +28,46 @@ from pyspark.sql import DataFrame, functions as F
 
 from .shared import Scratch, ship
 
-_UNIT = re.compile(r"[^\n]*?[.!?](?=[ \n])|[^\n]+")
+_UNIT = re.compile(r"[^\n]*?(?:[.!?](?=[ \n])|[\u3002\uff01\uff1f])|[^\n]+")
+_CLOSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
 LEAST_WORDS = 8
+PASSAGE = 25
 
 
-def units(text: str | None, least_words: int = LEAST_WORDS) -> Iterator[tuple[int, int, int]]:
-    """(start, end, 128-bit digest) of a whole text's units, white space at their ends left out."""
-    for m in _UNIT.finditer(text or ""):
-        words = m[0].split()
-        if len(words) >= least_words:
-            start = m.start() + len(m[0]) - len(m[0].lstrip())
-            yield start, start + len(m[0].strip()), xxhash.xxh3_128_intdigest(" ".join(words).lower())
+def _length(unit: str, words: list[str]) -> int:
+    """Words of a unit; two characters of a script without spaces count as one."""
+    close = [] if unit.isascii() else _CLOSE.findall(unit)
+    return len(_CLOSE.sub(" ", unit).split()) + sum((len(x) + 1) // 2 for x in close) if close else len(words)
 
 
-def occurrences(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(``h1``, ``h2``, ``doc_id``, ``start``, ``end``) of every unit."""
+def units(text: str | None, least_words: int = LEAST_WORDS, passage: int | None = None) -> Iterator[tuple[int, int, int]]:
+    """(start, end, 128-bit digest) of a whole text's units, and with ``passage`` its windows of so many words, white space at their ends left out."""
+    spans, normals, total = [], [], [0]
+    for m in _UNIT.finditer(text or ""):
+        words = m[0].split()
+        if not words:
+            continue
+        start = m.start() + len(m[0]) - len(m[0].lstrip())
+        spans.append((start, start + len(m[0].strip())))
+        normals.append(" ".join(words).lower())
+        total.append(total[-1] + _length(m[0], words))
+        if total[-1] - total[-2] >= least_words:
+            yield *spans[-1], xxhash.xxh3_128_intdigest(normals[-1])
+    windows = set()
+    for k in range(len(spans)) if passage else ():
+        if total[k + 1] - total[k] < least_words:
+            last = bisect_left(total, total[k] + passage)
+            if last < len(total):
+                windows.add((k, last))
+            first = bisect_right(total, total[k + 1] - passage) - 1
+            if first >= 0:
+                windows.add((first, k + 1))
+    for a, z in sorted(windows):
+        yield spans[a][0], spans[z - 1][1], xxhash.xxh3_128_intdigest(" ".join(normals[a:z]))
+
+
+def occurrences(docs: DataFrame, least_words: int = LEAST_WORDS, passage: int | None = None) -> DataFrame:
+    """(``h1``, ``h2``, ``doc_id``, ``start``, ``end``) of every unit and window."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,7 +76,7 @@ def occurrences(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
                 part = b.slice(k, 500)
                 row, start, end, digest = [], [], [], []
                 for i, text in enumerate(part.column("text").to_pylist()):
-                    for a, z, h in units(text, least_words):
+                    for a, z, h in units(text, least_words, passage):
                         row.append(i)
                         start.append(a)
                         end.append(z)
@@ -59,15 +91,15 @@ def occurrences(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"h1 bigint, h2 bigint, doc_id {kind}, start bigint, end bigint")
 
 
-def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(``doc_id``, ``start``, ``end``, ``kept_doc_id``, ``kept_start``): a row for each unit that is removed.
+def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, passage: int | None = None) -> DataFrame:
+    """(``doc_id``, ``start``, ``end``, ``kept_doc_id``, ``kept_start``): a row for each unit or window that is removed; rows may overlap.
 
     Null and empty texts have no units.  Null ids rank first.  Rows that repeat
     a ``doc_id`` can't be told apart at the same place: there no copy is
     removed, since both are the earliest occurrence.
     """
     scratch = Scratch(docs.sparkSession, "units")
-    found = scratch.table(occurrences(docs, least_words), "units")
+    found = scratch.table(occurrences(docs, least_words, passage), "units")
     place = F.struct("doc_id", "start")
     first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h1", "h2", "first")
     first = scratch.table(first, "first")
@@ -76,9 +108,9 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     )
 
 
-def dedup_units(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def dedup_units(docs: DataFrame, least_words: int = LEAST_WORDS, passage: int | None = None) -> DataFrame:
     """``docs`` without the removed units, all columns kept, and ``removed``: array<struct<start, end>> in original offsets (in place of a column of that name)."""
-    spans = repeats(docs, least_words).groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("start", "end")))).alias("_removed"))
+    spans = repeats(docs, least_words, passage).groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("start", "end")))).alias("_removed"))
     rows = docs.join(spans.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
 
     @F.pandas_udf("string")
@@ -100,4 +132,4 @@ def dedup_units(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    return repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), passage=PASSAGE)

@@ -63,3 +63,30 @@ def test_null_ids_and_empty(spark):
     t = "a b c d e f g h i"
     got = ud.repeats(spark.createDataFrame([(None, t, "", 0, ""), (4, t, "", 0, ""), (4, t, "", 0, "")], SCHEMA)).collect()
     assert [(r.doc_id, r.kept_doc_id) for r in got] == [(4, None), (4, None)]
+
+
+def removed_share(text, rows):
+    gone = {k for r in rows for k in range(r.start, r.end)}
+    return len(gone & set(range(len(text)))) / len(text)
+
+
+def test_passages_of_short_units_are_found(spark, tmp_path):
+    rng = random.Random(2)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    lists = "\n".join(line(rng.randrange(1, 6)) for _ in range(25))
+    mixed = ". ".join(line(n) for n in (12, 3, 2, 9, 4, 4, 5, 3, 2, 1, 6, 2, 30, 3, 3, 1, 2))
+    chinese = "\n".join("".join(chr(0x4E00 + rng.randrange(9000)) for _ in range(11)) for _ in range(12))
+    sentence = "".join(chr(0x4E00 + rng.randrange(9000)) for _ in range(40)) + chr(0x3002)
+    alone = line(7)
+    passages = [lists, mixed, chinese]
+    rows = [(k, f"{line(9)}\n{p}\n{line(9)}", "", 0, "") for k, p in enumerate([*passages, alone, "\u4e01" + chr(0x3002) + sentence])]
+    rows += [(k + 10, f"{line(11)}\n{p}\n{line(11)}", "", 0, "") for k, p in enumerate([*passages, alone.upper(), "\u4e02" + chr(0x3002) + sentence])]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    found = ud.op2(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.kept_doc_id) for r in found} == {(10, 0), (11, 1), (12, 2), (14, 4)}
+    left = {r.doc_id: r.text for r in ud.dedup_units(spark.createDataFrame(rows, SCHEMA), passage=ud.PASSAGE).collect()}
+    for k, p in enumerate(passages):
+        assert p in left[k] and not any(x in left[k + 10] for x in p.split("\n"))
+        share = removed_share(rows[k + 5][1], [r for r in found if r.doc_id == k + 10])
+        assert abs(share - len(p) / len(rows[k + 5][1])) < 0.02
+    assert alone.upper() in left[13]
