@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .pieces import encoder
-from .shared import Scratch, ship
+from .shared import Scratch, freeing, ship
 
 BLOCK = 256
 MAGIC = b"S8B1"
+PARTS = 400_000  # parts whose ids a worker keeps
 #: Fixed values of the coding: ids a word and their width, by selector from 1.
 PACK = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE = 15
@@ -153,10 +155,12 @@ class Writer:
         self.starts.append(starts[1:] + self.words)
         self.words += len(words)
 
-    def add(self, doc_ids: list[int | None], ids: list[bytes]) -> None:
+    def add(self, doc_ids: list[int | None], ids: list[bytes], kind: str = "<u4") -> None:
+        """``ids`` of each document, as integers of ``kind``."""
         self.doc_ids += doc_ids
-        self.sizes += [len(x) // 4 for x in ids]
-        held = np.concatenate([self.rest, np.frombuffer(b"".join(ids), "<u4")])
+        wide = np.dtype(kind).itemsize
+        self.sizes += [len(x) // wide for x in ids]
+        held = np.concatenate([self.rest, np.frombuffer(b"".join(ids), kind)])
         whole = len(held) // BLOCK * BLOCK
         self.ids += len(held) - len(self.rest)
         for k in range(0, whole, 4096 * BLOCK):
@@ -225,30 +229,70 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _cuts(docs: DataFrame, parts: int, sample: int = 100) -> list[tuple]:
+    """Where ``docs`` (``doc_id``, ``tie``, ``row``) are cut in ``parts`` ranges: keys from a sample of about ``sample`` rows a range.
+
+    The sample decides how even the ranges are, and nothing else.
+    """
+    share = min(1.0, sample * parts / max(1, docs.count()))
+    keys = sorted((r.doc_id is not None, r.doc_id or 0, r.tie, r.row) for r in docs.select("doc_id", "tie", "row").sample(share, seed=5).collect())
+    return [keys[len(keys) * k // parts] for k in range(1, parts)] if keys else []
+
+
+def encoded(docs: DataFrame, path: str, end_id: int, cuts: list[tuple]) -> DataFrame:
+    """(``doc_id``, ``tie``, ``row``, ``range`` among ``cuts``, ``ids`` as little-endian integers of ``_wide`` bytes) of every row."""
+    wide = _wide(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = np.array([end_id], "<u4").tobytes()
+        for b in batches:
+            for k in range(0, b.num_rows, 512):
+                some = b.slice(k, 512)
+                ids = [x + end for x in encoder(path, False, PARTS).encode(some.column("text").to_pylist())]
+                if wide == 2:
+                    ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
+                keys = zip(*(some.column(c).to_pylist() for c in ("doc_id", "tie", "row")), strict=True)
+                at = [bisect_right(cuts, (d is not None, d or 0, t, r)) for d, t, r in keys]
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("doc_id"), some.column("tie"), some.column("row"), pa.array(at, pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "tie", "row", "range", "ids"]
+                )
+
+    return docs.mapInArrow(freeing(run), "doc_id bigint, tie bigint, row bigint, range int, ids binary")
+
+
+def _wide(path: str) -> int:
+    """Bytes that any id of a vocabulary file needs: 2 or 4."""
+    return 2 if encoder(path, False, PARTS).tokenizer.get_vocab_size() <= 1 << 16 else 4
+
+
 def write(docs: DataFrame, uri: str, path: str | None = None, end_id: int = 1, file_ids: int = 1 << 24) -> DataFrame:
     """Encode every text, append ``end_id``, and write files below ``uri`` in ascending ``doc_id`` order.
 
+    Texts are encoded where they lie, and what is sorted is their ids, once: the
+    ranges are cut at keys of a sample of rows before anything is encoded.
+
     Returns the manifest (``part``, ``seq``, ``uri``, ``n_docs``, ``n_ids``);
     files follow one another by ``part`` and ``seq``.  Only files that it names
     count: a task that was lost and run again leaves one that it doesn't name,
     so the frame must be written before it is used twice.  Null ids come first,
-    equal ids in order of text; a null text has only the end id.
+    equal ids in order of ``xxhash64`` of the text, however many there are; a
+    null text has only the end id.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     path = path or vocabulary()
     if docs.schema["doc_id"].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
         raise ValueError("doc_id must be an integer")
+    kind = f"<u{_wide(path)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = np.array([end_id], "<u4").tobytes()
         part, made, out = TaskContext.get().partitionId(), [], None
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 some = b.slice(k, 512)
-                ids = [x + end for x in encoder(path, False).encode(some.column("text").to_pylist())]
                 if out is None:
                     out = Writer(f"{uri}/{part:06d}-{len(made):04d}-{uuid.uuid4().hex}.s8b")
-                out.add(some.column("doc_id").to_pylist(), ids)
+                out.add(some.column("doc_id").to_pylist(), some.column("ids").to_pylist(), kind)
                 if out.ids >= file_ids:
                     out.close()
                     made.append(out)
@@ -261,8 +305,11 @@ def write(docs: DataFrame, uri: str, path: str | None = None, end_id: int = 1, f
             pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("uri", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]),
         )
 
-    ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(run, "part int, seq int, uri string, n_docs bigint, n_ids bigint")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"), "text")
+    ranged = encoded(rows, path, end_id, _cuts(rows, parts)).repartitionById(parts, F.col("range"))
+    ordered = ranged.sortWithinPartitions("doc_id", "tie", "row").select("doc_id", "ids")
+    return ordered.mapInArrow(freeing(run), "part int, seq int, uri string, n_docs bigint, n_ids bigint")
 
 
 def read(manifest: DataFrame) -> DataFrame:
