@@ -6,12 +6,14 @@ sketch (its k shingles of least hash) with k one more than that bound must have
 a shingle in common with every such document: no pair is missed, whatever the
 document's length.  Items are partitioned by size in powers of two, and each
 partition has the sketch depth that its largest size asks for, so short items
-have short sketches.  A document is looked up by the hashes of its shingles
-against the sketches; what it hits is verified by exact shingle containment.
+have short sketches.  A document of any length is looked up by the hashes of
+its shingles against the sketches, slice by slice, and what it hits is verified
+by exact shingle containment.
 
 Documents are scanned once for each block of items.  A block is bounded by
-``block_bytes`` of item text and is what executors get by broadcast, so a large
-benchmark takes more scans and no more memory.
+``block_bytes`` of item text and is what executors get by broadcast: the texts
+and their sketches.  Exact shingles are made for the items that a document
+hits, so a large benchmark takes more scans and no more memory.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import freeing, ship
+from .shingles import CHUNK, shingles, slices, word_hashes
 
 #: Beyond ASCII, what separates words: signs and spaces of Latin-1, general punctuation and symbols, ideographic and full-width punctuation.
 _SEPARATOR = re.compile("[\u00a0-\u00bf\u00d7\u00f7\u2000-\u2bff\u3000-\u303f\uff00-\uff0f]")
@@ -32,10 +35,6 @@ _WORD = re.compile("[a-z0-9_\u0080-\U0010ffff]+")
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[[*b"abcdefghijklmnopqrstuvwxyz0123456789_", *range(0x80, 0x100)]] = True
 WIDTH = 5
-GROUP = 1 << 20  # characters that are hashed together; longer texts take the other path
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: list[np.ndarray] = []
 
 
 def normal(text: str | None) -> str:
@@ -47,54 +46,33 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(normal(text))
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ h >> np.uint64(29)
-
-
-def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of each word: a polynomial in the bytes, from one running sum over the data."""
-    if not _powers or len(_powers[0]) <= len(data):
-        n = max(len(data) + 1, 1 << 22)
-        up, down = np.full(n, _BASE), np.full(n, _INVERSE)
-        up[0] = down[0] = 1
-        _powers[:] = [np.cumprod(up), np.cumprod(down)]
-    word = np.concatenate([[False], _IS_WORD[data], [False]])
-    edge = np.flatnonzero(word[1:] != word[:-1])
-    start, end = edge[::2], edge[1::2]
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data.astype(np.uint64) * _powers[0][: len(data)])])
-    return _mix((total[end] - total[start]) * _powers[1][start]), start
-
-
-def _shingles(hashes: np.ndarray, width: int) -> np.ndarray:
-    n = len(hashes) - width + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    h = hashes[:n].copy()
-    for k in range(1, width):
-        h = h * np.uint64(0xD6E8FEB86659FD93) + hashes[k : k + n]
-    return _mix(h)
+def grams_of(text: str | None) -> set[tuple[str, ...]]:
+    """The shingles of an item: runs of ``WIDTH`` words, or of all its words if these are fewer."""
+    words = words_of(text)
+    width = min(WIDTH, len(words))
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if words else set()
 
 
 class Items:
-    """Sketches and exact shingles of a block of items."""
+    """Sketches and texts of a block of items (id, text, how many rows are so)."""
 
     def __init__(self, rows: list[tuple], least: Fraction = Fraction(4, 5)):
         self.least = least
-        self.ids, self.sets, self.widths = [], [], []
+        self.ids, self.texts, self.times, self.sizes, self.widths = [], [], [], [], []
         sketch: list[tuple[int, int]] = []
-        for item_id, text in rows:
-            words = words_of(text)
-            if not words:
+        for item_id, text, times in rows:
+            grams = grams_of(text)
+            if not grams:
                 continue
-            width = min(WIDTH, len(words))
-            grams = {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
+            width = len(next(iter(grams)))
             size = 1 << (len(grams).bit_length())  # the partition holds size/2 to size - 1
             depth = size - 1 - -(-(size - 1) * least.numerator // least.denominator) + 1
-            hashes = sorted({int(_shingles(_word_hashes(np.frombuffer(" ".join(g).encode(), np.uint8))[0], width)[0]) for g in grams})
+            hashes = sorted({int(shingles(word_hashes(np.frombuffer(" ".join(g).encode(), np.uint8), _IS_WORD)[0], width)[0]) for g in grams})
             sketch += [(h, len(self.ids)) for h in hashes[:depth]]
             self.ids.append(item_id)
-            self.sets.append(grams)
+            self.texts.append(text)
+            self.times.append(times)
+            self.sizes.append(len(grams))
             self.widths.append(width)
         sketch.sort()
         self.hashes = np.array([h for h, _ in sketch], np.uint64)
@@ -114,46 +92,51 @@ class Items:
         return found
 
     def candidates(self, texts: list[str | None]) -> set[tuple[int, int]]:
-        """(position of text, item) of all pairs whose sketch and shingles meet."""
+        """(position of text, item) of all pairs whose sketch and shingles meet; short texts are hashed together."""
         out: set[tuple[int, int]] = set()
         some: list[bytes] = []
         at: list[int] = []
         held = 0
 
+        def look(hashes: np.ndarray, doc: np.ndarray) -> None:
+            for width in self.used:
+                grams = shingles(hashes, width)
+                inside = np.flatnonzero(doc[: len(grams)] == doc[width - 1 :]) if len(grams) else np.empty(0, np.int64)
+                out.update(self._hit(grams[inside], doc[inside]))
+
         def flush() -> None:
             nonlocal held
             if some:
-                data = np.frombuffer(b"\n".join(some), np.uint8)
                 begins = np.cumsum([0] + [len(x) + 1 for x in some[:-1]])
-                hashes, start = _word_hashes(data)
-                doc = np.searchsorted(begins, start, "right") - 1
-                for width in self.used:
-                    grams = _shingles(hashes, width)
-                    inside = np.flatnonzero(doc[: len(grams)] == doc[width - 1 :]) if len(grams) else np.empty(0, np.int64)
-                    out.update((at[d], i) for d, i in self._hit(grams[inside], doc[inside]))
+                hashes, start = word_hashes(np.frombuffer(b"\n".join(some), np.uint8), _IS_WORD)
+                look(hashes, np.array(at)[np.searchsorted(begins, start, "right") - 1])
             some.clear()
             at.clear()
             held = 0
 
         for k, text in enumerate(texts):
-            if text and len(text) > GROUP:
-                out.update((k, i) for i in range(len(self.ids)))  # verified as a stream
-                continue
             data = normal(text).encode("utf-8", "surrogatepass")
+            if held + len(data) >= CHUNK:
+                flush()
+            if len(data) >= CHUNK:
+                carried = np.empty(0, np.uint64)
+                for part in slices(np.frombuffer(data, np.uint8), _IS_WORD):
+                    carried = np.concatenate([carried, word_hashes(part, _IS_WORD)[0]])
+                    look(carried, np.full(len(carried), k))
+                    carried = carried[max(0, len(carried) - WIDTH + 1) :]
+                continue
             some.append(data)
             at.append(k)
-            held += len(data)
-            if held >= GROUP:
-                flush()
+            held += len(data) + 1
         flush()
         return out
 
     def verify(self, text: str | None, items: list[int]) -> list[tuple[int, int]]:
         """(item, shared shingles) of those that reach the containment, exactly; memory follows the items' size."""
-        left = {i: set(self.sets[i]) for i in items}
+        left = {i: grams_of(self.texts[i]) for i in items}
         want: dict[tuple, list[int]] = {}
         for i in items:
-            for g in self.sets[i]:
+            for g in left[i]:
                 want.setdefault(g, []).append(i)
         widths, recent = sorted({self.widths[i] for i in items}), []
         for m in _WORD.finditer(normal(text)):
@@ -163,8 +146,8 @@ class Items:
                 if len(recent) >= w and (g := tuple(recent[-w:])) in want:
                     for i in want.pop(g):
                         left[i].discard(g)
-        shared = {i: len(self.sets[i]) - len(left[i]) for i in items}
-        return [(i, n) for i, n in shared.items() if n * self.least.denominator >= self.least.numerator * len(self.sets[i])]
+        shared = {i: self.sizes[i] - len(left[i]) for i in items}
+        return [(i, n) for i, n in shared.items() if n * self.least.denominator >= self.least.numerator * self.sizes[i]]
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int]]:
         """(position of text, item, shared shingles) of all contained items."""
@@ -175,10 +158,10 @@ class Items:
 
 
 def blocks(benchmark: DataFrame, block_bytes: int = 32 << 20) -> Iterator[Items]:
-    """The items in blocks of about ``block_bytes`` of text: as many blocks as their total asks for, each item in one."""
-    size = benchmark.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    """The items in blocks of about ``block_bytes`` of text: as many blocks as their total asks for, each item in one, repeated rows once with their number."""
+    items = benchmark.where("text is not null").groupBy("item_id", "text").agg(F.count("*").alias("times"))
+    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = max(1, -(-int(size) // block_bytes))
-    items = benchmark.select("item_id", "text").where("text is not null")
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
         yield Items([tuple(r) for r in rows])
@@ -203,8 +186,8 @@ def contained(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 32 << 20
             for b in batches:
                 for j in range(0, b.num_rows, 1024):
                     part = b.slice(j, 1024)
-                    found = items.search(part.column("text").to_pylist())
-                    size = [len(items.sets[i]) for _, i, _ in found]
+                    found = [x for x in items.search(part.column("text").to_pylist()) for _ in range(items.times[x[1]])]
+                    size = [items.sizes[i] for _, i, _ in found]
                     n = [n for _, _, n in found]
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -248,15 +231,17 @@ WITH w AS (
   SELECT 'd' AS side, doc_id AS id, regexp_extract_all(regexp_replace(lower(text), '[\x{a0}-\x{bf}\x{d7}\x{f7}\x{2000}-\x{2bff}\x{3000}-\x{303f}\x{ff00}-\x{ff0f}]', ' ', 'g'), '[a-z0-9_\x{80}-\x{10ffff}]+') AS words FROM documents
   UNION ALL
   SELECT 'b', item_id, regexp_extract_all(regexp_replace(lower(text), '[\x{a0}-\x{bf}\x{d7}\x{f7}\x{2000}-\x{2bff}\x{3000}-\x{303f}\x{ff00}-\x{ff0f}]', ' ', 'g'), '[a-z0-9_\x{80}-\x{10ffff}]+') FROM benchmark
+), v AS (
+  SELECT DISTINCT least(5, len(words)) AS width FROM w WHERE side = 'b' AND len(words) > 0
 ), i AS (
-  SELECT side, id, words, unnest(range(1, len(words) - 3)) AS k FROM w
+  SELECT side, id, words, width, unnest(range(1, len(words) - width + 2)) AS k FROM w JOIN v ON side = 'd' OR width = least(5, len(words))
 ), s AS (
-  SELECT DISTINCT side, id, array_to_string(words[k:k+4], ' ') AS shingle FROM i
+  SELECT DISTINCT side, id, width, array_to_string(words[k:k+width-1], ' ') AS shingle FROM i
 ), n AS (
   SELECT id, count(*) AS n FROM s WHERE side = 'b' GROUP BY id
 ), pairs AS (
   SELECT d.id AS doc_id, b.id AS item_id, count(*) AS shared
-  FROM s d JOIN s b ON d.shingle = b.shingle AND d.side = 'd' AND b.side = 'b' GROUP BY d.id, b.id
+  FROM s d JOIN s b ON d.shingle = b.shingle AND d.width = b.width AND d.side = 'd' AND b.side = 'b' GROUP BY d.id, b.id
 )
 SELECT doc_id, item_id, n AS n_shingles, shared AS n_shared, shared / n AS containment
 FROM pairs JOIN n ON item_id = id WHERE shared * 5 >= n * 4

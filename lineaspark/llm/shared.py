@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -33,10 +34,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """``run``, after whose partition the worker gives its unused Arrow memory back: workers stay, and wait beside later stages."""
+    """``run``, after whose partition the worker gives unused memory back: workers stay, and wait beside later stages."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+        if trim:
+            trim(0)
 
     return go
