@@ -15,6 +15,12 @@ MAX_SAFE_INTEGER = 9007199254740991
 INTENT_FIELDS = ("action_id", "subject_id", "action_type", "parameters", "request_id", "requested_at", "provenance_artifact_id")
 PARAMETER_FIELDS = ("data_class", "destination", "payload")
 PRODUCER_FIELDS = ("content",)
+SOURCE_FIELDS = ("attestation", "content", "id")
+ATTESTATION_FIELDS = ("issuer", "key_id", "signature")
+SENDING = "send_message"
+MAX_JSON_DEPTH = 8
+MAX_JSON_ITEMS = 64
+MAX_JSON_FIELDS = 32
 MAX_PAYLOAD_BYTES = 4096
 MAX_PARAMETER_BYTES = 8192
 MAX_CONTENT_BYTES = 1_000_000
@@ -34,11 +40,12 @@ class LineageConfig:
     connector_issuer: str = "registry"
     connector_key_id: str = "connector-key-v1"
     verifier_version: str = "lineage-state-verifier-v1"
+    gateway_version: str = "lineage-gateway-v1"
     contract_version: str = "lineage-trusted-state-v1"
     policy_version: str = "lineage-policy-v1"
     allowed_authorities: tuple[str, ...] = ("registry",)
     allowed_destinations: tuple[str, ...] = ("internal:alerts",)
-    action_types: tuple[str, ...] = ("send_message",)
+    action_types: tuple[str, ...] = (SENDING,)
     min_trusted_sources: int = 1
     max_freshness_ms: int = 5000
     max_ancestry_depth: int = 16

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import json
+from itertools import groupby
 
 from pyspark.sql import Column, functions as F
 
@@ -23,22 +25,35 @@ def hmac_sha256(key: bytes, text: Column) -> Column:
     return F.sha2(F.concat(outer, first), 256)
 
 
-def _part(value) -> Column:
-    """JSON text of one element: ``("s", column)`` string, ``("n", column)`` number or boolean, ``("a", column)`` array of strings."""
-    kind, c = value
-    if kind == "s":
-        one = F.to_json(F.array(c))
-        text = F.substring(one, 2, F.length(one) - 2)
-    elif kind == "n":
-        text = c.cast("string")
-    else:
-        text = F.to_json(c)
-    return F.coalesce(F.when(c.isNotNull(), text), F.lit("null"))
+def json_string(*c: Column) -> Column:
+    """JSON text of strings, joined by commas, nulls as such; see :func:`lower_escapes`."""
+    return F.btrim(F.to_json(F.array(*c)), F.lit("[]"))  # what is next to the brackets is never one
+
+
+def lower_escapes(text: Column) -> Column:
+    """JSON text whose escapes of control characters are in lower case, as canonical text has them (``to_json`` writes them in upper case)."""
+    low = text
+    for code in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):  # an escape follows an even number of backslashes
+        low = F.regexp_replace(low, rf"(?<!\\)((?:\\\\)*)\\u00{code:02X}", rf"$1\\u00{code:02x}")
+    return F.when(text.rlike(r"\\u00[01][A-F]"), low).otherwise(text)
 
 
 def json_array(*parts) -> Column:
-    """A heterogeneous JSON array as text, without white space; strings are literals or typed parts."""
-    made = [_part(("s", F.lit(p))) if isinstance(p, str) else _part(p) for p in parts]
+    """A heterogeneous JSON array as text, without white space.
+
+    Parts are literal strings, or ``("s", column)`` for a string, ``("n", column)``
+    for a number or boolean and ``("a", column)`` for an array of strings.
+    Strings that follow one another are written by one call.
+    """
+    made: list[Column] = []
+    for kind, run in groupby(parts, lambda p: "" if isinstance(p, str) else p[0]):
+        some = list(run)
+        if kind == "":
+            made.append(F.lit(",".join(json.dumps(p, ensure_ascii=False) for p in some)))
+        elif kind == "s":
+            made.append(json_string(*(c for _, c in some)))
+        else:
+            made += [F.coalesce(F.to_json(c) if kind == "a" else c.cast("string"), F.lit("null")) for _, c in some]
     return F.concat(F.lit("["), F.concat_ws(",", *made), F.lit("]"))
 
 
@@ -87,6 +102,32 @@ def is_safe_integer(c: Column) -> Column:
     return F.coalesce(c.between(0, MAX_SAFE_INTEGER), F.lit(False))
 
 
+def json_kind(value: Column, path: str = "$") -> Column:
+    """What a variant has at a path: OBJECT, ARRAY, STRING, NUMBER, BOOLEAN or NULL; null if it has nothing there."""
+    kind = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+    return (
+        F.when(kind.startswith("OBJECT"), "OBJECT").when(kind.startswith("ARRAY"), "ARRAY").when(kind == "STRING", "STRING")
+        .when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "NUMBER").when(kind == "BOOLEAN", "BOOLEAN").when(kind == "VOID", "NULL")
+    )
+
+
+def json_text(value: Column, path: str) -> Column:
+    """The string that a variant has at a path; null for anything else, however it might be written."""
+    return F.when(json_kind(value, path) == "STRING", F.try_variant_get(value, path, "string"))
+
+
+def json_integer(value: Column, path: str) -> Column:
+    """The whole number from 0 to 2^53 - 1 that a variant has at a path, else null; ``1e3`` and ``5.0`` are whole."""
+    d = F.try_variant_get(value, path, "double")
+    ok = (json_kind(value, path) == "NUMBER") & (d == F.floor(d)) & d.between(0, MAX_SAFE_INTEGER)
+    return F.when(ok, d.cast("bigint"))
+
+
+def json_keys(value: Column, path: str = "$") -> Column:
+    """Field names of the object that a variant has at a path, else null."""
+    return F.when(json_kind(value, path) == "OBJECT", F.json_object_keys(F.to_json(F.try_variant_get(value, path, "variant"))))
+
+
 def unexpected_fields(raw_json: Column, allowed: tuple[str, ...]) -> Column:
     """Sorted field names of a JSON object that aren't allowed; null if it is no object."""
     return F.array_sort(F.array_except(F.json_object_keys(raw_json), F.array(*map(F.lit, allowed))))
@@ -108,9 +149,34 @@ def media_type(header: Column) -> Column:
     return F.lower(F.trim(F.split_part(header, F.lit(";"), F.lit(1))))
 
 
-def status_label(status: Column) -> Column:
-    """Display label of an outcome."""
-    return F.when(status.isin("PASS", "ALLOW", "VERIFIED"), "passed").when(status == "NOT_REACHED", "not reached").when(status.isNull(), "unknown").otherwise("blocked")
+def outcome_status(status: Column) -> Column:
+    """PASS, BLOCK or NOT_REACHED of a result's status."""
+    return F.when(status.isin("PASS", "ALLOW"), "PASS").when(status == "BLOCK", "BLOCK").otherwise("NOT_REACHED")
+
+
+def status_kind(status: Column) -> Column:
+    """How a status is coloured: pass, block or neutral, whatever its case."""
+    s = F.upper(F.coalesce(status, F.lit("")))
+    good = s.isin("PASS", "ALLOW", "READY", "RESOLVED", "VERIFIED", "EXECUTED", "COMPLETED") | s.startswith("PASS_") | s.startswith("ALLOW_")
+    bad = s.isin("BLOCK", "FAIL", "UNRESOLVED", "STALE", "ERROR") | s.startswith("BLOCK_") | s.startswith("FAIL_") | s.startswith("ERROR_")
+    return F.when(good, "pass").when(bad, "block").otherwise("neutral")
+
+
+def status_label(status: Column, missing: str = "NOT RUN") -> Column:
+    """How a status is shown: in capitals, underscores as spaces."""
+    s = F.upper(F.coalesce(status, F.lit("")))
+    return F.when(s == "", missing).otherwise(F.replace(s, F.lit("_"), F.lit(" ")))
+
+
+def scenario_body(body: Column) -> Column:
+    """Whether a request's body is an object of one known field within 256 bytes."""
+    ok = (F.octet_length(body) <= 256) & (F.size(unexpected_fields(body, ("scenario",))) == 0) & (F.size(missing_fields(body, ("scenario",))) == 0)
+    return F.coalesce(ok, F.lit(False))
+
+
+def request_bytes(*fields: Column) -> Column:
+    """Bytes of a request's JSON text."""
+    return F.octet_length(F.to_json(F.struct(*fields)))
 
 
 def shortened(text: Column, most: int) -> Column:

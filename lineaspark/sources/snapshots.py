@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lineaspark-")
         spark.sparkContext.setCheckpointDir(found)
@@ -37,6 +38,19 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def partitioned(self, df: DataFrame, name: str, by: list[str]) -> dict[tuple, str]:
+        """Write a frame in a folder for each value of integer columns ``by``; gives the folders by value."""
+        path = f"{self.base}/{name}"
+        df.repartition(*by, F.pmod(F.xxhash64(*(c for c in df.columns if c not in by)), F.lit(int(self.spark.conf.get("spark.sql.shuffle.partitions"))))).write.mode("overwrite").partitionBy(*by).parquet(path)
+        found = {}
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        root = hadoop.Path(path)
+        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(hadoop.Path(path + "/" + "/".join(f"{c}=*" for c in by)))
+        for f in files or []:
+            at = f.getPath().toString()
+            found[tuple(int(x.split("=")[1]) for x in at.split("/")[-len(by) :])] = at
+        return found
+
     def drop(self, name: str) -> None:
         """Remove a table that nothing reads any more."""
         jvm = self.spark._jvm
