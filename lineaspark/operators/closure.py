@@ -4,71 +4,103 @@ Local verdicts are made once a node and once an edge (``signing.checked``); the
 frontier loop then only walks.  A root leaves the frontier as soon as it has a
 verdict.  Depth is the longest path, so a verdict never depends on edge order;
 with several faults the one at the least depth counts, and of those the one at
-the least artifact id.  Each level is written, so no plan holds more than one.
+the least artifact id.  A root that has met more distinct nodes than the cap by
+some depth is unresolved, whatever it would have met from that depth on.  Each
+level is written, so no plan holds more than one.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import DEFAULT, LineageConfig
+from ..functions.columns import is_artifact_id
 from ..sources.snapshots import Scratch
 
 #: In the order in which a node's checks are made.
-_STEPS = ("SYSTEM_ERROR", "IDENTITY_OR_AUTHENTICITY", "TERMINAL_STRUCTURE", "DEPTH_CAP_REACHED", "DERIVED_STRUCTURE", "EDGE_OR_PARENT", "CLOSURE_NODE_CAP_REACHED")
+_STEPS = ("SYSTEM_ERROR", "IDENTITY_OR_AUTHENTICITY", "TERMINAL_STRUCTURE", "DEPTH_CAP_REACHED", "DERIVED_STRUCTURE", "EDGE_OR_PARENT")
+_CAP = "CLOSURE_NODE_CAP_REACHED"
 
 
-def verify(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int | None = None, cfg: LineageConfig = DEFAULT, node_cap: int | None = None) -> DataFrame:
-    """A row for each distinct ``artifact_id`` of ``roots``: ``classification``, ``detail``, ``fault_artifact_id``, counts and depth.
+def walk(nodes: DataFrame, roots: DataFrame, max_depth: int | None = None, cfg: LineageConfig = DEFAULT, node_cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(verdicts as :func:`verify` gives them, ``reach``: ``root``, ``node`` and longest ``depth`` of the verified roots).
 
-    ``nodes`` and ``edges`` come from ``signing.checked``.  Classifications are
-    VERIFIED, INVALID, UNRESOLVED, MISSING and SYSTEM_ERROR; an id that isn't one
-    is INVALID.  Counts are of what was walked, and null unless VERIFIED.
+    ``nodes`` come from ``signing.checked``, with their parents.  A level is one
+    join with the nodes and one exchange by root, which drops repeats and counts.
     """
-    from ..functions.columns import is_artifact_id
-
     max_depth = cfg.max_generation if max_depth is None else max_depth
     cap = cfg.max_closure_nodes if node_cap is None else node_cap
     scratch = Scratch(nodes.sparkSession, "closure")
-    few = nodes.select("artifact_id", "terminal", "node_ok", "structure_ok", "edges_ok", "dangling")
-    links = edges.select("child", "parent")
-    start = roots.select("artifact_id").distinct()
-    asked = scratch.table(start.join(few.withColumn("stored", F.lit(True)), "artifact_id", "left").select(F.col("artifact_id").alias("root"), F.coalesce("stored", F.lit(False)).alias("stored"), is_artifact_id(F.col("artifact_id")).alias("good_id")), "asked")
-    front = asked.where("stored and good_id").select("root", F.col("root").alias("node"))
-    levels = []
+    start = roots.select(F.col("artifact_id").alias("root")).distinct()
+    if not (0 <= max_depth <= cfg.max_generation and 1 <= cap <= cfg.max_closure_nodes):
+        detail = F.when(is_artifact_id(F.col("root")), "INVALID_VERIFICATION_BOUNDS").otherwise("INVALID_ARTIFACT_ID")
+        none = scratch.table(start.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).where("false"), "reach")
+        return start.select(F.col("root").alias("artifact_id"), F.lit("INVALID").alias("classification"), detail.alias("detail"), F.lit(None).cast("string").alias("fault_artifact_id"), *(F.lit(None).cast("bigint").alias(c) for c in _COUNTS)), none
+    step = (
+        F.when(F.col("dangling"), 0).when(~F.col("node_ok"), 1).when(F.col("terminal") & ~F.col("structure_ok"), 2)
+        .when(F.coalesce(~F.col("terminal"), F.lit(True)), F.when(~F.col("structure_ok"), 4).when(~F.col("edges_ok"), 5))
+    )
+    sound = F.when(step.isNull() & ~F.col("terminal"), F.col("parents"))
+    few = scratch.table(nodes.select(F.col("artifact_id").alias("node"), "terminal", step.alias("step"), F.coalesce(F.size(sound), F.lit(0)).alias("out"), sound.alias("parents")), "few")
+    asked = scratch.table(start.join(few.select(F.col("node").alias("root"), F.lit(True).alias("stored")), "root", "left").select("root", F.coalesce("stored", F.lit(False)).alias("stored"), is_artifact_id(F.col("root")).alias("good_id")), "asked")
+    front = asked.where("stored and good_id").select("root", F.col("root").alias("node"), F.lit(1).cast("bigint").alias("met"))
+    levels: list[DataFrame] = []
+    over: list[DataFrame] = []
     for depth in range(max_depth + 1):
-        step = (
-            F.when(F.col("dangling"), 0).when(~F.col("node_ok"), 1).when(F.col("terminal") & ~F.col("structure_ok"), 2)
-            .when(F.coalesce(~F.col("terminal"), F.lit(True)) & F.lit(depth >= max_depth), 3).when(~F.col("structure_ok"), 4).when(~F.col("edges_ok"), 5)
-        )
-        level = scratch.table(front.join(few, F.col("node") == F.col("artifact_id")).select("root", "node", "terminal", step.alias("step")), f"level-{depth}")
-        levels.append(level.withColumn("depth", F.lit(depth)))
-        bad = level.where("step is not null").select("root").distinct()
-        nxt = level.where("not terminal and step is null").join(bad, "root", "left_anti").join(links, F.col("node") == F.col("child")).select("root", F.col("parent").alias("node")).distinct()
-        if depth == max_depth or level.where("not terminal and step is null").isEmpty():
+        at_cap = F.lit(depth >= max_depth) & F.coalesce(~F.col("terminal"), F.lit(True)) & F.coalesce(F.col("step") > 2, F.lit(True))
+        level = front.join(few, "node").withColumn("step", F.when(at_cap, 3).otherwise(F.col("step"))).withColumn("parents", F.when(F.col("step").isNull(), F.col("parents")))
+        level = scratch.table(level.select("root", "node", "terminal", "step", "out", "met", "parents"), f"level-{depth}")
+        levels.append(level.select("root", "node", "terminal", "step", "out", F.lit(depth).alias("depth")))
+        most, going = level.agg(F.max("met"), F.count_if(F.size("parents") > 0)).first()
+        gone = level.where("step is not null").select("root")
+        if (most or 0) > cap:  # of the roots that have met so many nodes, repeats counted, those that have distinct ones
+            suspects = level.where(F.col("met") > cap).select("root").distinct()
+            every = reduce(DataFrame.unionByName, (x.select("root", "node") for x in levels)).join(suspects, "root", "left_semi")
+            beyond = every.groupBy("root").agg(F.count_distinct("node").alias("n")).where(F.col("n") > cap)
+            over.append(scratch.table(beyond.select("root"), f"over-{depth}"))
+            gone = gone.unionByName(over[-1])
+        if depth == max_depth or not going:
             break
-        front = nxt
-    walked = reduce(DataFrame.unionByName, levels)
-    per_node = walked.groupBy("root", "node").agg(F.max("depth").alias("depth"), F.first("terminal").alias("terminal"), F.min(F.struct("depth", "node", "step")).alias("at"), F.max("step").alias("step"))
+        mine = Window.partitionBy("root")
+        nxt = level.where(F.size("parents") > 0).join(gone.distinct(), "root", "left_anti").select("root", "met", F.explode("parents").alias("node"))
+        front = nxt.repartition("root").dropDuplicates(["root", "node"]).select("root", "node", (F.col("met") + F.count("*").over(mine)).alias("met"))
+    walked = reduce(DataFrame.unionByName, levels).repartition("root")
+    per_node = walked.groupBy("root", "node").agg(F.max("depth").alias("depth"), F.first("terminal").alias("terminal"), F.first("out").alias("out"), F.min(F.struct("depth", "node", "step")).alias("at"), F.max("step").alias("step"))
     fault = F.min(F.when(F.col("step").isNotNull(), F.struct(F.col("at.depth").alias("depth"), "node", "step"))).alias("fault")
-    sums = per_node.groupBy("root").agg(F.count("*").alias("node_count"), F.count_if("terminal").alias("source_count"), F.max("depth").alias("deepest_hops"), fault)
-    out_degree = links.groupBy("child").agg(F.count("*").alias("out"))
-    witness = per_node.where("not terminal").join(out_degree, F.col("node") == F.col("child")).groupBy("root").agg(F.sum("out").alias("edge_count"))
-    row = asked.join(sums, "root", "left").join(witness, "root", "left")
+    sums = per_node.groupBy("root").agg(F.count("*").alias("node_count"), F.count_if("terminal").alias("source_count"), F.max("depth").alias("deepest_hops"), F.sum("out").alias("edge_count"), fault)
+    row = asked.join(sums, "root", "left")
+    if over:
+        row = row.join(reduce(DataFrame.unionByName, over).distinct().withColumn("_over", F.lit(True)), "root", "left")
     names = F.array(*map(F.lit, _STEPS))
-    over = F.col("fault").isNull() & (F.col("node_count") > cap)
-    detail = F.when(~F.col("good_id"), "INVALID_ARTIFACT_ID").when(~F.col("stored"), "ARTIFACT_NOT_FOUND").when(over, _STEPS[6]).when(F.col("fault").isNotNull(), F.element_at(names, F.col("fault.step") + 1)).otherwise("ANCESTRY_VERIFIED")
+    detail = F.when(~F.col("good_id"), "INVALID_ARTIFACT_ID").when(~F.col("stored"), "ARTIFACT_NOT_FOUND")
+    if over:
+        detail = detail.when(F.col("_over"), _CAP)
+    detail = detail.when(F.col("fault").isNotNull(), F.element_at(names, F.col("fault.step") + 1)).otherwise("ANCESTRY_VERIFIED")
     kind = (
         F.when(F.col("detail") == "ARTIFACT_NOT_FOUND", "MISSING").when(F.col("detail") == "SYSTEM_ERROR", "SYSTEM_ERROR")
-        .when(F.col("detail").isin("DEPTH_CAP_REACHED", "CLOSURE_NODE_CAP_REACHED"), "UNRESOLVED").when(F.col("detail") == "ANCESTRY_VERIFIED", "VERIFIED").otherwise("INVALID")
+        .when(F.col("detail").isin("DEPTH_CAP_REACHED", _CAP), "UNRESOLVED").when(F.col("detail") == "ANCESTRY_VERIFIED", "VERIFIED").otherwise("INVALID")
     )
     only = lambda c: F.when(F.col("classification") == "VERIFIED", F.coalesce(F.col(c), F.lit(0)).cast("bigint")).alias(c)
-    return row.withColumn("detail", detail).withColumn("classification", kind).select(
-        F.col("root").alias("artifact_id"), "classification", "detail", F.col("fault.node").alias("fault_artifact_id"),
-        only("node_count"), only("edge_count"), only("source_count"), only("deepest_hops"),
+    verdicts = row.withColumn("detail", detail).withColumn("classification", kind).select(
+        F.col("root").alias("artifact_id"), "classification", "detail", F.when(F.col("detail") != _CAP, F.col("fault.node")).alias("fault_artifact_id"), *map(only, _COUNTS),
     )
+    return verdicts, per_node.select("root", "node", "depth")
+
+
+_COUNTS = ("node_count", "edge_count", "source_count", "deepest_hops")
+
+
+def verify(nodes: DataFrame, roots: DataFrame, max_depth: int | None = None, cfg: LineageConfig = DEFAULT, node_cap: int | None = None) -> DataFrame:
+    """A row for each distinct ``artifact_id`` of ``roots``: ``classification``, ``detail``, ``fault_artifact_id``, counts and depth.
+
+    ``nodes`` come from ``signing.checked``.  Classifications are VERIFIED,
+    INVALID, UNRESOLVED, MISSING and SYSTEM_ERROR; an id that isn't one is
+    INVALID, and so is every root if the bounds aren't within the settings'.
+    Counts are of what was walked, and null unless VERIFIED.
+    """
+    return walk(nodes, roots, max_depth, cfg, node_cap)[0]
 
 
 def integrity(verified: DataFrame) -> DataFrame:
@@ -79,52 +111,57 @@ def integrity(verified: DataFrame) -> DataFrame:
     )
 
 
-def _by_generation(nodes: DataFrame, edges: DataFrame, first, step, name: str) -> DataFrame:
-    """Fold values up the graph, a generation at a time; each is written, and parents' values are looked up once."""
+def _by_generation(nodes: DataFrame, edges: DataFrame, first: Column, step, rest: Column, name: str, cfg: LineageConfig) -> DataFrame:
+    """Fold values up the graph, a generation at a time.
+
+    Edges are written once, in a folder for each pair of generations that they
+    join, and a generation reads its own folders and the values of the
+    generations below that these name.  ``step`` gives a child's value from its
+    parents' by aggregation; nodes of no generation, or one that isn't allowed,
+    get ``rest``.
+    """
     scratch = Scratch(nodes.sparkSession, name)
-    done = None
-    gens = sorted(r[0] for r in nodes.select("generation").distinct().collect() if r[0] is not None)  # bounded by the generation limit
-    for g in gens:
-        here = nodes.where(F.col("generation") == g)
-        if done is None:
-            now = first(here)
+    spark = nodes.sparkSession
+    if "child_generation" not in edges.columns:
+        g = nodes.select("artifact_id", "generation")
+        edges = edges.join(g.withColumnsRenamed({"artifact_id": "child", "generation": "child_generation"}), "child").join(g.withColumnsRenamed({"artifact_id": "parent", "generation": "parent_generation"}), "parent")
+    inside = F.col("generation").between(0, cfg.max_generation)
+    nodes = nodes.withColumn("_slice", F.when(inside, F.col("generation")).otherwise(-1))
+    links = edges.where((F.col("parent_generation") >= 0) & (F.col("parent_generation") < F.col("child_generation")) & (F.col("child_generation") <= cfg.max_generation))
+    pairs = scratch.partitioned(links.select("child", "parent", F.col("child_generation").alias("high"), F.col("parent_generation").alias("low")), "links", ["high", "low"])
+    slices = scratch.partitioned(nodes, "nodes", ["_slice"])
+    done: dict[int, DataFrame] = {}
+    for (g,) in sorted(slices):
+        here = spark.read.schema(nodes.drop("_slice").schema).parquet(slices[g,])
+        if g < 0:
+            now = here.select("artifact_id", rest.alias("value"))
+        elif below := [low for high, low in sorted(pairs) if high == g and low in done]:
+            read = lambda low: spark.read.schema("child string, parent string").parquet(pairs[g, low])  # noqa: E731, B023
+            up = reduce(DataFrame.unionByName, (read(low).join(done[low].select(F.col("artifact_id").alias("parent"), F.col("value").alias("parent_value")), "parent", "left") for low in below))
+            now = here.join(up.groupBy("child").agg(step.alias("_up")), F.col("artifact_id") == F.col("child"), "left").select("artifact_id", first.alias("value"))
         else:
-            up = edges.join(done.select(F.col("artifact_id").alias("parent"), F.col("value").alias("parent_value")), "parent", "left").join(here.select(F.col("artifact_id").alias("child")), "child", "left_semi")
-            now = step(here, up)
-        now = scratch.table(now.select("artifact_id", "value"), f"generation-{g}")
-        done = now if done is None else done.unionByName(now)
-    return done
+            now = here.withColumn("_up", F.lit(None)).select("artifact_id", first.alias("value"))
+        done[g] = scratch.table(now, f"generation-{g}")
+    return reduce(DataFrame.unionByName, done.values()) if done else nodes.select("artifact_id", rest.alias("value"))
 
 
-def valid_closures(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(``artifact_id``, ``value`` boolean): a node is valid if it and its edges are and all its parents are."""
+def valid_closures(nodes: DataFrame, edges: DataFrame, cfg: LineageConfig = DEFAULT) -> DataFrame:
+    """(``artifact_id``, ``value`` boolean): a node is valid if it and its edges are and all its parents are; one without an allowed generation isn't."""
     own = F.col("node_ok") & F.col("structure_ok") & F.col("edges_ok") & ~F.col("dangling")
-
-    def step(here: DataFrame, up: DataFrame) -> DataFrame:
-        all_ok = up.groupBy("child").agg(F.bool_and(F.coalesce("parent_value", F.lit(False))).alias("ok"))
-        return here.join(all_ok, F.col("artifact_id") == F.col("child"), "left").select("artifact_id", (own & F.coalesce("ok", F.lit(True))).alias("value"))
-
-    return _by_generation(nodes, edges, lambda here: here.select("artifact_id", own.alias("value")), step, "valid")
-
-
-def path_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(``artifact_id``, ``value``): how many paths lead to sources; nodes need ``generation`` and ``terminal``."""
-
-    def step(here: DataFrame, up: DataFrame) -> DataFrame:
-        ways = up.groupBy("child").agg(F.sum("parent_value").alias("n"))
-        return here.join(ways, F.col("artifact_id") == F.col("child"), "left").select("artifact_id", F.when(F.col("terminal"), F.lit(1)).otherwise(F.coalesce("n", F.lit(0))).cast("bigint").alias("value"))
-
-    return _by_generation(nodes, edges, lambda here: here.select("artifact_id", F.when(F.col("terminal"), 1).otherwise(0).cast("bigint").alias("value")), step, "ways")
+    value = own & F.coalesce(F.col("_up").cast("boolean"), F.lit(True))
+    return _by_generation(nodes, edges, value, F.bool_and(F.coalesce("parent_value", F.lit(False))), F.lit(False), "valid", cfg)
 
 
-def longest_depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(``artifact_id``, ``value``): hops of the longest path to a node without parents."""
+def path_counts(nodes: DataFrame, edges: DataFrame, cfg: LineageConfig = DEFAULT) -> DataFrame:
+    """(``artifact_id``, ``value``): how many paths lead to sources; nodes need ``generation`` and ``terminal``, and get null without a generation."""
+    value = F.when(F.col("terminal"), F.lit(1)).otherwise(F.coalesce(F.col("_up").cast("bigint"), F.lit(0))).cast("bigint")
+    return _by_generation(nodes, edges, value, F.sum("parent_value"), F.lit(None).cast("bigint"), "ways", cfg)
 
-    def step(here: DataFrame, up: DataFrame) -> DataFrame:
-        far = up.groupBy("child").agg(F.max("parent_value").alias("n"))
-        return here.join(far, F.col("artifact_id") == F.col("child"), "left").select("artifact_id", F.coalesce(F.col("n") + 1, F.lit(0)).cast("bigint").alias("value"))
 
-    return _by_generation(nodes, edges, lambda here: here.select("artifact_id", F.lit(0).cast("bigint").alias("value")), step, "depth")
+def longest_depths(nodes: DataFrame, edges: DataFrame, cfg: LineageConfig = DEFAULT) -> DataFrame:
+    """(``artifact_id``, ``value``): hops of the longest path to a node without parents; null without a generation."""
+    value = F.coalesce(F.col("_up").cast("bigint") + 1, F.lit(0)).cast("bigint")
+    return _by_generation(nodes, edges, value, F.max("parent_value"), F.lit(None).cast("bigint"), "depth", cfg)
 
 
 def recomputed_generations(edges: DataFrame) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..config import DEFAULT, DERIVED_ROLES, EDGE_KINDS, SOURCE_TRUST, LineageConfig
+from ..config import DEFAULT, DERIVED_ROLES, EDGE_KINDS, MAX_PARENTS, SOURCE_TRUST, LineageConfig
 from ..functions import columns as C
 from ..schema import ARTIFACTS, EDGE_FIELDS, EDGES, NODE_FIELDS, json_parts
+from ..sources.snapshots import Scratch
 
 
 def _typed(names: tuple[str, ...], at: str = "") -> list[tuple[str, Column]]:
@@ -28,6 +29,26 @@ def attestation(artifact_id: Column, content: Column, cfg: LineageConfig = DEFAU
     return C.hmac_sha256(cfg.connector_key, said)
 
 
+def context_text(cfg: LineageConfig = DEFAULT) -> Column:
+    """What a derived artifact's context id covers: columns ``artifact_id``, ``selector``, ``role``, ``generation``, ``kind``, the parents and the writer."""
+    c = F.col
+    return C.json_array(
+        "context-v2", ("s", c("artifact_id")), ("s", c("selector")), ("s", c("role")), ("n", c("generation")), ("s", c("kind")),
+        ("n", c("parent_count")), ("s", c("parent_set_hash")), ("a", c("parent_ids")), ("s", c("writer_id")), ("s", c("writer_key_id")),
+        ("s", c("gate_id")), ("n", c("write_version")), ("n", c("duplicate_parent_count")),
+    )
+
+
+def context_token(text: Column, context_id: Column, batch_id: Column, cfg: LineageConfig = DEFAULT) -> Column:
+    """A context's token covers its fields and then its two ids."""
+    inner = F.substring(text, F.lit(1), F.length(text) - 1)
+    return C.hmac_sha256(cfg.signing_key, F.concat(inner, F.lit(',"'), context_id, F.lit('","'), batch_id, F.lit('"]')))
+
+
+def batch_of(kind: str, context_id: Column, cfg: LineageConfig = DEFAULT) -> Column:
+    return C.sha256_hex(F.concat(F.lit(f"{cfg.prefix}:{kind}-batch:"), context_id))
+
+
 def parent_sets(derivations: DataFrame) -> DataFrame:
     """(``child``, ``parent_ids`` sorted and distinct, ``parent_count``, ``duplicate_parent_count``, ``parent_set_hash``).
 
@@ -58,18 +79,10 @@ def sign(nodes: DataFrame, derivations: DataFrame, cfg: LineageConfig = DEFAULT)
     )
     proof = C.json_array(cfg.connector_issuer, cfg.connector_key_id, ("s", attestation(F.col("artifact_id"), F.col("content"), cfg)))
     rows = rows.withColumn("source_proof", F.when(F.col("terminal"), C.sha256_hex(proof)))
-    context = C.json_array(
-        "context-v2", ("s", F.col("artifact_id")), ("s", F.col("selector")), ("s", F.col("role")), ("n", F.col("generation")), ("s", F.col("lineage_kind")),
-        ("n", F.col("parent_count")), ("s", F.col("parent_set_hash")), ("a", F.col("parent_ids")), ("s", F.col("writer_id")), ("s", F.col("writer_key_id")),
-        ("s", F.col("gate_id")), ("n", F.col("write_version")), ("n", F.col("duplicate_parent_count")),
-    )
     source = C.json_array("trusted-source-context-v1", ("s", F.col("artifact_id")), ("s", F.col("selector")), ("s", F.col("source_proof")))
-    rows = rows.withColumn("context_text", context).withColumn("context_id", C.sha256_hex(F.when(F.col("terminal"), source).otherwise(F.col("context_text"))))
-    batch = F.concat(F.lit(f"{cfg.prefix}:"), F.when(F.col("terminal"), "source").otherwise("derived"), F.lit("-batch:"), F.col("context_id"))
-    rows = rows.withColumn("batch_id", C.sha256_hex(batch))
-    # a context's token covers the context's fields and then its two ids
-    inner = F.substring(F.col("context_text"), F.lit(1), F.length("context_text") - 1)
-    token = C.hmac_sha256(cfg.signing_key, F.concat(inner, F.lit(',"'), F.col("context_id"), F.lit('","'), F.col("batch_id"), F.lit('"]')))
+    rows = rows.withColumn("kind", F.col("lineage_kind")).withColumn("context_text", context_text(cfg)).withColumn("context_id", C.sha256_hex(F.when(F.col("terminal"), source).otherwise(F.col("context_text"))))
+    rows = rows.withColumn("batch_id", F.when(F.col("terminal"), batch_of("source", F.col("context_id"), cfg)).otherwise(batch_of("derived", F.col("context_id"), cfg)))
+    token = context_token(F.col("context_text"), F.col("context_id"), F.col("batch_id"), cfg)
     rows = rows.withColumn("authority_proof_hash", F.coalesce("source_proof", C.sha256_hex(token))).withColumn("vertex_id", C.vertex_id(F.col("artifact_id"), cfg)).withColumn("auth_state", F.lit("committed"))
     artifacts = rows.select(*NODE_FIELDS).withColumn("auth_tag", node_tag(cfg)).select(*(F.col(f.name).cast(f.dataType) for f in ARTIFACTS))
     few = artifacts.select("artifact_id", "vertex_id", "generation", "lineage_kind", "batch_id")
@@ -109,35 +122,44 @@ def identity_ok(cfg: LineageConfig = DEFAULT, at: str = "") -> Column:
     return F.coalesce(C.is_artifact_id(a) & (F.col(at + "vertex_id") == C.vertex_id(a, cfg)) & (F.col(at + "selector") == C.selector(a, cfg)), F.lit(False))
 
 
-def same_artifact(left: str, right: str) -> Column:
-    """All signed fields agree, nulls with nulls; the tag isn't compared."""
-    return F.struct(*(F.col(left + n) for n in NODE_FIELDS)).eqNullSafe(F.struct(*(F.col(right + n) for n in NODE_FIELDS)))
+#: What verification reads of nodes and edges, once their tags are checked.
+_CHECKED = ("artifact_id", "vertex_id", "role", "generation", "terminal", "lineage_kind", "batch_id", "write_version", "trust_state", "parent_count", "parent_set_hash")
+_JOINED = ("edge_id", "child_artifact_id", "parent_artifact_id", "kind", "child_generation", "parent_generation", "batch_id", "write_version", "child_vertex_id", "parent_vertex_id")
 
 
 def checked(artifacts: DataFrame, edges: DataFrame, cfg: LineageConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Local verdicts, made once a node and once an edge whatever the number of roots.
 
-    Nodes get ``node_ok`` (identity, authenticity, generation bound) and
-    ``structure_ok`` (terminal or derived shape against the stored edges); edges
-    (``child``, ``parent``, ``edge_ok``) also cover the parent's authenticity,
-    and have ``parent_missing`` where it isn't stored.
+    Nodes get ``node_ok`` (identity, authenticity, generation bound),
+    ``structure_ok`` (terminal or derived shape against the stored edges) and
+    their ``parents``; edges (``child``, ``parent``, generations, ``edge_ok``)
+    also cover the parent's authenticity, and have ``parent_missing`` where it
+    isn't stored.  The parents of a child that has more than ``MAX_PARENTS``
+    edges are never gathered: its structure is wrong in any case.
     """
-    node = artifacts.withColumn("node_ok", identity_ok(cfg) & authentic_node(cfg) & F.coalesce(F.col("generation") <= cfg.max_generation, F.lit(False)))
+    scratch = Scratch(artifacts.sparkSession, "checked")
+    ok = identity_ok(cfg) & authentic_node(cfg) & F.coalesce(F.col("generation") <= cfg.max_generation, F.lit(False))
+    node = scratch.table(artifacts.withColumn("node_ok", ok).select(*_CHECKED, "node_ok"), "nodes")
     ends = node.select(*(F.col(c).alias(f"_{c}") for c in ("artifact_id", "vertex_id", "generation", "lineage_kind", "batch_id", "write_version", "node_ok")))
-    child = ends.select(*(F.col(c).alias(f"c{c}") for c in ends.columns))
-    parent = ends.select(*(F.col(c).alias(f"p{c}") for c in ends.columns))
-    e = edges.join(child, F.col("child_vertex_id") == F.col("c_vertex_id")).join(parent, F.col("parent_vertex_id") == F.col("p_vertex_id"), "left")
+    child = ends.drop("_node_ok").select(*(F.col(c).alias(f"c{c}") for c in ends.columns if c != "_node_ok"))
+    parent = ends.select(*(F.col(f"_{c}").alias(f"p_{c}") for c in ("artifact_id", "vertex_id", "generation", "node_ok")))
+    e = edges.withColumn("_tag_ok", authentic_edge(cfg)).select("_tag_ok", *_JOINED).join(child, F.col("child_vertex_id") == F.col("c_vertex_id")).join(parent, F.col("parent_vertex_id") == F.col("p_vertex_id"), "left")
     good = (
-        F.col("p_node_ok") & authentic_edge(cfg) & (F.col("edge_id") == C.edge_id(F.col("c_artifact_id"), F.col("p_artifact_id"), F.col("c_lineage_kind"), cfg))
+        F.col("p_node_ok") & F.col("_tag_ok") & (F.col("edge_id") == C.edge_id(F.col("c_artifact_id"), F.col("p_artifact_id"), F.col("c_lineage_kind"), cfg))
         & (F.col("kind") == F.col("c_lineage_kind")) & (F.col("child_artifact_id") == F.col("c_artifact_id")) & (F.col("parent_artifact_id") == F.col("p_artifact_id"))
         & (F.col("child_generation") == F.col("c_generation")) & (F.col("parent_generation") == F.col("p_generation")) & (F.col("batch_id") == F.col("c_batch_id"))
         & (F.col("write_version") == F.col("c_write_version")) & (F.col("p_generation") < F.col("c_generation"))
     )
-    e = e.select(F.col("c_artifact_id").alias("child"), F.coalesce("p_artifact_id", "parent_artifact_id").alias("parent"), F.coalesce(good, F.lit(False)).alias("edge_ok"), F.col("p_artifact_id").isNull().alias("parent_missing"))
-    out = e.groupBy("child").agg(F.array_sort(F.collect_list("parent")).alias("_parents"), F.bool_or("parent_missing").alias("dangling"), F.bool_and("edge_ok").alias("edges_ok"))
-    n = F.coalesce(F.size("_parents"), F.lit(0))
-    node = node.join(out, F.col("artifact_id") == F.col("child"), "left").drop("child")
+    e = scratch.table(e.select(
+        F.col("c_artifact_id").alias("child"), F.coalesce("p_artifact_id", "parent_artifact_id").alias("parent"), F.coalesce(good, F.lit(False)).alias("edge_ok"), F.col("p_artifact_id").isNull().alias("parent_missing"),
+        F.col("c_generation").alias("child_generation"), F.col("p_generation").alias("parent_generation"),
+    ), "links")
+    out = e.groupBy("child").agg(F.count("*").alias("_n"), F.bool_or("parent_missing").alias("dangling"), F.bool_and("edge_ok").alias("edges_ok"))
+    many = out.where(F.col("_n") > MAX_PARENTS).select("child")
+    sets = e.join(many, "child", "left_anti").groupBy("child").agg(F.array_sort(F.collect_list("parent")).alias("parents"))
+    n = F.coalesce(F.col("_n"), F.lit(0))
+    node = node.join(out.join(sets, "child", "left"), F.col("artifact_id") == F.col("child"), "left").drop("child")
     source = (F.col("role") == "source") & (F.col("generation") == 0) & (F.col("parent_count") == 0) & (F.col("parent_set_hash") == F.sha2(F.lit("[]"), 256)) & (F.col("lineage_kind") == "source") & F.col("trust_state").isin(*SOURCE_TRUST) & (n == 0)
-    derived = F.col("role").isin(*DERIVED_ROLES) & (F.col("trust_state") == "derived") & (F.col("generation") > 0) & (F.col("parent_count") > 0) & F.col("lineage_kind").isin(*EDGE_KINDS) & (n == F.col("parent_count")) & (F.col("parent_set_hash") == F.sha2(F.to_json("_parents"), 256))
+    derived = F.col("role").isin(*DERIVED_ROLES) & (F.col("trust_state") == "derived") & (F.col("generation") > 0) & (F.col("parent_count") > 0) & F.col("lineage_kind").isin(*EDGE_KINDS) & (n == F.col("parent_count")) & F.coalesce(F.col("parent_set_hash") == F.sha2(F.to_json("parents"), 256), F.lit(False))
     node = node.withColumn("structure_ok", F.coalesce(F.when(F.col("terminal"), source).otherwise(derived), F.lit(False)))
-    return node.withColumn("edges_ok", F.coalesce("edges_ok", F.lit(True))).withColumn("dangling", F.coalesce("dangling", F.lit(False))).drop("_parents"), e
+    return node.withColumn("edges_ok", F.coalesce("edges_ok", F.lit(True))).withColumn("dangling", F.coalesce("dangling", F.lit(False))).drop("_n"), e

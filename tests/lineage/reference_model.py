@@ -17,25 +17,24 @@ def id48(text):
     return int(sha(text)[:12], 16)
 
 
-def closure(parents, terminal, bad_nodes, root, cap):
-    """(classification, nodes, edges, sources, longest) of a root, faults found by walking every path."""
-    longest, stack = {}, [(root, 0)]
-    faults = []
-    while stack:
-        n, d = stack.pop()
-        longest[n] = max(longest.get(n, 0), d)
-        if n in bad_nodes:
-            faults.append((d, n, "INVALID"))
-            continue
-        if terminal(n):
-            continue
-        if d >= cap:
-            faults.append((d, n, "UNRESOLVED"))
-            continue
-        if any(p in bad_nodes for p in parents[n]):
-            faults.append((d, n, "INVALID"))
-            continue
-        stack += [(p, d + 1) for p in parents[n]]
-    if faults:
-        return (min(faults)[2],)
+def closure(parents, terminal, bad_nodes, root, depth_cap, node_cap=10**9):
+    """(classification, nodes, edges, sources, longest) of a root, level by level over every path."""
+    longest, level = {}, {root}
+    for d in range(depth_cap + 1):
+        longest |= dict.fromkeys(level, d)
+        if len(longest) > node_cap:
+            return ("UNRESOLVED",)
+        faults = []
+        for n in sorted(level):
+            if n in bad_nodes:
+                faults.append("INVALID")
+            elif not terminal(n) and d >= depth_cap:
+                faults.append("UNRESOLVED")
+            elif any(p in bad_nodes for p in parents[n]):
+                faults.append("INVALID")
+        if faults:
+            return (faults[0],)
+        level = {p for n in level for p in parents[n]}
+        if not level:
+            break
     return "VERIFIED", len(longest), sum(len(parents[n]) for n in longest if not terminal(n)), sum(terminal(n) for n in longest), max(longest.values())
