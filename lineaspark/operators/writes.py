@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..config import DEFAULT, DERIVED_ROLES, EDGE_KINDS, MAX_CONTENT_BYTES, MAX_PARENTS, PRODUCER_FIELDS, LineageConfig
+from ..config import ATTESTATION_FIELDS, DEFAULT, DERIVED_ROLES, EDGE_KINDS, MAX_CONTENT_BYTES, MAX_PARENTS, PRODUCER_FIELDS, SOURCE_FIELDS, LineageConfig
 from ..functions import columns as C
-from .signing import attestation
+from ..schema import ARTIFACTS, EDGES, NODE_FIELDS
+from ..sources.snapshots import Scratch
+from .signing import attestation, authentic_edge, batch_of, context_text, context_token, edge_tag, node_tag
 
 
 def create_only(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -40,8 +42,6 @@ def compare_and_set(rows: DataFrame, expected: DataFrame, key: str, on: tuple[st
 
 def replay_or_conflict(stored: DataFrame, wanted: DataFrame, valid: DataFrame) -> DataFrame:
     """(``artifact_id``, ``detail``) of wanted records against stored ones; ``valid`` has ``artifact_id`` and boolean ``value``."""
-    from ..schema import NODE_FIELDS
-
     a = stored.select(F.col("artifact_id"), F.struct(*NODE_FIELDS).alias("s"))
     b = wanted.select(F.col("artifact_id"), F.struct(*NODE_FIELDS).alias("w"))
     rows = b.join(a, "artifact_id", "left").join(valid.select("artifact_id", "value"), "artifact_id", "left")
@@ -50,62 +50,196 @@ def replay_or_conflict(stored: DataFrame, wanted: DataFrame, valid: DataFrame) -
 
 
 def producer_output(raw: Column) -> Column:
-    """Why a producer's output is refused, or null: it may have a content, and nothing else."""
-    extra = C.unexpected_fields(raw, PRODUCER_FIELDS)
-    content = F.get_json_object(raw, "$.content")
-    return F.when(extra.isNull(), "INVALID_PRODUCER_OUTPUT").when(F.size(extra) > 0, "UNTRUSTED_CONTROL_FIELD").when(~raw.rlike(r'"content"\s*:\s*"'), "INVALID_ARTIFACT_CONTENT").when(F.octet_length(content) > MAX_CONTENT_BYTES, "ARTIFACT_CONTENT_TOO_LARGE")
+    """Why a producer's output is refused, or null: it may have a content, a string, and nothing else."""
+    v = F.try_parse_json(raw)
+    extra = F.array_except(C.json_keys(v), F.array(*map(F.lit, PRODUCER_FIELDS)))
+    content = C.json_text(v, "$.content")
+    return F.when(extra.isNull(), "INVALID_PRODUCER_OUTPUT").when(F.size(extra) > 0, "UNTRUSTED_CONTROL_FIELD").when(content.isNull(), "INVALID_ARTIFACT_CONTENT").when(F.octet_length(content) > MAX_CONTENT_BYTES, "ARTIFACT_CONTENT_TOO_LARGE")
+
+
+def parse_sources(raw: DataFrame) -> DataFrame:
+    """``raw`` (JSON text) registrations with ``artifact_id``, ``content``, ``issuer``, ``key_id``, ``signature``, and ``fault``, null if their shape is right."""
+    v, listed = F.col("_v"), lambda names: F.array(*map(F.lit, names))
+    rows = raw.withColumn("_v", F.try_parse_json("raw"))
+    keys, inner = C.json_keys(v), C.json_keys(v, "$.attestation")
+    rows = rows.select(
+        "*", C.json_text(v, "$.id").alias("artifact_id"), C.json_text(v, "$.content").alias("content"), *(C.json_text(v, f"$.attestation.{f}").alias(f) for f in ATTESTATION_FIELDS),
+        F.array_except(keys, listed(SOURCE_FIELDS)).alias("_extra"), (F.array_sort(inner) == listed(ATTESTATION_FIELDS)).alias("_whole"),
+    )
+    fault = (
+        F.when(F.col("_extra").isNull(), "INVALID_SOURCE_INPUT").when(F.size("_extra") > 0, "UNTRUSTED_CONTROL_FIELD").when(~C.is_artifact_id(F.col("artifact_id")), "INVALID_ARTIFACT_ID")
+        .when(~F.coalesce(F.octet_length("content") <= MAX_CONTENT_BYTES, F.lit(False)), "INVALID_ARTIFACT_CONTENT")
+        .when(~F.coalesce(F.col("_whole") & F.col("issuer").isNotNull() & F.col("key_id").isNotNull() & F.col("signature").isNotNull(), F.lit(False)), "INVALID_SOURCE_ATTESTATION")
+    )
+    return rows.withColumn("fault", fault).drop("_v", "_extra", "_whole")
 
 
 def register_sources(sources: DataFrame, stored: DataFrame, cfg: LineageConfig = DEFAULT) -> DataFrame:
-    """(``artifact_id``, ``detail``) of sources (``artifact_id``, ``content``, ``issuer``, ``key_id``, ``signature``) against stored artifacts."""
-    shape = C.is_artifact_id(F.col("artifact_id")) & F.col("content").isNotNull()
-    fields = F.col("issuer").isNotNull() & F.col("key_id").isNotNull() & F.col("signature").isNotNull()
+    """(``artifact_id``, ``detail``) of parsed registrations (see :func:`parse_sources`) against stored artifacts.
+
+    The connector's signature must cover id and content.  A stored artifact of
+    that id must be the very one, but for its tag; whether its tag holds is
+    ``signing``'s to say.
+    """
     signed = (F.col("issuer") == cfg.connector_issuer) & (F.col("key_id") == cfg.connector_key_id) & (F.col("signature") == attestation(F.col("artifact_id"), F.col("content"), cfg))
     old = stored.select("artifact_id", F.col("content_hash").alias("_hash"))
     rows = sources.join(old, "artifact_id", "left")
     detail = (
-        F.when(~shape, F.when(C.is_artifact_id(F.col("artifact_id")), "INVALID_SOURCE_INPUT").otherwise("INVALID_ARTIFACT_ID")).when(~fields, "INVALID_SOURCE_ATTESTATION")
-        .when(~F.coalesce(signed, F.lit(False)), "SOURCE_ATTESTATION_INVALID").when(F.col("_hash").isNull(), "WRITE_COMMITTED")
+        F.when(F.col("fault").isNotNull(), F.col("fault")).when(~F.coalesce(signed, F.lit(False)), "SOURCE_ATTESTATION_INVALID").when(F.col("_hash").isNull(), "WRITE_COMMITTED")
         .when(F.col("_hash") == C.sha256_hex(F.col("content")), "WRITE_REPLAYED").otherwise("ARTIFACT_IMMUTABILITY_CONFLICT")
     )
     return rows.select("artifact_id", detail.alias("detail"))
 
 
+#: Columns of a prepared context.
+CONTEXT = ("artifact_id", "selector", "role", "generation", "kind", "parent_count", "parent_set_hash", "parent_ids", "writer_id", "writer_key_id", "gate_id", "write_version", "duplicate_parent_count", "context_id", "batch_id", "token")
+
+
 def prepare(asked: DataFrame, artifacts: DataFrame, valid: DataFrame, cfg: LineageConfig = DEFAULT) -> DataFrame:
-    """(``artifact_id``, ``detail``, ``generation``, ``parent_count``, ``duplicate_parent_count``, ``parent_set_hash``) of asked transformations.
+    """(``detail`` and the columns of ``CONTEXT``) of asked transformations; of a refused one only ``artifact_id``, ``role``, ``kind`` and what was counted.
+
+    ``asked`` has ``artifact_id``, ``role``, ``kind`` and ``parent``, a row for
+    each observed parent; ``valid`` has ``artifact_id`` and boolean ``value``
+    (see ``closure.valid_closures``).  Parents are gathered only where there
+    are at most ``MAX_PARENTS``.  A parent that is stored twice can't be resolved.
+    """
+    key = ["artifact_id", "role", "kind"]
+    once = asked.groupBy(*key, "parent").agg(F.count("*").alias("n"))
+    good = C.is_artifact_id(F.col("parent"))
+    sizes = once.groupBy(*key).agg(F.sum("n").alias("observed"), F.count("*").alias("distinct_"), F.bool_and(good).alias("good"), F.bool_or(F.col("parent").eqNullSafe(F.col("artifact_id"))).alias("self"))
+    fit = F.col("good") & (F.col("observed") <= MAX_PARENTS)
+    facts = artifacts.groupBy(F.col("artifact_id").alias("parent")).agg(F.count("*").alias("stored"), F.max("generation").alias("g")).join(valid.groupBy(F.col("artifact_id").alias("parent")).agg(F.bool_and("value").alias("ok")), "parent", "left")
+    rows = once.join(sizes.where(fit).select(*key), key, "left_semi").join(facts, "parent", "left")
+    sets = rows.groupBy(*key).agg(F.array_sort(F.collect_list("parent")).alias("parent_ids"), (F.max("g") + 1).alias("generation"), F.bool_and(F.coalesce("ok", F.lit(False))).alias("ok"), F.bool_or(F.coalesce(F.col("stored") > 1, F.lit(False))).alias("twice"))
+    out = sizes.join(sets, key, "left")
+    detail = (
+        F.when(~C.is_artifact_id(F.col("artifact_id")), "INVALID_ARTIFACT_ID").when(~F.coalesce(F.col("role").isin(*DERIVED_ROLES), F.lit(False)), "INVALID_DERIVED_ROLE").when(~F.coalesce(F.col("kind").isin(*EDGE_KINDS), F.lit(False)), "INVALID_EDGE_KIND")
+        .when(~fit, "INVALID_OBSERVED_PARENTS").when(F.col("self"), "SELF_PARENT").when(F.col("twice"), "PARENT_RESOLUTION_FAILED").when(~F.coalesce("ok", F.lit(False)), "PARENT_NOT_AUTHENTIC")
+        .when(F.col("generation") > cfg.max_generation, "GENERATION_CAP_EXCEEDED").otherwise("CONTEXT_PREPARED")
+    )
+    out = out.select(
+        detail.alias("detail"), *key, C.selector(F.col("artifact_id"), cfg).alias("selector"), F.col("generation").cast("int").alias("generation"), F.col("distinct_").cast("int").alias("parent_count"), "parent_ids",
+        F.when(F.col("parent_ids").isNotNull(), C.parent_set_hash(F.col("parent_ids"))).alias("parent_set_hash"), (F.col("observed") - F.col("distinct_")).cast("int").alias("duplicate_parent_count"),
+        F.lit(cfg.writer_id).alias("writer_id"), F.lit(cfg.writer_key_id).alias("writer_key_id"), F.lit(cfg.gate_id).alias("gate_id"), F.lit(1).alias("write_version"),
+    )
+    ready = F.col("detail") == "CONTEXT_PREPARED"
+    out = out.withColumn("_text", context_text(cfg)).withColumn("context_id", F.when(ready, C.sha256_hex(F.col("_text")))).withColumn("batch_id", batch_of("derived", F.col("context_id"), cfg))
+    return out.withColumn("token", context_token(F.col("_text"), F.col("context_id"), F.col("batch_id"), cfg)).select("detail", *CONTEXT)
+
+
+def valid_context(cfg: LineageConfig = DEFAULT) -> Column:
+    """Whether the columns of ``CONTEXT`` are a context that this writer prepared; never null."""
+    c = F.col
+    ids = c("parent_ids")
+    text = context_text(cfg)
+    ok = (
+        C.is_artifact_id(c("artifact_id")) & (c("selector") == C.selector(c("artifact_id"), cfg)) & c("role").isin(*DERIVED_ROLES) & c("kind").isin(*EDGE_KINDS)
+        & F.size(ids).between(1, MAX_PARENTS) & (F.size(ids) == c("parent_count")) & (ids == F.array_sort(F.array_distinct(ids))) & ~F.array_contains(ids, c("artifact_id"))
+        & (c("parent_set_hash") == C.parent_set_hash(ids)) & (c("writer_id") == cfg.writer_id) & (c("writer_key_id") == cfg.writer_key_id) & (c("gate_id") == cfg.gate_id) & (c("write_version") == 1)
+        & (c("duplicate_parent_count") >= 0) & c("generation").between(1, cfg.max_generation) & (c("context_id") == C.sha256_hex(text)) & (c("batch_id") == batch_of("derived", c("context_id"), cfg))
+        & (c("token") == context_token(text, c("context_id"), c("batch_id"), cfg))
+    )
+    return F.coalesce(ok, F.lit(False))
+
 
-    ``asked`` has ``artifact_id``, ``role``, ``kind`` and ``parent``, a row for each observed parent.
+def stage(requests: DataFrame, artifacts: DataFrame, edges: DataFrame, valid: DataFrame, cfg: LineageConfig = DEFAULT) -> DataFrame:
+    """What becomes of asked writes before anything is written: ``request``, ``detail`` (null if the write goes on), the record's fields and ``parent_ids``.
+
+    ``requests`` have ``request`` (a number that orders them), the columns of
+    ``CONTEXT`` and ``raw``, the producer's output.  Of several that may write
+    one artifact the first does; the others are compared with what it writes.
+    Artifacts that are stored as committed are replayed or conflict.
     """
-    once = asked.groupBy("artifact_id", "role", "kind", "parent").agg(F.count("*").alias("n"))
-    rows = once.join(artifacts.select(F.col("artifact_id").alias("parent"), F.col("generation").alias("g")), "parent", "left").join(valid.select(F.col("artifact_id").alias("parent"), F.col("value").alias("ok")), "parent", "left")
-    out = rows.groupBy("artifact_id", "role", "kind").agg(
-        F.array_sort(F.collect_list("parent")).alias("parents"), (F.sum("n") - F.count("parent")).alias("duplicate_parent_count"), (F.max("g") + 1).alias("generation"),
-        F.bool_and(F.coalesce("ok", F.lit(False))).alias("ok"), F.bool_or(F.col("parent") == F.col("artifact_id")).alias("self"),
+    scratch = Scratch(requests.sparkSession, "stage")
+    rows = requests.withColumn("_fault", producer_output(F.col("raw"))).withColumn("_context", valid_context(cfg)).withColumn("content_hash", C.sha256_hex(C.json_text(F.try_parse_json("raw"), "$.content")))
+    rows = scratch.table(rows.drop("raw"), "rows")
+    each = rows.where("_fault is null and _context").select("request", F.explode("parent_ids").alias("parent"))
+    facts = artifacts.select(F.col("artifact_id").alias("parent"), F.col("generation").alias("g")).join(valid.select(F.col("artifact_id").alias("parent"), F.col("value").alias("ok")), "parent", "left")
+    parents = each.join(facts, "parent", "left").groupBy("request").agg((F.max("g") + 1).alias("_g"), F.bool_and(F.coalesce("ok", F.lit(False))).alias("_ok"))
+    rows = rows.join(parents, "request", "left")
+    detail = (
+        F.when(F.col("_fault").isNotNull(), F.col("_fault")).when(~F.col("_context"), "INVALID_TRANSFORMATION_CONTEXT").when(~F.coalesce("_ok", F.lit(False)), "PARENT_NOT_AUTHENTIC")
+        .when(~F.coalesce(F.col("_g") == F.col("generation"), F.lit(False)), "CONTEXT_GENERATION_MISMATCH")
     )
+    rows = rows.withColumns({
+        "_detail": detail, "vertex_id": C.vertex_id(F.col("artifact_id"), cfg), "terminal": F.lit(False), "trust_state": F.lit("derived"), "auth_state": F.lit("committed"), "lineage_kind": F.col("kind"),
+        "create_only": F.lit(cfg.create_only), "authority_id": F.lit(cfg.writer_id), "authority_proof_hash": C.sha256_hex(F.col("token")),
+    })
+    rows = scratch.table(rows.select("request", "_detail", *NODE_FIELDS, "parent_ids", "duplicate_parent_count"), "records")
+    record = F.struct(*NODE_FIELDS)
+    first = rows.where("_detail is null").groupBy("artifact_id").agg(F.min_by(record, "request").alias("_first"), F.min("request").alias("_request"))
+    stored = artifacts.select("artifact_id", F.struct(*NODE_FIELDS).alias("_stored"), F.col("auth_state").alias("_state"), (F.col("auth_tag") == node_tag(cfg)).alias("_signed"))
+    sets = edges.groupBy(F.col("child_artifact_id").alias("artifact_id")).agg(F.count("*").alias("_n"), F.bool_and(authentic_edge(cfg)).alias("_edges_ok"))
+    mine = valid.select("artifact_id", F.col("value").alias("_valid"))
+    rows = rows.join(first, "artifact_id", "left").join(stored, "artifact_id", "left").join(sets, "artifact_id", "left").join(mine, "artifact_id", "left")
+    same = lambda a, b: F.struct(*(a[f] for f in NODE_FIELDS if f != "auth_state")).eqNullSafe(F.struct(*(b[f] for f in NODE_FIELDS if f != "auth_state")))
+    kept = F.coalesce(F.col("_signed"), F.lit(False)) & same(F.col("_stored"), F.struct(*NODE_FIELDS))
+    whole = F.coalesce((F.col("_n") == F.col("parent_count")) & F.col("_edges_ok") & F.col("_valid"), F.lit(False))
     detail = (
-        F.when(~F.col("role").isin(*DERIVED_ROLES), "INVALID_DERIVED_ROLE").when(~F.col("kind").isin(*EDGE_KINDS), "INVALID_EDGE_KIND").when(~F.size("parents").between(1, MAX_PARENTS), "INVALID_OBSERVED_PARENTS")
-        .when(F.col("self"), "SELF_PARENT").when(~F.col("ok"), "PARENT_NOT_AUTHENTIC").when(F.col("generation") > cfg.max_generation, "GENERATION_CAP_EXCEEDED").otherwise("CONTEXT_PREPARED")
+        F.when(F.col("_detail").isNotNull(), F.col("_detail"))
+        .when(F.col("_state") == "committed", F.when(~kept, "ARTIFACT_IMMUTABILITY_CONFLICT").when(~whole, "INVALID_COMMITTED_ANCESTRY").otherwise("WRITE_REPLAYED"))
+        .when(F.col("_stored").isNotNull() & ~kept, "ARTIFACT_IMMUTABILITY_CONFLICT")
+        .when(F.col("request") > F.col("_request"), F.when(same(F.col("_first"), F.struct(*NODE_FIELDS)), "WRITE_REPLAYED").otherwise("ARTIFACT_IMMUTABILITY_CONFLICT"))
     )
-    return out.select("artifact_id", detail.alias("detail"), "generation", F.size("parents").cast("bigint").alias("parent_count"), "duplicate_parent_count", C.parent_set_hash(F.col("parents")).alias("parent_set_hash"))
+    return scratch.table(rows.select("request", detail.alias("detail"), *NODE_FIELDS, "parent_ids", "duplicate_parent_count"), "plan")
 
 
-def commit_staged(staged: DataFrame, stored_edges: DataFrame, cfg: LineageConfig = DEFAULT) -> DataFrame:
-    """Staged artifacts turned ``committed`` and signed anew where the stored edge set is exactly theirs; the others stay ``pending``."""
-    from ..schema import ARTIFACTS
-    from .signing import node_tag
+def pending(plan: DataFrame, artifacts: DataFrame, cfg: LineageConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """(artifacts, edges) that a plan's open writes store first: records that are pending, and their edges."""
+    rows = plan.where("detail is null").withColumn("auth_state", F.lit("pending"))
+    nodes = rows.withColumn("auth_tag", node_tag(cfg)).select(*(F.col(f.name).cast(f.dataType) for f in ARTIFACTS))
+    p = artifacts.select(F.col("artifact_id").alias("parent_artifact_id"), F.col("vertex_id").alias("parent_vertex_id"), F.col("generation").alias("parent_generation"))
+    e = rows.select(
+        F.explode("parent_ids").alias("parent_artifact_id"), F.col("artifact_id").alias("child_artifact_id"), F.col("vertex_id").alias("child_vertex_id"), F.col("lineage_kind").alias("kind"),
+        F.col("generation").alias("child_generation"), "writer_id", "writer_key_id", "gate_id", "batch_id", "write_version",
+    ).join(p, "parent_artifact_id").withColumn("edge_id", C.edge_id(F.col("child_artifact_id"), F.col("parent_artifact_id"), F.col("kind"), cfg))
+    return nodes, e.withColumn("auth_tag", edge_tag(cfg)).select(*(F.col(f.name).cast(f.dataType) for f in EDGES))
 
-    sets = stored_edges.groupBy(F.col("child_artifact_id").alias("artifact_id")).agg(F.array_sort(F.collect_set("parent_artifact_id")).alias("_p"), F.count("*").alias("_n"))
-    rows = staged.join(sets, "artifact_id", "left")
-    whole = F.coalesce((F.col("_n") == F.col("parent_count")) & (F.sha2(F.to_json("_p"), 256) == F.col("parent_set_hash")), F.lit(False))
-    rows = rows.withColumn("auth_state", F.when(whole, "committed").otherwise(F.col("auth_state")))
-    return rows.withColumn("auth_tag", node_tag(cfg)).select(*(f.name for f in ARTIFACTS))
+
+def commit(plan: DataFrame, stored: DataFrame, edges: DataFrame, valid: DataFrame, cfg: LineageConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """(``request``, ``artifact_id``, ``detail`` of every write; the artifacts as they are then).
+
+    ``stored`` and ``edges`` are read back after :func:`pending` was written.  A
+    record must be there as staged, and its edges authentic and exactly its
+    parents; then it is committed, by a compare-and-set on batch, context,
+    state and tag, and its parents, by ``valid``, must still be.
+    """
+    open_ = plan.where("detail is null")
+    wanted, _ = pending(plan, stored, cfg)
+    back = stored.select("artifact_id", F.struct(*NODE_FIELDS, "auth_tag").alias("_back")).join(wanted.select("artifact_id", F.struct(*NODE_FIELDS, "auth_tag").alias("_want")), "artifact_id")
+    sets = edges.groupBy(F.col("child_artifact_id").alias("artifact_id")).agg(F.count("*").alias("_n"), F.bool_and(authentic_edge(cfg)).alias("_ok"), F.min("batch_id").alias("_b0"), F.max("batch_id").alias("_b1"))
+    small = edges.join(sets.where(F.col("_n") <= MAX_PARENTS).select(F.col("artifact_id").alias("child_artifact_id")), "child_artifact_id", "left_semi")
+    names = small.groupBy(F.col("child_artifact_id").alias("artifact_id")).agg(F.array_sort(F.collect_list("parent_artifact_id")).alias("_parents"))
+    each = open_.select("artifact_id", F.explode("parent_ids").alias("parent")).join(valid.select(F.col("artifact_id").alias("parent"), F.col("value").alias("v")), "parent", "left")
+    still = each.groupBy("artifact_id").agg(F.bool_and(F.coalesce("v", F.lit(False))).alias("_still"))
+    rows = open_.join(back, "artifact_id", "left").join(sets, "artifact_id", "left").join(names, "artifact_id", "left").join(still, "artifact_id", "left")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    exact = yes((F.col("_n") == F.col("parent_count")) & F.col("_ok") & (F.col("_parents") == F.col("parent_ids")) & (F.col("_b0") == F.col("batch_id")) & (F.col("_b1") == F.col("batch_id")))
+    detail = F.when(~yes(F.col("_back") == F.col("_want")), "PENDING_STAGE_CONFLICT").when(~exact, "INCOMPLETE_STAGED_ANCESTRY").when(~yes(F.col("_still")), "COMMIT_VERIFICATION_FAILED").otherwise("WRITE_COMMITTED")
+    done = Scratch(plan.sparkSession, "commit").table(rows.select("request", "artifact_id", detail.alias("detail")), "done")
+    # what was staged whole is committed, and then found to be valid or not
+    go = done.where(F.col("detail").isin("WRITE_COMMITTED", "COMMIT_VERIFICATION_FAILED")).select("artifact_id")
+    new = open_.join(go, "artifact_id", "left_semi").withColumn("auth_tag", node_tag(cfg)).select("artifact_id", F.col("auth_tag").alias("committed_tag"), F.lit("committed").alias("committed"))
+    expected = wanted.join(new, "artifact_id").select("artifact_id", "batch_id", "context_id", "auth_state", "auth_tag", "committed", "committed_tag")
+    after = compare_and_set(stored, expected, "artifact_id", ("batch_id", "context_id", "auth_state", "auth_tag"), {"auth_state": "committed", "auth_tag": "committed_tag"})
+    closed = plan.where("detail is not null").select("request", "artifact_id", "detail")
+    return closed.unionByName(done), after
+
+
+def probe(done: DataFrame, artifacts: DataFrame, edges: DataFrame, claimed: DataFrame) -> DataFrame:
+    """What writes left behind: (``request``, ``detail``, ``child_vertices``, ``claimed_vertices``, ``child_edges``).
+
+    ``claimed`` are (``request``, ``parent``): parents that a producer's output
+    named, and that must not have come to be by that.
+    """
+    nodes = artifacts.groupBy("artifact_id").agg(F.count("*").alias("n"))
+    out = done.join(claimed.select("request").distinct(), "request", "left_semi").join(nodes.withColumnRenamed("n", "child_vertices"), "artifact_id", "left")
+    out = out.join(edges.groupBy(F.col("child_artifact_id").alias("artifact_id")).agg(F.count("*").alias("child_edges")), "artifact_id", "left")
+    said = claimed.join(nodes.withColumnRenamed("artifact_id", "parent"), "parent", "left").groupBy("request").agg(F.sum(F.coalesce("n", F.lit(0))).alias("claimed_vertices"))
+    none = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+    return out.join(said, "request").select("request", "detail", none("child_vertices"), none("claimed_vertices"), none("child_edges"))
 
 
 def tamper(df: DataFrame, where: Column, column: str, value) -> DataFrame:
     """A fixture: one column overwritten where a condition holds, tags left as they were."""
     return df.withColumn(column, F.when(where, F.lit(value)).otherwise(F.col(column)))
-
-
-def latest(df: DataFrame, key: str, version: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.desc(version))
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
