@@ -4,49 +4,55 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..config import DATA_CLASSES, DEFAULT, INTENT_FIELDS, MAX_PARAMETER_BYTES, MAX_PAYLOAD_BYTES, PARAMETER_FIELDS, LineageConfig
+from ..config import DATA_CLASSES, DEFAULT, INTENT_FIELDS, MAX_IDENTIFIER_BYTES, MAX_PARAMETER_BYTES, MAX_PAYLOAD_BYTES, PARAMETER_FIELDS, SENDING, LineageConfig
 from ..functions import columns as C
+from ..functions.bounded_json import bounded_json
+from ..sources.snapshots import Scratch
 
 
 def validate_intents(raw: DataFrame, cfg: LineageConfig = DEFAULT) -> DataFrame:
     """``raw`` (JSON text) with the intent's fields, ``status``, ``detail``, ``rejected_fields`` and digests.
 
     The first fault counts: object, unexpected fields, missing fields, scalar
-    fields, parameters.  Digests are null unless the intent is valid.  Text that
-    is no JSON object, or null, is an invalid intent.
+    fields, parameters.  A field of another JSON type is null here and a fault.
+    Digests are null unless the intent is valid.  Text that is no JSON object,
+    repeats a field's name, or is null is an invalid intent.  Parameters of an
+    action type other than ``send_message`` are any object within the limits of
+    ``functions.bounded_json``.
     """
-    text = lambda f: F.get_json_object("raw", f"$.{f}")
-    rows = raw.withColumn("_keys", F.json_object_keys("raw")).withColumn("rejected_fields", C.unexpected_fields(F.col("raw"), INTENT_FIELDS))
-    rows = rows.select("*", *(text(f).alias(f) for f in INTENT_FIELDS if f not in ("parameters", "requested_at")), text("requested_at").try_cast("bigint").alias("requested_at"), F.get_json_object("raw", "$.parameters").alias("parameters"))
-    for f in PARAMETER_FIELDS:
-        rows = rows.withColumn(f, F.get_json_object("parameters", f"$.{f}"))
-    fields = C.is_identifier(F.col("action_id")) & C.is_identifier(F.col("subject_id")) & C.is_identifier(F.col("request_id")) & C.is_identifier(F.col("provenance_artifact_id")) & F.coalesce(F.col("action_type").isin(*cfg.action_types), F.lit(False)) & C.is_safe_integer(F.col("requested_at"))
-    string = lambda f: F.col("parameters").rlike(rf'"{f}"\s*:\s*"')
-    parameters = (
-        (F.array_sort(F.json_object_keys("parameters")) == F.array(*map(F.lit, PARAMETER_FIELDS))) & (F.octet_length("parameters") <= MAX_PARAMETER_BYTES)
-        & F.octet_length("destination").between(1, 256) & F.col("data_class").isin(*DATA_CLASSES) & F.octet_length("payload").between(1, MAX_PAYLOAD_BYTES)
-        & string("destination") & string("payload")
+    v = F.col("_v")
+    scalars = tuple(f for f in INTENT_FIELDS if f not in ("parameters", "requested_at"))
+    rows = raw.withColumn("_v", F.try_parse_json("raw"))
+    rows = rows.select(
+        "*", C.json_keys(v).alias("_keys"), *(C.json_text(v, f"$.{f}").alias(f) for f in scalars), C.json_integer(v, "$.requested_at").alias("requested_at"),
+        F.when(C.json_kind(v, "$.parameters") == "OBJECT", F.to_json(F.try_variant_get(v, "$.parameters", "variant"))).alias("parameters"),
+        C.json_keys(v, "$.parameters").alias("_names"), *(C.json_text(v, f"$.parameters.{f}").alias(f) for f in PARAMETER_FIELDS),
     )
+    listed = lambda names: F.array(*map(F.lit, names))
+    rows = rows.withColumn("rejected_fields", F.array_sort(F.array_except("_keys", listed(INTENT_FIELDS))))
+    fields = C.is_identifier(F.col("action_id")) & C.is_identifier(F.col("subject_id")) & C.is_identifier(F.col("request_id")) & C.is_identifier(F.col("provenance_artifact_id")) & F.coalesce(F.col("action_type").isin(*cfg.action_types), F.lit(False)) & F.col("requested_at").isNotNull()
+    s = lambda f: C.json_string(F.col(f))
+    inner = F.concat(F.lit('{"data_class":'), s("data_class"), F.lit(',"destination":'), s("destination"), F.lit(',"payload":'), s("payload"), F.lit("}"))
+    shape = (F.array_sort("_names") == listed(PARAMETER_FIELDS)) & F.octet_length("destination").between(1, MAX_IDENTIFIER_BYTES) & F.col("data_class").isin(*DATA_CLASSES) & F.octet_length("payload").between(1, MAX_PAYLOAD_BYTES)
+    if any(t != SENDING for t in cfg.action_types):
+        sent = F.col("action_type") == SENDING
+        inner, shape = F.when(sent, inner).otherwise(bounded_json(F.col("raw"), F.lit("parameters"))), F.when(sent, shape).otherwise(F.col("parameters").isNotNull())
+    rows = rows.withColumn("_inner", C.lower_escapes(inner))
+    parameters = shape & (F.octet_length("_inner") <= MAX_PARAMETER_BYTES)
     detail = (
         F.when(F.col("_keys").isNull(), "INVALID_ACTION_INTENT").when(F.size("rejected_fields") > 0, "UNTRUSTED_CONTROL_FIELD")
-        .when(F.size(C.missing_fields(F.col("raw"), INTENT_FIELDS)) > 0, "MISSING_ACTION_FIELD").when(~fields, "INVALID_ACTION_FIELD")
+        .when(F.size(F.array_except(listed(INTENT_FIELDS), "_keys")) > 0, "MISSING_ACTION_FIELD").when(~fields, "INVALID_ACTION_FIELD")
         .when(~F.coalesce(parameters, F.lit(False)), "INVALID_ACTION_PARAMETERS").otherwise("ACTION_INTENT_VALID")
     )
-    rows = rows.withColumn("detail", detail).withColumn("status", F.when(F.col("detail") == "ACTION_INTENT_VALID", "PASS").otherwise("BLOCK"))
-    s = lambda f: _json_string(F.col(f))
-    inner = F.concat(F.lit('{"data_class":'), s("data_class"), F.lit(',"destination":'), s("destination"), F.lit(',"payload":'), s("payload"), F.lit("}"))
-    semantic = F.concat(F.lit('{"action_type":'), s("action_type"), F.lit(',"parameters":'), inner, F.lit(',"subject_id":'), s("subject_id"), F.lit("}"))
+    # a value that isn't deterministic keeps later filters from being pushed down, each with a copy of all these expressions
+    rows = rows.withColumn("detail", F.when(F.monotonically_increasing_id() >= 0, detail)).withColumn("status", F.when(F.col("detail") == "ACTION_INTENT_VALID", "PASS").otherwise("BLOCK"))
+    semantic = F.concat(F.lit('{"action_type":'), s("action_type"), F.lit(',"parameters":'), F.col("_inner"), F.lit(',"subject_id":'), s("subject_id"), F.lit("}"))
     whole = F.concat(
-        F.lit('{"action_id":'), s("action_id"), F.lit(',"action_type":'), s("action_type"), F.lit(',"parameters":'), inner, F.lit(',"provenance_artifact_id":'), s("provenance_artifact_id"),
+        F.lit('{"action_id":'), s("action_id"), F.lit(',"action_type":'), s("action_type"), F.lit(',"parameters":'), F.col("_inner"), F.lit(',"provenance_artifact_id":'), s("provenance_artifact_id"),
         F.lit(',"request_id":'), s("request_id"), F.lit(',"requested_at":'), F.col("requested_at").cast("string"), F.lit(',"subject_id":'), s("subject_id"), F.lit("}"),
     )
     valid = F.col("status") == "PASS"
-    return rows.withColumn("semantic_digest", F.when(valid, C.sha256_hex(semantic))).withColumn("fingerprint", F.when(valid, C.sha256_hex(whole))).drop("_keys")
-
-
-def _json_string(c: Column) -> Column:
-    one = F.to_json(F.array(c))
-    return F.substring(one, F.lit(2), F.length(one) - 2)
+    return rows.withColumn("semantic_digest", F.when(valid, C.sha256_hex(semantic))).withColumn("fingerprint", F.when(valid, C.sha256_hex(whole))).drop("_v", "_keys", "_names", "_inner")
 
 
 def verification_block(classification: Column, detail: Column) -> Column:
@@ -88,26 +94,95 @@ def state_id(artifact_id: Column, batch_id: Column, digest: Column, verified_at:
     return C.sha256_hex(C.json_array(cfg.contract_version, ("s", artifact_id), ("s", batch_id), ("s", digest), ("n", verified_at)))
 
 
-def source_sums(nodes: DataFrame, edges: DataFrame, roots: DataFrame, cfg: LineageConfig = DEFAULT, max_depth: int | None = None) -> DataFrame:
-    """Per root: ``n_witnesses``, ``n_sources``, ``n_untrusted``, ``n_unallowed`` over its whole ancestry, as far as ``max_depth``."""
-    from ..sources.snapshots import Scratch
-
-    scratch = Scratch(nodes.sparkSession, "sources")
-    links = edges.select("child", "parent").distinct()
-    front = scratch.table(roots.select(F.col("artifact_id").alias("root"), F.col("artifact_id").alias("node")).distinct(), "level-0")
-    seen = front
-    for k in range(1, (max_depth or cfg.max_ancestry_depth) + 1):
-        front = scratch.table(front.join(links, F.col("node") == F.col("child")).select("root", F.col("parent").alias("node")).distinct(), f"level-{k}")
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    degree = links.groupBy("child").agg(F.count("*").alias("out"))
-    rows = seen.distinct().join(nodes.select("artifact_id", "terminal", "trust_state", "authority_id"), F.col("node") == F.col("artifact_id")).join(degree, F.col("node") == F.col("child"), "left")
-    return rows.groupBy("root").agg(
-        F.sum(F.coalesce("out", F.lit(0))).alias("n_witnesses"), F.count_if("terminal").alias("n_sources"),
-        F.count_if(F.col("terminal") & ~F.col("trust_state").eqNullSafe(F.lit("trusted_source"))).alias("n_untrusted"),
-        F.count_if(F.col("terminal") & ~F.coalesce(F.col("authority_id").isin(*cfg.allowed_authorities), F.lit(False))).alias("n_unallowed"),
+def source_sums(sources: DataFrame, witnesses: DataFrame, cfg: LineageConfig = DEFAULT) -> DataFrame:
+    """Per ``root`` of verification results: ``n_witnesses``, ``n_sources``, ``n_untrusted``, ``n_unallowed``."""
+    s = sources.groupBy("root").agg(
+        F.count("*").alias("n_sources"), F.count_if(~F.col("trust_state").eqNullSafe(F.lit("trusted_source"))).alias("n_untrusted"),
+        F.count_if(~F.coalesce(F.col("authority_id").isin(*cfg.allowed_authorities), F.lit(False))).alias("n_unallowed"),
     )
+    return s.join(witnesses.groupBy("root").agg(F.count("*").alias("n_witnesses")), "root", "full_outer")
+
+
+def authorization_id(request_id: Column, action_id: Column, state: Column, cfg: LineageConfig = DEFAULT) -> Column:
+    return C.sha256_hex(C.json_array(cfg.gateway_version, ("s", request_id), ("s", action_id), ("s", state)))
+
+
+#: Reason codes of details, beside those that the verification and the policy give.
+_REASONS = {
+    "BLOCK_REPLAY": ("REQUEST_REPLAYED", "REQUEST_ID_CONFLICT", "ACTION_ID_CONFLICT"),
+    "BLOCK_STALE": ("TRUSTED_STATE_EXPIRED",),
+    "BLOCK_INVALID_PROVENANCE": ("MALFORMED_OR_UNBOUND_PROVENANCE",),
+}
+
+
+def authorize(requests: DataFrame, artifacts: DataFrame, edges: DataFrame, cfg: LineageConfig = DEFAULT, held: DataFrame | None = None) -> DataFrame:
+    """A decision for each of ``requests``, over one snapshot of signed ``artifacts`` and ``edges``.
+
+    Requests are ``event_id``, ``arrived_at``, ``raw`` (the intent as JSON
+    text), ``verified_at`` and ``now`` (what the trusted clock says when the
+    state is issued and when it is used) and ``adapter`` (see ``ledger.settle``).
+    ``held`` are reservations from before.
+
+    The checks in order: intent; replay and the ledger's capacity; ancestry, by
+    verification, result contract and issuance of the trusted state; policy;
+    freshness; and then the adapter.  A request that an earlier reservation
+    bars is told so whatever its ancestry, and one that any check blocks
+    reserves nothing.  Gives ``event_id``, ``status``, ``reason_code``,
+    ``detail``, ``stage`` (of ``CHECKS``, from 0; null if allowed), the intent's
+    ids, ``content_hash``, ``trusted_state_id``, ``authorization_id``,
+    ``policy_version``, ``n_sources``, ``n_witnesses`` and ``executed``.
+    """
+    from . import closure, ledger, report, signing
+
+    scratch = Scratch(requests.sparkSession, "authorize")
+    valid = scratch.table(validate_intents(requests, cfg).select("event_id", "arrived_at", "verified_at", "now", "adapter", F.col("status").alias("_valid"), F.col("detail").alias("_fault"), *_CARRIED), "intents")
+    asked = valid.where("_valid = 'PASS'")
+    roots = asked.select(F.col("provenance_artifact_id").alias("artifact_id")).distinct()
+    nodes, _ = signing.checked(artifacts, edges, cfg)
+    verdicts, reach = closure.walk(scratch.table(nodes, "nodes"), roots, cfg.max_ancestry_depth, cfg)
+    verdicts = scratch.table(verdicts, "verdicts")
+    sound = verdicts.where("classification = 'VERIFIED'").select("artifact_id")
+    heads, sources, witnesses = (scratch.table(x, n) for x, n in zip(report.results(artifacts, edges, sound, cfg, reach), ("heads", "sources", "witnesses"), strict=True))
+    whole = report.contract(heads.withColumn("digest", F.col("content_hash")), sources, witnesses, cfg)
+    facts = verdicts.join(heads.select("root", "content_hash", "batch_id").withColumnRenamed("root", "artifact_id"), "artifact_id", "left")
+    facts = facts.join(whole.select(F.col("root").alias("artifact_id"), F.col("valid").alias("_whole")), "artifact_id", "left").join(source_sums(sources, witnesses, cfg).withColumnRenamed("root", "artifact_id"), "artifact_id", "left")
+    facts = scratch.table(facts.select("artifact_id", "classification", F.col("detail").alias("_found"), "content_hash", "batch_id", "_whole", "n_sources", "n_untrusted", "n_unallowed", "n_witnesses"), "facts")
+    rows = asked.join(facts.withColumnRenamed("artifact_id", "provenance_artifact_id"), "provenance_artifact_id", "left")
+    issued = C.is_safe_integer(F.col("verified_at")) & C.is_safe_integer(F.col("verified_at") + cfg.max_freshness_ms)
+    state = F.when(issued & F.col("_whole"), state_id(F.col("provenance_artifact_id"), F.col("batch_id"), F.col("semantic_digest"), F.col("verified_at"), cfg))
+    rows = policy(rows.withColumns({"trusted_state_id": state, "state_subject_id": F.col("subject_id"), "state_digest": F.col("content_hash"), "ancestry_status": F.lit("RESOLVED")}), cfg)
+    block = verification_block(F.col("classification"), F.col("_found"))
+    bound = F.coalesce(F.col("_whole") & (F.col("content_hash") == F.col("semantic_digest")), F.lit(False))
+    old = F.when(~C.is_safe_integer(F.col("now")), "FRESHNESS_CHECK_FAILED").otherwise(freshness(F.col("now"), F.col("verified_at"), cfg))
+    pair = lambda stage, reason, detail: F.struct(F.lit(stage).alias("stage"), reason.alias("reason_code"), detail.alias("detail"))
+    own = (
+        F.when(block.isNotNull(), pair(2, block["reason_code"], block["detail"])).when(~bound, pair(2, F.lit("BLOCK_INVALID_PROVENANCE"), F.lit("MALFORMED_OR_UNBOUND_PROVENANCE")))
+        .when(~issued, pair(2, F.lit("BLOCK_SYSTEM_ERROR"), F.lit("TRUSTED_STATE_ISSUANCE_FAILED"))).when(F.col("policy_detail") != "POLICY_ALLOW", pair(3, F.col("policy_reason"), F.col("policy_detail")))
+        .when(old.isNotNull(), pair(4, F.when(old == "TRUSTED_STATE_EXPIRED", "BLOCK_STALE").otherwise("BLOCK_SYSTEM_ERROR"), old))
+    )
+    rows = scratch.table(rows.withColumn("_own", own).drop("_valid", "_fault", "_found"), "checked")
+    settled = ledger.settle(rows.select(F.col("event_id").alias("event"), "arrived_at", "request_id", "action_id", "fingerprint", F.col("_own").isNull().alias("eligible"), "adapter"), cfg.max_ledger_entries, held)
+    settled = settled.select(F.col("event").alias("event_id"), "outcome", ledger.executed(settled).alias("_did"))
+    out = valid.select("event_id", "_valid", "_fault", *_CARRIED).join(rows.select("event_id", "_own", "content_hash", "trusted_state_id", "n_sources", "n_witnesses"), "event_id", "left").join(settled, "event_id", "left")
+    early = F.col("outcome").isNotNull() & ~F.col("outcome").isin("RESERVED", "CLEAR")
+    did = F.col("_did")
+    detail = F.when(F.col("_valid") != "PASS", F.col("_fault")).when(early, F.col("outcome")).when(F.col("_own").isNotNull(), F.col("_own.detail")).when(did == "EXECUTED", "ACTION_EXECUTED").otherwise(did)
+    coded = F.lit(None).cast("string")
+    for code, details in _REASONS.items():
+        coded = F.coalesce(coded, F.when(F.col("detail").isin(*details), code))
+    reason = F.when(F.col("_valid") != "PASS", "BLOCK_INVALID_INPUT").when(F.col("detail") == "ACTION_EXECUTED", F.lit(None)).when(~early & F.col("_own").isNotNull(), F.col("_own.reason_code")).otherwise(F.coalesce(coded, F.lit("BLOCK_SYSTEM_ERROR")))
+    stage = F.when(F.col("_valid") != "PASS", 0).when(early, 1).when(F.col("_own").isNotNull(), F.col("_own.stage")).when(did != "EXECUTED", 6)
+    allowed = F.coalesce((did == "EXECUTED"), F.lit(False))
+    reserved = F.coalesce(F.col("outcome") == "RESERVED", F.lit(False))
+    return out.withColumn("detail", detail).select(
+        "event_id", F.when(allowed, "ALLOW").otherwise("BLOCK").alias("status"), reason.alias("reason_code"), "detail", stage.cast("bigint").alias("stage"), *_IDS, "content_hash",
+        F.when(reserved, F.col("trusted_state_id")).alias("trusted_state_id"), F.when(reserved, authorization_id(F.col("request_id"), F.col("action_id"), F.col("trusted_state_id"), cfg)).alias("authorization_id"),
+        F.when(reserved, F.lit(cfg.policy_version)).alias("policy_version"), "n_sources", "n_witnesses", allowed.alias("executed"),
+    )
+
+
+_IDS = ("request_id", "action_id", "subject_id", "provenance_artifact_id")
+_CARRIED = (*_IDS, "destination", "data_class", "semantic_digest", "fingerprint")
 
 
 #: The checks of a decision, in order.
@@ -127,9 +202,12 @@ def response_consistent(status: Column, stage: Column, executed: Column) -> Colu
     return F.coalesce(F.when(status == "ALLOW", stage.isNull() & executed).otherwise(stage.isNotNull() & ~executed), F.lit(False))
 
 
-def closed_default(rows: DataFrame) -> DataFrame:
-    """Rows without an answer block: unresolved, nothing counted, nothing executed."""
-    return rows.fillna({"status": "BLOCK", "detail": "SYSTEM_ERROR", "classification": "UNRESOLVED", "node_count": 0, "edge_count": 0}).withColumn("executed", F.coalesce("executed", F.lit(False)))
+def answered(requests: DataFrame, decisions: DataFrame) -> DataFrame:
+    """A row for each of ``requests`` (``event_id``): its decision, or where there is none, or it contradicts itself, a block that counts nothing."""
+    ok = response_consistent(F.col("status"), F.col("stage"), F.col("executed"))
+    got = decisions.where(ok).select("event_id", "status", "reason_code", "detail", "n_sources", "n_witnesses", "executed")
+    rows = requests.select("event_id").join(got, "event_id", "left")
+    return rows.fillna({"status": "BLOCK", "detail": "SYSTEM_ERROR", "n_sources": 0, "n_witnesses": 0}).withColumn("executed", F.coalesce("executed", F.lit(False)))
 
 
 def contract(results: DataFrame, expected: DataFrame) -> DataFrame:
@@ -140,3 +218,22 @@ def contract(results: DataFrame, expected: DataFrame) -> DataFrame:
 
 def rollup(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("total"), F.count_if("ok").alias("passed"), F.count_if(~F.col("ok")).alias("failed"))
+
+
+def field_contract(results: DataFrame, expected: DataFrame) -> DataFrame:
+    """(``name``, ``field``, ``ok``): named results' fields against expected values, all as text; a name or field that is absent or repeated fails.
+
+    ``results`` has ``name`` and a column for each field, ``expected`` has ``name``, ``field`` and ``value``.
+    """
+    fields = [c for c in results.columns if c != "name"]
+    got = results.select("name", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("got")) for f in fields))).alias("x")).select("name", "x.*")
+    got = got.groupBy("name", "field").agg(F.count("*").alias("n"), F.min("got").alias("got"))
+    return expected.join(got, ["name", "field"], "left").select("name", "field", F.coalesce((F.col("n") == 1) & F.col("got").eqNullSafe(F.col("value")), F.lit(False)).alias("ok"))
+
+
+def element(results: DataFrame, name: str):
+    """The one row of a name; anything else is an error."""
+    rows = results.where(F.col("name") == name).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"expected one row named {name}, not {len(rows)}")
+    return rows[0]

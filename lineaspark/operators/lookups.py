@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schema import ARTIFACTS
 
@@ -12,9 +12,16 @@ SUMMARY = ("artifact_id", "vertex_id", "role", "lineage_kind", "generation", "pa
 WITNESS = ("edge_id", "child_artifact_id", "parent_artifact_id", "kind", "child_generation", "parent_generation", "batch_id")
 
 
-def by_vertex(artifacts: DataFrame, vertex_id: int, columns: tuple[str, ...] = tuple(f.name for f in ARTIFACTS)) -> DataFrame:
-    """One artifact or none; see :func:`duplicate_keys` for the uniqueness that this relies on."""
-    return artifacts.where(F.col("vertex_id") == vertex_id).select(*columns)
+def by_vertex(artifacts: DataFrame, vertex_id: int | Column, columns: tuple[str, ...] = tuple(f.name for f in ARTIFACTS)) -> DataFrame:
+    """One artifact or none; that two rows have the key is an error when the frame is used."""
+    found = artifacts.where(F.col("vertex_id") == vertex_id).withColumn("_n", F.count("*").over(Window.partitionBy("vertex_id")))
+    twice = F.raise_error(F.concat(F.lit("repeated vertex "), F.col("vertex_id").cast("string"))).cast("boolean")
+    return found.where(F.when(F.col("_n") > 1, twice).otherwise(F.lit(True))).select(*columns)
+
+
+def attributes(artifacts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The few attributes that checks of a write ask for, of the artifacts that are stored."""
+    return by_ids(artifacts, ids).select(*ATTRIBUTES)
 
 
 def by_ids(artifacts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -36,8 +43,10 @@ def expand(edges: DataFrame, artifacts: DataFrame) -> DataFrame:
     return edges.join(parent, "parent_vertex_id", "left").withColumn("dangling", F.col("_stored").isNull()).drop("_stored")
 
 
-def between(edges: DataFrame, child: str, parent: str) -> DataFrame:
-    return edges.where((F.col("child_artifact_id") == child) & (F.col("parent_artifact_id") == parent))
+def between(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The edges between given ends (``child``, ``parent``)."""
+    p = pairs.select(F.col("child").alias("child_artifact_id"), F.col("parent").alias("parent_artifact_id")).distinct()
+    return edges.join(p, ["child_artifact_id", "parent_artifact_id"], "left_semi")
 
 
 def out_degrees(edges: DataFrame) -> DataFrame:
@@ -61,10 +70,18 @@ def resolve(asked: DataFrame, valid: DataFrame) -> DataFrame:
 
 
 def hydration(requested: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """The requested (``artifact_id``) that aren't stored."""
+    """The requested (``artifact_id``) that aren't stored; see :func:`mismatched` for those that are stored as something else."""
     return requested.distinct().join(artifacts, "artifact_id", "left_anti").select("artifact_id")
 
 
+def mismatched(requested: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """(``requested``, ``stored``) where the vertex of a requested ``artifact_id`` is stored under another id."""
+    from ..functions.columns import vertex_id
+
+    asked = requested.select(F.col("artifact_id").alias("requested")).distinct().withColumn("vertex_id", vertex_id(F.col("requested")))
+    return asked.join(artifacts.select("vertex_id", F.col("artifact_id").alias("stored")), "vertex_id").where("requested <> stored").select("requested", "stored")
+
+
 def edge_set_matches(stored: DataFrame, expected: DataFrame) -> DataFrame:
     """(``child``, ``missing``, ``extra``) from two tables of ``child``, ``parent``: both 0 where the sets agree."""
     both = stored.select("child", "parent").distinct().withColumn("s", F.lit(1)).join(expected.select("child", "parent").distinct().withColumn("e", F.lit(1)), ["child", "parent"], "full_outer")

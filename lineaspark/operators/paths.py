@@ -13,7 +13,7 @@ def search(edges: DataFrame, sources: DataFrame, targets: DataFrame | None, dire
     ``edges`` has ``child``, ``parent`` and ``kind``; ``sources`` and ``targets``
     have ``node``.  ``incoming`` goes from parent to child, ``outgoing`` from child
     to parent.  Without ``targets`` every end counts.  ``per_pair`` keeps the
-    shortest paths of each pair (ties by nodes), ``limit`` bounds the result.
+    shortest paths of each pair (ties by nodes), ``limit`` keeps the shortest of all.
     """
     if direction not in ("incoming", "outgoing"):
         raise ValueError("direction must be incoming or outgoing")
@@ -35,7 +35,7 @@ def search(edges: DataFrame, sources: DataFrame, targets: DataFrame | None, dire
     if per_pair:
         order = Window.partitionBy("source", "target").orderBy("hops", "nodes", "kinds")
         out = out.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_pair).drop("_n")
-    return out.limit(limit) if limit else out
+    return out.orderBy("hops", "nodes", "kinds").limit(limit) if limit else out
 
 
 def deepest(paths: DataFrame) -> DataFrame:

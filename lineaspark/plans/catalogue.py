@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..config import DEFAULT
+from ..config import DEFAULT, LineageConfig
 from ..functions import columns as C
+from ..functions import sql
 from ..operators import closure, decide, ledger, lookups, paths, report, signing, writes
 from ..sources import star
 from ..sources.snapshots import Scratch
-from ..sources.tables import read
+from ..sources.tables import load_graph, read, save_graph
 from . import oracle as O
 
 QUERIES: dict = {}
@@ -26,18 +29,43 @@ def query(sql: str | None = None):
     return add
 
 
+_snapshots: dict[tuple[str, str, str], str] = {}
+
+
 def signed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return signing.sign(star.nodes(spark, sf_dir), star.derivations(spark, sf_dir))
+    """The star's signed graph as a stored snapshot, which a session writes once for a folder of tables and then only reads."""
+    return _snapshot(spark, sf_dir, "star", lambda: (star.nodes(spark, sf_dir), star.derivations(spark, sf_dir)))
+
+
+def _snapshot(spark: SparkSession, sf_dir: str, name: str, raw) -> tuple[DataFrame, DataFrame]:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _snapshots:
+        path = Scratch(spark, f"snapshot-{name}").base
+        save_graph(*signing.sign(*raw()), path)
+        _snapshots[key] = path
+    return load_graph(spark, _snapshots[key])
+
+
+def acting(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The signed graph that actions are decided on: the star without its line items and with events' actions, of which two nations were tampered with and some parts were lost."""
+
+    def raw():
+        nodes, derivations = star.actions(spark, sf_dir)
+        return star.nodes(spark, sf_dir).where("role <> 'action_argument'").unionByName(nodes), star.derivations(spark, sf_dir).where(~F.col("child").startswith("lineitem/")).unionByName(derivations)
+
+    artifacts, edges = _spoilt(*_snapshot(spark, sf_dir, "actions", raw))
+    number = F.substring("artifact_id", 6, 20).try_cast("bigint")
+    return artifacts.where(~F.coalesce(F.col("artifact_id").startswith("part/") & (number % 97 == 5), F.lit(False))), edges
 
 
 def checked(spark: SparkSession, sf_dir: str, change=None) -> tuple[DataFrame, DataFrame]:
     """Verdicts of the (changed) star graph, written once since every level of a walk reads them."""
     scratch = Scratch(spark, "graph")
-    artifacts, edges = (scratch.table(x, n) for x, n in zip(signed(spark, sf_dir), ("artifacts", "edges"), strict=True))
+    artifacts, edges = signed(spark, sf_dir)
     if change:
         artifacts, edges = change(artifacts, edges)
     nodes, links = signing.checked(artifacts, edges)
-    return scratch.table(nodes, "nodes"), scratch.table(links, "links")
+    return scratch.table(nodes, "nodes"), links
 
 
 def small(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -101,9 +129,18 @@ def expand_one_hop(spark, sf_dir):
     return lookups.expand(edges, artifacts).select("edge_id", "child_artifact_id", F.col("parent.artifact_id").alias("parent_artifact_id"), F.col("parent.role").alias("parent_role"), F.col("parent.generation").cast("bigint").alias("parent_generation"), "dangling")
 
 
-@query(f"WITH {O.SIGNED} SELECT edge_id, kind, auth_tag FROM edges WHERE child_artifact_id = 'nation/3' AND parent_artifact_id = 'region/1'")
+@query(f"WITH {O.SIGNED} SELECT edge_id, kind, auth_tag FROM edges JOIN nation ON child_artifact_id = 'nation/' || n_nationkey AND parent_artifact_id = 'region/' || (n_nationkey % 5)")
 def edge_between(spark, sf_dir):
-    return lookups.between(signed(spark, sf_dir)[1], "nation/3", "region/1").select("edge_id", "kind", "auth_tag")
+    """Whether a nation derives from the region of its key's remainder: some do."""
+    key = F.col("n_nationkey")
+    pairs = read(spark, sf_dir, "nation").select(F.concat(F.lit("nation/"), key.cast("string")).alias("child"), F.concat(F.lit("region/"), (key % 5).cast("string")).alias("parent"))
+    return lookups.between(signed(spark, sf_dir)[1], pairs).select("edge_id", "kind", "auth_tag")
+
+
+@query(f"WITH {O.SIGNED} SELECT artifact_id, role, CAST(generation AS BIGINT) AS generation, trust_state, auth_state, auth_tag FROM artifacts WHERE artifact_id IN (SELECT 'supplier/' || (s_suppkey * 2) FROM supplier)")
+def attribute_lookup(spark, sf_dir):
+    ids = read(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier/"), (F.col("s_suppkey") * 2).cast("string")).alias("artifact_id"))
+    return lookups.attributes(signed(spark, sf_dir)[0], ids).withColumn("generation", _n("generation"))
 
 
 @query("SELECT DISTINCT 'customer/' || (o_custkey + 5) AS artifact_id FROM orders WHERE o_custkey + 5 NOT IN (SELECT c_custkey FROM customer)")
@@ -210,14 +247,14 @@ SELECT root AS artifact_id, {_VERIFIED}, CAST(NULL AS VARCHAR) AS fault_artifact
 FROM reach LEFT JOIN d ON node = child GROUP BY root""")
 def closure_all_roots(spark, sf_dir):
     nodes, edges = checked(spark, sf_dir)
-    return closure.verify(nodes, edges, nodes.where("role = 'action_argument'"), DEFAULT.max_ancestry_depth)
+    return closure.verify(nodes, nodes.where("role = 'action_argument'"), DEFAULT.max_ancestry_depth)
 
 
 @query(f"WITH {O.ART} SELECT artifact_id, CASE WHEN generation > 2 THEN 'UNRESOLVED' ELSE 'VERIFIED' END AS classification, CASE WHEN generation > 2 THEN 'DEPTH_CAP_REACHED' ELSE 'ANCESTRY_VERIFIED' END AS detail FROM art UNION ALL SELECT 'absent/1', 'MISSING', 'ARTIFACT_NOT_FOUND' UNION ALL SELECT '', 'INVALID', 'INVALID_ARTIFACT_ID'")
 def closure_depth2(spark, sf_dir):
     nodes, edges = checked(spark, sf_dir)
     asked = nodes.select("artifact_id").unionByName(spark.createDataFrame([("absent/1",), ("",)], "artifact_id string"))
-    return closure.verify(nodes, edges, asked, 2).select("artifact_id", "classification", "detail")
+    return closure.verify(nodes, asked, 2).select("artifact_id", "classification", "detail")
 
 
 def _spoilt(artifacts, edges):
@@ -229,7 +266,7 @@ SELECT a.artifact_id, CASE WHEN b.root IS NULL THEN 'VERIFIED' ELSE 'INVALID' EN
 def closure_faults(spark, sf_dir):
     """A tampered parent is reported at the child whose edge leads to it."""
     nodes, edges = checked(spark, sf_dir, _spoilt)
-    return closure.verify(nodes, edges, nodes.where("role = 'action_argument'"), 16).select("artifact_id", "classification", "detail")
+    return closure.verify(nodes, nodes.where("role = 'action_argument'"), 16).select("artifact_id", "classification", "detail")
 
 
 @query(f"""WITH RECURSIVE {O.ART}, {O.OBS}, bad AS (SELECT unnest(['nation/2', 'nation/9']) AS node UNION SELECT child FROM bad JOIN edg ON node = parent)
@@ -239,17 +276,20 @@ def closure_validity(spark, sf_dir):
     return closure.valid_closures(nodes, edges).select("artifact_id", F.col("value").alias("valid"))
 
 
-@query(f"""WITH RECURSIVE {O.WALK} SELECT root AS artifact_id, CASE WHEN count(*) > 20 THEN 'UNRESOLVED' ELSE 'VERIFIED' END AS classification FROM reach GROUP BY root""")
+@query(f"""WITH RECURSIVE {O.WALK}, {O.capped("('nation/2', 'nation/9')", 5)}
+SELECT artifact_id, CASE WHEN cap_depth IS NOT NULL AND (fault_depth IS NULL OR cap_depth <= fault_depth) THEN 'CLOSURE_NODE_CAP_REACHED' WHEN fault_depth IS NOT NULL THEN 'EDGE_OR_PARENT' ELSE 'ANCESTRY_VERIFIED' END AS detail
+FROM art LEFT JOIN caps ON artifact_id = caps.root LEFT JOIN faults ON artifact_id = faults.root WHERE role = 'action_argument'""")
 def closure_node_cap(spark, sf_dir):
-    nodes, edges = checked(spark, sf_dir)
-    return closure.verify(nodes, edges, nodes.where("role = 'action_argument'"), 16, node_cap=20).select("artifact_id", "classification")
+    """Of more than 5 nodes: a fault below the depth where they are met counts, one from there on doesn't."""
+    nodes, _ = checked(spark, sf_dir, _spoilt)
+    return closure.verify(nodes, nodes.where("role = 'action_argument'"), 16, node_cap=5).select("artifact_id", "detail")
 
 
 @query(f"""WITH RECURSIVE {O.WALK}, bad AS (SELECT DISTINCT root FROM reach WHERE node IN ('nation/2', 'nation/9'))
 SELECT a.artifact_id, CASE WHEN b.root IS NULL THEN 'PASS' ELSE 'BLOCK' END AS status, CASE WHEN b.root IS NULL THEN 'PROVENANCE_VERIFIED' ELSE 'ARTIFACT_NOT_AUTHENTIC' END AS detail FROM art a LEFT JOIN bad b ON a.artifact_id = b.root WHERE a.role = 'action_argument'""")
 def integrity_facade(spark, sf_dir):
     nodes, edges = checked(spark, sf_dir, _spoilt)
-    return closure.integrity(closure.verify(nodes, edges, nodes.where("role = 'action_argument'"), 16))
+    return closure.integrity(closure.verify(nodes, nodes.where("role = 'action_argument'"), 16))
 
 
 def _small_paths(spark, sources, targets, direction, most):
@@ -269,39 +309,66 @@ def paths_outgoing(spark, sf_dir):
     return _small_paths(spark, (340, 230), None, "outgoing", 3)
 
 
-@query(O.small_paths((300,), (340,), False, 3))
-def paths_capped_empty(spark, sf_dir):
-    return _small_paths(spark, (300,), (340,), "incoming", 3)
+@query(" UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS max_len, count(*) AS n FROM ({O.small_paths((300,), (340,), False, k)})" for k in range(1, 6)))
+def paths_capped(spark, sf_dir):
+    """The one path from 300 to 340 has four hops: with fewer there is none."""
+    return reduce(DataFrame.unionByName, (_small_paths(spark, (300,), (340,), "incoming", k).agg(F.count("*").alias("n")).select(F.lit(k).cast("bigint").alias("max_len"), "n") for k in range(1, 6)))
 
 
-@query("SELECT CAST(340 AS BIGINT) AS source, CAST(310 AS BIGINT) AS frontier, CAST(3 AS BIGINT) AS hops")
+@query(f"""WITH RECURSIVE {O.SMALL}, p AS ({O.small_paths((340, 230, 130), None, True, 3)}), d AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY source ORDER BY hops DESC, nodes) = 1)
+SELECT source, target AS frontier, hops FROM d JOIN v ON vertex = target WHERE NOT terminal""")
 def unresolved_frontier(spark, sf_dir):
+    """Of three actions two reach a source within three hops, and one doesn't."""
     v, e = small(spark)
-    p = paths.search(e, spark.createDataFrame([(340,), (230,)], "node bigint"), None, "outgoing", 3)
+    p = paths.search(e, spark.createDataFrame([(340,), (230,), (130,)], "node bigint"), None, "outgoing", 3)
     return paths.unresolved(p, v.select(F.col("vertex").alias("node"), "terminal")).select("source", "frontier", _n("hops"))
 
 
-@query("""WITH c AS (SELECT 'customer/' || c_custkey AS target, 'region/' || n_regionkey || '>nation/' || n_nationkey || '>customer/' || c_custkey AS nodes, 'region/' || n_regionkey AS source FROM customer JOIN nation ON c_nationkey = n_nationkey)
-SELECT source, target, CAST(2 AS BIGINT) AS hops, nodes, 'assert>summarize' AS kinds FROM c""")
-def paths_regions_to_customers(spark, sf_dir):
+def _star_paths(spark, sf_dir, **bounds):
     n = star.nodes(spark, sf_dir)
     e = star.derivations(spark, sf_dir).distinct().join(n.select(F.col("artifact_id").alias("child"), F.col("lineage_kind").alias("kind")), "child")
     at = lambda prefix: n.where(F.col("artifact_id").startswith(prefix)).select(F.col("artifact_id").alias("node"))
-    p = paths.search(e.where(F.col("kind").isin("assert", "summarize")), at("region/"), at("customer/"), "incoming", 2, per_pair=8)
+    p = paths.search(e, at("region/"), at("lineitem/"), "incoming", 4, **bounds)
     return p.select("source", "target", _n("hops"), F.array_join("nodes", ">").alias("nodes"), F.array_join("kinds", ">").alias("kinds"))
 
 
+_STAR_PATHS = f"""WITH RECURSIVE {O.ART}, {O.OBS}, p AS (
+  SELECT artifact_id AS source, artifact_id AS here, [artifact_id] AS nodes, CAST([] AS VARCHAR[]) AS kinds FROM art WHERE artifact_id LIKE 'region/%'
+  UNION ALL SELECT source, child, list_append(nodes, child), list_append(kinds, lineage_kind) FROM p JOIN edg ON here = parent JOIN art ON child = artifact_id WHERE len(kinds) < 4
+), f AS (SELECT source, here AS target, CAST(len(kinds) AS BIGINT) AS hops, nodes, kinds FROM p WHERE here LIKE 'lineitem/%')
+SELECT source, target, hops, array_to_string(nodes, '>') AS nodes, array_to_string(kinds, '>') AS kinds FROM """
+
+
+@query(_STAR_PATHS + "(SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY source, target ORDER BY hops, nodes, kinds) = 1)")
+def paths_per_pair(spark, sf_dir):
+    """Of the paths from a region to a line item, over its supplier and its customer, the first."""
+    return _star_paths(spark, sf_dir, per_pair=1)
+
+
+@query(_STAR_PATHS + "(SELECT * FROM f ORDER BY hops, f.nodes, f.kinds LIMIT 64)")
+def paths_limited(spark, sf_dir):
+    return _star_paths(spark, sf_dir, limit=64)
+
+
 @query(f"""WITH RECURSIVE {O.ART}, {O.OBS}, w AS (SELECT child AS root, parent AS node FROM edg UNION ALL SELECT root, parent FROM w JOIN edg ON node = child)
 SELECT root AS artifact_id, count(*) AS paths FROM w JOIN art ON node = artifact_id WHERE role = 'source' GROUP BY root UNION ALL SELECT artifact_id, 1 FROM art WHERE role = 'source'""")
 def path_counts(spark, sf_dir):
-    n = star.nodes(spark, sf_dir).withColumn("terminal", F.col("role") == "source")
-    return closure.path_counts(n, star.derivations(spark, sf_dir).distinct()).select("artifact_id", F.col("value").alias("paths"))
+    return closure.path_counts(*_unsigned(spark, sf_dir)).select("artifact_id", F.col("value").alias("paths"))
+
 
+def _unsigned(spark, sf_dir):
+    artifacts, edges = signed(spark, sf_dir)
+    return artifacts.select("artifact_id", "generation", "terminal"), edges.select(F.col("child_artifact_id").alias("child"), F.col("parent_artifact_id").alias("parent"), "child_generation", "parent_generation")
 
-@query("SELECT 'turn/' || conv_id || '-' || turn AS artifact_id, turn - min(turn) OVER (PARTITION BY conv_id) AS depth FROM conversations")
+
+@query(f"""WITH RECURSIVE {O.ART}, {O.OBS}, w AS (SELECT artifact_id AS root, artifact_id AS node, 0 AS depth FROM art UNION SELECT root, parent, depth + 1 FROM w JOIN edg ON node = child)
+SELECT root AS artifact_id, CAST(max(depth) AS BIGINT) AS depth FROM w GROUP BY root UNION ALL SELECT 'turn/' || conv_id || '-' || turn, turn - min(turn) OVER (PARTITION BY conv_id) FROM conversations""")
 def longest_depth(spark, sf_dir):
+    """Over the star, where shorter and longer paths meet again, and over chains."""
+    nodes, edges = _unsigned(spark, sf_dir)
     n, e = star.chains(spark, sf_dir)
-    return closure.longest_depths(n, e).select("artifact_id", F.col("value").alias("depth"))
+    both = nodes.select("artifact_id", "generation").unionByName(n), edges.select("child", "parent").unionByName(e)
+    return closure.longest_depths(*both).select("artifact_id", F.col("value").alias("depth"))
 
 
 @query(f"WITH {O.OBS} SELECT child AS artifact_id, child NOT LIKE 'lineitem/%7-1' OR count(*) = 1 AS uniform FROM edg GROUP BY child")
@@ -344,30 +411,53 @@ def semantic_digest(spark, sf_dir):
     return decide.validate_intents(star.intents(spark, sf_dir)).where("status = 'PASS'").select("event_id", "semantic_digest", "fingerprint")
 
 
-_SOURCES = f"""WITH RECURSIVE {O.WALK}, {_DEGREE}, {O.INTENTS}, sums AS (
-  SELECT root, count(*) FILTER (WHERE out IS NULL) AS n_sources, CAST(sum(coalesce(out, 0)) AS BIGINT) AS n_witnesses, count(*) FILTER (WHERE trust_state = 'untrusted_source') AS n_untrusted,
-    count(*) FILTER (WHERE role = 'source' AND authority_id <> 'registry') AS n_unallowed
-  FROM reach JOIN art ON node = artifact_id LEFT JOIN d ON node = child GROUP BY root
-), pol AS (
-  SELECT event_id, arrived_at, action_id, provenance_artifact_id, CASE WHEN n_sources IS NULL THEN 'MISSING_PROVENANCE_WITNESS' WHEN n_untrusted > 0 THEN 'UNTRUSTED_TERMINAL_SOURCE' WHEN n_unallowed > 0 THEN 'SOURCE_AUTHORITY_NOT_ALLOWED'
-    WHEN destination <> 'internal:alerts' THEN 'DESTINATION_NOT_ALLOWED' WHEN data_class = 'restricted' THEN 'DATA_CLASS_NOT_ALLOWED' ELSE 'POLICY_ALLOW' END AS policy_detail
-  FROM intents LEFT JOIN sums ON provenance_artifact_id = root WHERE status = 'PASS'
-)"""
+def _decided(spark, sf_dir) -> DataFrame:
+    """Decisions on all events' intents, some of which are sent again, with a clock and an adapter that fail at times."""
+    n, at = F.col("n"), F.col("verified_at")
+    rows = star.intents(spark, sf_dir, again=True).withColumn("verified_at", F.when(n % 67 == 22, None).otherwise(F.col("arrived_at") + 10))
+    now = F.when(n % 23 == 21, None).when(n % 23 == 19, at + 5000).when(n % 23 == 20, at - 1).otherwise(at + 7)
+    rows = rows.withColumn("now", now).withColumn("adapter", F.when(n % 29 == 23, "failed").when(n % 31 == 24, "timeout").otherwise("ok"))
+    most = min(100_000, max(1, read(spark, sf_dir, "events").count() // 5))
+    return decide.authorize(rows, *acting(spark, sf_dir), LineageConfig(max_ancestry_depth=3, max_closure_nodes=9, min_trusted_sources=2, max_ledger_entries=most))
+
+
+@query(f"{O.DECISIONS} SELECT event_id, status, reason_code, detail, stage, trusted_state_id, authorization_id, policy_version, n_sources, n_witnesses, executed FROM decisions")
+def decision_pipeline(spark, sf_dir):
+    """Intents to decisions: validation, replay, verified ancestry, result contract, policy, freshness, the ledger's capacity and the adapter."""
+    return _decided(spark, sf_dir).select("event_id", "status", "reason_code", "detail", "stage", "trusted_state_id", "authorization_id", "policy_version", "n_sources", "n_witnesses", "executed")
+
+
+@query(f"""{O.DECISIONS}, c(position, "check") AS (VALUES {", ".join(f"({k}, '{c}')" for k, c in enumerate(decide.CHECKS))})
+SELECT event_id, CAST(position AS BIGINT) AS position, "check", CASE WHEN stage IS NULL OR position < stage THEN 'PASS' WHEN position = stage THEN 'BLOCK' ELSE 'NOT_REACHED' END AS result FROM decisions, c""")
+def check_list(spark, sf_dir):
+    return decide.check_list(_decided(spark, sf_dir), "event_id").withColumn("position", _n("position"))
+
+
+@query(f"""{O.DECISIONS} SELECT event_id, provenance_artifact_id AS root, status, detail, executed, CASE WHEN node_count IS NULL THEN 'UNRESOLVED' ELSE 'RESOLVED' END AS ancestry_status, node_count, CAST(deepest_hops AS BIGINT) AS deepest_hops, source_ids
+FROM decisions LEFT JOIN sums ON provenance_artifact_id = root WHERE stage IS NULL OR stage > 0""")
+def action_proof(spark, sf_dir):
+    artifacts, edges = acting(spark, sf_dir)
+    decided = Scratch(spark, "proof").table(_decided(spark, sf_dir).where("stage is null or stage > 0"), "decided")
+    cfg = LineageConfig(max_ancestry_depth=3, max_closure_nodes=9)
+    nodes, _ = signing.checked(artifacts, edges, cfg)
+    verdicts, reach = closure.walk(nodes, decided.select(F.col("provenance_artifact_id").alias("artifact_id")), 3, cfg)
+    heads, sources, _ = report.results(artifacts, edges, verdicts.where("classification = 'VERIFIED'"), cfg, reach)
+    return report.action_proof(decided, heads, sources).select("event_id", "root", "status", "detail", "executed", "ancestry_status", "node_count", "deepest_hops", "source_ids")
 
 
-def _policy(spark, sf_dir) -> DataFrame:
-    valid = decide.validate_intents(star.intents(spark, sf_dir)).where("status = 'PASS'")
-    asked = valid.select(F.col("provenance_artifact_id").alias("artifact_id")).distinct()
-    nodes, links = star.nodes(spark, sf_dir).withColumn("terminal", F.col("role") == "source"), star.derivations(spark, sf_dir)
-    sums = decide.source_sums(nodes, links, lookups.by_ids(nodes, asked))
-    rows = valid.join(sums, F.col("provenance_artifact_id") == F.col("root"), "left")
-    rows = rows.withColumns({"state_subject_id": F.col("subject_id"), "state_digest": F.col("semantic_digest"), "ancestry_status": F.lit("RESOLVED")})
-    return decide.policy(rows)
+@query(f"{O.DECISIONS} SELECT event_id, adapter, authorization_id FROM decisions WHERE reserved")
+def call_log(spark, sf_dir):
+    """What the adapter was called with: a row for each reservation, whatever came of it."""
+    decided = _decided(spark, sf_dir)
+    said = F.when(F.col("executed"), "ok").when(F.col("detail") == "ACTION_ADAPTER_TIMEOUT", "timeout").otherwise("failed")
+    return decided.where("authorization_id is not null").select("event_id", said.alias("adapter"), "authorization_id")
 
 
-@query(f"{_SOURCES} SELECT event_id, CASE WHEN policy_detail = 'POLICY_ALLOW' THEN NULL WHEN policy_detail = 'MISSING_PROVENANCE_WITNESS' THEN 'BLOCK_MISSING_PROVENANCE' ELSE 'BLOCK_POLICY' END AS policy_reason, policy_detail FROM pol")
-def policy_decision(spark, sf_dir):
-    return _policy(spark, sf_dir).select("event_id", "policy_reason", "policy_detail")
+@query(f"{O.DECISIONS} SELECT event_id, status, detail, coalesce(n_sources, 0) AS n_sources, executed FROM decisions WHERE event_id % 7 <> 3 AND event_id >= 0 UNION ALL SELECT event_id, 'BLOCK', 'SYSTEM_ERROR', 0, false FROM events WHERE event_id % 7 = 3")
+def answered(spark, sf_dir):
+    """Requests whose decision was lost, or contradicts itself, are blocked."""
+    decided = _decided(spark, sf_dir).where("event_id % 7 <> 3 or event_id % 2 = 0").withColumn("executed", F.when(F.col("event_id") % 7 == 3, F.col("status") == "BLOCK").otherwise(F.col("executed")))
+    return decide.answered(read(spark, sf_dir, "events"), decided).select("event_id", "status", "detail", "n_sources", "executed")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 9 >= 5 THEN 'TRUSTED_STATE_EXPIRED' WHEN event_id % 9 = 0 THEN 'TRUSTED_CLOCK_ROLLBACK' END AS freshness FROM events")
@@ -383,67 +473,45 @@ def replay_first_wins(spark, sf_dir):
     return ledger.first_wins(rows.select(F.col("event_id").alias("event"), "arrived_at", "action_id"))
 
 
-def _requests(spark, sf_dir) -> DataFrame:
-    """Every third request repeats the one before it, by other fields at times."""
-    rows = decide.validate_intents(star.intents(spark, sf_dir)).where("status = 'PASS'")
-    n = F.col("event_id")
-    request = F.concat(F.lit("r-"), F.when(n % 3 == 2, n - 1).otherwise(n).cast("string"))
-    return rows.select(n.alias("event"), "arrived_at", request.alias("request_id"), "action_id", F.when(n % 2 == 0, F.lit("f")).otherwise(F.lit("g")).alias("fingerprint"))
-
-
-@query()
+@query(f"""WITH RECURSIVE {O.INTENTS}, q AS (
+  SELECT event_id AS event, n // 6 AS grp, 'r-' || CASE WHEN n % 3 = 2 THEN n - 1 ELSE n END AS request, 'a-' || n // 6 || '-' || n % 2 AS action, CASE WHEN n % 4 < 2 THEN 'f' ELSE 'g' END AS fp,
+    row_number() OVER (PARTITION BY n // 6 ORDER BY arrived_at, event_id) AS nth FROM intents WHERE status = 'PASS'
+), s AS (
+  SELECT grp, CAST(0 AS BIGINT) AS nth, CAST(NULL AS BIGINT) AS event, CAST(NULL AS VARCHAR) AS outcome, CAST([] AS VARCHAR[]) AS requests, CAST([] AS VARCHAR[]) AS actions FROM (SELECT DISTINCT grp FROM q)
+  UNION ALL
+  SELECT grp, nth, event, outcome, CASE WHEN outcome = 'RESERVED' THEN list_append(list_append(requests, request), request || '|' || fp || '|' || action) ELSE requests END, CASE WHEN outcome = 'RESERVED' THEN list_append(actions, action) ELSE actions END
+  FROM (SELECT s.grp, q.nth, q.event, requests, actions, request, fp, action, CASE WHEN list_contains(requests, request || '|' || fp || '|' || action) THEN 'REQUEST_REPLAYED' WHEN list_contains(requests, request) THEN 'REQUEST_ID_CONFLICT'
+    WHEN list_contains(actions, action) THEN 'ACTION_ID_CONFLICT' ELSE 'RESERVED' END AS outcome FROM s JOIN q ON s.grp = q.grp AND q.nth = s.nth + 1)
+) SELECT event, outcome FROM s WHERE nth > 0""")
 def replay_general(spark, sf_dir):
-    return ledger.replay(_requests(spark, sf_dir))
-
-
-@query(f"""{_SOURCES} , wins AS (
-  SELECT event_id, row_number() OVER (PARTITION BY action_id ORDER BY arrived_at, event_id) AS nth FROM pol WHERE policy_detail = 'POLICY_ALLOW'
-)
-SELECT i.event_id, CASE WHEN i.status = 'BLOCK' THEN i.detail WHEN p.policy_detail = 'MISSING_PROVENANCE_WITNESS' THEN 'PROVENANCE_ARTIFACT_NOT_FOUND' WHEN p.policy_detail <> 'POLICY_ALLOW' THEN p.policy_detail WHEN w.nth > 1 THEN 'ACTION_ID_CONFLICT' ELSE 'ACTION_AUTHORIZED' END AS detail,
-  CASE WHEN w.nth = 1 THEN 'ALLOW' ELSE 'BLOCK' END AS status, CAST(CASE WHEN i.status = 'BLOCK' THEN 0 WHEN w.nth > 1 THEN 1 WHEN p.policy_detail = 'MISSING_PROVENANCE_WITNESS' THEN 2 WHEN p.policy_detail <> 'POLICY_ALLOW' THEN 3 END AS BIGINT) AS stage
-FROM intents i LEFT JOIN pol p USING (event_id) LEFT JOIN wins w USING (event_id)""")
-def decision_pipeline(spark, sf_dir):
-    """Intents to decisions: validation, ancestry, policy, and the ledger over those that pass."""
-    scratch = Scratch(spark, "decisions")
-    checked_rows = scratch.table(_policy(spark, sf_dir).select("event_id", "arrived_at", "action_id", "policy_detail"), "policy")
-    passed = checked_rows.where("policy_detail = 'POLICY_ALLOW'")
-    wins = ledger.first_wins(passed.select(F.col("event_id").alias("event"), "arrived_at", "action_id"))
-    every = decide.validate_intents(star.intents(spark, sf_dir)).select("event_id", F.col("status").alias("valid"), F.col("detail").alias("fault"))
-    rows = every.join(checked_rows.select("event_id", "policy_detail"), "event_id", "left").join(wins.withColumnRenamed("event", "event_id"), "event_id", "left")
-    missing = F.col("policy_detail") == "MISSING_PROVENANCE_WITNESS"
-    detail = F.when(F.col("valid") == "BLOCK", F.col("fault")).when(missing, "PROVENANCE_ARTIFACT_NOT_FOUND").when(F.col("policy_detail") != "POLICY_ALLOW", F.col("policy_detail")).when(F.col("outcome") != "RESERVED", F.col("outcome")).otherwise("ACTION_AUTHORIZED")
-    stage = F.when(F.col("valid") == "BLOCK", 0).when(F.col("outcome") == "ACTION_ID_CONFLICT", 1).when(missing, 2).when(F.col("policy_detail") != "POLICY_ALLOW", 3).cast("bigint")
-    return rows.select("event_id", detail.alias("detail"), F.when(F.col("outcome") == "RESERVED", "ALLOW").otherwise("BLOCK").alias("status"), stage.alias("stage"))
-
-
-@query(f"""WITH {O.INTENTS}, c(position, "check") AS (VALUES {", ".join(f"({k}, '{c}')" for k, c in enumerate(decide.CHECKS))})
-SELECT event_id, CAST(position AS BIGINT) AS position, "check", CASE WHEN status = 'PASS' THEN 'PASS' WHEN position = 0 THEN 'BLOCK' ELSE 'NOT_REACHED' END AS result FROM intents, c""")
-def check_list(spark, sf_dir):
-    rows = decide.validate_intents(star.intents(spark, sf_dir)).withColumn("stage", F.when(F.col("status") == "BLOCK", 0))
-    return decide.check_list(rows, "event_id").withColumn("position", _n("position"))
-
-
-@query(f"WITH {O.INTENTS} SELECT event_id, sha256({O.jarr(DEFAULT.contract_version, ('s', 'provenance_artifact_id'), ('s', 'sha256(request_id)'), ('s', 'semantic_digest'), ('n', 'arrived_at'))}) AS state_id, arrived_at + 5000 AS valid_until FROM intents WHERE status = 'PASS'")
-def trusted_state(spark, sf_dir):
+    """Requests in groups of six events that share request and action ids in ways of their own."""
+    n, text = F.col("n"), lambda c: c.cast("bigint").cast("string")
     rows = decide.validate_intents(star.intents(spark, sf_dir)).where("status = 'PASS'")
-    state = decide.state_id(F.col("provenance_artifact_id"), C.sha256_hex(F.col("request_id")), F.col("semantic_digest"), F.col("arrived_at"))
-    return rows.select("event_id", state.alias("state_id"), (F.col("arrived_at") + DEFAULT.max_freshness_ms).alias("valid_until"))
+    request = F.concat(F.lit("r-"), text(F.when(n % 3 == 2, n - 1).otherwise(n)))
+    action = F.concat(F.lit("a-"), text(F.floor(n / 6)), F.lit("-"), text(n % 2))
+    return ledger.replay(rows.select(F.col("event_id").alias("event"), "arrived_at", request.alias("request_id"), action.alias("action_id"), F.when(n % 4 < 2, "f").otherwise("g").alias("fingerprint")))
 
 
-@query(f"""WITH {O.INTENTS} SELECT event_id, strftime(make_timestamp(arrived_at * 1000), '%H:%M:%S') AS clock, CASE WHEN status = 'PASS' THEN 'passed' ELSE 'blocked' END AS label, substr(action_id, 1, 11) || CASE WHEN length(action_id) > 12 THEN '…' ELSE substr(action_id, 12, 1) END AS short FROM intents WHERE NOT no_object""")
+@query(f"""WITH {O.INTENTS} SELECT event_id, strftime(make_timestamp(arrived_at * 1000), '%H:%M:%S') AS clock, CASE WHEN status = 'PASS' THEN 'PASS' ELSE replace(detail, '_', ' ') END AS label, CASE WHEN status = 'PASS' THEN 'pass' ELSE 'neutral' END AS kind, substr(action_id, 1, 11) || CASE WHEN length(action_id) > 12 THEN '…' ELSE substr(action_id, 12, 1) END AS short FROM intents WHERE action_id IS NOT NULL""")
 def timeline(spark, sf_dir):
     rows = decide.validate_intents(star.intents(spark, sf_dir)).where("action_id is not null")
-    return rows.select("event_id", C.clock_text(F.col("arrived_at")).alias("clock"), C.status_label(F.col("status")).alias("label"), C.shortened(F.col("action_id"), 12).alias("short"))
+    return rows.select("event_id", C.clock_text(F.col("arrived_at")).alias("clock"), C.status_label(F.when(F.col("status") == "PASS", F.col("status")).otherwise(F.col("detail"))).alias("label"), C.status_kind(F.when(F.col("status") == "PASS", F.col("status")).otherwise(F.col("detail"))).alias("kind"), C.shortened(F.col("action_id"), 12).alias("short"))
 
 
-@query("""SELECT event_id, event_id % 4 = 0 AS json, event_id % 2 = 0 AND event_id % 8 <> 6 AS scenario_ok FROM events""")
+@query("""SELECT event_id, event_id % 4 = 0 AS json, event_id % 2 = 0 AND event_id % 8 <> 6 AS scenario_ok, CAST(octet_length(encode('{"event_id":' || event_id || ',"event_type":"' || event_type || '"}')) AS BIGINT) AS size FROM events""")
 def request_bodies(spark, sf_dir):
-    """The request contract: a JSON media type, and a body of one known field within 256 bytes."""
     n = F.col("event_id")
     header = F.when(n % 4 == 0, " Application/JSON ; charset=utf-8").otherwise("text/plain; x=application/json")
     body = F.when(n % 8 == 6, F.lit('{"scenario":"valid","x":1}')).when(n % 2 == 0, F.lit('{"scenario":"valid"}')).otherwise(F.lit("[]"))
-    ok = F.coalesce((F.octet_length(body) <= 256) & (F.size(C.unexpected_fields(body, ("scenario",))) == 0) & (F.size(C.missing_fields(body, ("scenario",))) == 0), F.lit(False))
-    return read(spark, sf_dir, "events").select("event_id", (C.media_type(header) == "application/json").alias("json"), ok.alias("scenario_ok"))
+    return read(spark, sf_dir, "events").select("event_id", (C.media_type(header) == "application/json").alias("json"), C.scenario_body(body).alias("scenario_ok"), C.request_bytes(F.col("event_id"), F.col("event_type")).cast("bigint").alias("size"))
+
+
+@query(f"""WITH {O.ART} SELECT artifact_id, {O.VERTEX} AS vertex_id, sha256('lineage:selector:' || artifact_id) AS selector, {O.hmac(DEFAULT.connector_key, "artifact_id")} AS tag FROM art""")
+def sql_functions(spark, sf_dir):
+    """The identifiers and the HMAC as functions of SQL statements."""
+    sql.register(spark)
+    star.nodes(spark, sf_dir).createOrReplaceTempView("lineaspark_nodes")
+    return spark.sql("SELECT artifact_id, lineage_vertex_id(artifact_id) AS vertex_id, lineage_selector(artifact_id) AS selector, lineage_connector_hmac(artifact_id) AS tag FROM lineaspark_nodes")
 
 
 # results and reports
@@ -451,7 +519,7 @@ def request_bodies(spark, sf_dir):
 
 def _results(spark, sf_dir):
     scratch = Scratch(spark, "graph")
-    artifacts, edges = (scratch.table(x, n) for x, n in zip(signed(spark, sf_dir), ("artifacts", "edges"), strict=True))
+    artifacts, edges = signed(spark, sf_dir)
     return (artifacts, *(scratch.table(x, n) for x, n in zip(report.results(artifacts, edges, artifacts.where("role = 'action_argument'")), ("heads", "sources", "witnesses"), strict=True)))
 
 
@@ -473,12 +541,33 @@ def graph_hydration(spark, sf_dir):
     return n.groupBy("root").agg(F.count("*").alias("nodes"), F.count_if(F.col("label") == "Source").alias("source_labels"), F.count_if("is_root").alias("roots"))
 
 
-@query(f"""WITH RECURSIVE {O.WALK}, {O.INTENTS}, s AS (SELECT root, string_agg(node, ',' ORDER BY node) AS source_ids, max(depth) AS d FROM reach JOIN art ON node = artifact_id WHERE role = 'source' GROUP BY root)
-SELECT event_id, provenance_artifact_id AS root, status = 'ALLOW' AS executed, detail, source_ids FROM (SELECT * REPLACE ('BLOCK' AS status) FROM intents) i LEFT JOIN s ON provenance_artifact_id = root WHERE NOT no_object""")
-def action_proof(spark, sf_dir):
+@query(f"""WITH RECURSIVE {O.WALK}, w AS (
+  SELECT root, {O.id48("'lineage:edge:' || e.child || ':' || e.parent || ':' || lineage_kind")} AS edge_id, e.child, e.parent, lineage_kind AS kind FROM reach JOIN edg e ON node = e.child JOIN art ON e.child = artifact_id
+) SELECT root, edge_id, parent AS source, child AS target, kind FROM w""")
+def graph_edges(spark, sf_dir):
+    return report.graph_edges(_results(spark, sf_dir)[3])
+
+
+@query(f"""WITH RECURSIVE {O.WALK}, w AS (
+  SELECT root, {O.id48("'lineage:edge:' || e.child || ':' || e.parent || ':' || lineage_kind")} AS edge_id FROM reach JOIN edg e ON node = e.child JOIN art ON e.child = artifact_id
+) SELECT root, (SELECT string_agg(edge_id, ',' ORDER BY edge_id) FROM w WHERE w.root = r.root) AS witness_ids, string_agg(node, ',' ORDER BY node) AS source_ids FROM reach r JOIN art ON node = artifact_id WHERE role = 'source' GROUP BY root""")
+def listed_results(spark, sf_dir):
+    """Witnesses by edge id, and sources by id in language order (which for these ids is the bytes')."""
+    _, _, sources, witnesses = _results(spark, sf_dir)
+    rows = report.listed(sources, witnesses)
+    return rows.select("root", F.array_join(F.transform("witnesses", lambda w: w["edge_id"].cast("string")), ",").alias("witness_ids"), F.array_join(F.transform("sources", lambda x: x["artifact_id"]), ",").alias("source_ids"))
+
+
+@query(f"""WITH RECURSIVE {O.WALK}, {_DEGREE}, m AS (
+  SELECT root, count(*) AS node_count, CAST(sum(coalesce(out, 0)) AS BIGINT) AS edge_count, CAST(max(depth) AS BIGINT) AS deepest_hops, count(*) FILTER (WHERE role = 'source') AS source_count FROM reach JOIN art ON node = artifact_id LEFT JOIN d ON node = child GROUP BY root
+) SELECT root AS name, field, CASE field WHEN 'node_count' THEN node_count = 8 WHEN 'edge_count' THEN edge_count = 9 WHEN 'deepest_hops' THEN deepest_hops = 4 WHEN 'source_count' THEN source_count = 2 ELSE false END AS ok
+FROM m, (VALUES ('node_count'), ('edge_count'), ('deepest_hops'), ('source_count'), ('absent')) t(field)""")
+def metric_contract(spark, sf_dir):
+    """Each result's metrics against those of the usual line item: some have a supplier of their customer's nation or region, or more parts."""
     _, heads, sources, _ = _results(spark, sf_dir)
-    rows = decide.validate_intents(star.intents(spark, sf_dir)).where("provenance_artifact_id is not null").select("event_id", F.col("provenance_artifact_id").alias("root"), F.lit("BLOCK").alias("status"), "detail")
-    return report.action_proof(rows, heads, sources).select("event_id", "root", "executed", "detail", "source_ids")
+    got = heads.select(F.col("root").alias("name"), "node_count", "edge_count", "deepest_hops").join(sources.groupBy(F.col("root").alias("name")).agg(F.count("*").alias("source_count")), "name")
+    table = spark.createDataFrame([("node_count", "8"), ("edge_count", "9"), ("deepest_hops", "4"), ("source_count", "2"), ("absent", "0")], "field string, value string")
+    return decide.field_contract(got, got.select("name").crossJoin(F.broadcast(table)))
 
 
 # writes
@@ -514,38 +603,106 @@ def cas_commit(spark, sf_dir):
     return writes.compare_and_set(rows, expected, "key", ("state", "tag"), {"state": "next"})
 
 
-@query(f"WITH {O.ART}, {O.OBS} SELECT artifact_id, CASE WHEN artifact_id IN (SELECT child FROM edg WHERE parent LIKE 'part/%9') THEN 'pending' ELSE 'committed' END AS auth_state FROM art WHERE role = 'action_argument'")
-def staged_commit(spark, sf_dir):
-    artifacts, edges = signed(spark, sf_dir)
-    staged = artifacts.where("role = 'action_argument'").withColumn("auth_state", F.lit("pending"))
-    return writes.commit_staged(staged, edges.where(~F.col("parent_artifact_id").rlike("^part/.*9$"))).select("artifact_id", "auth_state")
-
+def _written(spark, sf_dir):
+    """Digests of orders, written beside the stored star: (report of all writes, artifacts and edges as they are then).
 
-@query("""SELECT 'doc/' || doc_id AS artifact_id, CASE WHEN doc_id % 5 = 0 THEN 'INVALID_SOURCE_ATTESTATION' WHEN doc_id % 5 = 1 THEN 'SOURCE_ATTESTATION_INVALID' WHEN doc_id % 5 = 2 THEN 'WRITE_REPLAYED' WHEN doc_id % 5 = 3 THEN 'ARTIFACT_IMMUTABILITY_CONFLICT' ELSE 'WRITE_COMMITTED' END AS detail FROM documents WHERE doc_id >= 0""")
+    The order's number decides what is wrong, if anything: the context, the
+    producer's output, what is stored under that id, or what becomes of the
+    staged record, its edges and its parents before it is committed.
+    """
+    scratch = Scratch(spark, "written")
+    artifacts, edges = signed(spark, sf_dir)
+    k, orders = F.col("o_orderkey"), read(spark, sf_dir, "orders").select("o_orderkey")
+    parts = read(spark, sf_dir, "part").agg(F.max("p_partkey") + 1).first()[0] or 1
+    name = lambda kind, c: F.concat(F.lit(kind), c.cast("string"))
+    one = F.when(k % 11 == 3, name("digest/", k)).when(k % 11 == 4, name("gone/", k)).otherwise(name("order/", k))
+    many = F.when(k % 11 == 5, F.transform(F.sequence(F.lit(1), F.lit(65)), lambda _: name("order/", k))).when(k % 11 == 7, F.array(one, one, one)).otherwise(F.array(one))
+    role, kind = F.when(k % 11 == 1, "boss").otherwise("summary"), F.when(k % 11 == 2, "like").otherwise("summarize")
+    asked = orders.select(name("digest/", k).alias("artifact_id"), role.alias("role"), kind.alias("kind"), F.explode(F.concat(many, F.array(name("part/", k % parts)))).alias("parent"))
+    spoilt, _ = _spoilt(artifacts, edges)
+    nodes, links = signing.checked(spoilt, edges)
+    valid = closure.valid_closures(scratch.table(nodes, "nodes"), links)
+    number = F.substring("artifact_id", 7, 20).try_cast("bigint")
+    older = artifacts.withColumn("generation", F.when(F.col("artifact_id").startswith("order/") & (number % 13 == 9), F.col("generation") + 1).otherwise(F.col("generation")))
+    contexts = scratch.table(writes.prepare(asked, older, valid), "contexts").withColumn("request", F.substring("artifact_id", 8, 20).cast("bigint"))
+    r = F.col("request")
+    raw = F.when(r % 13 == 2, name('{"parent_ids":["forged/', r)).when(r % 13 == 3, F.lit('{"content":7')).otherwise(name('{"content":"digest of ', r))
+    raw = F.concat(raw, F.when(r % 13 == 2, '"],"content":"x"}').when(r % 13 == 3, "}").otherwise('"}'))
+    wanted = contexts.where("detail = 'CONTEXT_PREPARED'").drop("detail").withColumn("raw", raw)
+    tampered = wanted.withColumn("role", F.when(r % 13 == 1, "claim").otherwise(F.col("role")))
+    # what some of these writes did before, and two requests for some artifacts
+    old = writes.stage(wanted.where("request % 13 in (4, 5)").withColumn("raw", F.when(r % 13 == 5, F.lit('{"content":"other"}')).otherwise(F.col("raw"))), artifacts, edges, valid)
+    before, before_edges = writes.pending(old, artifacts)
+    _, before = writes.commit(old, scratch.table(before, "old"), scratch.table(before_edges, "old-edges"), valid)
+    stored, stored_edges = scratch.table(artifacts.unionByName(before), "stored"), scratch.table(edges.unionByName(before_edges), "stored-edges")
+    known = valid.unionByName(before.select("artifact_id", F.lit(True).alias("value")))
+    twice = tampered.unionByName(tampered.where("request % 13 = 10").withColumn("request", -r - 1).withColumn("raw", F.lit('{"content":"first"}')))
+    plan = writes.stage(twice, stored, stored_edges, known)
+    new, new_edges = writes.pending(plan, stored)
+    mine = F.substring("artifact_id", 8, 20).try_cast("bigint")
+    new = writes.tamper(new, mine % 13 == 6, "content_hash", "0" * 64)
+    new_edges = new_edges.where(~((F.substring("child_artifact_id", 8, 20).try_cast("bigint") % 13 == 7) & F.col("parent_artifact_id").startswith("part/")))
+    lost = F.col("artifact_id").startswith("order/") & (number % 13 == 8)
+    later = known.withColumn("value", F.when(lost, F.lit(False)).otherwise(F.col("value")))
+    after_edges = scratch.table(stored_edges.unionByName(new_edges), "after-edges")
+    done, after = writes.commit(plan, scratch.table(stored.unionByName(new), "after"), after_edges, later)
+    refused = contexts.where("detail <> 'CONTEXT_PREPARED'").select("request", "artifact_id", "detail")
+    return scratch.table(done.unionByName(refused), "done"), scratch.table(after, "final"), after_edges, twice
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, c_nationkey IN (2, 9) AS spoilt FROM orders JOIN customer ON o_custkey = c_custkey), s AS (
+  SELECT k, CASE WHEN k % 11 = 1 THEN 'INVALID_DERIVED_ROLE' WHEN k % 11 = 2 THEN 'INVALID_EDGE_KIND' WHEN k % 11 = 5 THEN 'INVALID_OBSERVED_PARENTS' WHEN k % 11 = 3 THEN 'SELF_PARENT' WHEN k % 11 = 4 OR spoilt THEN 'PARENT_NOT_AUTHENTIC'
+    WHEN k % 13 = 2 THEN 'UNTRUSTED_CONTROL_FIELD' WHEN k % 13 = 3 THEN 'INVALID_ARTIFACT_CONTENT' WHEN k % 13 = 1 THEN 'INVALID_TRANSFORMATION_CONTEXT' WHEN k % 13 = 9 THEN 'CONTEXT_GENERATION_MISMATCH' WHEN k % 13 = 4 THEN 'WRITE_REPLAYED'
+    WHEN k % 13 IN (5, 10) THEN 'ARTIFACT_IMMUTABILITY_CONFLICT' WHEN k % 13 = 6 THEN 'PENDING_STAGE_CONFLICT' WHEN k % 13 = 7 THEN 'INCOMPLETE_STAGED_ANCESTRY' WHEN k % 13 = 8 THEN 'COMMIT_VERIFICATION_FAILED' ELSE 'WRITE_COMMITTED' END AS detail FROM o
+) SELECT k AS request, 'digest/' || k AS artifact_id, detail FROM s UNION ALL SELECT -k - 1, 'digest/' || k, 'WRITE_COMMITTED' FROM s WHERE k % 13 = 10 AND detail = 'ARTIFACT_IMMUTABILITY_CONFLICT'""")
+def staged_write(spark, sf_dir):
+    return _written(spark, sf_dir)[0]
+
+
+@query("""SELECT o_orderkey AS request, 'UNTRUSTED_CONTROL_FIELD' AS detail, CAST(0 AS BIGINT) AS child_vertices, CAST(0 AS BIGINT) AS claimed_vertices, CAST(0 AS BIGINT) AS child_edges
+FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 13 = 2 AND o_orderkey % 11 NOT IN (1, 2, 3, 4, 5) AND c_nationkey NOT IN (2, 9)""")
+def forged_parents(spark, sf_dir):
+    """A producer that names parents of its own is refused, and leaves neither its artifact, nor those parents, nor an edge."""
+    done, artifacts, edges, asked = _written(spark, sf_dir)
+    claimed = asked.where("request % 13 = 2").select("request", F.concat(F.lit("forged/"), F.col("request").cast("string")).alias("parent"))
+    return writes.probe(done, artifacts, edges, claimed)
+
+
+@query("""WITH d AS (SELECT *, ((doc_id % 9) + 9) % 9 AS m FROM documents)
+SELECT CASE WHEN m = 8 THEN NULL ELSE 'doc/' || doc_id END AS artifact_id, CASE WHEN m = 7 THEN 'INVALID_SOURCE_INPUT' WHEN m = 5 THEN 'UNTRUSTED_CONTROL_FIELD' WHEN doc_id IS NULL OR m = 8 THEN 'INVALID_ARTIFACT_ID' WHEN text IS NULL OR octet_length(encode(text)) > 1000000 THEN 'INVALID_ARTIFACT_CONTENT'
+  WHEN m IN (0, 6) THEN 'INVALID_SOURCE_ATTESTATION' WHEN m = 1 THEN 'SOURCE_ATTESTATION_INVALID' WHEN m = 2 THEN 'WRITE_REPLAYED' WHEN m = 3 THEN 'ARTIFACT_IMMUTABILITY_CONFLICT' ELSE 'WRITE_COMMITTED' END AS detail FROM d WHERE m IS NULL OR m <> 7
+UNION ALL SELECT NULL, 'INVALID_SOURCE_INPUT' FROM d WHERE m = 7""")
 def attestation(spark, sf_dir):
-    n, a = F.col("doc_id"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
-    rows = read(spark, sf_dir, "documents").where("doc_id >= 0").select("doc_id", a.alias("artifact_id"), F.col("text").alias("content"))
-    signature = F.when(n % 5 == 0, F.lit(None)).when(n % 5 == 1, F.lit("0" * 64)).otherwise(signing.attestation(F.col("artifact_id"), F.col("content")))
-    sources = rows.select("artifact_id", "content", F.lit("registry").alias("issuer"), F.lit(DEFAULT.connector_key_id).alias("key_id"), signature.alias("signature"))
-    stored = rows.where("doc_id % 5 in (2, 3)").select("artifact_id", F.sha2(F.when(n % 5 == 2, F.col("content")).otherwise("other"), 256).alias("content_hash"))
-    return writes.register_sources(sources, stored)
-
-
-@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'UNTRUSTED_CONTROL_FIELD' WHEN doc_id % 4 = 1 THEN 'INVALID_ARTIFACT_CONTENT' WHEN doc_id % 4 = 2 THEN 'INVALID_PRODUCER_OUTPUT' END AS fault FROM documents""")
+    """Registrations as JSON text, whose shape or signature is wrong at times."""
+    m, a = F.pmod(F.col("doc_id"), F.lit(9)), F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", m.alias("m"), a.alias("artifact_id"), F.col("text").alias("content"))
+    m = F.col("m")
+    signature = F.when(m == 0, F.lit(None)).when(m == 1, F.lit("0" * 64)).otherwise(signing.attestation(F.col("artifact_id"), F.col("content")))
+    said = F.to_json(F.struct(F.lit("registry").alias("issuer"), F.lit(DEFAULT.connector_key_id).alias("key_id"), signature.alias("signature")))
+    said = F.when(m == 6, F.concat(F.substring(said, F.lit(1), F.length(said) - 1), F.lit(',"x":1}'))).otherwise(said)
+    body = F.to_json(F.struct(F.when(m != 8, F.col("artifact_id")).alias("id"), F.col("content")))
+    raw = F.concat(F.substring(body, F.lit(1), F.length(body) - 1), F.when(body == "{}", "").otherwise(","), F.lit('"attestation":'), said, F.when(m == 5, ',"trust_state":"trusted"}').otherwise("}"))
+    raw = F.when(m == 7, F.lit("[]")).otherwise(raw)
+    stored = rows.where("m in (2, 3)").select("artifact_id", F.sha2(F.when(m == 2, F.col("content")).otherwise("other"), 256).alias("content_hash"))
+    return writes.register_sources(writes.parse_sources(rows.select(raw.alias("raw"))), stored)
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'UNTRUSTED_CONTROL_FIELD' WHEN doc_id % 6 IN (1, 4) THEN 'INVALID_ARTIFACT_CONTENT' WHEN doc_id % 6 IN (2, 5) THEN 'INVALID_PRODUCER_OUTPUT' WHEN text IS NULL THEN 'INVALID_ARTIFACT_CONTENT' WHEN octet_length(encode(text)) > 1000000 THEN 'ARTIFACT_CONTENT_TOO_LARGE' END AS fault FROM documents""")
 def producer_output(spark, sf_dir):
     n = F.col("doc_id")
-    raw = F.when(n % 4 == 0, F.lit('{"content":"x","parent_ids":["a"]}')).when(n % 4 == 1, F.lit('{"content":7}')).when(n % 4 == 2, F.lit("null")).otherwise(F.to_json(F.struct(F.col("text").alias("content"))))
+    raw = F.when(n % 6 == 0, F.lit('{"content":"x","parent_ids":["a"]}')).when(n % 6 == 1, F.lit('{"content":7}')).when(n % 6 == 2, F.lit("null")).when(n % 6 == 4, F.lit('{"content":{"content":"x"}}')).when(n % 6 == 5, F.lit('{"content":"x","content":"y"}')).otherwise(F.to_json(F.struct(F.col("text").alias("content"))))
     return read(spark, sf_dir, "documents").select("doc_id", writes.producer_output(raw).alias("fault"))
 
 
-@query(f"""WITH {O.ART}, {O.OBS}, {O.PS}, bad AS (SELECT DISTINCT child FROM edg WHERE parent LIKE 'part/%4')
-SELECT ps.child AS artifact_id, CASE WHEN bad.child IS NULL THEN 'CONTEXT_PREPARED' ELSE 'PARENT_NOT_AUTHENTIC' END AS detail, CAST(a.generation AS BIGINT) AS generation, CAST(len(parent_ids) AS BIGINT) AS parent_count, CAST(dup AS BIGINT) AS duplicate_parent_count, sha256(CAST(to_json(parent_ids) AS VARCHAR)) AS parent_set_hash
-FROM ps JOIN art a ON ps.child = a.artifact_id LEFT JOIN bad ON ps.child = bad.child""")
+@query(f"""WITH {O.SIGNED}, bad AS (SELECT DISTINCT child FROM edg WHERE parent LIKE 'part/%4')
+SELECT artifact_id, CASE WHEN bad.child IS NULL THEN 'CONTEXT_PREPARED' ELSE 'PARENT_NOT_AUTHENTIC' END AS detail, CAST(generation AS BIGINT) AS generation, CAST(parent_count AS BIGINT) AS parent_count, CAST(dup AS BIGINT) AS duplicate_parent_count, parent_set_hash,
+  CASE WHEN bad.child IS NULL THEN context_id END AS context_id, CASE WHEN bad.child IS NULL THEN {O.TOKEN} END AS token
+FROM s4 LEFT JOIN bad ON artifact_id = bad.child WHERE NOT terminal""")
 def prepare_transformation(spark, sf_dir):
     n = star.nodes(spark, sf_dir)
     asked = star.derivations(spark, sf_dir).join(n.select(F.col("artifact_id").alias("child"), "role", F.col("lineage_kind").alias("kind")), "child").withColumnRenamed("child", "artifact_id")
     valid = n.select("artifact_id", (~F.col("artifact_id").rlike("^part/.*4$")).alias("value"))
-    return writes.prepare(asked, n, valid).withColumn("generation", _n("generation"))
+    return writes.prepare(asked, n, valid).select("artifact_id", "detail", _n("generation"), _n("parent_count"), _n("duplicate_parent_count"), "parent_set_hash", "context_id", "token")
 
 
 # contracts

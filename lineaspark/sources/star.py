@@ -73,27 +73,82 @@ def chains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return made, links
 
 
-def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw action intents as JSON text (``event_id``, ``raw``), a row for each event; some are malformed on purpose.
+def _event_fields(spark: SparkSession, sf_dir: str, again: bool) -> DataFrame:
+    """Events as ``event``, its number ``n``, ``ms`` and ``arrived_at``, and whether it is sent again with another payload.
 
-    The event's number decides which fault, if any, so every rule has rows.
+    With ``again`` some events are sent twice: under the same request id, either as they were or changed.
     """
     e = read(spark, sf_dir, "events")
-    n = F.col("event_id")
-    at = millis(F.col("ts"))
+    e = e.select(F.col("event_id").alias("n"), millis(F.col("ts")).alias("ms"), "user_id", "event_type", F.get_json_object("props", "$.k").alias("k"))
+    sent = [e.withColumn("event", F.col("n")).withColumn("arrived_at", F.col("ms")).withColumn("changed", F.lit(False))]
+    if again:
+        late = e.withColumn("arrived_at", F.col("ms") + 1)
+        sent.append(late.where("n % 73 = 26").withColumn("event", F.col("n") * -2).withColumn("changed", F.lit(False)))
+        sent.append(late.where("n % 79 = 27").withColumn("event", F.col("n") * -2 - 1).withColumn("changed", F.lit(True)))
+    return reduce(DataFrame.unionByName, sent)
+
+
+def _payload() -> dict[str, Column]:
+    """What an event's action is about, by its number."""
+    n = F.col("n")
+    return {
+        "action_type": F.when(n % 29 == 9, "erase").otherwise("send_message"),
+        "data_class": F.when(n % 13 == 5, "restricted").when(n % 17 == 6, "secret").otherwise("internal"),
+        "destination": F.when(n % 11 == 3, "external:mail").otherwise("internal:alerts"),
+        "payload": F.when(n % 19 == 7, "").otherwise(F.concat(F.lit("event "), F.col("event_type"))),
+        "subject_id": F.concat(F.lit("user-"), F.col("user_id").cast("string")),
+    }
+
+
+def intents(spark: SparkSession, sf_dir: str, again: bool = False) -> DataFrame:
+    """Raw action intents as JSON text (``event_id``, ``n``, ``raw``, ``arrived_at``), a row for each event; many are malformed on purpose.
+
+    The event's number decides which fault, if any, so every rule has rows:
+    fields that are missing, unknown, repeated, too long or of another JSON type.
+    """
+    n = F.col("n")
     text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    destination = F.when(n % 11 == 3, "external:mail").otherwise("internal:alerts")
-    data_class = F.when(n % 13 == 5, "restricted").when(n % 17 == 6, "secret").otherwise("internal")
-    payload = F.when(n % 19 == 7, "").otherwise(F.concat(F.lit("event "), F.col("event_type")))
-    action = F.concat_ws(":", F.lit("a"), F.col("user_id"), F.col("event_type"), F.get_json_object("props", "$.k"))
+    about = _payload()
+    action = F.concat_ws(":", F.lit("a"), F.col("user_id"), F.col("event_type"), F.col("k"))
+    payload = F.when(n % 101 == 33, F.repeat(F.lit("p"), 4097)).otherwise(F.concat(about["payload"], F.when(F.col("changed"), "!").otherwise("")))
+    destination = text(about["destination"])
     fields = F.concat(
-        F.lit('{"action_id":'), text(F.when(n % 23 == 8, "not valid").otherwise(action)),
-        F.lit(',"subject_id":'), text(F.concat(F.lit("user-"), F.col("user_id").cast("string"))),
-        F.lit(',"action_type":'), text(F.when(n % 29 == 9, "erase").otherwise("send_message")),
-        F.lit(',"parameters":{"data_class":'), text(data_class), F.lit(',"destination":'), text(destination), F.lit(',"payload":'), text(payload), F.lit("}"),
+        F.lit('{"action_id":'), F.when(n % 83 == 30, F.lit("7")).otherwise(text(F.when(n % 23 == 8, "not valid").otherwise(action))),
+        F.lit(',"subject_id":'), F.when(n % 109 == 36, F.lit("null")).otherwise(text(about["subject_id"])),
+        F.lit(',"action_type":'), text(about["action_type"]),
+        F.lit(',"parameters":{"data_class":'), text(about["data_class"]),
+        F.lit(',"destination":'), F.when(n % 97 == 32, F.concat(F.lit('{"destination":'), destination, F.lit("}"))).otherwise(destination),
+        F.lit(',"payload":'), text(payload), F.when(n % 103 == 34, F.lit(',"x":1}')).otherwise(F.lit("}")),
         F.when(n % 31 == 10, F.lit("")).otherwise(F.concat(F.lit(',"request_id":'), text(F.concat(F.lit("r-"), n.cast("string"))))),
-        F.lit(',"requested_at":'), at.cast("string"),
-        F.lit(',"provenance_artifact_id":'), text(F.concat(F.lit("lineitem/"), (n % 1000).cast("string"), F.lit("-1"))),
-        F.when(n % 37 == 11, F.lit(',"trusted":true')).otherwise(F.lit("")), F.lit("}"),
+        F.lit(',"requested_at":'), F.when(n % 89 == 31, text(F.col("ms").cast("string"))).when(n % 107 == 35, F.lit("1000.5")).otherwise(F.col("ms").cast("string")),
+        F.lit(',"provenance_artifact_id":'), text(F.concat(F.lit("action/"), n.cast("string"))),
+        F.when(n % 37 == 11, F.lit(',"trusted":true')).otherwise(F.lit("")), F.when((n % 127 == 38) & (n % 31 != 10), F.lit(',"request_id":"r"')).otherwise(F.lit("")), F.lit("}"),
+    )
+    raw = F.when(n % 41 == 12, F.lit("[1]")).when(n % 113 == 37, F.lit('"text"')).otherwise(fields)
+    return _event_fields(spark, sf_dir, again).select(F.col("event").alias("event_id"), "n", raw.alias("raw"), "arrived_at")
+
+
+def actions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Action arguments of events as (nodes, derivations), to add to those of the star without its line items.
+
+    An action's content is the canonical text that its intent's digest covers,
+    and it derives from a customer and a part; by the event's number it is not
+    stored, has another content, one source only, a longer ancestry or more parts.
+    """
+    keys = {t: read(spark, sf_dir, t).agg(F.coalesce(F.max(c) + 1, F.lit(1))).first()[0] for t, c in (("customer", "c_custkey"), ("part", "p_partkey"), ("orders", "o_orderkey"))}
+    n, about = F.col("n"), _payload()
+    name = F.concat(F.lit("action/"), n.cast("string"))
+    parts = [F.lit(x) for x in ('{"action_type":"', '","parameters":{"data_class":"', '","destination":"', '","payload":"', '"},"subject_id":"', '"}')]
+    whole = F.concat(*(x for pair in zip(parts, [about[f] for f in ("action_type", "data_class", "destination", "payload", "subject_id")], strict=False) for x in pair), parts[-1])
+    e = _event_fields(spark, sf_dir, False).where("n % 43 <> 14")
+    made = e.select(
+        name.alias("artifact_id"), F.lit("action_argument").alias("role"), F.lit(4).alias("generation"), F.lit("require").alias("lineage_kind"),
+        F.when(n % 47 == 15, "other").otherwise(whole).alias("content"), F.lit("derived").alias("trust_state"), F.lit("lineage-writer-v1").alias("authority_id"),
+    )
+    at = lambda kind, table, c: F.concat(F.lit(kind), F.pmod(c, F.lit(keys[table])).cast("string"))
+    some = F.when(n % 61 == 18, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.when(n % 59 == 17, 5).otherwise(0)))
+    parents = F.concat(
+        F.array(at("customer/", "customer", n)), F.transform(some, lambda k: at("part/", "part", n + k)),
+        F.when(n % 53 == 16, F.array(at("order/", "orders", n))).otherwise(F.array().cast("array<string>")),
     )
-    return e.select("event_id", F.when(n % 41 == 12, F.lit("[1]")).otherwise(fields).alias("raw"), at.alias("arrived_at"))
+    return made, e.select(name.alias("child"), F.explode(parents).alias("parent"))
