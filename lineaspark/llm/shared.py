@@ -1,37 +1,17 @@
-"""Written intermediate tables (as the rest of the library writes them), code shipping, and workers that give memory back."""
+"""Written intermediate tables and code shipping, as the rest of the library has them, and workers that give memory back."""
 
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
 
+from ..sources.shipping import ship
 from ..sources.snapshots import Scratch
 
 __all__ = ["Scratch", "freeing", "ship"]
 
-ROOT = Path(__file__).resolve().parents[2]
-
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, wherever the driver was started."""
-    sc = spark.sparkContext
-    if str(ROOT) in os.environ.get("PYTHONPATH", "").split(":") or getattr(sc, "_lineaspark_shipped", False):
-        return
-    fd, name = tempfile.mkstemp(suffix=".zip", prefix="lineaspark-")
-    os.close(fd)
-    with zipfile.ZipFile(name, "w") as z:
-        for p in sorted((ROOT / "lineaspark").rglob("*.py")):
-            z.write(p, p.relative_to(ROOT))
-    sc.addPyFile(name)
-    sc._lineaspark_shipped = True
-
 
 def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """``run``, after whose partition the worker gives unused memory back: workers stay, and wait beside later stages."""
