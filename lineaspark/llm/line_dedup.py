@@ -8,11 +8,16 @@ common prefix is 2^k lines or more.  A suffix that is alone in its interval can
 share no longer run, so it leaves; doubling ends when no interval is left.
 
 In each interval the occurrence that comes first (by document, then line)
-stays, and the runs at the others are later copies.  The union of those runs,
-cut at gaps, gives the maximal repeated runs that are deleted: a run of n >= 2
-lines with an earlier copy is covered by the intervals of its own suffixes.
-A run of one line counts on request only, if the line is long: the report keeps
-to its SQL, which knows pairs of lines, and the corpus pipeline asks for both.
+stays, and the runs at the others are later copies.  Runs of ``min_lines`` or
+more are deleted: the prefixes of just so many lines are told apart by two
+overlapping ranks of the greatest power of two in it, and the union of the
+later ones, cut at gaps, gives the maximal repeated runs.  What a run copies is
+the first occurrence of its first ``min_lines`` lines, and how far it goes on
+like that, the longest common prefix of the two suffixes, is added up from the
+ranks of all levels, the greatest first.
+
+A run of one line counts on request only, if the line is long; the corpus
+pipeline asks for that.
 
 Only DataFrame operations.  Ranks are made without a global window: groups are
 range-partitioned and sorted, and a row's number within its partition, below
@@ -58,24 +63,26 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def intervals(lines: DataFrame, scratch: Scratch, most_levels: int = 40) -> list[DataFrame]:
-    """Per level k the suffixes that share their first 2^k lines: (``_doc``, ``seq``, ``rank``, ``first`` occurrence)."""
+    """Per level k the suffixes that share their first 2^k lines with another: (``_doc``, ``seq``, ``rank``)."""
     names = scratch.table(_ranked(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), ["h1", "h2"]), "names-0")
-    now = scratch.table(lines.join(names, ["h1", "h2"]).select("_doc", "seq", "rank"), "level-0")
-    found = []
+    found = [scratch.table(lines.join(names, ["h1", "h2"]).select("_doc", "seq", "rank"), "level-0")]
     for k in range(most_levels):
-        ahead = Window.partitionBy("_doc").orderBy("seq").rangeBetween(1 << k, 1 << k)
-        pairs = now.select("_doc", "seq", F.col("rank").alias("r1"), F.max("rank").over(ahead).alias("r2")).where("r2 is not null")
-        pairs = scratch.table(pairs, f"pairs-{k + 1}")
-        groups = pairs.groupBy("r1", "r2").agg(F.count("*").alias("n"), F.min(F.struct("_doc", "seq")).alias("first")).where("n > 1")
-        names = scratch.table(_ranked(groups.select("r1", "r2", "first"), ["r1", "r2"]), f"names-{k + 1}")
+        pairs = scratch.table(_pairs(found[-1], 1 << k), f"pairs-{k + 1}")
+        groups = pairs.groupBy("r1", "r2").agg(F.count("*").alias("n")).where("n > 1")
+        names = scratch.table(_ranked(groups.select("r1", "r2"), ["r1", "r2"]), f"names-{k + 1}")
         if names.isEmpty():
             break
-        now = scratch.table(pairs.join(names, ["r1", "r2"]).select("_doc", "seq", "rank", "first"), f"level-{k + 1}")
+        found.append(scratch.table(pairs.join(names, ["r1", "r2"]).select("_doc", "seq", "rank"), f"level-{k + 1}"))
         scratch.drop(f"pairs-{k + 1}")
-        found.append(now)
     return found
 
 
+def _pairs(level: DataFrame, ahead: int) -> DataFrame:
+    """Suffixes with their rank and that of the suffix ``ahead`` lines on, where both have one."""
+    there = Window.partitionBy("_doc").orderBy("seq").rangeBetween(ahead, ahead)
+    return level.select("_doc", "seq", F.col("rank").alias("r1"), F.max("rank").over(there).alias("r2")).where("r2 is not null")
+
+
 def long_copies(lines: DataFrame) -> DataFrame:
     """(``_doc``, ``seq``, ``size`` 1) of the later copies of single long lines."""
     some = lines.where("long")
@@ -83,73 +90,112 @@ def long_copies(lines: DataFrame) -> DataFrame:
     return some.join(first, ["h1", "h2"]).where(F.struct("_doc", "seq") > F.col("first")).select("_doc", "seq", F.lit(1).alias("size"))
 
 
-def removed_lines(docs: DataFrame, scratch: Scratch, single: bool = False) -> DataFrame:
-    """(``_doc``, ``n_lines``, ``n_removed``, ``gone`` line numbers, ``removed_runs``) for documents with a line.
+def later_copies(levels: list[DataFrame], min_lines: int) -> DataFrame:
+    """(``_doc``, ``seq``, ``size``, ``first``) of the prefixes of ``min_lines`` lines that occurred before, and where they did first."""
+    k = min_lines.bit_length() - 1
+    if k >= len(levels):
+        return levels[0].where("false").select("_doc", "seq", F.lit(min_lines).alias("size"), F.struct("_doc", "seq").alias("first"))
+    more = min_lines - (1 << k)
+    grams = _pairs(levels[k], more) if more else levels[k].select("_doc", "seq", F.col("rank").alias("r1"), F.lit(0).cast("long").alias("r2"))
+    first = grams.groupBy("r1", "r2").agg(F.count("*").alias("n"), F.min(F.struct("_doc", "seq")).alias("first")).where("n > 1")
+    return grams.join(first, ["r1", "r2"]).where(F.struct("_doc", "seq") > F.col("first")).select("_doc", "seq", F.lit(min_lines).alias("size"), "first")
 
-    ``removed_runs`` are the maximal deleted runs as ``first-last`` line
-    numbers from 0, joined by commas; a run goes on over blank lines.  With
-    ``single`` a long line is a run by itself.
+
+def common_prefixes(pairs: DataFrame, levels: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """``pairs`` of suffixes (``_doc``, ``seq`` and ``first``) with ``lcp``, the lines that they have in common from there on.
+
+    A level's ranks say whether the next 2^k lines agree, so one pass over the
+    levels from the greatest gives the length, bit by bit.
     """
-    lines = scratch.table(lines_of(docs), "lines")
-    levels = intervals(lines, scratch)
-    spans = long_copies(lines) if single else None
-    for k, level in enumerate(levels, 1):
-        later = level.where(F.struct("_doc", "seq") > F.col("first")).select("_doc", "seq", F.lit(1 << k).alias("size"))
-        spans = later if spans is None else spans.unionByName(later)
-    sizes = lines.groupBy("_doc").agg(F.count("*").alias("n_lines"))
-    if spans is None:
-        return sizes.select("_doc", "n_lines", F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<int>").alias("gone"), F.lit("").alias("removed_runs"))
+    now = pairs.withColumn("lcp", F.lit(0))
+    for k in range(len(levels) - 1, -1, -1):
+        here = levels[k].select("_doc", F.col("seq").alias("_at"), F.col("rank").alias("_r"))
+        there = levels[k].select(F.col("_doc").alias("_other"), F.col("seq").alias("_to"), F.col("rank").alias("_s"))
+        now = now.withColumn("_at", F.col("seq") + F.col("lcp")).join(here, ["_doc", "_at"], "left").drop("_at")
+        now = now.withColumn("_other", F.col("first._doc")).withColumn("_to", F.col("first.seq") + F.col("lcp")).join(there, ["_other", "_to"], "left").drop("_other", "_to")
+        same = F.coalesce(F.col("_r") == F.col("_s"), F.lit(False))
+        now = scratch.table(now.withColumn("lcp", F.col("lcp") + F.when(same, 1 << k).otherwise(0)).drop("_r", "_s"), f"lcp-{k}")
+    return now
+
+
+def gone_lines(lines: DataFrame, spans: DataFrame) -> DataFrame:
+    """(``_doc``, ``seq``, ``line_no``) of the lines that runs (``_doc``, ``seq``, ``size``) cover."""
     # a line goes if the furthest end of the runs that begin at or before it lies beyond it
     longest = spans.groupBy("_doc", "seq").agg(F.max("size").alias("size"))
     order = Window.partitionBy("_doc").orderBy("seq")
     rows = lines.select("_doc", "seq", "line_no").join(longest, ["_doc", "seq"], "left")
     reach = F.max(F.col("seq") + F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    gone = rows.withColumn("reach", reach).where("reach > seq").select("_doc", "seq", "line_no")
-    run = gone.withColumn("run", F.col("seq") - F.row_number().over(order)).groupBy("_doc", "run").agg(
-        F.min("line_no").alias("a"), F.max("line_no").alias("b"), F.sort_array(F.collect_list("line_no")).alias("gone")
-    )
-    out = run.groupBy("_doc").agg(F.array_sort(F.collect_list(F.struct("a", "b", "gone"))).alias("runs")).select(
-        "_doc", F.flatten(F.transform("runs", lambda x: x["gone"])).alias("gone"),
-        F.array_join(F.transform("runs", lambda x: F.concat_ws("-", x["a"], x["b"])), ",").alias("removed_runs"),
-    )
-    return sizes.join(out, "_doc", "left").select(
-        "_doc", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("gone", F.array().cast("array<int>")).alias("gone"), F.coalesce("removed_runs", F.lit("")).alias("removed_runs"),
-    )
+    return rows.withColumn("reach", reach).where("reach > seq").select("_doc", "seq", "line_no")
+
+
+def _runs(gone: DataFrame, by: str) -> DataFrame:
+    """(``_doc``, ``seq`` of the first line, ``n`` lines, first ``a`` and last ``b`` line numbers) of the runs without a gap in ``by``."""
+    order = Window.partitionBy("_doc").orderBy("seq")
+    return gone.withColumn("_run", F.col(by) - F.row_number().over(order)).groupBy("_doc", "_run").agg(F.min("seq").alias("seq"), F.count("*").alias("n"), F.min("line_no").alias("a"), F.max("line_no").alias("b")).drop("_run")
+
 
+def report(docs: DataFrame, min_lines: int = 2) -> DataFrame:
+    """(``doc_id``, ``n_lines``, ``n_removed``, ``removed_runs``, ``kept_runs``) for every row; without lines 0, 0 and empty.
 
-def report(docs: DataFrame) -> DataFrame:
-    """(``doc_id``, ``n_lines``, ``n_removed``, ``removed_runs``) for every row; without lines 0, 0 and empty."""
+    ``removed_runs`` are the maximal deleted runs as ``first-last`` line
+    numbers from 0, joined by commas; a run goes on over blank lines.
+    ``kept_runs`` has for each of them ``document:line+length``: where its first
+    ``min_lines`` lines occur first, and how many lines agree from there on.
+    """
     scratch = Scratch(docs.sparkSession, "lines")
     docs = numbered(docs.select("doc_id", "text"), scratch)
-    found = removed_lines(docs, scratch)
-    return docs.select("doc_id", "_doc").join(found, "_doc", "left").select(
+    lines = scratch.table(lines_of(docs), "lines")
+    levels = intervals(lines, scratch)
+    later = scratch.table(later_copies(levels, min_lines), "later")
+    runs = _runs(gone_lines(lines, later), "seq").join(later.select("_doc", "seq", "first"), ["_doc", "seq"])
+    runs = common_prefixes(scratch.table(runs, "runs"), levels, scratch)
+    kept = lines.select(F.struct("_doc", "seq").alias("first"), F.col("line_no").alias("_line"))
+    runs = runs.join(kept, "first")
+    said = F.concat(F.coalesce(F.col("first._doc.doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("_line").cast("string"), F.lit("+"), F.col("lcp").cast("string"))
+    out = runs.groupBy("_doc").agg(F.sum("n").alias("n_removed"), F.array_sort(F.collect_list(F.struct("a", "b", said.alias("said")))).alias("runs"))
+    sizes = lines.groupBy("_doc").agg(F.count("*").alias("n_lines"))
+    rows = docs.select("doc_id", "_doc").join(sizes, "_doc", "left").join(out, "_doc", "left")
+    text = lambda f: F.coalesce(F.array_join(F.transform("runs", f), ","), F.lit(""))
+    return rows.select(
         "doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
-        F.coalesce("removed_runs", F.lit("")).alias("removed_runs"),
+        text(lambda x: F.concat_ws("-", x["a"], x["b"])).alias("removed_runs"), text(lambda x: x["said"]).alias("kept_runs"),
     )
 
 
-def dedup_lines(docs: DataFrame, broadcast_lines: int = 2_000_000) -> DataFrame:
-    """``docs`` without later copies of repeated runs of 2 lines or more, or of single lines of ``LONG`` words or more; all columns stay.
+def dedup_lines(docs: DataFrame, broadcast_lines: int = 2_000_000, min_lines: int = 2, single: bool = True) -> DataFrame:
+    """``docs`` without later copies of repeated runs of ``min_lines`` lines or more, or with ``single`` of single lines of ``LONG`` words or more; all columns stay.
 
     A document that had lines and has only blank ones left goes as a whole; a
     null, empty or blank text stays as it is.
 
-    The lists of lines to delete are broadcast if they hold ``broadcast_lines``
-    line numbers at most, counted first, so that texts aren't shuffled; beyond
-    that the join is by shuffle.
+    The lists of runs to delete are broadcast if they hold ``broadcast_lines``
+    numbers at most, counted first, so that texts aren't shuffled; beyond that
+    the join is by shuffle.
     """
     columns = docs.columns
     scratch = Scratch(docs.sparkSession, "lines")
     docs = numbered(docs, scratch)
-    found = removed_lines(docs.select("_doc", "text"), scratch, True).where("n_removed > 0")
-    found = scratch.table(found.select("_doc", F.col("gone").alias("_gone"), (F.col("n_lines") == F.col("n_removed")).alias("_all")), "found")
-    if (found.agg(F.sum(F.size("_gone") + 8)).first()[0] or 0) <= broadcast_lines:
+    lines = scratch.table(lines_of(docs.select("_doc", "text")), "lines")
+    spans = later_copies(intervals(lines, scratch), min_lines).drop("first")
+    if single:
+        spans = spans.unionByName(long_copies(lines))
+    gone = scratch.table(gone_lines(lines, spans), "gone")
+    cut = _runs(gone, "line_no").groupBy("_doc").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("_cut"), F.sum("n").alias("n_removed"))
+    sizes = lines.join(gone.select("_doc").distinct(), "_doc", "left_semi").groupBy("_doc").agg(F.count("*").alias("n_lines"))
+    found = scratch.table(cut.join(sizes, "_doc").select("_doc", "_cut", (F.col("n_lines") == F.col("n_removed")).alias("_all")), "found")
+    if (found.agg(F.sum(2 * F.size("_cut") + 8)).first()[0] or 0) <= broadcast_lines:
         found = F.broadcast(found)
     rows = docs.join(found, "_doc", "left").where("not coalesce(_all, false)")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return rows.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)).select(*columns)
+    # what lies between the runs, each piece copied once
+    split, ends = F.split("text", "\n", -1), F.transform("_cut", lambda x: x["b"] + 1)
+    begins, stops = F.concat(F.array(F.lit(0)), ends), F.concat(F.transform("_cut", lambda x: x["a"]), F.array(F.size(split)))
+    pieces = F.transform(F.arrays_zip(begins.alias("x"), stops.alias("y")), lambda p: F.slice(split, p["x"] + 1, p["y"] - p["x"]))
+    left = F.array_join(F.flatten(pieces), "\n")
+    return rows.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(left)).select(*columns)
+
 
+#: The query's runs have three lines or more, told apart by two overlapping pairs; lengths come from all levels.
+MIN_LINES = 3
 
 SQL = r"""
 WITH l AS (
@@ -159,20 +205,27 @@ WITH l AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS seq
   FROM l WHERE regexp_matches(line, '[^\t\x0B\f\r ]')
 ), p AS (
-  SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY seq) AS following FROM s
+  SELECT *, lead(line) OVER w AS second, lead(line, 2) OVER w AS third FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY seq)
 ), f AS (
-  SELECT *, row_number() OVER (PARTITION BY line, following ORDER BY doc_id, seq) AS nth FROM p WHERE following IS NOT NULL
+  SELECT doc_id, seq, row_number() OVER w AS nth, first_value(doc_id) OVER w AS first_doc, first_value(seq) OVER w AS first_seq, first_value(line_no) OVER w AS first_line
+  FROM p WHERE third IS NOT NULL WINDOW w AS (PARTITION BY line, second, third ORDER BY doc_id, seq)
 ), gone AS (
-  SELECT doc_id, seq FROM f WHERE nth > 1 UNION SELECT doc_id, seq + 1 FROM f WHERE nth > 1
-), runs AS (
+  SELECT DISTINCT doc_id, seq + k AS seq FROM f, range(3) t(k) WHERE nth > 1
+), marked AS (
   SELECT doc_id, seq, line_no, seq - row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS run
   FROM gone JOIN s USING (doc_id, seq)
 ), cut AS (
-  SELECT doc_id, count(*) AS n, min(line_no) AS a, max(line_no) AS b FROM runs GROUP BY doc_id, run
+  SELECT doc_id, min(seq) AS seq, count(*) AS n, min(line_no) AS a, max(line_no) AS b FROM marked GROUP BY doc_id, run
+), c AS (
+  SELECT cut.*, first_doc, first_seq, first_line FROM cut JOIN f USING (doc_id, seq)
+), ends AS (
+  SELECT c.doc_id, c.seq, min(x.seq - c.seq) FILTER (WHERE y.line IS NULL OR x.line <> y.line) AS differ, max(x.seq - c.seq) + 1 AS whole
+  FROM c JOIN s x ON x.doc_id = c.doc_id AND x.seq >= c.seq LEFT JOIN s y ON y.doc_id = c.first_doc AND y.seq = x.seq - c.seq + c.first_seq GROUP BY c.doc_id, c.seq
 ), removed AS (
-  SELECT doc_id, sum(n) AS n, string_agg(a || '-' || b, ',' ORDER BY a) AS said FROM cut GROUP BY doc_id
+  SELECT doc_id, sum(n) AS n, string_agg(a || '-' || b, ',' ORDER BY a) AS said, string_agg(first_doc || ':' || first_line || '+' || coalesce(differ, whole), ',' ORDER BY a) AS kept
+  FROM c JOIN ends USING (doc_id, seq) GROUP BY doc_id
 )
-SELECT d.doc_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed, coalesce(r.said, '') AS removed_runs
+SELECT d.doc_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed, coalesce(r.said, '') AS removed_runs, coalesce(r.kept, '') AS kept_runs
 FROM documents d
 LEFT JOIN (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id) c USING (doc_id)
 LEFT JOIN removed r USING (doc_id)
@@ -180,4 +233,4 @@ LEFT JOIN removed r USING (doc_id)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    return report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return report(spark.read.parquet(f"{sf_dir}/documents.parquet"), MIN_LINES)

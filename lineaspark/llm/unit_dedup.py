@@ -13,6 +13,9 @@ of consecutive units, short or not, goes on until it has ``PASSAGE`` words, and
 another goes back.  Windows are grouped like units.  A shared passage of twice
 that length has such a window for each of its short units.  Of a script without
 spaces two characters count as a word, and its full stops end sentences.
+
+With ``least_run`` what repeats is removed only where it goes on for so many
+words: single sentences that many documents share, such as notices, stay.
 """
 
 from __future__ import annotations
@@ -24,14 +27,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import Scratch, ship
+from .line_dedup import numbered
+from .shared import Scratch, freeing, ship
 
 _UNIT = re.compile(r"[^\n]*?(?:[.!?](?=[ \n])|[\u3002\uff01\uff1f])|[^\n]+")
 _CLOSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
 LEAST_WORDS = 8
 PASSAGE = 25
+RUN = 20  # words of a repeated run that the query removes
 
 
 def _length(unit: str, words: list[str]) -> int:
@@ -40,8 +45,8 @@ def _length(unit: str, words: list[str]) -> int:
     return len(_CLOSE.sub(" ", unit).split()) + sum((len(x) + 1) // 2 for x in close) if close else len(words)
 
 
-def units(text: str | None, least_words: int = LEAST_WORDS, passage: int | None = None) -> Iterator[tuple[int, int, int]]:
-    """(start, end, 128-bit digest) of a whole text's units, and with ``passage`` its windows of so many words, white space at their ends left out."""
+def units(text: str | None, least_words: int = LEAST_WORDS, passage: int | None = None) -> Iterator[tuple[int, int, int, int, int]]:
+    """(start, end, words before it, words up to its end, 128-bit digest) of a whole text's units, and with ``passage`` its windows of so many words, white space at their ends left out."""
     spans, normals, total = [], [], [0]
     for m in _UNIT.finditer(text or ""):
         words = m[0].split()
@@ -52,7 +57,7 @@ def units(text: str | None, least_words: int = LEAST_WORDS, passage: int | None
         normals.append(" ".join(words).lower())
         total.append(total[-1] + _length(m[0], words))
         if total[-1] - total[-2] >= least_words:
-            yield *spans[-1], xxhash.xxh3_128_intdigest(normals[-1])
+            yield *spans[-1], total[-2], total[-1], xxhash.xxh3_128_intdigest(normals[-1])
     windows = set()
     for k in range(len(spans)) if passage else ():
         if total[k + 1] - total[k] < least_words:
@@ -63,55 +68,72 @@ def units(text: str | None, least_words: int = LEAST_WORDS, passage: int | None
             if first >= 0:
                 windows.add((first, k + 1))
     for a, z in sorted(windows):
-        yield spans[a][0], spans[z - 1][1], xxhash.xxh3_128_intdigest(" ".join(normals[a:z]))
+        yield spans[a][0], spans[z - 1][1], total[a], total[z], xxhash.xxh3_128_intdigest(" ".join(normals[a:z]))
 
 
 def occurrences(docs: DataFrame, least_words: int = LEAST_WORDS, passage: int | None = None) -> DataFrame:
-    """(``h1``, ``h2``, ``doc_id``, ``start``, ``end``) of every unit and window."""
+    """(``h1``, ``h2``, ``_doc``, ``start``, ``end``, ``w0``, ``w1``) of every unit and window of ``docs`` (``_doc``, ``text``)."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
-                row, start, end, digest = [], [], [], []
+                row, places, digest = [], [], []
                 for i, text in enumerate(part.column("text").to_pylist()):
-                    for a, z, h in units(text, least_words, passage):
+                    for *place, h in units(text, least_words, passage):
                         row.append(i)
-                        start.append(a)
-                        end.append(z)
+                        places.append(place)
                         digest.append(h.to_bytes(16, "little"))
                 h = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
+                at = np.array(places, np.int64).reshape(-1, 4)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[:, 0]), pa.array(h[:, 1]), part.column("doc_id").take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(end, pa.int64())],
-                    ["h1", "h2", "doc_id", "start", "end"],
+                    [pa.array(h[:, 0]), pa.array(h[:, 1]), part.column("_doc").take(pa.array(row, pa.int64())), *(pa.array(at[:, c]) for c in range(4))],
+                    ["h1", "h2", "_doc", "start", "end", "w0", "w1"],
                 )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"h1 bigint, h2 bigint, doc_id {kind}, start bigint, end bigint")
+    kind = docs.schema["_doc"].dataType.simpleString()
+    return docs.select("_doc", "text").mapInArrow(freeing(run), f"h1 bigint, h2 bigint, _doc {kind}, start bigint, end bigint, w0 bigint, w1 bigint")
 
 
-def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, passage: int | None = None) -> DataFrame:
+def _removed(docs: DataFrame, scratch: Scratch, least_words: int, passage: int | None, least_run: int) -> DataFrame:
+    """(``_doc``, ``start``, ``end``, ``first`` place of what is kept) of ``docs`` (``_doc``, ``text``)."""
+    found = scratch.table(occurrences(docs, least_words, passage), "units")
+    place = F.struct("_doc", "start")
+    first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h1", "h2", "first")
+    first = scratch.table(first, "first")
+    again = found.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
+    if not least_run:
+        return again
+    # units follow one another if one has its words right behind the other's
+    order = Window.partitionBy("_doc").orderBy("w0", "w1")
+    before = F.max("w1").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = again.withColumn("_new", F.coalesce((F.col("w0") > before).cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("_doc", "_run")
+    return runs.withColumn("_words", F.max("w1").over(whole) - F.min("w0").over(whole)).where(F.col("_words") >= least_run)
+
+
+def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, passage: int | None = None, least_run: int = 0) -> DataFrame:
     """(``doc_id``, ``start``, ``end``, ``kept_doc_id``, ``kept_start``): a row for each unit or window that is removed; rows may overlap.
 
-    Null and empty texts have no units.  Null ids rank first.  Rows that repeat
-    a ``doc_id`` can't be told apart at the same place: there no copy is
-    removed, since both are the earliest occurrence.
+    Null and empty texts have no units.  Null ids rank first, and rows that
+    share an id, or have none, are documents of their own, in order of row.
     """
     scratch = Scratch(docs.sparkSession, "units")
-    found = scratch.table(occurrences(docs, least_words, passage), "units")
-    place = F.struct("doc_id", "start")
-    first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h1", "h2", "first")
-    first = scratch.table(first, "first")
-    return found.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select(
-        "doc_id", "start", "end", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start")
+    docs = numbered(docs.select("doc_id", "text"), scratch)
+    return _removed(docs, scratch, least_words, passage, least_run).select(
+        F.col("_doc.doc_id").alias("doc_id"), "start", "end", F.col("first._doc.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start")
     )
 
 
-def dedup_units(docs: DataFrame, least_words: int = LEAST_WORDS, passage: int | None = None) -> DataFrame:
+def dedup_units(docs: DataFrame, least_words: int = LEAST_WORDS, passage: int | None = None, least_run: int = 0) -> DataFrame:
     """``docs`` without the removed units, all columns kept, and ``removed``: array<struct<start, end>> in original offsets (in place of a column of that name)."""
-    spans = repeats(docs, least_words, passage).groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("start", "end")))).alias("_removed"))
-    rows = docs.join(spans.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    kept = [c for c in docs.columns if c not in ("text", "removed")]
+    scratch = Scratch(docs.sparkSession, "units")
+    docs = numbered(docs, scratch)
+    spans = _removed(docs.select("_doc", "text"), scratch, least_words, passage, least_run)
+    spans = spans.groupBy("_doc").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("start", "end")))).alias("_removed"))
+    rows = docs.join(spans.withColumnRenamed("_doc", "_key"), F.col("_doc").eqNullSafe(F.col("_key")), "left")
 
     @F.pandas_udf("string")
     def cut(text, removed):
@@ -126,10 +148,9 @@ def dedup_units(docs: DataFrame, least_words: int = LEAST_WORDS, passage: int |
 
         return text.__class__([one(t, r) for t, r in zip(text, removed, strict=True)], dtype=object)
 
-    kept = [c for c in docs.columns if c not in ("text", "removed")]
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     return rows.select(*kept, cut("text", "_removed").alias("text"), F.coalesce("_removed", none).alias("removed"))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    return repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), passage=PASSAGE)
+    return repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), passage=PASSAGE, least_run=RUN)

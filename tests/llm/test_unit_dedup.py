@@ -60,11 +60,39 @@ def test_passage_inside_lines_is_found(spark):
 
 def test_null_ids_and_empty(spark):
     assert ud.repeats(spark.createDataFrame([], SCHEMA)).collect() == []
+    assert ud.dedup_units(spark.createDataFrame([], SCHEMA), least_run=5).collect() == []
     t = "a b c d e f g h i"
     got = ud.repeats(spark.createDataFrame([(None, t, "", 0, ""), (4, t, "", 0, ""), (4, t, "", 0, "")], SCHEMA)).collect()
     assert [(r.doc_id, r.kept_doc_id) for r in got] == [(4, None), (4, None)]
 
 
+def test_rows_that_share_an_id_are_told_apart(spark):
+    s, t = "one two three four five six seven eight nine", "these words stand here alone and nobody else has them " * 3
+    rows = [(0, s, "", 0, ""), (1, s, "", 0, ""), (1, t, "", 0, ""), (5, s.upper(), "", 0, ""), (5, s.upper(), "", 0, ""), (None, t[:9], "", 0, ""), (None, "x", "", 0, "")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert sorted((r.doc_id, r.start, r.end, r.kept_doc_id) for r in ud.repeats(df).collect()) == [(1, 0, len(s), 0), (5, 0, len(s), 0), (5, 0, len(s), 0)]
+    left = sorted((-1 if r.doc_id is None else r.doc_id, r.text, len(r.removed)) for r in ud.dedup_units(df).collect())
+    assert left == sorted([(0, s, 0), (1, "", 1), (1, t, 0), (5, "", 1), (5, "", 1), (-1, t[:9], 0), (-1, "x", 0)])
+    # of equal rows with one id, and of no other, one stays
+    twice = spark.createDataFrame([(5, s, "", 0, ""), (5, s, "", 0, ""), (5, t, "", 0, "")], SCHEMA)
+    assert [(r.doc_id, r.kept_doc_id) for r in ud.repeats(twice).collect()] == [(5, 5)]
+    assert sorted(r.text for r in ud.dedup_units(twice).collect()) == sorted(["", s, t])
+
+
+def test_short_runs_stay(spark):
+    rng = random.Random(5)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    notice, a, b, c = line(9) + ".", line(9) + ".", line(8) + ".", line(30) + "."
+    texts = [f"{notice} {a} {b} {line(3)}. {c}", f"{line(12)}. {notice} {line(12)}.", f"{line(9)}. {a} {b} {line(40)}.", f"{line(12)}. {a} {line(4)}. {b}", f"{c}\n{notice}"]
+    df = spark.createDataFrame([(k, t, "", 0, "") for k, t in enumerate(texts)], SCHEMA)
+    gone = lambda **k: sorted((r.doc_id, texts[r.doc_id][r.start : r.end]) for r in ud.repeats(df, **k).collect())
+    assert gone() == sorted([(1, notice), (2, a), (2, b), (3, a), (3, b), (4, c), (4, notice)])
+    assert gone(least_run=17) == sorted([(2, a), (2, b), (4, c), (4, notice)])
+    assert gone(least_run=18) == sorted([(4, c), (4, notice)])
+    left = {r.doc_id: r.text for r in ud.dedup_units(df, least_run=17).collect()}
+    assert left[1] == texts[1] and left[3] == texts[3] and left[4] == "\n" and a not in left[2]
+
+
 def removed_share(text, rows):
     gone = {k for r in rows for k in range(r.start, r.end)}
     return len(gone & set(range(len(text)))) / len(text)
