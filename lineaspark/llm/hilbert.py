@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .line_dedup import numbered
 from .shared import Scratch, ship
 
 
@@ -73,21 +74,23 @@ def curve(docs: DataFrame, size: Column, bits: int = 6) -> DataFrame:
     return docs.withColumn("_curve", at(size, *cell))
 
 
-def assign(docs: DataFrame, shards: int = 8, bits: int = 6) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 8, bits: int = 6, key: str | None = None) -> DataFrame:
     """(``doc_id``, ``size``, ``text_crc32``, ``curve``, ``shard``, ``slot``) for every row.
 
     Counts of any two shards differ by one at most; ``slot`` numbers a shard's
     rows from 0 in curve order.  Ties on the curve are in order of ``doc_id``,
     then digest; rows that agree in all of these are alike.  ``lang`` and
-    ``source`` may be null or missing; a null text has no bytes.
+    ``source`` may be null or missing; a null text has no bytes.  A ``key``
+    column, if named, breaks the last ties and is returned as well.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "hilbert")
     data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     names = [c for c in ("lang", "source") if c in docs.columns]
-    rows = scratch.table(docs.select("doc_id", *names, (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32")), "rows")
-    rows = curve(rows, F.col("size"), bits).select("doc_id", "size", "text_crc32", F.col("_curve").alias("curve"))
-    keys = ["curve", "doc_id", "text_crc32", "size"]
+    more = [key] if key else []
+    rows = scratch.table(docs.select("doc_id", *more, *names, (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32")), "rows")
+    rows = curve(rows, F.col("size"), bits).select("doc_id", *more, "size", "text_crc32", F.col("_curve").alias("curve"))
+    keys = ["curve", "doc_id", "text_crc32", "size", *more]
     row = F.monotonically_increasing_id()
     ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
     ordered = scratch.table(ordered.select("*", F.shiftright(row, 33).alias("part"), row.bitwiseAND(F.lit((1 << 33) - 1)).alias("row")), "ordered")
@@ -98,14 +101,16 @@ def assign(docs: DataFrame, shards: int = 8, bits: int = 6) -> DataFrame:
     out = ordered.join(F.broadcast(sizes), "part").withColumn("rank", rank)
     out = out.withColumn("shard", F.expr(f"cast((rank * {shards}) div total as int)"))
     first = F.expr(f"(shard * total + {shards - 1}) div {shards}")
-    return out.select("doc_id", "size", "text_crc32", "curve", "shard", (F.col("rank") - first).alias("slot"))
+    return out.select("doc_id", *more, "size", "text_crc32", "curve", "shard", (F.col("rank") - first).alias("slot"))
 
 
 def write(docs: DataFrame, path: str, shards: int = 8, bits: int = 6) -> None:
-    """Write ``docs`` (with integer, distinct ids) as one folder a shard, rows in curve order within files."""
-    places = assign(docs, shards, bits).select("doc_id", F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    rows = docs.join(places, "doc_id").repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot")
-    rows.withColumn("shard_no", F.col("_shard")).drop("_shard", "_slot").write.partitionBy("shard_no").parquet(path)
+    """Write ``docs`` as one folder a shard, rows in curve order within files; ids may be null or repeated."""
+    columns = docs.columns
+    docs = numbered(docs, Scratch(docs.sparkSession, "hilbert-write"))
+    places = assign(docs, shards, bits, "_doc").select(F.col("_doc").alias("_key"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    rows = docs.join(places, F.col("_doc").eqNullSafe(F.col("_key"))).repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot")
+    rows.select(*columns, F.col("_shard").alias("shard_no")).write.partitionBy("shard_no").parquet(path)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

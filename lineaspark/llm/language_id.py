@@ -11,7 +11,8 @@ text is ambiguous if the second one is nearly as near.
 Models are fitted on a bounded sample: about ``sample_docs`` whole texts in all,
 an equal share a language, chosen by a hash of the document (a documented
 bound; the shares follow from counts over all documents).  Texts of the sample
-never reach the driver: it gets n-gram counts, at most languages x ``BINS``.
+never reach the driver: it gets n-gram counts, at most ``most_langs`` x
+``BINS``.  Of more values of ``lang`` the most frequent ones are learned.
 """
 
 from __future__ import annotations
@@ -107,18 +108,18 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, scratch: Scratch, sample_docs: int = 2400) -> Model:
+def fit(docs: DataFrame, scratch: Scratch, sample_docs: int = 2400, most_langs: int = 200) -> Model:
     """Learn from ``text`` and non-null ``lang`` of the documents that are not held out."""
     ship(docs.sparkSession)
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((0, BINS)))
     each = max(50, sample_docs // len(langs))
     at = F.create_map(*(x for lang in langs for x in (F.lit(lang), F.lit(min(1.0, each / sizes[lang])))))[F.col("lang")]
-    chance = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = scratch.table(known.where(chance < at).select("text", "lang"), "sample")
+    chance = F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = scratch.table(known.where(F.coalesce(chance < at, F.lit(False))).select("text", "lang"), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}

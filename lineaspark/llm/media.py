@@ -1,10 +1,12 @@
 """Media columns in archives, read by a custom data source.
 
 A payload is stored as an 8-bit greyscale PNG, 64 samples a line, and images
-are members of uncompressed ZIP archives in the shared folder.  The data source
-``member_ranges`` plans byte ranges over the archives from their sizes alone;
-a task reads its archive's directory, takes the members whose records begin in
-its range, and streams them as Arrow batches of bounded size.  Each member is
+are members of uncompressed ZIP archives in the shared folder.  The manifest,
+a Parquet table, has a row for each stretch of an archive with the places of
+its members, so nobody reads an archive's whole directory.  The data source
+``member_ranges`` plans byte ranges over the archives from the stretches' ends
+alone; a task reads the places of the members whose records begin in its
+ranges, and streams these as Arrow batches of bounded size.  Each member is
 read by its own offset and retried on its own; one that stays unreadable gives
 a row with an error and no bytes, and the others are not read again.
 """
@@ -18,6 +20,7 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .shared import Scratch, ship
+from .shared import Scratch, freeing, ship
 
 LINE = 64
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -90,53 +93,76 @@ def _open(uri: str):
     return fs.open_input_file(path)
 
 
-def write(docs: DataFrame, uri: str, archive_bytes: int = 256 << 20) -> DataFrame:
-    """Store every row's payload in archives below ``uri``; gives the manifest (``uri``, ``size``, ``members``).
+_INDEX = pa.schema([
+    ("uri", pa.string()), ("first", pa.int64()), ("end", pa.int64()), ("members", pa.int64()),
+    ("places", pa.list_(pa.struct([("member", pa.string()), ("at", pa.int64()), ("size", pa.int64()), ("crc", pa.int64())]))),
+])
+_INDEX_SQL = "uri string, first bigint, end bigint, members bigint, places array<struct<member:string,at:bigint,size:bigint,crc:bigint>>"
 
-    Members are named by ``doc_id`` and a number, so repeated and null ids keep
-    a member each.  Only archives in the manifest count (a lost task leaves one
-    that isn't), so the frame must be written before it is used twice.
+
+def member_name(doc_id, n: int) -> str:
+    """A member's name: the id as text, quoted, or a dash if there is none, and a number."""
+    return f"{'-' if doc_id is None else '=' + quote(str(doc_id), safe='')}.{n}.png"
+
+
+def id_of(member: str) -> str | None:
+    name = member.split(".")[0] if member[0] == "-" else member.rsplit(".", 2)[0]
+    return None if name == "-" else unquote(name[1:])
+
+
+def write(docs: DataFrame, uri: str, archive_bytes: int = 256 << 20, stretch_bytes: int = 16 << 20) -> DataFrame:
+    """Store every row's payload in archives below ``uri``; gives the manifest (``uri``, ``first``, ``end``, ``members``, ``places``), a row a stretch.
+
+    Members are named by ``doc_id`` (of any type, as text) and a number, so
+    repeated and null ids keep a member each.  Only archives in the manifest
+    count (a lost task leaves one that isn't), so the frame must be written
+    before it is used twice.
     """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: list[tuple[str, int, int]] = []
         archive = out = None
-        part, members = TaskContext.get().partitionId(), 0
+        part, made, first, places = TaskContext.get().partitionId(), 0, 0, []
 
-        def close() -> None:
-            archive.close()
-            made.append((name, out.tell(), members))
-            out.close()
+        def stretch() -> pa.RecordBatch:
+            nonlocal first, places
+            row = {"uri": name, "first": first, "end": out.tell(), "members": len(places), "places": places}
+            first, places = out.tell(), []
+            return pa.RecordBatch.from_pylist([row], _INDEX)
 
         for b in batches:
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 if archive is None:
-                    name = f"{uri}/{part:06d}-{len(made):04d}-{uuid.uuid4().hex}.zip"
+                    name = f"{uri}/{part:06d}-{made:04d}-{uuid.uuid4().hex}.zip"
                     fs, path = pyarrow.fs.FileSystem.from_uri(name)
                     fs.create_dir(path.rsplit("/", 1)[0])
-                    out, members = fs.open_output_stream(path), 0
+                    out, first, n, made = fs.open_output_stream(path), 0, 0, made + 1
                     archive = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
                 payload = payload_of(text := text.as_py())
-                image = to_png(payload, len((text or "").encode("utf-8", "surrogatepass")))
-                archive.writestr(zipfile.ZipInfo(f"{'' if doc_id is None else doc_id}.{members}.png", _WHEN), image)
-                members += 1
+                info = zipfile.ZipInfo(member_name(doc_id, n), _WHEN)
+                archive.writestr(info, to_png(payload, len((text or "").encode("utf-8", "surrogatepass"))))
+                places.append({"member": info.filename, "at": info.header_offset, "size": info.file_size, "crc": info.CRC})
+                n += 1
+                if out.tell() - first >= stretch_bytes or out.tell() > archive_bytes:
+                    yield stretch()
                 if out.tell() > archive_bytes:
-                    close()
+                    archive.close()
+                    out.close()
                     archive = None
         if archive is not None:
-            close()
-        yield pa.RecordBatch.from_pydict(
-            {"uri": [u for u, _, _ in made], "size": [s for _, s, _ in made], "members": [m for _, _, m in made]},
-            pa.schema([("uri", pa.string()), ("size", pa.int64()), ("members", pa.int64())]),
-        )
+            if places:
+                yield stretch()
+            archive.close()
+            out.close()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "uri string, size bigint, members bigint")
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(freeing(run), _INDEX_SQL)
 
 
 class Range(InputPartition):
-    def __init__(self, uri: str, first: int, end: int):
-        self.uri, self.first, self.end = uri, first, end
+    """Byte ranges of stretches: (manifest file, archive, where the stretch begins, first byte, end)."""
+
+    def __init__(self, pieces: list[tuple[str, str, int, int, int]]):
+        self.pieces = pieces
 
 
 class MemberRanges(DataSource):
@@ -157,19 +183,31 @@ class MemberReader(DataSourceReader):
     def __init__(self, options):
         self.manifest = options["manifest"]
         self.step = int(options.get("range_bytes", 16 << 20))
+        self.most = int(options.get("partitions", 100_000))
         self.attempts = int(options.get("attempts", 3))
 
     def partitions(self) -> list[Range]:
-        """Byte ranges, from names and sizes only; no archive is opened here."""
+        """Byte ranges, from where stretches begin and end; no archive is opened here, and no place of a member read."""
         import pyarrow.dataset as ds
 
         fs, path = pyarrow.fs.FileSystem.from_uri(self.manifest)
-        files = [f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(path)) if f.path.endswith(".parquet")]
-        found = []
-        for batch in ds.dataset(files, filesystem=fs, format="parquet").to_batches(columns=["uri", "size"]) if files else []:
-            for uri, size in zip(batch.column("uri").to_pylist(), batch.column("size").to_pylist(), strict=True):
-                found += [Range(uri, k, min(size, k + self.step)) for k in range(0, size, self.step)]
-        return found or [Range("", 0, 0)]
+        pieces = []
+        for f in sorted(f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(path)) if f.path.endswith(".parquet")):
+            for batch in ds.dataset(f, filesystem=fs, format="parquet").to_batches(columns=["uri", "first", "end"]):
+                for r in batch.to_pylist():
+                    pieces += [(f, r["uri"], r["first"], k, min(r["end"], k + self.step)) for k in range(r["first"], r["end"], self.step)]
+        each = max(1, -(-len(pieces) // self.most))
+        return [Range(pieces[k : k + each]) for k in range(0, len(pieces), each)] or [Range([])]
+
+    def places(self, piece: tuple[str, str, int, int, int]) -> list[dict]:
+        """The members whose records begin in a byte range."""
+        import pyarrow.dataset as ds
+
+        file, uri, begin, first, end = piece
+        fs, _ = pyarrow.fs.FileSystem.from_uri(self.manifest)
+        mine = (ds.field("uri") == uri) & (ds.field("first") == begin)
+        found = ds.dataset(file, filesystem=fs, format="parquet").to_table(columns=["places"], filter=mine).column("places")
+        return [m for row in found.to_pylist() for m in row if first <= m["at"] < end]
 
     def fetch(self, file, at: int, size: int) -> bytes:
         """One member's bytes by the offset of its record; tests override it to fail."""
@@ -180,31 +218,31 @@ class MemberReader(DataSourceReader):
         return file.read_at(size, at + 30 + name + extra)
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if not partition.uri:
-            return
-        file = _open(partition.uri)
-        with zipfile.ZipFile(file) as z:
-            members = [m for m in z.infolist() if partition.first <= m.header_offset < partition.end]
         rows: list[tuple] = []
         held = 0
-        for m in members:
-            data, error, tries = None, None, 0
-            while data is None and tries < self.attempts:
-                tries += 1
-                try:
-                    got = self.fetch(file, m.header_offset, m.file_size)
-                    if zlib.crc32(got) != m.CRC:
-                        raise OSError("checksum differs")
-                    data, error = got, None
-                except OSError as e:
-                    error = str(e)
-                    time.sleep(0.01 * tries)
-                    file = _open(partition.uri)  # a broken connection mustn't fail the next try
-            rows.append((partition.uri, m.filename, m.header_offset, tries, error, data))
-            held += len(data or b"")
-            if held >= BATCH_BYTES or len(rows) >= 2000:
-                yield self._batch(rows)
-                rows, held = [], 0
+        for piece in partition.pieces:
+            uri = piece[1]
+            file = _open(uri)
+            for m in self.places(piece):
+                data, error, tries = None, None, 0
+                while data is None and tries < self.attempts:
+                    tries += 1
+                    try:
+                        got = self.fetch(file, m["at"], m["size"])
+                        if zlib.crc32(got) != m["crc"]:
+                            raise OSError("checksum differs")
+                        data, error = got, None
+                    except OSError as e:
+                        error = str(e)
+                        time.sleep(0.01 * tries)
+                        file.close()
+                        file = _open(uri)  # a broken connection mustn't fail the next try
+                rows.append((uri, m["member"], m["at"], tries, error, data))
+                held += len(data or b"")
+                if held >= BATCH_BYTES or len(rows) >= 2000:
+                    yield self._batch(rows)
+                    rows, held = [], 0
+            file.close()
         if rows:
             yield self._batch(rows)
 
@@ -226,16 +264,15 @@ def read(spark, manifest_dir: str, **options) -> DataFrame:
 
 
 def features(members: DataFrame) -> DataFrame:
-    """Digests and features of stored images; a member without bytes has nulls."""
+    """Digests and features of stored images, ``doc_id`` as text; a member without bytes has nulls."""
     ship(members.sparkSession)
-    kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("error", pa.string())]
+    kinds = [("doc_id", pa.string()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("error", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for name, media, error in zip(b.column("member").to_pylist(), b.column("media"), b.column("error").to_pylist(), strict=True):
-                doc = name.split(".")[0]
-                key = int(doc) if doc else None
+                key = id_of(name)
                 if (image := media.as_py()) is None:
                     rows.append((key, *[None] * 7, error))
                     continue
@@ -245,15 +282,16 @@ def features(members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, kinds, strict=True)], schema=pa.schema(kinds))
 
     return members.select("member", "media", "error").mapInArrow(
-        run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, error string"
+        freeing(run), "doc_id string, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, error string"
     )
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """Store every payload, read the archives back, and describe what was read: a row for each of ``docs``."""
+    """Store every payload, read the archives back, and describe what was read: a row for each of ``docs``, ids of their own type."""
     scratch = Scratch(docs.sparkSession, "media")
-    scratch.table(write(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), f"{scratch.base}/archives"), "manifest")
-    return features(read(docs.sparkSession, f"{scratch.base}/manifest"))
+    scratch.table(write(docs, f"{scratch.base}/archives"), "manifest")
+    found = features(read(docs.sparkSession, f"{scratch.base}/manifest"))
+    return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

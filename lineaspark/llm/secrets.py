@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .shared import Scratch
 
 TRUE = frozenset([frozenset()])
+CHUNK = 256
 MOST = 64  # exact strings that are followed through a pattern at once
 
 
@@ -175,7 +176,7 @@ def spans(text: Column, rule: Rule, order: int) -> Column:
         F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda x: F.char_length(x)).alias("size"),
         F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda x: F.char_length(x)).alias("key"),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind_no:int,end:int>>").alias("found"))
+    none = F.array().cast("array<struct<start:int,kind_no:int,end:int>>")
 
     def step(acc, x):
         begin = acc["at"] + x["gap"]
@@ -183,26 +184,30 @@ def spans(text: Column, rule: Rule, order: int) -> Column:
         one = F.struct(begin.alias("start"), F.lit(order).alias("kind_no"), end.alias("end"))
         return F.struct(end.alias("at"), F.when(x["key"] >= rule.least, F.concat(acc["found"], F.array(one))).otherwise(acc["found"]).alias("found"))
 
-    none = F.array().cast("array<struct<start:int,kind_no:int,end:int>>")
-    return F.when(text.rlike(rule.pattern), F.aggregate(zipped, start, step)["found"]).otherwise(none)
+    # a list that grows is copied at each step, so it grows in runs of CHUNK, which are joined at the end
+    runs = F.transform(F.sequence(F.lit(0), F.floor(F.size(zipped) / CHUNK).cast("int")), lambda k: F.slice(zipped, k * CHUNK + 1, F.lit(CHUNK)))
+    begin = F.struct(F.lit(0).alias("at"), none.alias("found"))
+    fold = F.aggregate(runs, F.array(begin), lambda acc, run: F.concat(acc, F.array(F.aggregate(run, F.struct(F.element_at(acc, -1)["at"].alias("at"), none.alias("found")), step))))
+    found = F.flatten(F.transform(fold, lambda x: x["found"]))
+    return F.when(text.rlike(rule.pattern), found).otherwise(none)
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, broadcast_rows: int = 1_000_000) -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """(``doc_id``, ``found`` array<struct<start, kind_no, end>>) for every row; ``kind_no`` counts in ``rules``.
 
     Sorted by start, then kind.  A null text is empty.  Rows that share a
     ``doc_id`` share candidates, which only verifies more; null ids have
     postings like any other.  At most 62 rules.
 
-    The candidate table (16 bytes a row) is broadcast up to ``broadcast_rows``
-    rows, counted first, and otherwise joined by shuffle.
+    The candidate table is broadcast up to ``broadcast_bytes`` of ids and masks,
+    summed first, and otherwise joined by shuffle.
     """
     scratch = Scratch(docs.sparkSession, "secrets")
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     grams = vocabulary(rules)
     index = scratch.table(postings(docs, grams), "postings")
     some = scratch.table(candidates(index, rules, grams), "candidates").withColumnRenamed("doc_id", "_doc")
-    if some.count() <= broadcast_rows:
+    if (some.agg(F.sum(F.octet_length(F.coalesce(F.col("_doc").cast("string"), F.lit(""))) + 24)).first()[0] or 0) <= broadcast_bytes:
         some = F.broadcast(some)
     rows = docs.join(some, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
     none = F.array().cast("array<struct<start:int,kind_no:int,end:int>>")

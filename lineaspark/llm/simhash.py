@@ -13,8 +13,12 @@ the exact Hamming distance.
 Within a cell only a spanning forest of the verified links is emitted, so a
 group of thousands of near copies gives thousands of edges rather than
 millions, and connectivity is exact: components of the union of the forests
-are the components of all links.  A cell of more than ``block`` members is
-split in blocks, and every pair of blocks is a task unit of its own.
+are the components of all links.  Popcounts alone get less selective as
+fingerprints get more, so a cell of more than ``block`` members is divided by
+the bits themselves: of five parts of the word a link leaves one as it is, so
+members meet again in the five cells that a part's bits name, 2^12 times finer.
+A cell that is greater even then is split in blocks, and every pair of blocks
+is a task unit of its own.
 """
 
 from __future__ import annotations
@@ -166,7 +170,21 @@ def _runs(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBat
         yield solve(kept_cell, kept_fp)
 
 
-def links(fps: DataFrame, scratch: Scratch, bits: int = 4, block: int = 8192) -> DataFrame:
+def _finer(at: DataFrame, bits: int) -> DataFrame:
+    """The members of cells dealt to a cell for each of ``bits + 1`` parts of the word, by that part's bits."""
+    cuts = [64 * k // (bits + 1) for k in range(bits + 2)]
+    part = [F.xxhash64("cell", F.lit(k), F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << z - a) - 1))) for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    return at.select(F.explode(F.array(*part)).alias("cell"), "fp")
+
+
+def _blocks(at: DataFrame, big: DataFrame, block: int) -> DataFrame:
+    """The members of big cells dealt to a cell for each pair of blocks: the unit (least, greatest) holds the members of both."""
+    rows = at.join(big, "cell").withColumn("n", F.ceil(F.col("count") / block).cast("int")).withColumn("k", F.pmod(F.xxhash64("fp"), F.col("n")))
+    pair = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.least(j.cast("long"), F.col("k")).alias("i"), F.greatest(j.cast("long"), F.col("k")).alias("j")))
+    return rows.select("cell", "fp", F.explode(pair).alias("p")).select(F.xxhash64("cell", "p.i", "p.j").alias("cell"), "fp")
+
+
+def links(fps: DataFrame, scratch: Scratch, bits: int = 4, block: int = 2048) -> DataFrame:
     """Edges (``a``, ``b``) between distinct fingerprints whose components are those of all links.
 
     ``bits`` may be at most 4: the grid's distances follow from it.
@@ -177,10 +195,9 @@ def links(fps: DataFrame, scratch: Scratch, bits: int = 4, block: int = 8192) ->
     found = []
     big = scratch.table(at.groupBy("cell").count().where(F.col("count") > block), "big")
     if not big.isEmpty():
-        rows = at.join(big, "cell").withColumn("n", F.ceil(F.col("count") / block).cast("int")).withColumn("k", F.pmod(F.xxhash64("fp"), F.col("n")))
-        # block k meets every other block once: the unit (least, greatest) holds the members of both
-        pair = rows.select("cell", "fp", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.least(j.cast("long"), F.col("k")).alias("i"), F.greatest(j.cast("long"), F.col("k")).alias("j")))).alias("p"))
-        found.append(pair.select(F.xxhash64("cell", "p.i", "p.j").alias("cell"), "fp"))
+        finer = scratch.table(_finer(at.join(big, "cell", "left_semi"), bits), "finer")
+        most = scratch.table(finer.groupBy("cell").count().where(F.col("count") > block), "most")
+        found += [finer.join(most, "cell", "left_anti"), _blocks(finer, most, block)]
         at = at.join(big, "cell", "left_anti")
     found.append(at.select("cell", "fp"))
     parts = [

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lineaspark.llm import hilbert
 
@@ -45,3 +46,16 @@ def test_written_shards_hold_all_rows(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r.doc_id for r in back.collect()) == list(range(40))
     assert {r["count"] for r in back.groupBy("shard_no").count().collect()} == {5}
+    odd = [(1, "a", "en", "a", "s", 0), (1, "a", "en", "a", "s", 0), (1, "b", "fr", "a", "s", 0), (None, "c", None, None, "s", 0), (None, None, "en", "b", "s", 0), (2, "d", "en", "a", "s", 0)]
+    hilbert.write(spark.createDataFrame(odd, SCHEMA), str(tmp_path / "odd"), shards=3)
+    back = spark.read.parquet(str(tmp_path / "odd")).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in back) == sorted((str(r[0]), str(r[1])) for r in odd) and {r.shard_no for r in back} == {0, 1, 2}
+
+
+def test_files_prune_in_several_dimensions(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(k, "x" * rng.randrange(2000), rng.choice(["en", "fr", "de", "es"]), f"s{rng.randrange(6)}", "s", 0) for k in range(2000)]
+    hilbert.write(spark.createDataFrame(rows, SCHEMA), str(tmp_path / "out"), shards=32)
+    files = spark.read.parquet(str(tmp_path / "out")).groupBy("shard_no").agg(F.min(F.length("text")).alias("a"), F.max(F.length("text")).alias("z"), F.collect_set("lang").alias("langs"), F.collect_set("source").alias("sources")).collect()
+    some = lambda f: sum(map(f, files)) / len(files)
+    assert some(lambda r: r.a <= 100) < 0.6 and some(lambda r: "en" in r.langs) < 0.7 and some(lambda r: "s1" in r.sources) < 0.7

@@ -24,6 +24,10 @@ def test_round_trip_of_all_rows(spark):
         by.setdefault(r.payload_sha256 + str(r.n_bytes), set()).add((r.media_sha256, r.feature))
     assert all(len(v) == 1 for v in by.values())
     assert media.media_columns(spark.createDataFrame([], SCHEMA)).collect() == []
+    texts = [("a/b.c=", "x"), ("", "y"), (None, "z"), ("é.1.png", None), ("-", "-"), ("a/b.c=", "x")]
+    got = media.media_columns(spark.createDataFrame(texts, "doc_id string, text string")).collect()
+    digest = lambda t: hashlib.sha256((t or "").encode().ljust(64, b"\0")).hexdigest()
+    assert sorted((str(r.doc_id), r.payload_sha256) for r in got) == sorted((str(i), digest(t)) for i, t in texts)
 
 
 def test_image_is_lossless_and_damage_is_noticed():
@@ -46,6 +50,8 @@ def test_ranges_cover_members_once_and_retries_are_by_member(spark):
     back = media.read(spark, manifest, range_bytes=3000)
     assert back.count() == 200 and back.rdd.getNumPartitions() > 10
     assert back.select("archive").distinct().count() > 1
+    assert media.read(spark, manifest, range_bytes=3000, partitions=4).rdd.getNumPartitions() <= 4
+    assert sorted(r.member for r in media.read(spark, manifest, partitions=4).collect()) == sorted(r.member for r in back.collect())
 
     class Flaky(media.MemberReader):
         calls: dict = {}

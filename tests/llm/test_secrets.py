@@ -52,7 +52,7 @@ def test_base_spans_match_brute_force(spark):
 def test_shuffle_and_broadcast_agree(spark):
     df = spark.createDataFrame(corpus(), SCHEMA)
     a = sorted(map(str, secrets.scan(df).collect()))
-    assert a == sorted(map(str, secrets.scan(df, broadcast_rows=0).collect()))
+    assert a == sorted(map(str, secrets.scan(df, broadcast_bytes=0).collect()))
 
 
 def test_added_kinds(spark):
