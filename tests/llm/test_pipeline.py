@@ -5,7 +5,7 @@ import corpus_pipeline
 
 from .test_decontaminate import grams
 from .test_line_dedup import plain as removed
-from .test_simhash import plain_components
+from .test_near_copies import groups
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -53,7 +53,8 @@ def test_each_stage_against_brute_force(spark, tmp_path):
             assert all(r.n_chars == len(r.text) for r in now.values())
             assert 100 not in now
         elif name == "near_dedup":
-            assert sorted(now) == sorted({c for _, _, c in plain_components(sorted(before.items()))}) and len(now) < len(before)
+            order = sorted(before.items())  # similarity 0.8 or more of 5-word shingles, by all pairs
+            assert sorted(now) == sorted({order[k][0] for k in groups([t for _, t in order])}) and len(now) < len(before)
         elif name == "decontamination":
             bad = {i for i, t in before.items() for _, x in items if len(grams(x) & grams(t, 5)) * 5 >= 4 * len(grams(x))}
             assert bad == {101} and set(now) == set(before) - bad
@@ -61,3 +62,19 @@ def test_each_stage_against_brute_force(spark, tmp_path):
             assert set(now) == set(before)
             assert all(r.decoded_sha256 == hashlib.sha256(before[i].encode()).hexdigest() for i, r in now.items())
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(now)
+
+
+def test_no_documents(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(corpus()[1], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_clashing_names_and_odd_rows(spark, tmp_path):
+    rows, items = corpus()
+    odd = [(*r, "x", 1, True, "g") for r in [*rows[:40], (None, rows[0][1], "en", "s", 0), (5, rows[50][1], "en", "s", 0), (None, None, None, None, None)]]
+    kind = SCHEMA + ", _doc string, seq int, first boolean, node string"
+    spark.createDataFrame(odd, kind.replace("_doc", "grp")).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert 30 < len(got) <= 42 and all(len(r.ids_sha256) == 64 for r in got)
