@@ -30,7 +30,7 @@ def search(edges: DataFrame, sources: DataFrame, targets: DataFrame | None, dire
         found.append(front)
     out = reduce(DataFrame.unionByName, found)
     if targets is not None:
-        out = out.join(targets.select(F.col("node").alias("at")).distinct(), "at", "left_semi")
+        out = out.join(targets.select(F.col("node").alias("at")), "at", "left_semi")
     out = out.select("source", F.col("at").alias("target"), F.size("kinds").alias("hops"), "nodes", "kinds")
     if per_pair:
         order = Window.partitionBy("source", "target").orderBy("hops", "nodes", "kinds")

@@ -68,8 +68,14 @@ def checked(spark: SparkSession, sf_dir: str, change=None) -> tuple[DataFrame, D
     return scratch.table(nodes, "nodes"), links
 
 
+def _values(spark: SparkSession, rows, names: str) -> DataFrame:
+    """A small table as literals of a statement, which are planned as a local relation and need no job of their own."""
+    text = lambda x: f"'{x}'" if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else f"{x}L"
+    return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)} AS t({names})")
+
+
 def small(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return spark.createDataFrame(O.SMALL_V, "vertex bigint, key string, generation int, terminal boolean"), spark.createDataFrame(O.SMALL_E, "child bigint, parent bigint, kind string")
+    return _values(spark, O.SMALL_V, "vertex, key, generation, terminal"), _values(spark, O.SMALL_E, "child, parent, kind")
 
 
 def _n(c: str):
@@ -294,7 +300,7 @@ def integrity_facade(spark, sf_dir):
 
 def _small_paths(spark, sources, targets, direction, most):
     _, e = small(spark)
-    ids = lambda x: spark.createDataFrame([(i,) for i in x], "node bigint")
+    ids = lambda x: _values(spark, [(i,) for i in x], "node")
     p = paths.search(e, ids(sources), ids(targets) if targets else None, direction, most)
     return p.select("source", "target", _n("hops"), F.array_join("nodes", ">").alias("nodes"), F.array_join("kinds", ">").alias("kinds"))
 
