@@ -127,7 +127,7 @@ def authorize(requests: DataFrame, artifacts: DataFrame, edges: DataFrame, cfg:
     verification, result contract and issuance of the trusted state; policy;
     freshness; and then the adapter.  A request that an earlier reservation
     bars is told so whatever its ancestry, and one that any check blocks
-    reserves nothing.  Gives ``event_id``, ``status``, ``reason_code``,
+    reserves nothing.  Gives ``event_id``, ``arrived_at``, ``status``, ``reason_code``,
     ``detail``, ``stage`` (of ``CHECKS``, from 0; null if allowed), the intent's
     ids, ``content_hash``, ``trusted_state_id``, ``authorization_id``,
     ``policy_version``, ``n_sources``, ``n_witnesses`` and ``executed``.
@@ -163,7 +163,7 @@ def authorize(requests: DataFrame, artifacts: DataFrame, edges: DataFrame, cfg:
     rows = scratch.table(rows.withColumn("_own", own).drop("_valid", "_fault", "_found"), "checked")
     settled = ledger.settle(rows.select(F.col("event_id").alias("event"), "arrived_at", "request_id", "action_id", "fingerprint", F.col("_own").isNull().alias("eligible"), "adapter"), cfg.max_ledger_entries, held)
     settled = settled.select(F.col("event").alias("event_id"), "outcome", ledger.executed(settled).alias("_did"))
-    out = valid.select("event_id", "_valid", "_fault", *_CARRIED).join(rows.select("event_id", "_own", "content_hash", "trusted_state_id", "n_sources", "n_witnesses"), "event_id", "left").join(settled, "event_id", "left")
+    out = valid.select("event_id", "arrived_at", "_valid", "_fault", *_CARRIED).join(rows.select("event_id", "_own", "content_hash", "trusted_state_id", "n_sources", "n_witnesses"), "event_id", "left").join(settled, "event_id", "left")
     early = F.col("outcome").isNotNull() & ~F.col("outcome").isin("RESERVED", "CLEAR")
     did = F.col("_did")
     detail = F.when(F.col("_valid") != "PASS", F.col("_fault")).when(early, F.col("outcome")).when(F.col("_own").isNotNull(), F.col("_own.detail")).when(did == "EXECUTED", "ACTION_EXECUTED").otherwise(did)
@@ -175,7 +175,7 @@ def authorize(requests: DataFrame, artifacts: DataFrame, edges: DataFrame, cfg:
     allowed = F.coalesce((did == "EXECUTED"), F.lit(False))
     reserved = F.coalesce(F.col("outcome") == "RESERVED", F.lit(False))
     return out.withColumn("detail", detail).select(
-        "event_id", F.when(allowed, "ALLOW").otherwise("BLOCK").alias("status"), reason.alias("reason_code"), "detail", stage.cast("bigint").alias("stage"), *_IDS, "content_hash",
+        "event_id", "arrived_at", F.when(allowed, "ALLOW").otherwise("BLOCK").alias("status"), reason.alias("reason_code"), "detail", stage.cast("bigint").alias("stage"), *_IDS, "content_hash",
         F.when(reserved, F.col("trusted_state_id")).alias("trusted_state_id"), F.when(reserved, authorization_id(F.col("request_id"), F.col("action_id"), F.col("trusted_state_id"), cfg)).alias("authorization_id"),
         F.when(reserved, F.lit(cfg.policy_version)).alias("policy_version"), "n_sources", "n_witnesses", allowed.alias("executed"),
     )
@@ -197,6 +197,16 @@ def check_list(decisions: DataFrame, key: str) -> DataFrame:
     return out.select(key, "c.position", "c.check", result.alias("result"))
 
 
+def timeline(decisions: DataFrame) -> DataFrame:
+    """(``event_id``, ``position``, ``label``, ``status``, ``detail``, ``at``) of what was reached, in order: the checks, then the outcome."""
+    steps = [F.struct(F.lit(k).alias("position"), F.lit(f"Check {c}").alias("label"), F.when(F.col("stage") == k, "BLOCK").otherwise("PASS").alias("status")) for k, c in enumerate(CHECKS)]
+    reached = F.slice(F.array(*steps), F.lit(1), F.coalesce(F.col("stage") + 1, F.lit(len(CHECKS))).cast("int"))
+    last = F.struct(F.lit(len(CHECKS)).alias("position"), F.when(F.col("executed"), "Action executed").otherwise("Action blocked").alias("label"), C.outcome_status(F.col("status")).alias("status"))
+    out = decisions.select("event_id", "detail", C.clock_text(F.col("arrived_at")).alias("at"), F.explode(F.concat(reached, F.array(last))).alias("s"))
+    said = F.when((F.col("s.status") == "BLOCK") | (F.col("s.position") == len(CHECKS)), F.col("detail"))
+    return out.select("event_id", F.col("s.position").cast("bigint").alias("position"), "s.label", "s.status", said.alias("detail"), "at")
+
+
 def response_consistent(status: Column, stage: Column, executed: Column) -> Column:
     """An ALLOW has no failed check and was executed; a BLOCK has one and wasn't."""
     return F.coalesce(F.when(status == "ALLOW", stage.isNull() & executed).otherwise(stage.isNotNull() & ~executed), F.lit(False))

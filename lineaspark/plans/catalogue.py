@@ -451,6 +451,14 @@ def action_proof(spark, sf_dir):
     return report.action_proof(decided, heads, sources).select("event_id", "root", "status", "detail", "executed", "ancestry_status", "node_count", "deepest_hops", "source_ids")
 
 
+@query(f"""{O.DECISIONS}, c(position, name) AS (VALUES {", ".join(f"({k}, '{c}')" for k, c in enumerate(decide.CHECKS))}), t AS (
+  SELECT event_id, CAST(position AS BIGINT) AS position, 'Check ' || name AS label, CASE WHEN stage = position THEN 'BLOCK' ELSE 'PASS' END AS status, CASE WHEN stage = position THEN detail END AS detail FROM decisions, c WHERE stage IS NULL OR position <= stage
+  UNION ALL SELECT event_id, 7, CASE WHEN executed THEN 'Action executed' ELSE 'Action blocked' END, CASE WHEN executed THEN 'PASS' ELSE 'BLOCK' END, detail FROM decisions
+) SELECT t.event_id, position, label, t.status, t.detail, strftime(make_timestamp(arrived_at * 1000), '%H:%M:%S') AS at FROM t JOIN intents i ON t.event_id = i.event_id""")
+def decision_timeline(spark, sf_dir):
+    return decide.timeline(_decided(spark, sf_dir))
+
+
 @query(f"{O.DECISIONS} SELECT event_id, adapter, authorization_id FROM decisions WHERE reserved")
 def call_log(spark, sf_dir):
     """What the adapter was called with: a row for each reservation, whatever came of it."""
@@ -466,6 +474,12 @@ def answered(spark, sf_dir):
     return decide.answered(read(spark, sf_dir, "events"), decided).select("event_id", "status", "detail", "n_sources", "executed")
 
 
+@query("""SELECT event_id, '{"a":' || json(props) || ',"z":[1,true,null]}' AS canonical FROM events""")
+def canonical_json(spark, sf_dir):
+    text = F.concat(F.lit('{ "z" : [1, true, null], "a":'), F.col("props"), F.lit("}"))
+    return read(spark, sf_dir, "events").select("event_id", C.canonical_json(text).alias("canonical"))
+
+
 @query("SELECT event_id, CASE WHEN event_id % 9 >= 5 THEN 'TRUSTED_STATE_EXPIRED' WHEN event_id % 9 = 0 THEN 'TRUSTED_CLOCK_ROLLBACK' END AS freshness FROM events")
 def freshness(spark, sf_dir):
     at = star.millis(F.col("ts"))
@@ -711,6 +725,15 @@ def prepare_transformation(spark, sf_dir):
     return writes.prepare(asked, n, valid).select("artifact_id", "detail", _n("generation"), _n("parent_count"), _n("duplicate_parent_count"), "parent_set_hash", "context_id", "token")
 
 
+@query("""SELECT 'request-' || o_orderkey AS name, field, field <> 'executed' AS ok
+FROM orders JOIN customer ON o_custkey = c_custkey, (VALUES ('detail'), ('child_vertices'), ('claimed_vertices'), ('child_edges'), ('executed')) t(field) WHERE o_orderkey % 13 = 2 AND o_orderkey % 11 NOT IN (1, 2, 3, 4, 5) AND c_nationkey NOT IN (2, 9)""")
+def evidence_contract(spark, sf_dir):
+    """What refused producers left behind, field by field, against what must be; a field that nobody reports fails."""
+    got = forged_parents(spark, sf_dir).withColumn("name", F.concat(F.lit("request-"), F.col("request").cast("string"))).drop("request")
+    rule = _values(spark, [("detail", "UNTRUSTED_CONTROL_FIELD"), ("child_vertices", "0"), ("claimed_vertices", "0"), ("child_edges", "0"), ("executed", "false")], "field, value")
+    return decide.field_contract(got, got.select("name").crossJoin(F.broadcast(rule)))
+
+
 # contracts
 
 

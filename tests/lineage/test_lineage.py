@@ -357,6 +357,25 @@ def test_config_bounds():
             LineageConfig(**bad)
 
 
+def test_result_sets(spark):
+    from lineaspark.sources import tables
+
+    cells = [[{"type": "vertex_id", "value": 42}, {"type": "string", "value": "a"}, {"type": "boolean", "value": True}, {"type": "null"}], [{"type": "vertex_id", "value": 1}, {"type": "string", "value": "7"}, {"type": "null", "value": "x"}, {"type": "string", "value": ""}]]
+    raw = lambda **k: spark.createDataFrame([(json.dumps({"columns": ["vertex_id", "artifact_id", "terminal", "authority_id"], "rows": cells} | k),)], "raw string")
+    schema = "vertex_id bigint, artifact_id string, terminal boolean, authority_id string"
+    assert sorted(map(tuple, tables.decode_results(raw(), schema).collect())) == [(1, "7", None, ""), (42, "a", True, None)]
+    assert tables.decode_results(raw(rows=[]), schema).collect() == []
+    for bad in ({"rows": [cells[0][:3]]}, {"columns": ["a"]}, {"rows": None}, {"columns": None}):
+        with pytest.raises(Exception, match="unexpected result shape"):
+            tables.decode_results(raw(**bad), schema).collect()
+    path = {"nodes": [{"id": 1, "properties": {"key": "a"}}, {"id": 2, "properties": {}}], "relationships": [{"src": 2, "dst": 1, "edge_type": "D", "properties": {"kind": "assert"}}]}
+    row = tables.decode_paths(raw(columns=["path"], rows=[[{"type": "path", "value": path}]])).first()
+    assert [n.id for n in row.nodes] == [1, 2] and row.relationships[0].properties == {"kind": "assert"}
+    for bad in ({"type": "node", "value": path}, {"type": "path", "value": path | {"nodes": path["nodes"][:1]}}):
+        with pytest.raises(Exception, match="expected a path"):
+            tables.decode_paths(raw(columns=["path"], rows=[[bad]])).collect()
+
+
 def test_snapshot_round_trip(spark, tmp_path):
     from lineaspark.sources import tables
 
