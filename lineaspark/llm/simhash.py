@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
+from .line_dedup import numbered
 from .shared import Scratch, freeing, ship
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -232,25 +233,19 @@ def near_duplicates(docs: DataFrame, bits: int = 4, width: int = 4) -> DataFrame
 
 
 def keep_one(docs: DataFrame, bits: int = 4, width: int = 4, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """The rows of ``docs`` that stay when each group keeps the document of its least ``doc_id``.
+    """The rows of ``docs`` that stay when each group keeps its first row, that of the least ``doc_id``.
 
-    Of rows that repeat that ``doc_id`` one stays.  Rows without ``doc_id``
-    can't be told apart and stay.  The ids that go are broadcast up to
-    ``broadcast_rows`` of them, counted first, so that texts aren't shuffled;
-    beyond that the join is by shuffle.
+    Rows count by themselves, whether their ids are null (these come first) or
+    repeated.  The rows that go are broadcast up to ``broadcast_rows`` of them,
+    counted first, so that texts aren't shuffled; beyond that the join is by shuffle.
     """
-    scratch = Scratch(docs.sparkSession, "simhash-keep")
-    found = near_duplicates(docs, bits, width).where("doc_id is not null")
-    ids = scratch.table(found.groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("n")), "ids")
-    gone = ids.where("n = 0").select("doc_id")
+    columns, scratch = docs.columns, Scratch(docs.sparkSession, "simhash-keep")
+    docs = numbered(docs, scratch)
+    found = near_duplicates(docs.select(F.col("_doc").alias("doc_id"), "text"), bits, width)
+    gone = scratch.table(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_doc")), "gone")
     if gone.count() <= broadcast_rows:
         gone = F.broadcast(gone)
-    rows = docs.join(gone, "doc_id", "left_anti")
-    again = ids.where("n > 1").select("doc_id")
-    if again.isEmpty():
-        return rows
-    once = rows.join(again, "doc_id", "left_anti")
-    return once.unionByName(rows.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return docs.join(gone, "_doc", "left_anti").select(*columns)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
