@@ -52,14 +52,15 @@ def batch_of(kind: str, context_id: Column, cfg: LineageConfig = DEFAULT) -> Col
 def parent_sets(derivations: DataFrame) -> DataFrame:
     """(``child``, ``parent_ids`` sorted and distinct, ``parent_count``, ``duplicate_parent_count``, ``parent_set_hash``).
 
-    Repeats are dropped before any set is gathered, so a set holds no more than the child's distinct parents.
+    Repeats are dropped before any set is gathered, and the set of a child with
+    more than ``MAX_PARENTS`` is not: it and its digest are null.
     """
     once = derivations.groupBy("child", "parent").agg(F.count("*").alias("n"))
-    sets = once.groupBy("child").agg(F.array_sort(F.collect_list("parent")).alias("parent_ids"), F.sum(F.col("n") - 1).alias("duplicate_parent_count"))
-    return sets.select(
-        "child", "parent_ids", F.size("parent_ids").alias("parent_count"), F.col("duplicate_parent_count").cast("int").alias("duplicate_parent_count"),
-        C.parent_set_hash(F.col("parent_ids")).alias("parent_set_hash"),
-    )
+    sizes = once.groupBy("child").agg(F.count("*").cast("int").alias("parent_count"), F.sum(F.col("n") - 1).cast("int").alias("duplicate_parent_count"))
+    many = sizes.where(F.col("parent_count") > MAX_PARENTS).select("child")
+    sets = once.join(many, "child", "left_anti").groupBy("child").agg(F.array_sort(F.collect_list("parent")).alias("parent_ids"))
+    rows = sizes.join(sets, "child", "left")
+    return rows.select("child", "parent_ids", "parent_count", "duplicate_parent_count", F.when(F.col("parent_ids").isNotNull(), C.parent_set_hash(F.col("parent_ids"))).alias("parent_set_hash"))
 
 
 def sign(nodes: DataFrame, derivations: DataFrame, cfg: LineageConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
@@ -67,7 +68,9 @@ def sign(nodes: DataFrame, derivations: DataFrame, cfg: LineageConfig = DEFAULT)
 
     ``nodes`` has ``artifact_id``, ``role``, ``generation``, ``lineage_kind``,
     ``content``, ``trust_state`` and ``authority_id``; only the content's digest
-    is stored.  A derivation one of whose ends is no node gives no edge.
+    is stored.  A derivation one of whose ends is no node gives no edge, and a
+    node with more than ``MAX_PARENTS`` parents is signed without their set,
+    which never verifies.
     """
     nodes = nodes.withColumn("selector", C.selector(F.col("artifact_id"), cfg)).withColumn("content_hash", C.sha256_hex(F.col("content")))
     fixed = [F.lit(cfg.writer_id).alias("writer_id"), F.lit(cfg.writer_key_id).alias("writer_key_id"), F.lit(cfg.gate_id).alias("gate_id"), F.lit(1).alias("write_version"), F.lit(cfg.create_only).alias("create_only")]
@@ -85,6 +88,11 @@ def sign(nodes: DataFrame, derivations: DataFrame, cfg: LineageConfig = DEFAULT)
     token = context_token(F.col("context_text"), F.col("context_id"), F.col("batch_id"), cfg)
     rows = rows.withColumn("authority_proof_hash", F.coalesce("source_proof", C.sha256_hex(token))).withColumn("vertex_id", C.vertex_id(F.col("artifact_id"), cfg)).withColumn("auth_state", F.lit("committed"))
     artifacts = rows.select(*NODE_FIELDS).withColumn("auth_tag", node_tag(cfg)).select(*(F.col(f.name).cast(f.dataType) for f in ARTIFACTS))
+    return artifacts, edges_of(artifacts, derivations, cfg)
+
+
+def edges_of(artifacts: DataFrame, derivations: DataFrame, cfg: LineageConfig = DEFAULT) -> DataFrame:
+    """Signed edges of the derivations both of whose ends are artifacts, as these are stored."""
     few = artifacts.select("artifact_id", "vertex_id", "generation", "lineage_kind", "batch_id")
     child = few.select(*(F.col(c).alias(f"c_{c}") for c in few.columns))
     parent = few.select(*(F.col(c).alias(f"p_{c}") for c in few.columns if c not in ("lineage_kind", "batch_id")))
@@ -92,9 +100,10 @@ def sign(nodes: DataFrame, derivations: DataFrame, cfg: LineageConfig = DEFAULT)
     edges = pairs.select(
         C.edge_id(F.col("child"), F.col("parent"), F.col("c_lineage_kind"), cfg).alias("edge_id"), F.col("child").alias("child_artifact_id"), F.col("parent").alias("parent_artifact_id"),
         F.col("c_lineage_kind").alias("kind"), F.col("c_generation").alias("child_generation"), F.col("p_generation").alias("parent_generation"),
-        *fixed[:3], F.col("c_batch_id").alias("batch_id"), fixed[3], F.col("c_vertex_id").alias("child_vertex_id"), F.col("p_vertex_id").alias("parent_vertex_id"),
+        F.lit(cfg.writer_id).alias("writer_id"), F.lit(cfg.writer_key_id).alias("writer_key_id"), F.lit(cfg.gate_id).alias("gate_id"), F.col("c_batch_id").alias("batch_id"), F.lit(1).alias("write_version"),
+        F.col("c_vertex_id").alias("child_vertex_id"), F.col("p_vertex_id").alias("parent_vertex_id"),
     )
-    return artifacts, edges.withColumn("auth_tag", edge_tag(cfg)).select(*(F.col(f.name).cast(f.dataType) for f in EDGES))
+    return edges.withColumn("auth_tag", edge_tag(cfg)).select(*(F.col(f.name).cast(f.dataType) for f in EDGES))
 
 
 def authentic_node(cfg: LineageConfig = DEFAULT, state: str = "committed", at: str = "") -> Column:

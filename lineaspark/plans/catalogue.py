@@ -11,8 +11,8 @@ from ..functions import columns as C
 from ..functions import sql
 from ..operators import closure, decide, ledger, lookups, paths, report, signing, writes
 from ..sources import star
-from ..sources.snapshots import Scratch
-from ..sources.tables import load_graph, read, save_graph
+from ..sources.snapshots import Scratch, exists
+from ..sources.tables import load_graph, read
 from . import oracle as O
 
 QUERIES: dict = {}
@@ -39,10 +39,12 @@ def signed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _snapshot(spark: SparkSession, sf_dir: str, name: str, raw) -> tuple[DataFrame, DataFrame]:
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _snapshots:
-        path = Scratch(spark, f"snapshot-{name}").base
-        save_graph(*signing.sign(*raw()), path)
-        _snapshots[key] = path
+    if key not in _snapshots or not exists(spark, f"{_snapshots[key]}/edges/_SUCCESS"):
+        scratch = Scratch(spark, f"snapshot-{name}")
+        nodes, derivations = raw()
+        artifacts = scratch.table(signing.sign(nodes, derivations)[0], "artifacts")
+        scratch.table(signing.edges_of(artifacts, derivations), "edges")
+        _snapshots[key] = scratch.base
     return load_graph(spark, _snapshots[key])
 
 
@@ -586,8 +588,13 @@ def metric_contract(spark, sf_dir):
     """Each result's metrics against those of the usual line item: some have a supplier of their customer's nation or region, or more parts."""
     _, heads, sources, _ = _results(spark, sf_dir)
     got = heads.select(F.col("root").alias("name"), "node_count", "edge_count", "deepest_hops").join(sources.groupBy(F.col("root").alias("name")).agg(F.count("*").alias("source_count")), "name")
-    table = spark.createDataFrame([("node_count", "8"), ("edge_count", "9"), ("deepest_hops", "4"), ("source_count", "2"), ("absent", "0")], "field string, value string")
-    return decide.field_contract(got, got.select("name").crossJoin(F.broadcast(table)))
+    return decide.field_contract(got, _expected(got, {"node_count": "8", "edge_count": "9", "deepest_hops": "4", "source_count": "2", "absent": "0"}))
+
+
+def _expected(results: DataFrame, values: dict[str, str]) -> DataFrame:
+    """The same expected fields for every name."""
+    rows = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(v).alias("value")) for f, v in values.items()))
+    return results.select("name", F.explode(rows).alias("x")).select("name", "x.*")
 
 
 # writes
@@ -730,8 +737,7 @@ FROM orders JOIN customer ON o_custkey = c_custkey, (VALUES ('detail'), ('child_
 def evidence_contract(spark, sf_dir):
     """What refused producers left behind, field by field, against what must be; a field that nobody reports fails."""
     got = forged_parents(spark, sf_dir).withColumn("name", F.concat(F.lit("request-"), F.col("request").cast("string"))).drop("request")
-    rule = _values(spark, [("detail", "UNTRUSTED_CONTROL_FIELD"), ("child_vertices", "0"), ("claimed_vertices", "0"), ("child_edges", "0"), ("executed", "false")], "field, value")
-    return decide.field_contract(got, got.select("name").crossJoin(F.broadcast(rule)))
+    return decide.field_contract(got, _expected(got, {"detail": "UNTRUSTED_CONTROL_FIELD", "child_vertices": "0", "claimed_vertices": "0", "child_edges": "0", "executed": "false"}))
 
 
 # contracts
