@@ -118,3 +118,58 @@ def test_passages_of_short_units_are_found(spark, tmp_path):
         share = removed_share(rows[k + 5][1], [r for r in found if r.doc_id == k + 10])
         assert abs(share - len(p) / len(rows[k + 5][1])) < 0.02
     assert alone.upper() in left[13]
+
+
+def plain_query(rows, least=8, passage=25, run=20):
+    """Units, windows and runs of a corpus of spaced scripts, by plain lists."""
+    found = {}
+    for i, text in rows:
+        parts, at, before = [], 0, 0
+        text = text or ""
+        for k in range(len(text) + 1):
+            if k == len(text) or text[k] == "\n" or (text[k] == " " and k and text[k - 1] in ".!?"):
+                words = text[at:k].split()
+                if words:
+                    a = at + len(text[at:k]) - len(text[at:k].lstrip())
+                    parts.append((a, a + len(text[at:k].strip()), before, before + len(words), " ".join(words).lower()))
+                    before += len(words)
+                at = k + (k < len(text) and text[k] == "\n")
+        spans = {(k, k + 1) for k, p in enumerate(parts) if p[3] - p[2] >= least}
+        for k, p in enumerate(parts):
+            if p[3] - p[2] < least:
+                on = [z for z in range(k + 1, len(parts) + 1) if parts[z - 1][3] - p[2] >= passage]
+                back = [a for a in range(k + 1) if p[3] - parts[a][2] >= passage]
+                spans |= {(k, on[0])} if on else set()
+                spans |= {(back[-1], k + 1)} if back else set()
+        found[i] = [(" ".join(p[4] for p in parts[a:z]), parts[a][0], parts[z - 1][1], parts[a][2], parts[z - 1][3]) for a, z in sorted(spans)]
+    first = {}
+    for i in sorted(found):
+        for key, a, *_ in found[i]:
+            first[key] = min(first.get(key, (i, a)), (i, a))
+    out = []
+    for i, mine in found.items():
+        again, held, end = sorted((w0, w1, a, z, *first[key]) for key, a, z, w0, w1 in mine if first[key] != (i, a)), [], -1
+        for x in [*again, (10**9, 0)]:
+            if held and x[0] > end:
+                if end - held[0][0] >= run:
+                    out += [(i, *y[2:]) for y in held]
+                held, end = [], -1
+            held.append(x)
+            end = max(end, x[1])
+    return sorted(out)
+
+
+def test_the_query_matches_brute_force(spark, tmp_path):
+    rng = random.Random(13)
+    unit = lambda n: " ".join(rng.choices(["aa", "bé", "Cc", "d", "e,", "ff"], k=n))
+    pool = [unit(rng.choice([1, 2, 3, 5, 7, 8, 9, 12, 19, 20, 30])) + rng.choice([".", "!", "", " .", "?"]) for _ in range(60)]
+    texts = [rng.choice([" ", "\n", "  "]).join(rng.choices(pool, k=rng.randrange(14))) for _ in range(120)]
+    for _ in range(60):  # stretches of other texts
+        t = rng.choice(texts)
+        a = rng.randrange(len(t) + 1)
+        texts.append(f"{unit(6)}. {t[a : a + rng.randrange(1500)]}\n{unit(9)}")
+    rows = [(3 * k - 20, t) for k, t in enumerate([*texts, None, "", "x " * 500])]
+    spark.createDataFrame([(*r, "s", 1, "x") for r in rows], SCHEMA).repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    want = plain_query(rows)
+    assert len(want) > 300
+    assert sorted(map(tuple, ud.op2(spark, str(tmp_path)).collect())) == want
