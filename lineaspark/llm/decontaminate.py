@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import freeing, ship
+from .shared import freeing, packed, ship, unpacked
 from .shingles import CHUNK, shingles, slices, word_hashes
 
 #: Beyond ASCII, what separates words: signs and spaces of Latin-1, general punctuation and symbols, ideographic and full-width punctuation.
@@ -211,6 +211,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 32 << 2
     """The rows of ``docs`` that contain no item; all columns stay and nothing is shuffled."""
     spark = docs.sparkSession
     ship(spark)
+    rows = packed(docs, "text")
     for block in blocks(benchmark, block_bytes):
         shared = spark.sparkContext.broadcast(block)
 
@@ -222,8 +223,8 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 32 << 2
                     keep[[k for k, _, _ in shared.value.search(part.column("text").to_pylist())]] = False
                     yield part.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(freeing(run), docs.schema)
-    return docs
+        rows = rows.mapInArrow(freeing(run), rows.schema)
+    return unpacked(rows, docs.columns, ("text",))
 
 
 SQL = r"""

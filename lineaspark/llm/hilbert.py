@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .line_dedup import numbered
-from .shared import Scratch, ship
+from .shared import Scratch, packed, ship, unpacked
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -106,11 +106,11 @@ def assign(docs: DataFrame, shards: int = 8, bits: int = 6, key: str | None = No
 
 def write(docs: DataFrame, path: str, shards: int = 8, bits: int = 6) -> None:
     """Write ``docs`` as one folder a shard, rows in curve order within files; ids may be null or repeated."""
-    columns = docs.columns
-    docs = numbered(docs, Scratch(docs.sparkSession, "hilbert-write"))
+    columns, own = docs.columns, ("doc_id", "text", "lang", "source")
+    docs = numbered(packed(docs, *own), Scratch(docs.sparkSession, "hilbert-write"))
     places = assign(docs, shards, bits, "_doc").select(F.col("_doc").alias("_key"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
     rows = docs.join(places, F.col("_doc").eqNullSafe(F.col("_key"))).repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot")
-    rows.select(*columns, F.col("_shard").alias("shard_no")).write.partitionBy("shard_no").parquet(path)
+    unpacked(rows, columns, own, F.col("_shard").alias("shard_no")).write.partitionBy("shard_no").parquet(path)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import Scratch, freeing, ship
+from .shared import Scratch, freeing, packed, ship, unpacked
 
 BINS = 1 << 16
 SLICE = 1 << 18  # n-grams whose weights are gathered at once
@@ -196,7 +196,8 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
                 margins = [m.margins(t.as_py()) if m.langs else None for t in part.column("text")]
                 yield part.filter(pa.array([f is not None and not m.decode(f)[2] for f in margins], pa.bool_()))
 
-    return docs.mapInArrow(freeing(run), docs.schema)
+    rows = packed(docs, "text")
+    return unpacked(rows.mapInArrow(freeing(run), rows.schema), docs.columns, ("text",))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

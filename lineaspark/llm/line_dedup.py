@@ -28,7 +28,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import Scratch
+from .shared import Scratch, packed, unpacked
 
 #: A line counts if it has any character but these.
 _NOT_BLANK = r"[^\t\x0B\f\r ]"
@@ -174,7 +174,7 @@ def dedup_lines(docs: DataFrame, broadcast_lines: int = 2_000_000, min_lines: in
     """
     columns = docs.columns
     scratch = Scratch(docs.sparkSession, "lines")
-    docs = numbered(docs, scratch)
+    docs = numbered(packed(docs, "doc_id", "text"), scratch)
     lines = scratch.table(lines_of(docs.select("_doc", "text")), "lines")
     spans = later_copies(intervals(lines, scratch), min_lines).drop("first")
     if single:
@@ -191,7 +191,7 @@ def dedup_lines(docs: DataFrame, broadcast_lines: int = 2_000_000, min_lines: in
     begins, stops = F.concat(F.array(F.lit(0)), ends), F.concat(F.transform("_cut", lambda x: x["a"]), F.array(F.size(split)))
     pieces = F.transform(F.arrays_zip(begins.alias("x"), stops.alias("y")), lambda p: F.slice(split, p["x"] + 1, p["y"] - p["x"]))
     left = F.array_join(F.flatten(pieces), "\n")
-    return rows.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(left)).select(*columns)
+    return unpacked(rows.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(left)), columns, ("doc_id", "text"))
 
 
 #: The query's runs have three lines or more, told apart by two overlapping pairs; lengths come from all levels.

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import components
 from .line_dedup import numbered
-from .shared import Scratch, freeing, ship
+from .shared import Scratch, freeing, packed, ship, unpacked
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -240,12 +240,12 @@ def keep_one(docs: DataFrame, bits: int = 4, width: int = 4, broadcast_rows: int
     counted first, so that texts aren't shuffled; beyond that the join is by shuffle.
     """
     columns, scratch = docs.columns, Scratch(docs.sparkSession, "simhash-keep")
-    docs = numbered(docs, scratch)
+    docs = numbered(packed(docs, "doc_id", "text"), scratch)
     found = near_duplicates(docs.select(F.col("_doc").alias("doc_id"), "text"), bits, width)
     gone = scratch.table(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_doc")), "gone")
     if gone.count() <= broadcast_rows:
         gone = F.broadcast(gone)
-    return docs.join(gone, "_doc", "left_anti").select(*columns)
+    return unpacked(docs.join(gone, "_doc", "left_anti"), columns, ("doc_id", "text"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

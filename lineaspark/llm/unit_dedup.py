@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .line_dedup import numbered
-from .shared import Scratch, freeing, ship
+from .shared import Scratch, freeing, packed, ship, unpacked
 
 _UNIT = re.compile(r"[^\n]*?(?:[.!?](?=[ \n])|[\u3002\uff01\uff1f])|[^\n]+")
 _CLOSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
@@ -128,9 +128,9 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, passage: int | None
 
 def dedup_units(docs: DataFrame, least_words: int = LEAST_WORDS, passage: int | None = None, least_run: int = 0) -> DataFrame:
     """``docs`` without the removed units, all columns kept, and ``removed``: array<struct<start, end>> in original offsets (in place of a column of that name)."""
-    kept = [c for c in docs.columns if c not in ("text", "removed")]
+    columns = [c for c in docs.columns if c != "removed"]
     scratch = Scratch(docs.sparkSession, "units")
-    docs = numbered(docs, scratch)
+    docs = numbered(packed(docs.drop("removed"), "doc_id", "text"), scratch)
     spans = _removed(docs.select("_doc", "text"), scratch, least_words, passage, least_run)
     spans = spans.groupBy("_doc").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("start", "end")))).alias("_removed"))
     rows = docs.join(spans.withColumnRenamed("_doc", "_key"), F.col("_doc").eqNullSafe(F.col("_key")), "left")
@@ -149,7 +149,7 @@ def dedup_units(docs: DataFrame, least_words: int = LEAST_WORDS, passage: int |
         return text.__class__([one(t, r) for t, r in zip(text, removed, strict=True)], dtype=object)
 
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return rows.select(*kept, cut("text", "_removed").alias("text"), F.coalesce("_removed", none).alias("removed"))
+    return unpacked(rows.withColumn("text", cut("text", "_removed")), columns, ("doc_id", "text"), F.coalesce("_removed", none).alias("removed"))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import corpus_pipeline
+from lineaspark.llm import hilbert, line_dedup, near_copies, simhash, unit_dedup
 
 from .test_decontaminate import grams
 from .test_line_dedup import plain as removed
@@ -72,9 +73,17 @@ def test_no_documents(spark, tmp_path):
 
 def test_clashing_names_and_odd_rows(spark, tmp_path):
     rows, items = corpus()
-    odd = [(*r, "x", 1, True, "g") for r in [*rows[:40], (None, rows[0][1], "en", "s", 0), (5, rows[50][1], "en", "s", 0), (None, None, None, None, None)]]
-    kind = SCHEMA + ", _doc string, seq int, first boolean, node string"
-    spark.createDataFrame(odd, kind.replace("_doc", "grp")).write.parquet(str(tmp_path / "documents.parquet"))
+    names = ("_doc", "_rest", "_cut", "_all", "_key", "_removed", "seq", "node", "grp", "line.no")
+    odd = [(*r, *(f"{n} {r[0]}" for n in names)) for r in [*rows[:40], (None, rows[0][1], "en", "s", 0), (5, rows[50][1], "en", "s", 0), (None, None, None, None, None)]]
+    kind = SCHEMA + "".join(f", `{n}` string" for n in names)
+    docs = spark.createDataFrame(odd, kind)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for work in (line_dedup.dedup_lines, near_copies.keep_one, simhash.keep_one, lambda d: unit_dedup.dedup_units(d).drop("removed")):
+        back = work(docs)
+        assert back.columns == docs.columns
+        assert all(r[n] == f"{n} {r.doc_id}" for r in back.collect() for n in names)
+    hilbert.write(docs, str(tmp_path / "shards"), shards=3)
+    assert spark.read.parquet(str(tmp_path / "shards")).count() == len(odd)
     spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert 30 < len(got) <= 42 and all(len(r.ids_sha256) == 64 for r in got)
