@@ -12,7 +12,6 @@ are too many to broadcast.
 
 from __future__ import annotations
 
-import re
 import re._constants as sre
 import re._parser as parser
 from dataclasses import dataclass
