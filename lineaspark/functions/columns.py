@@ -102,30 +102,29 @@ def is_safe_integer(c: Column) -> Column:
     return F.coalesce(c.between(0, MAX_SAFE_INTEGER), F.lit(False))
 
 
-def json_kind(value: Column, path: str = "$") -> Column:
-    """What a variant has at a path: OBJECT, ARRAY, STRING, NUMBER, BOOLEAN or NULL; null if it has nothing there."""
-    kind = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
-    return (
-        F.when(kind.startswith("OBJECT"), "OBJECT").when(kind.startswith("ARRAY"), "ARRAY").when(kind == "STRING", "STRING")
-        .when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "NUMBER").when(kind == "BOOLEAN", "BOOLEAN").when(kind == "VOID", "NULL")
-    )
+def _kind(value: Column, path: str) -> Column:
+    """The type that a variant has at a path, as the variant type names it."""
+    return F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+
+
+def is_object(value: Column, path: str = "$") -> Column:
+    return F.coalesce(_kind(value, path).startswith("OBJECT"), F.lit(False))
 
 
 def json_text(value: Column, path: str) -> Column:
     """The string that a variant has at a path; null for anything else, however it might be written."""
-    return F.when(json_kind(value, path) == "STRING", F.try_variant_get(value, path, "string"))
+    return F.when(_kind(value, path) == "STRING", F.try_variant_get(value, path, "string"))
 
 
 def json_integer(value: Column, path: str) -> Column:
     """The whole number from 0 to 2^53 - 1 that a variant has at a path, else null; ``1e3`` and ``5.0`` are whole."""
-    d = F.try_variant_get(value, path, "double")
-    ok = (json_kind(value, path) == "NUMBER") & (d == F.floor(d)) & d.between(0, MAX_SAFE_INTEGER)
-    return F.when(ok, d.cast("bigint"))
+    d = F.when(_kind(value, path).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(value, path, "double"))
+    return F.when((d == F.floor(d)) & d.between(0, MAX_SAFE_INTEGER), d.cast("bigint"))
 
 
 def json_keys(value: Column, path: str = "$") -> Column:
     """Field names of the object that a variant has at a path, else null."""
-    return F.when(json_kind(value, path) == "OBJECT", F.json_object_keys(F.to_json(F.try_variant_get(value, path, "variant"))))
+    return F.when(is_object(value, path), F.json_object_keys(F.to_json(F.try_variant_get(value, path, "variant"))))
 
 
 def unexpected_fields(raw_json: Column, allowed: tuple[str, ...]) -> Column:

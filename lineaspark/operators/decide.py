@@ -25,7 +25,7 @@ def validate_intents(raw: DataFrame, cfg: LineageConfig = DEFAULT) -> DataFrame:
     rows = raw.withColumn("_v", F.try_parse_json("raw"))
     rows = rows.select(
         "*", C.json_keys(v).alias("_keys"), *(C.json_text(v, f"$.{f}").alias(f) for f in scalars), C.json_integer(v, "$.requested_at").alias("requested_at"),
-        F.when(C.json_kind(v, "$.parameters") == "OBJECT", F.to_json(F.try_variant_get(v, "$.parameters", "variant"))).alias("parameters"),
+        F.when(C.is_object(v, "$.parameters"), F.to_json(F.try_variant_get(v, "$.parameters", "variant"))).alias("parameters"),
         C.json_keys(v, "$.parameters").alias("_names"), *(C.json_text(v, f"$.parameters.{f}").alias(f) for f in PARAMETER_FIELDS),
     )
     listed = lambda names: F.array(*map(F.lit, names))
