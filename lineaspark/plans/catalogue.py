@@ -461,6 +461,21 @@ def decision_timeline(spark, sf_dir):
     return decide.timeline(_decided(spark, sf_dir))
 
 
+@query(f"{O.DECISIONS} SELECT event_id, CASE WHEN stage = 3 THEN reason_code END AS policy_reason, CASE WHEN stage = 3 THEN detail ELSE 'POLICY_ALLOW' END AS policy_detail FROM decisions WHERE stage IS NULL OR stage >= 3")
+def policy_decision(spark, sf_dir):
+    """The policy's answer to the requests that came as far."""
+    at = F.col("stage") == 3
+    rows = _decided(spark, sf_dir).where("stage is null or stage >= 3")
+    return rows.select("event_id", F.when(at, F.col("reason_code")).alias("policy_reason"), F.when(at, F.col("detail")).otherwise("POLICY_ALLOW").alias("policy_detail"))
+
+
+@query(f"{O.DECISIONS} SELECT event_id, trusted_state_id AS state_id, arrived_at + 10 + 5000 AS valid_until FROM decisions JOIN intents USING (event_id) WHERE reserved")
+def trusted_state(spark, sf_dir):
+    """The states that were issued and used, each on a verified ancestry, and how long they hold."""
+    rows = _decided(spark, sf_dir).where("trusted_state_id is not null")
+    return rows.select("event_id", F.col("trusted_state_id").alias("state_id"), (F.col("arrived_at") + 10 + DEFAULT.max_freshness_ms).alias("valid_until"))
+
+
 @query(f"{O.DECISIONS} SELECT event_id, adapter, authorization_id FROM decisions WHERE reserved")
 def call_log(spark, sf_dir):
     """What the adapter was called with: a row for each reservation, whatever came of it."""
