@@ -1,6 +1,6 @@
 """Training-data operators.
 
-Ten operators for large text corpora, each in a module of its own.  Nothing
+Operators for large text corpora, each in a module of its own.  Nothing
 outside this subpackage imports it; ``__spark_entry__`` adds its queries only
 where it can be imported.
 
