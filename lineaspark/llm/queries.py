@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, hilbert, language_id, line_dedup, media, secrets, simhash, simple8b, unit_dedup, vector_codes
+from . import byte_bpe, decontaminate, divergence, hilbert, language_id, line_dedup, media, secrets, simhash, simple8b, unit_dedup, vector_codes
 
 
 def queries() -> dict:
@@ -17,9 +17,10 @@ def queries() -> dict:
         "op8_media_columns": media.op8,
         "op9_decontamination": decontaminate.op9,
         "op10_simple8b": simple8b.op10,
+        "op11_source_divergence": divergence.op11,
         "op12_vector_codes": vector_codes.op12,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.SQL, "op9_decontamination": decontaminate.SQL, "op12_vector_codes": vector_codes.SQL}
+    return {"op3_line_dedup": line_dedup.SQL, "op9_decontamination": decontaminate.SQL, "op11_source_divergence": divergence.SQL, "op12_vector_codes": vector_codes.SQL}
