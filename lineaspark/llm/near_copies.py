@@ -34,11 +34,11 @@ _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a whole text; one of fewer words than ``WIDTH`` is one shingle."""
+def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a whole text; one of fewer words than ``width`` is one shingle."""
     parts = [word_hashes(x, _IS_WORD)[0] for x in slices(np.frombuffer(_lowered(text), np.uint8), _IS_WORD)]
     words = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-    return np.unique(shingles(words, min(WIDTH, len(words)))) if len(words) else words
+    return np.unique(shingles(words, min(width, len(words)))) if len(words) else words
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, divergence, hilbert, language_id, line_dedup, media, secrets, simhash, simple8b, unit_dedup, vector_codes
+from . import byte_bpe, decontaminate, divergence, hilbert, language_id, line_dedup, media, minhash, secrets, simhash, simple8b, unit_dedup, vector_codes
 
 
 def queries() -> dict:
@@ -19,8 +19,15 @@ def queries() -> dict:
         "op10_simple8b": simple8b.op10,
         "op11_source_divergence": divergence.op11,
         "op12_vector_codes": vector_codes.op12,
+        "op13_minhash_near_dedup": minhash.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.SQL, "op9_decontamination": decontaminate.SQL, "op11_source_divergence": divergence.SQL, "op12_vector_codes": vector_codes.SQL}
+    return {
+        "op3_line_dedup": line_dedup.SQL,
+        "op9_decontamination": decontaminate.SQL,
+        "op11_source_divergence": divergence.SQL,
+        "op12_vector_codes": vector_codes.SQL,
+        "op13_minhash_near_dedup": minhash.SQL,
+    }
