@@ -1,4 +1,12 @@
-"""Paths between sources and targets, and what may be asked of them."""
+"""Paths between sources and targets, and what may be asked of them.
+
+A search is bounded from both ends.  The least hops from a source to each node,
+and from each node to a target, come first, a written level at a time.  An edge
+is of use only if the hops before it, itself and the hops after it are within
+the length, and a prefix is extended only over such edges, and only while
+it can still arrive.  So no more prefixes are made than lead to a target, but for
+those that meet themselves, and joins grow with the length and not with its square.
+"""
 
 from __future__ import annotations
 
@@ -6,31 +14,86 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.snapshots import Scratch
+
+
+def least_hops(steps: DataFrame, start: DataFrame, most: int, scratch: Scratch, name: str) -> DataFrame:
+    """(``node``, ``hops``) of the nodes within ``most`` steps (``_from``, ``_to``) from ``start`` (``node``), each level written once."""
+    levels = [scratch.table(start.select("node").distinct().withColumn("hops", F.lit(0)), f"{name}-0")]
+    for h in range(1, most + 1):
+        ahead = levels[-1].join(steps, F.col("node") == F.col("_from")).select(F.col("_to").alias("node")).distinct()
+        seen = reduce(DataFrame.unionByName, levels).select("node")
+        levels.append(scratch.table(ahead.join(seen, "node", "left_anti").withColumn("hops", F.lit(h)), f"{name}-{h}"))
+        if levels[-1].isEmpty():
+            break
+    return reduce(DataFrame.unionByName, levels)
+
+
+def _useful(steps: DataFrame, sources: DataFrame, targets: DataFrame | None, max_len: int, scratch: Scratch) -> DataFrame:
+    """The steps that a path of ``max_len`` hops or fewer can take, with ``_left``, the least hops from there to a target."""
+    before = least_hops(steps, sources, max_len - 1, scratch, "before").select(F.col("node").alias("_from"), F.col("hops").alias("_before"))
+    near = steps.join(before, "_from")
+    if targets is None:
+        return scratch.table(near.select("_from", "_to", "_kind", F.lit(0).alias("_left")), "useful")
+    back = near.select(F.col("_to").alias("_from"), F.col("_from").alias("_to"))
+    after = least_hops(back, targets, max_len - 1, scratch, "after").select(F.col("node").alias("_to"), F.col("hops").alias("_left"))
+    return scratch.table(near.join(after, "_to").where(F.col("_before") + 1 + F.col("_left") <= max_len).select("_from", "_to", "_kind", "_left"), "useful")
+
+
+def _start(sources: DataFrame) -> DataFrame:
+    return sources.select(F.col("node").alias("source"), F.col("node").alias("at"), F.array("node").alias("nodes"), F.array().cast("array<string>").alias("kinds")).distinct()
 
-def search(edges: DataFrame, sources: DataFrame, targets: DataFrame | None, direction: str = "incoming", max_len: int = 3, per_pair: int | None = None, limit: int | None = None, kinds: tuple[str, ...] | None = None) -> DataFrame:
+
+def _extended() -> list[Column]:
+    return ["source", F.col("_to").alias("at"), F.concat("nodes", F.array("_to")).alias("nodes"), F.concat("kinds", F.array("_kind")).alias("kinds")]
+
+
+def _at_once(steps: DataFrame, sources: DataFrame, targets: DataFrame | None, max_len: int) -> DataFrame:
+    """All paths by one statement: each join keeps every path as it is and adds those that are one hop longer."""
+    steps = F.broadcast(steps.select("_from", F.struct("_to", "_kind").alias("_s")))
+    rows = _start(sources).withColumn("_on", F.lit(True))
+    for _ in range(max_len):
+        rows = rows.withColumn("_go", F.explode(F.when(F.col("_on"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
+        rows = rows.withColumn("_key", F.when(F.col("_go"), F.col("at"))).join(steps, F.col("_key") == F.col("_from"), "left")
+        rows = rows.where(~F.col("_go") | (F.col("_s").isNotNull() & ~F.array_contains("nodes", F.col("_s._to")))).withColumn("_to", F.col("_s._to")).withColumn("_kind", F.col("_s._kind"))
+        kept = lambda c: F.when(F.col("_go"), c)
+        _, at, nodes, kinds = _extended()
+        rows = rows.select("source", kept(at).otherwise(F.col("at")).alias("at"), kept(nodes).otherwise(F.col("nodes")).alias("nodes"), kept(kinds).otherwise(F.col("kinds")).alias("kinds"), F.col("_go").alias("_on"))
+    out = rows.where(F.size("kinds") > 0)
+    return out if targets is None else out.join(F.broadcast(targets.select(F.col("node").alias("at"))), "at", "left_semi")
+
+
+def search(edges: DataFrame, sources: DataFrame, targets: DataFrame | None, direction: str = "incoming", max_len: int = 3, per_pair: int | None = None, limit: int | None = None, kinds: tuple[str, ...] | None = None, small: bool = False) -> DataFrame:
     """Simple paths of 1 to ``max_len`` hops: (``source``, ``target``, ``hops``, ``nodes``, ``kinds``).
 
     ``edges`` has ``child``, ``parent`` and ``kind``; ``sources`` and ``targets``
     have ``node``.  ``incoming`` goes from parent to child, ``outgoing`` from child
     to parent.  Without ``targets`` every end counts.  ``per_pair`` keeps the
     shortest paths of each pair (ties by nodes), ``limit`` keeps the shortest of all.
+    ``small`` is for edges that are known to fit in a broadcast: one statement, and nothing written.
     """
     if direction not in ("incoming", "outgoing"):
         raise ValueError("direction must be incoming or outgoing")
+    if max_len < 1:
+        raise ValueError("max_len must be 1 or more")
     if kinds:
         edges = edges.where(F.col("kind").isin(*kinds))
     here, there = ("parent", "child") if direction == "incoming" else ("child", "parent")
-    step = edges.select(F.col(here).alias("_from"), F.col(there).alias("_to"), F.col("kind").alias("_kind"))
-    front = sources.select(F.col("node").alias("source"), F.col("node").alias("at"), F.array("node").alias("nodes"), F.array().cast("array<string>").alias("kinds")).distinct()
-    found = []
-    for _ in range(max_len):
-        front = front.join(step, F.col("at") == F.col("_from")).where(~F.array_contains("nodes", F.col("_to"))).select(
-            "source", F.col("_to").alias("at"), F.concat("nodes", F.array("_to")).alias("nodes"), F.concat("kinds", F.array("_kind")).alias("kinds")
-        )
-        found.append(front)
-    out = reduce(DataFrame.unionByName, found)
-    if targets is not None:
-        out = out.join(targets.select(F.col("node").alias("at")), "at", "left_semi")
+    steps = edges.select(F.col(here).alias("_from"), F.col(there).alias("_to"), F.col("kind").alias("_kind"))
+    if small:
+        out = _at_once(steps, sources, targets, max_len)
+    else:
+        scratch = Scratch(edges.sparkSession, "paths")
+        useful = _useful(scratch.table(steps, "steps"), sources, targets, max_len, scratch)
+        front, found = _start(sources), []
+        for h in range(1, max_len + 1):
+            ahead = front.join(useful, F.col("at") == F.col("_from")).where(~F.array_contains("nodes", F.col("_to")) & (F.col("_left") + h <= max_len))
+            level = scratch.table(ahead.select(*_extended(), "_left"), f"front-{h}")
+            found.append(level.where("_left = 0").drop("_left"))
+            front = level.drop("_left")
+            if h < max_len and level.isEmpty():
+                break
+        out = reduce(DataFrame.unionByName, found)
     out = out.select("source", F.col("at").alias("target"), F.size("kinds").alias("hops"), "nodes", "kinds")
     if per_pair:
         order = Window.partitionBy("source", "target").orderBy("hops", "nodes", "kinds")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,9 +11,11 @@ from ..config import DEFAULT, LineageConfig
 from ..functions import columns as C
 from ..functions import sql
 from ..operators import closure, decide, ledger, lookups, paths, report, signing, writes
+from ..schema import ARTIFACTS, EDGES
 from ..sources import star
-from ..sources.snapshots import Scratch, exists
-from ..sources.tables import load_graph, read
+from ..sources.snapshots import Scratch, shared_dir
+from ..sources.tables import read
+from ..sources.versions import Versions, state_of
 from . import oracle as O
 
 QUERIES: dict = {}
@@ -29,23 +32,29 @@ def query(sql: str | None = None):
     return add
 
 
-_snapshots: dict[tuple[str, str, str], str] = {}
+STAR = ("region", "part", "nation", "supplier", "customer", "orders", "lineitem")
 
 
-def signed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The star's signed graph as a stored snapshot, which a session writes once for a folder of tables and then only reads."""
-    return _snapshot(spark, sf_dir, "star", lambda: (star.nodes(spark, sf_dir), star.derivations(spark, sf_dir)))
+def signed(spark: SparkSession, sf_dir: str, version: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The star's signed graph as a stored snapshot: of the tables as they are, made once for each state of them, or of a version from before."""
+    return _snapshot(spark, sf_dir, "star", STAR, lambda: (star.nodes(spark, sf_dir), star.derivations(spark, sf_dir)), version)
 
 
-def _snapshot(spark: SparkSession, sf_dir: str, name: str, raw) -> tuple[DataFrame, DataFrame]:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _snapshots or not exists(spark, f"{_snapshots[key]}/edges/_SUCCESS"):
-        scratch = Scratch(spark, f"snapshot-{name}")
-        nodes, derivations = raw()
-        artifacts = scratch.table(signing.sign(nodes, derivations)[0], "artifacts")
-        scratch.table(signing.edges_of(artifacts, derivations), "edges")
-        _snapshots[key] = scratch.base
-    return load_graph(spark, _snapshots[key])
+def snapshots(spark: SparkSession, sf_dir: str, name: str) -> Versions:
+    """The versions of a graph that this application made from a folder of tables."""
+    return Versions(spark, f"{shared_dir(spark).rstrip('/')}/snapshots-{spark.sparkContext.applicationId}/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}/{name}")
+
+
+def _snapshot(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], raw, version: int | None = None) -> tuple[DataFrame, DataFrame]:
+    store = snapshots(spark, sf_dir, name)
+    if version is None:
+        state = state_of(spark, *(f"{sf_dir}/{t}.parquet" for t in tables))
+        version = store.find(state)
+        if version is None:
+            nodes, derivations = raw()
+            artifacts = Scratch(spark, f"sign-{name}").table(signing.sign(nodes, derivations)[0], "artifacts")
+            version = store.commit({"artifacts": artifacts, "edges": signing.edges_of(artifacts, derivations)}, state)
+    return store.read("artifacts", ARTIFACTS, version), store.read("edges", EDGES, version)
 
 
 def acting(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -55,7 +64,7 @@ def acting(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         nodes, derivations = star.actions(spark, sf_dir)
         return star.nodes(spark, sf_dir).where("role <> 'action_argument'").unionByName(nodes), star.derivations(spark, sf_dir).where(~F.col("child").startswith("lineitem/")).unionByName(derivations)
 
-    artifacts, edges = _spoilt(*_snapshot(spark, sf_dir, "actions", raw))
+    artifacts, edges = _spoilt(*_snapshot(spark, sf_dir, "actions", (*STAR, "events"), raw))
     number = F.substring("artifact_id", 6, 20).try_cast("bigint")
     return artifacts.where(~F.coalesce(F.col("artifact_id").startswith("part/") & (number % 97 == 5), F.lit(False))), edges
 
@@ -113,12 +122,22 @@ def label_counts(spark, sf_dir):
     return lookups.label_counts(n, e)
 
 
-@query("SELECT 'node' AS label, CAST(count(*) AS BIGINT) AS n FROM range(512) UNION ALL SELECT 'edge', CAST(count(*) AS BIGINT) FROM range(511)")
+def _probe(vertices: DataFrame) -> DataFrame:
+    """Counts of ``vertex`` and of the edges from each to the one before it, where both are there."""
+    edges = vertices.select(F.col("vertex").alias("child"), (F.col("vertex") - 1).alias("parent"))
+    ends = edges.join(vertices.withColumnRenamed("vertex", "parent"), "parent", "left_semi")
+    count = lambda df, label: df.agg(F.count("*").alias("n")).select(F.lit(label).alias("label"), "n")
+    return count(vertices, "node").unionByName(count(ends, "edge"))
+
+
+def small_probe(spark: SparkSession) -> DataFrame:
+    """The probe of 512 vertices that the bench times."""
+    return _probe(spark.range(512).select((F.col("id") + 10000).alias("vertex")))
+
+
+@query("WITH k AS (SELECT DISTINCT c_custkey AS vertex FROM customer) SELECT 'node' AS label, count(*) AS n FROM k UNION ALL SELECT 'edge', count(*) FROM k WHERE vertex - 1 IN (SELECT vertex FROM k)")
 def batch_probe(spark, sf_dir):
-    nodes = spark.range(512).select((F.col("id") + 10000).alias("vertex"))
-    edges = spark.range(511).select((F.col("id") + 20000).alias("edge_id"), (F.col("id") + 10001).alias("child"), (F.col("id") + 10000).alias("parent"))
-    ends = edges.join(nodes.withColumnRenamed("vertex", "child"), "child", "left_semi").join(nodes.withColumnRenamed("vertex", "parent"), "parent", "left_semi")
-    return nodes.agg(F.count("*").alias("n")).select(F.lit("node").alias("label"), "n").unionByName(ends.agg(F.count("*").alias("n")).select(F.lit("edge").alias("label"), "n"))
+    return _probe(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("vertex")).distinct())
 
 
 @query(f"WITH {O.OBS} SELECT child AS artifact_id, count(*) AS out_degree FROM edg GROUP BY child")
@@ -300,36 +319,69 @@ def integrity_facade(spark, sf_dir):
     return closure.integrity(closure.verify(nodes, nodes.where("role = 'action_argument'"), 16))
 
 
-def _small_paths(spark, sources, targets, direction, most):
-    _, e = small(spark)
-    ids = lambda x: _values(spark, [(i,) for i in x], "node")
-    p = paths.search(e, ids(sources), ids(targets) if targets else None, direction, most)
+def small_search(spark: SparkSession) -> DataFrame:
+    """The search over the small graph alone that the bench times."""
+    ids = lambda *x: _values(spark, [(i,) for i in x], "node")
+    return paths.search(small(spark)[1], ids(100, 200), ids(130, 220, 230), "incoming", 3, small=True)
+
+
+def _chains(spark, sf_dir):
+    """(nodes of ``node`` and ``terminal``, edges, first turns, last turns) of the small graph, by keys, and of conversations as chains."""
+    v, e = small(spark)
+    keys = {c: v.select(F.col("vertex").alias(c), F.col("key").alias(f"_{c}")) for c in ("child", "parent")}
+    e = e.join(keys["child"], "child").join(keys["parent"], "parent").select(F.col("_child").alias("child"), F.col("_parent").alias("parent"), "kind")
+    n, links = star.chains(spark, sf_dir)
+    nodes = v.select(F.col("key").alias("node"), "terminal").unionByName(n.select(F.col("artifact_id").alias("node"), (F.col("generation") == 0).alias("terminal")).distinct())
+    ends = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min("turn").alias("first"), F.max("turn").alias("last"))
+    name = lambda c: ends.select(F.concat(F.lit("turn/"), F.col("conv_id").cast("string"), F.lit("-"), F.col(c).cast("string")).alias("node"))
+    return nodes, e.unionByName(links.distinct().withColumn("kind", F.lit("support"))), name("first"), name("last")
+
+
+def _named(spark, turns, *keys):
+    return _values(spark, [(k,) for k in keys], "node").unionByName(turns)
+
+
+def _path_rows(p):
     return p.select("source", "target", _n("hops"), F.array_join("nodes", ">").alias("nodes"), F.array_join("kinds", ">").alias("kinds"))
 
 
-@query(O.small_paths((100, 200), (130, 220, 230), False, 3))
+def _sql_nodes(turns, *keys):
+    return f"SELECT unnest([{', '.join(map(repr, keys))}]) AS node UNION ALL SELECT node FROM {turns}"
+
+
+_ACTIONS = ("action:poisoned", "action:safe", "action:mixed")
+
+
+@query(O.chain_paths(_sql_nodes("firsts", "source:external", "source:catalog"), _sql_nodes("lasts", *_ACTIONS), False, 3) + " SELECT * FROM found")
 def paths_incoming(spark, sf_dir):
-    return _small_paths(spark, (100, 200), (130, 220, 230), "incoming", 3)
+    """From sources and first turns to actions and last turns, at most three hops on."""
+    _, e, first, last = _chains(spark, sf_dir)
+    return _path_rows(paths.search(e, _named(spark, first, "source:external", "source:catalog"), _named(spark, last, *_ACTIONS), "incoming", 3))
 
 
-@query(O.small_paths((340, 230), None, True, 3))
+@query(O.chain_paths(_sql_nodes("lasts", "action:deep", "action:mixed"), None, True, 3) + " SELECT * FROM found")
 def paths_outgoing(spark, sf_dir):
-    return _small_paths(spark, (340, 230), None, "outgoing", 3)
+    """What two actions and all last turns derive from, up to three hops back."""
+    _, e, _, last = _chains(spark, sf_dir)
+    return _path_rows(paths.search(e, _named(spark, last, "action:deep", "action:mixed"), None, "outgoing", 3))
 
 
-@query(" UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS max_len, count(*) AS n FROM ({O.small_paths((300,), (340,), False, k)})" for k in range(1, 6)))
+@query(O.chain_paths(_sql_nodes("firsts", "source:deep"), _sql_nodes("lasts", "action:deep"), False, 5) + " SELECT CAST(k AS BIGINT) AS max_len, count(*) FILTER (WHERE hops <= k) AS n FROM found, range(1, 6) t(k) GROUP BY k")
 def paths_capped(spark, sf_dir):
-    """The one path from 300 to 340 has four hops: with fewer there is none."""
-    return reduce(DataFrame.unionByName, (_small_paths(spark, (300,), (340,), "incoming", k).agg(F.count("*").alias("n")).select(F.lit(k).cast("bigint").alias("max_len"), "n") for k in range(1, 6)))
+    """How many of the paths from a first to a last turn are found within each length; a chain of more hops has none."""
+    _, e, first, last = _chains(spark, sf_dir)
+    p = Scratch(spark, "capped").table(paths.search(e, _named(spark, first, "source:deep"), _named(spark, last, "action:deep"), "incoming", 5).select("hops"), "paths")
+    return p.agg(*(F.count_if(F.col("hops") <= k).alias(str(k)) for k in range(1, 6))).select(F.explode(F.array(*(F.struct(F.lit(k).cast("bigint").alias("max_len"), F.col(str(k)).alias("n")) for k in range(1, 6)))).alias("x")).select("x.*")
 
 
-@query(f"""WITH RECURSIVE {O.SMALL}, p AS ({O.small_paths((340, 230, 130), None, True, 3)}), d AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY source ORDER BY hops DESC, nodes) = 1)
-SELECT source, target AS frontier, hops FROM d JOIN v ON vertex = target WHERE NOT terminal""")
+@query(O.chain_paths(_sql_nodes("lasts", "action:deep", "action:mixed", "action:poisoned"), None, True, 3) + """, d AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY source ORDER BY hops DESC, nodes) = 1
+), t AS (SELECT key AS node, terminal FROM v UNION ALL SELECT DISTINCT 'turn/' || conv_id || '-' || turn, turn = first FROM cv)
+SELECT source, target AS frontier, hops FROM d JOIN t ON node = target WHERE NOT terminal""")
 def unresolved_frontier(spark, sf_dir):
-    """Of three actions two reach a source within three hops, and one doesn't."""
-    v, e = small(spark)
-    p = paths.search(e, spark.createDataFrame([(340,), (230,), (130,)], "node bigint"), None, "outgoing", 3)
-    return paths.unresolved(p, v.select(F.col("vertex").alias("node"), "terminal")).select("source", "frontier", _n("hops"))
+    """Actions and last turns whose deepest path within three hops doesn't end in a source or a first turn."""
+    n, e, _, last = _chains(spark, sf_dir)
+    p = paths.search(e, _named(spark, last, "action:deep", "action:mixed", "action:poisoned"), None, "outgoing", 3)
+    return paths.unresolved(p, n).select("source", "frontier", _n("hops"))
 
 
 def _star_paths(spark, sf_dir, **bounds):
@@ -401,6 +453,17 @@ def generation_conflicts(spark, sf_dir):
     return lookups.generation_conflicts(bad).select("artifact_id", _n("low"), _n("high"))
 
 
+@query(f"WITH {O.SIGNED} SELECT CAST(1 AS BIGINT) AS version, artifact_id, auth_tag FROM artifacts WHERE role <> 'action_argument' UNION ALL SELECT 2, artifact_id, auth_tag FROM artifacts")
+def pinned_versions(spark, sf_dir):
+    """Artifacts by version: one without line items, and one to which they were added; a reader of the first sees none of them."""
+    artifacts, _ = signed(spark, sf_dir)
+    store, late = Versions(spark, Scratch(spark, "pinned").base), F.col("role") == "action_argument"
+    first = store.commit({"artifacts": artifacts.where(~late)})
+    store.commit({"artifacts": artifacts.where(late)}, base=first)
+    at = lambda v: store.read("artifacts", ARTIFACTS, v).select(F.lit(v).cast("bigint").alias("version"), "artifact_id", "auth_tag")
+    return at(1).unionByName(at(2))
+
+
 # intents and decisions
 
 

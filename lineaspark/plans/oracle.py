@@ -217,17 +217,22 @@ SMALL_E = (
 SMALL = "v(vertex, key, generation, terminal) AS (VALUES " + ", ".join(f"({a}, '{b}', {c}, {d})" for a, b, c, d in SMALL_V) + "), e(child, parent, kind) AS (VALUES " + ", ".join(f"({a}, {b}, '{c}')" for a, b, c in SMALL_E) + ")"
 
 
-def small_paths(sources: tuple[int, ...], targets: tuple[int, ...] | None, outgoing: bool, most: int) -> str:
+#: The small graph by keys, and every conversation's turns as a chain from its first to its last.
+CHAINS = f"""{SMALL}, cv AS (SELECT DISTINCT conv_id, turn, min(turn) OVER w AS first, max(turn) OVER w AS last FROM conversations WINDOW w AS (PARTITION BY conv_id)
+), g AS (
+  SELECT a.key AS child, b.key AS parent, kind FROM e JOIN v a ON child = a.vertex JOIN v b ON parent = b.vertex
+  UNION ALL SELECT 'turn/' || conv_id || '-' || turn, 'turn/' || conv_id || '-' || (turn - 1), 'support' FROM cv WHERE turn > first
+), firsts AS (SELECT DISTINCT 'turn/' || conv_id || '-' || first AS node FROM cv), lasts AS (SELECT DISTINCT 'turn/' || conv_id || '-' || last AS node FROM cv)"""
+
+
+def chain_paths(sources: str, targets: str | None, outgoing: bool, most: int) -> str:
+    """Paths over ``CHAINS``; ``sources`` and ``targets`` are statements that give nodes."""
     here, there = ("child", "parent") if outgoing else ("parent", "child")
-    end = f"AND here IN {targets!r}" if targets and len(targets) > 1 else f"AND here = {targets[0]}" if targets else ""
-    start = ", ".join(f"({s})" for s in sources)
-    return f"""
-WITH RECURSIVE {SMALL}, p AS (
-  SELECT s AS source, s AS here, CAST(s AS VARCHAR) AS nodes, '' AS kinds, 0 AS hops FROM (VALUES {start}) t(s)
-  UNION ALL SELECT source, {there}, nodes || '>' || {there}, CASE WHEN hops = 0 THEN kind ELSE kinds || '>' || kind END, hops + 1 FROM p JOIN e ON here = {here} WHERE hops < {most}
-)
-SELECT CAST(source AS BIGINT) AS source, CAST(here AS BIGINT) AS target, CAST(hops AS BIGINT) AS hops, nodes, kinds FROM p WHERE hops > 0 {end}
-"""
+    end = f"AND here IN ({targets})" if targets else ""
+    return f"""WITH RECURSIVE {CHAINS}, p AS (
+  SELECT node AS source, node AS here, node AS nodes, '' AS kinds, 0 AS hops FROM ({sources}) t(node)
+  UNION ALL SELECT source, {there}, nodes || '>' || {there}, CASE WHEN hops = 0 THEN kind ELSE kinds || '>' || kind END, hops + 1 FROM p JOIN g ON here = {here} WHERE hops < {most}
+), found AS (SELECT source, here AS target, CAST(hops AS BIGINT) AS hops, nodes, kinds FROM p WHERE hops > 0 {end})"""
 
 
 def capped(bad: str, most: int) -> str:

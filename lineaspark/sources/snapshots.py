@@ -25,11 +25,6 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 class Scratch:
     """Tables of one run of one operator, below the shared folder."""
 
