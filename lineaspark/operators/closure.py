@@ -152,10 +152,38 @@ def valid_closures(nodes: DataFrame, edges: DataFrame, cfg: LineageConfig = DEFA
     return _by_generation(nodes, edges, value, F.bool_and(F.coalesce("parent_value", F.lit(False))), F.lit(False), "valid", cfg)
 
 
+#: Digits of a limb, and limbs of a count; 64 generations of 64 parents each need 116 digits.
+_DIGITS, _LIMBS = 9, 13
+
+
+def _carried(sums: Column) -> Column:
+    """Limbs, the least first, below 10^9 each; the last one says whether there was more."""
+    whole = F.lit(10**_DIGITS).cast("bigint")
+    start = F.struct(F.lit(0).cast("bigint").alias("carry"), F.array().cast("array<bigint>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        total = acc["carry"] + x
+        rest = total % whole
+        return F.struct(F.round((total - rest) / whole).cast("bigint").alias("carry"), F.concat(acc["out"], F.array(rest)).alias("out"))
+
+    return F.aggregate(F.slice(sums, 1, _LIMBS), start, step, lambda acc: F.concat(acc["out"], F.array(F.when(acc["carry"] + F.element_at(sums, _LIMBS + 1) > 0, 1).otherwise(0).cast("bigint"))))
+
+
 def path_counts(nodes: DataFrame, edges: DataFrame, cfg: LineageConfig = DEFAULT) -> DataFrame:
-    """(``artifact_id``, ``value``): how many paths lead to sources; nodes need ``generation`` and ``terminal``, and get null without a generation."""
-    value = F.when(F.col("terminal"), F.lit(1)).otherwise(F.coalesce(F.col("_up").cast("bigint"), F.lit(0))).cast("bigint")
-    return _by_generation(nodes, edges, value, F.sum("parent_value"), F.lit(None).cast("bigint"), "ways", cfg)
+    """(``artifact_id``, ``value``, ``digits``): how many paths lead to sources; nodes need ``generation`` and ``terminal``.
+
+    ``digits`` is the count as decimal text, exact up to 117 digits and ``many``
+    beyond them; ``value`` is the count where a long holds it, else null.  Both
+    are null without an allowed generation.
+    """
+    zeros = [F.lit(0).cast("bigint")] * _LIMBS
+    one = F.array(F.lit(1).cast("bigint"), *zeros)
+    sums = F.array(*(F.sum(F.col("parent_value")[k]) for k in range(_LIMBS + 1)))
+    own = F.coalesce(F.when(F.col("_up").isNotNull(), F.transform(F.col("_up").cast("array<bigint>"), lambda x: F.coalesce(x, F.lit(0)))), F.array(F.lit(0).cast("bigint"), *zeros))
+    ways = _by_generation(nodes, edges, F.when(F.col("terminal"), one).otherwise(_carried(own)), sums, F.lit(None).cast("array<bigint>"), "ways", cfg)
+    text = F.array_join(F.transform(F.reverse(F.slice("value", 1, _LIMBS)), lambda x: F.lpad(x.cast("string"), _DIGITS, "0")), "")
+    digits = F.when(F.element_at("value", _LIMBS + 1) > 0, "many").otherwise(F.regexp_replace(text, "^0+(?=.)", ""))
+    return ways.select("artifact_id", digits.try_cast("bigint").alias("value"), digits.alias("digits"))
 
 
 def longest_depths(nodes: DataFrame, edges: DataFrame, cfg: LineageConfig = DEFAULT) -> DataFrame:

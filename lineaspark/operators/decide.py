@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import DATA_CLASSES, DEFAULT, INTENT_FIELDS, MAX_IDENTIFIER_BYTES, MAX_PARAMETER_BYTES, MAX_PAYLOAD_BYTES, PARAMETER_FIELDS, SENDING, LineageConfig
-from ..functions import columns as C
+from ..functions import columns as C, surrogates
 from ..functions.bounded_json import bounded_json
 from ..sources.snapshots import Scratch
 
@@ -18,25 +18,28 @@ def validate_intents(raw: DataFrame, cfg: LineageConfig = DEFAULT) -> DataFrame:
     Digests are null unless the intent is valid.  Text that is no JSON object,
     repeats a field's name, or is null is an invalid intent.  Parameters of an
     action type other than ``send_message`` are any object within the limits of
-    ``functions.bounded_json``.
+    ``functions.bounded_json``.  Half of a surrogate pair is its own value in
+    digests, and three bytes of U+FFFD in columns and for limits.
     """
     v = F.col("_v")
     scalars = tuple(f for f in INTENT_FIELDS if f not in ("parameters", "requested_at"))
-    rows = raw.withColumn("_v", F.try_parse_json("raw"))
+    rows = raw.withColumn("_v", F.try_parse_json(surrogates.guarded(F.col("raw"))))
     rows = rows.select(
         "*", C.json_keys(v).alias("_keys"), *(C.json_text(v, f"$.{f}").alias(f) for f in scalars), C.json_integer(v, "$.requested_at").alias("requested_at"),
-        F.when(C.is_object(v, "$.parameters"), F.to_json(F.try_variant_get(v, "$.parameters", "variant"))).alias("parameters"),
+        F.when(C.is_object(v, "$.parameters"), surrogates.escaped(F.to_json(F.try_variant_get(v, "$.parameters", "variant")))).alias("parameters"),
         C.json_keys(v, "$.parameters").alias("_names"), *(C.json_text(v, f"$.parameters.{f}").alias(f) for f in PARAMETER_FIELDS),
     )
     listed = lambda names: F.array(*map(F.lit, names))
-    rows = rows.withColumn("rejected_fields", F.array_sort(F.array_except("_keys", listed(INTENT_FIELDS))))
+    rows = rows.withColumn("rejected_fields", F.array_sort(F.transform(F.array_except("_keys", listed(INTENT_FIELDS)), surrogates.shown)))
     fields = C.is_identifier(F.col("action_id")) & C.is_identifier(F.col("subject_id")) & C.is_identifier(F.col("request_id")) & C.is_identifier(F.col("provenance_artifact_id")) & F.coalesce(F.col("action_type").isin(*cfg.action_types), F.lit(False)) & F.col("requested_at").isNotNull()
     s = lambda f: C.json_string(F.col(f))
     inner = F.concat(F.lit('{"data_class":'), s("data_class"), F.lit(',"destination":'), s("destination"), F.lit(',"payload":'), s("payload"), F.lit("}"))
-    shape = (F.array_sort("_names") == listed(PARAMETER_FIELDS)) & F.octet_length("destination").between(1, MAX_IDENTIFIER_BYTES) & F.col("data_class").isin(*DATA_CLASSES) & F.octet_length("payload").between(1, MAX_PAYLOAD_BYTES)
+    shape = (F.array_sort("_names") == listed(PARAMETER_FIELDS)) & F.octet_length(surrogates.shown(F.col("destination"))).between(1, MAX_IDENTIFIER_BYTES) & F.col("data_class").isin(*DATA_CLASSES) & F.octet_length(surrogates.shown(F.col("payload"))).between(1, MAX_PAYLOAD_BYTES)
     if any(t != SENDING for t in cfg.action_types):
         sent = F.col("action_type") == SENDING
-        inner, shape = F.when(sent, inner).otherwise(bounded_json(F.col("raw"), F.lit("parameters"))), F.when(sent, shape).otherwise(F.col("parameters").isNotNull())
+        inner, shape = F.when(sent, surrogates.escaped(inner)).otherwise(bounded_json(F.col("raw"), F.lit("parameters"))), F.when(sent, shape).otherwise(F.col("parameters").isNotNull())
+    else:
+        inner = surrogates.escaped(inner)
     rows = rows.withColumn("_inner", C.lower_escapes(inner))
     parameters = shape & (F.octet_length("_inner") <= MAX_PARAMETER_BYTES)
     detail = (
@@ -52,7 +55,7 @@ def validate_intents(raw: DataFrame, cfg: LineageConfig = DEFAULT) -> DataFrame:
         F.lit(',"request_id":'), s("request_id"), F.lit(',"requested_at":'), F.col("requested_at").cast("string"), F.lit(',"subject_id":'), s("subject_id"), F.lit("}"),
     )
     valid = F.col("status") == "PASS"
-    return rows.withColumn("semantic_digest", F.when(valid, C.sha256_hex(semantic))).withColumn("fingerprint", F.when(valid, C.sha256_hex(whole))).drop("_v", "_keys", "_names", "_inner")
+    return rows.withColumn("semantic_digest", F.when(valid, C.sha256_hex(semantic))).withColumn("fingerprint", F.when(valid, C.sha256_hex(whole))).withColumns({f: surrogates.shown(F.col(f)) for f in (*scalars, *PARAMETER_FIELDS)}).drop("_v", "_keys", "_names", "_inner")
 
 
 def verification_block(classification: Column, detail: Column) -> Column:

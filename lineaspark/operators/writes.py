@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import ATTESTATION_FIELDS, DEFAULT, DERIVED_ROLES, EDGE_KINDS, MAX_CONTENT_BYTES, MAX_PARENTS, PRODUCER_FIELDS, SOURCE_FIELDS, LineageConfig
-from ..functions import columns as C
+from ..functions import columns as C, surrogates
 from ..schema import ARTIFACTS, EDGES, NODE_FIELDS
 from ..sources.snapshots import Scratch
 from .signing import attestation, authentic_edge, batch_of, context_text, context_token, edge_tag, node_tag
@@ -51,19 +51,19 @@ def replay_or_conflict(stored: DataFrame, wanted: DataFrame, valid: DataFrame) -
 
 def producer_output(raw: Column) -> Column:
     """Why a producer's output is refused, or null: it may have a content, a string, and nothing else."""
-    v = F.try_parse_json(raw)
+    v = F.try_parse_json(surrogates.guarded(raw))
     extra = F.array_except(C.json_keys(v), F.array(*map(F.lit, PRODUCER_FIELDS)))
-    content = C.json_text(v, "$.content")
+    content = surrogates.shown(C.json_text(v, "$.content"))
     return F.when(extra.isNull(), "INVALID_PRODUCER_OUTPUT").when(F.size(extra) > 0, "UNTRUSTED_CONTROL_FIELD").when(content.isNull(), "INVALID_ARTIFACT_CONTENT").when(F.octet_length(content) > MAX_CONTENT_BYTES, "ARTIFACT_CONTENT_TOO_LARGE")
 
 
 def parse_sources(raw: DataFrame) -> DataFrame:
     """``raw`` (JSON text) registrations with ``artifact_id``, ``content``, ``issuer``, ``key_id``, ``signature``, and ``fault``, null if their shape is right."""
     v, listed = F.col("_v"), lambda names: F.array(*map(F.lit, names))
-    rows = raw.withColumn("_v", F.try_parse_json("raw"))
+    rows = raw.withColumn("_v", F.try_parse_json(surrogates.guarded(F.col("raw"))))
     keys, inner = C.json_keys(v), C.json_keys(v, "$.attestation")
     rows = rows.select(
-        "*", C.json_text(v, "$.id").alias("artifact_id"), C.json_text(v, "$.content").alias("content"), *(C.json_text(v, f"$.attestation.{f}").alias(f) for f in ATTESTATION_FIELDS),
+        "*", *(surrogates.shown(C.json_text(v, f"$.{f}")).alias(name) for f, name in (("id", "artifact_id"), ("content", "content"), *((f"attestation.{f}", f) for f in ATTESTATION_FIELDS))),
         F.array_except(keys, listed(SOURCE_FIELDS)).alias("_extra"), (F.array_sort(inner) == listed(ATTESTATION_FIELDS)).alias("_whole"),
     )
     fault = (
@@ -151,7 +151,7 @@ def stage(requests: DataFrame, artifacts: DataFrame, edges: DataFrame, valid: Da
     Artifacts that are stored as committed are replayed or conflict.
     """
     scratch = Scratch(requests.sparkSession, "stage")
-    rows = requests.withColumn("_fault", producer_output(F.col("raw"))).withColumn("_context", valid_context(cfg)).withColumn("content_hash", C.sha256_hex(C.json_text(F.try_parse_json("raw"), "$.content")))
+    rows = requests.withColumn("_fault", producer_output(F.col("raw"))).withColumn("_context", valid_context(cfg)).withColumn("content_hash", C.sha256_hex(surrogates.shown(C.json_text(F.try_parse_json(surrogates.guarded(F.col("raw"))), "$.content"))))
     rows = scratch.table(rows.drop("raw"), "rows")
     each = rows.where("_fault is null and _context").select("request", F.explode("parent_ids").alias("parent"))
     facts = artifacts.select(F.col("artifact_id").alias("parent"), F.col("generation").alias("g")).join(valid.select(F.col("artifact_id").alias("parent"), F.col("value").alias("ok")), "parent", "left")

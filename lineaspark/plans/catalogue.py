@@ -416,6 +416,21 @@ def path_counts(spark, sf_dir):
     return closure.path_counts(*_unsigned(spark, sf_dir)).select("artifact_id", F.col("value").alias("paths"))
 
 
+@query("""WITH RECURSIVE e AS (SELECT p.p_partkey AS child, q.p_partkey AS parent FROM part p, range(40) t(j), part q WHERE q.p_partkey = p.p_partkey - 1 - 13 * j AND p.p_partkey % 13 > 0
+), w AS (
+  SELECT p_partkey AS k, 0 AS layer, CAST(1 AS HUGEINT) AS n FROM part WHERE p_partkey % 13 = 0
+  UNION ALL SELECT child, layer + 1, CAST(sum(n) AS HUGEINT) FROM w JOIN e ON k = parent GROUP BY child, layer
+) SELECT 'layer/' || p_partkey AS artifact_id, CAST(coalesce(n, 0) AS VARCHAR) AS paths, TRY_CAST(coalesce(n, 0) AS BIGINT) AS small FROM part LEFT JOIN w ON p_partkey = k""")
+def path_counts_wide(spark, sf_dir):
+    """Parts in 13 layers, each derived from up to 40 of the layer below: of many parts, more paths than a long holds."""
+    part, k = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")), F.col("k")
+    name = lambda c: F.concat(F.lit("layer/"), c.cast("string"))
+    nodes = part.select(name(k).alias("artifact_id"), (k % 13).cast("int").alias("generation"), (k % 13 == 0).alias("terminal"))
+    below = part.where("k % 13 > 0").select("k", F.explode(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda j: k - 1 - 13 * j)).alias("p"))
+    edges = below.join(part.select(k.alias("p")), "p", "left_semi").select(name(k).alias("child"), name(F.col("p")).alias("parent"))
+    return closure.path_counts(nodes, edges).select("artifact_id", F.col("digits").alias("paths"), F.col("value").alias("small"))
+
+
 def _unsigned(spark, sf_dir):
     artifacts, edges = signed(spark, sf_dir)
     return artifacts.select("artifact_id", "generation", "terminal"), edges.select(F.col("child_artifact_id").alias("child"), F.col("parent_artifact_id").alias("parent"), "child_generation", "parent_generation")
@@ -482,6 +497,17 @@ def semantic_digest(spark, sf_dir):
     return decide.validate_intents(star.intents(spark, sf_dir)).where("status = 'PASS'").select("event_id", "semantic_digest", "fingerprint")
 
 
+@query(r"""WITH p AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '\ud800' WHEN 1 THEN '\udc00' WHEN 2 THEN '?' WHEN 3 THEN chr(128512) ELSE '\ud83d\ud800' END || event_type AS payload FROM events)
+SELECT event_id, sha256('{"action_type":"send_message","parameters":{"data_class":"public","destination":"internal:alerts","payload":"' || payload || '"},"subject_id":"s"}') AS semantic_digest FROM p""")
+def odd_payloads(spark, sf_dir):
+    """Payloads with half of a surrogate pair: each has a digest of its own."""
+    n = F.col("event_id")
+    half = F.when(n % 5 == 0, r"\uD800").when(n % 5 == 1, r"\uDC00").when(n % 5 == 2, "?").when(n % 5 == 3, r"\ud83d\ude00").otherwise(r"\uD83D\uD800")
+    head = '{"action_id":"a","subject_id":"s","action_type":"send_message","request_id":"r","requested_at":1,"provenance_artifact_id":"p","parameters":{"destination":"internal:alerts","data_class":"public","payload":"'
+    raw = F.concat(F.lit(head), half, F.col("event_type"), F.lit('"}}'))
+    return decide.validate_intents(read(spark, sf_dir, "events").select("event_id", raw.alias("raw"))).select("event_id", "semantic_digest")
+
+
 def _decided(spark, sf_dir) -> DataFrame:
     """Decisions on all events' intents, some of which are sent again, with a clock and an adapter that fail at times."""
     n, at = F.col("n"), F.col("verified_at")
