@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..config import DEFAULT, LineageConfig
 from ..functions.columns import is_artifact_id
 from ..sources.snapshots import Scratch
+from .signing import few
 
 #: In the order in which a node's checks are made.
 _STEPS = ("SYSTEM_ERROR", "IDENTITY_OR_AUTHENTICITY", "TERMINAL_STRUCTURE", "DEPTH_CAP_REACHED", "DERIVED_STRUCTURE", "EDGE_OR_PARENT")
@@ -152,6 +153,37 @@ def valid_closures(nodes: DataFrame, edges: DataFrame, cfg: LineageConfig = DEFA
     return _by_generation(nodes, edges, value, F.bool_and(F.coalesce("parent_value", F.lit(False))), F.lit(False), "valid", cfg)
 
 
+def revalidated(valid: DataFrame, nodes: DataFrame, links: DataFrame, checked_anew: DataFrame, cfg: LineageConfig = DEFAULT) -> DataFrame:
+    """What :func:`valid_closures` gives for ``nodes`` and ``links``, from what it gave before (``valid``) and the nodes that were ``checked_anew``.
+
+    Values are made anew for these, and then, a round at a time, only for
+    children of nodes whose value has changed; edges go up in generations, so rounds end.
+    """
+    scratch = Scratch(nodes.sparkSession, "revalidated")
+    own = F.coalesce(F.col("node_ok") & F.col("structure_ok") & F.col("edges_ok") & ~F.col("dangling") & F.col("generation").between(0, cfg.max_generation), F.lit(False))
+    before = valid.select("artifact_id", F.col("value").alias("_before"))
+    front = scratch.table(checked_anew.select("artifact_id").distinct(), "front-0")
+    now = scratch.table(front.withColumn("value", F.lit(None).cast("boolean")).where("false"), "now-0")  # of nodes that have changed
+    for k in range(1, cfg.max_generation + 3):
+        at = few(front)
+        here = nodes.join(at, "artifact_id", "left_semi").select("artifact_id", own.alias("own"))
+        up = links.join(at.select(F.col("artifact_id").alias("child")), "child", "left_semi").select("child", F.col("parent").alias("artifact_id"))
+        asked = few(scratch.table(up.select("artifact_id").distinct(), f"asked-{k}"))
+        known = before.join(asked, "artifact_id", "left_semi").join(now, "artifact_id", "left").select("artifact_id", F.coalesce("value", "_before").alias("parent_value"))
+        known = known.unionByName(now.join(before, "artifact_id", "left_anti").select("artifact_id", F.col("value").alias("parent_value")))
+        sums = up.join(known, "artifact_id", "left").groupBy("child").agg(F.bool_and(F.coalesce("parent_value", F.lit(False))).alias("_up")).withColumnRenamed("child", "artifact_id")
+        made = here.join(sums, "artifact_id", "left").select("artifact_id", (F.col("own") & F.coalesce("_up", F.lit(True))).alias("value"))
+        old = before.join(at, "artifact_id", "left_semi").join(now.withColumnRenamed("value", "_now"), "artifact_id", "left").select("artifact_id", F.coalesce("_now", "_before").alias("_old"))
+        old = old.unionByName(now.join(before, "artifact_id", "left_anti").join(at, "artifact_id", "left_semi").select("artifact_id", F.col("value").alias("_old")))
+        other = scratch.table(made.join(old, "artifact_id", "left").where(~F.col("value").eqNullSafe(F.col("_old"))).select("artifact_id", "value"), f"other-{k}")
+        now = scratch.table(now.join(other, "artifact_id", "left_anti").unionByName(other), f"now-{k}")
+        front = scratch.table(links.join(few(other).select(F.col("artifact_id").alias("parent")), "parent", "left_semi").select(F.col("child").alias("artifact_id")).distinct(), f"front-{k}")
+        if front.isEmpty():
+            break
+    stay = valid.join(now, "artifact_id", "left_anti").join(nodes.select("artifact_id"), "artifact_id", "left_semi")
+    return stay.select("artifact_id", "value").unionByName(now)
+
+
 #: Digits of a limb, and limbs of a count; 64 generations of 64 parents each need 116 digits.
 _DIGITS, _LIMBS = 9, 13
 
@@ -176,11 +208,18 @@ def path_counts(nodes: DataFrame, edges: DataFrame, cfg: LineageConfig = DEFAULT
     beyond them; ``value`` is the count where a long holds it, else null.  Both
     are null without an allowed generation.
     """
+    # longs first, -1 where they don't do; limbs only if that happens
+    beyond = F.lit(-1).cast("bigint")
+    up = F.when(F.min("parent_value") < 0, beyond).otherwise(F.coalesce(F.try_sum("parent_value"), F.when(F.count("parent_value") > 0, beyond)))
+    value = F.when(F.col("terminal"), F.lit(1)).otherwise(F.coalesce(F.col("_up").cast("bigint"), F.lit(0))).cast("bigint")
+    ways = _by_generation(nodes, edges, value, up, F.lit(None).cast("bigint"), "ways", cfg)
+    if ways.where("value < 0").isEmpty():
+        return ways.select("artifact_id", "value", F.col("value").cast("string").alias("digits"))
     zeros = [F.lit(0).cast("bigint")] * _LIMBS
     one = F.array(F.lit(1).cast("bigint"), *zeros)
     sums = F.array(*(F.sum(F.col("parent_value")[k]) for k in range(_LIMBS + 1)))
     own = F.coalesce(F.when(F.col("_up").isNotNull(), F.transform(F.col("_up").cast("array<bigint>"), lambda x: F.coalesce(x, F.lit(0)))), F.array(F.lit(0).cast("bigint"), *zeros))
-    ways = _by_generation(nodes, edges, F.when(F.col("terminal"), one).otherwise(_carried(own)), sums, F.lit(None).cast("array<bigint>"), "ways", cfg)
+    ways = _by_generation(nodes, edges, F.when(F.col("terminal"), one).otherwise(_carried(own)), sums, F.lit(None).cast("array<bigint>"), "wide-ways", cfg)
     text = F.array_join(F.transform(F.reverse(F.slice("value", 1, _LIMBS)), lambda x: F.lpad(x.cast("string"), _DIGITS, "0")), "")
     digits = F.when(F.element_at("value", _LIMBS + 1) > 0, "many").otherwise(F.regexp_replace(text, "^0+(?=.)", ""))
     return ways.select("artifact_id", digits.try_cast("bigint").alias("value"), digits.alias("digits"))

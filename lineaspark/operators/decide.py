@@ -118,13 +118,15 @@ _REASONS = {
 }
 
 
-def authorize(requests: DataFrame, artifacts: DataFrame, edges: DataFrame, cfg: LineageConfig = DEFAULT, held: DataFrame | None = None) -> DataFrame:
+def authorize(requests: DataFrame, artifacts: DataFrame, edges: DataFrame, cfg: LineageConfig = DEFAULT, held: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """A decision for each of ``requests``, over one snapshot of signed ``artifacts`` and ``edges``.
 
     Requests are ``event_id``, ``arrived_at``, ``raw`` (the intent as JSON
     text), ``verified_at`` and ``now`` (what the trusted clock says when the
     state is issued and when it is used) and ``adapter`` (see ``ledger.settle``).
-    ``held`` are reservations from before.
+    ``held`` are reservations from before.  ``nodes`` are verdicts on the
+    snapshot as ``signing.checked`` gives them, where they are stored; without
+    them the ancestry that the requests can reach is verified, and no more.
 
     The checks in order: intent; replay and the ledger's capacity; ancestry, by
     verification, result contract and issuance of the trusted state; policy;
@@ -141,8 +143,10 @@ def authorize(requests: DataFrame, artifacts: DataFrame, edges: DataFrame, cfg:
     valid = scratch.table(validate_intents(requests, cfg).select("event_id", "arrived_at", "verified_at", "now", "adapter", F.col("status").alias("_valid"), F.col("detail").alias("_fault"), *_CARRIED), "intents")
     asked = valid.where("_valid = 'PASS'")
     roots = asked.select(F.col("provenance_artifact_id").alias("artifact_id")).distinct()
-    nodes, _ = signing.checked(artifacts, edges, cfg)
-    verdicts, reach = closure.walk(scratch.table(nodes, "nodes"), roots, cfg.max_ancestry_depth, cfg)
+    if nodes is None:
+        roots = scratch.table(roots, "roots")
+        nodes = scratch.table(signing.checked(*signing.ancestry(artifacts, edges, roots, cfg.max_ancestry_depth, cfg), cfg)[0], "nodes")
+    verdicts, reach = closure.walk(nodes, roots, cfg.max_ancestry_depth, cfg)
     verdicts = scratch.table(verdicts, "verdicts")
     sound = verdicts.where("classification = 'VERIFIED'").select("artifact_id")
     heads, sources, witnesses = (scratch.table(x, n) for x, n in zip(report.results(artifacts, edges, sound, cfg, reach), ("heads", "sources", "witnesses"), strict=True))

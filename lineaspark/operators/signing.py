@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import DEFAULT, DERIVED_ROLES, EDGE_KINDS, MAX_PARENTS, SOURCE_TRUST, LineageConfig
@@ -29,6 +31,21 @@ def attestation(artifact_id: Column, content: Column, cfg: LineageConfig = DEFAU
     return C.hmac_sha256(cfg.connector_key, said)
 
 
+def source_fields(artifact_id: Column, content: Column, cfg: LineageConfig = DEFAULT) -> dict[str, Column]:
+    """The fields of a trusted source's record, but for its tag, by its id and content; ids and digests of a null are null."""
+    fixed = {
+        "role": "source", "generation": 0, "terminal": True, "trust_state": "trusted_source", "auth_state": "committed", "writer_id": cfg.writer_id, "writer_key_id": cfg.writer_key_id,
+        "gate_id": cfg.gate_id, "parent_count": 0, "lineage_kind": "source", "write_version": 1, "create_only": cfg.create_only, "authority_id": cfg.connector_issuer,
+    }
+    proof = C.sha256_hex(C.json_array(cfg.connector_issuer, cfg.connector_key_id, ("s", attestation(artifact_id, content, cfg))))
+    chosen = C.selector(artifact_id, cfg)
+    context = C.sha256_hex(C.json_array("trusted-source-context-v1", ("s", artifact_id), ("s", chosen), ("s", proof)))
+    return {k: F.lit(v) for k, v in fixed.items()} | {
+        "artifact_id": artifact_id, "vertex_id": C.vertex_id(artifact_id, cfg), "selector": chosen, "content_hash": C.sha256_hex(content), "parent_set_hash": F.sha2(F.lit("[]"), 256),
+        "context_id": context, "batch_id": batch_of("source", context, cfg), "authority_proof_hash": proof,
+    }
+
+
 def context_text(cfg: LineageConfig = DEFAULT) -> Column:
     """What a derived artifact's context id covers: columns ``artifact_id``, ``selector``, ``role``, ``generation``, ``kind``, the parents and the writer."""
     c = F.col
@@ -172,3 +189,60 @@ def checked(artifacts: DataFrame, edges: DataFrame, cfg: LineageConfig = DEFAULT
     derived = F.col("role").isin(*DERIVED_ROLES) & (F.col("trust_state") == "derived") & (F.col("generation") > 0) & (F.col("parent_count") > 0) & F.col("lineage_kind").isin(*EDGE_KINDS) & (n == F.col("parent_count")) & F.coalesce(F.col("parent_set_hash") == F.sha2(F.to_json("parents"), 256), F.lit(False))
     node = node.withColumn("structure_ok", F.coalesce(F.when(F.col("terminal"), source).otherwise(derived), F.lit(False)))
     return node.withColumn("edges_ok", F.coalesce("edges_ok", F.lit(True))).withColumn("dangling", F.coalesce("dangling", F.lit(False))).drop("_n"), e
+
+
+def few(ids: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
+    """A written table of ids, to be broadcast if it is counted to be small."""
+    return F.broadcast(ids) if ids.count() <= broadcast_rows else ids
+
+
+def of_vertices(artifacts: DataFrame, edges: DataFrame, children: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The artifacts and edges that the verdicts of ``children`` (a written table of ``vertex_id``) depend on: these, their edges and their parents."""
+    own = edges.join(few(children).select(F.col("vertex_id").alias("child_vertex_id")), "child_vertex_id", "left_semi").select(*edges.columns)
+    own = scratch.table(own, "own-edges")
+    every = scratch.table(children.select("vertex_id").unionByName(own.select(F.col("parent_vertex_id").alias("vertex_id"))).distinct(), "ends")
+    return artifacts.join(few(every), "vertex_id", "left_semi").select(*artifacts.columns), own
+
+
+def ancestry(artifacts: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int, cfg: LineageConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """The artifacts and edges that a verification of ``roots`` (``artifact_id``) to ``max_depth`` can ask for, found by ids alone.
+
+    Verdicts made of these are those made of the whole store, for all nodes
+    within the depth; no tag is looked at on the way.
+    """
+    scratch = Scratch(artifacts.sparkSession, "ancestry")
+    level = scratch.table(roots.select(C.vertex_id(F.col("artifact_id"), cfg).alias("vertex_id")).where("vertex_id is not null").distinct(), "level-0")
+    levels = [level]
+    for d in range(1, max_depth + 1):
+        up = edges.join(few(level).select(F.col("vertex_id").alias("child_vertex_id")), "child_vertex_id", "left_semi").select(F.col("parent_vertex_id").alias("vertex_id")).distinct()
+        for seen in levels:
+            up = up.join(seen, "vertex_id", "left_anti")
+        level = scratch.table(up, f"level-{d}")
+        if level.isEmpty():
+            break
+        levels.append(level)
+    return of_vertices(artifacts, edges, scratch.table(reduce(DataFrame.unionByName, levels), "reached"), scratch)
+
+
+def rechecked(nodes: DataFrame, links: DataFrame, artifacts: DataFrame, edges: DataFrame, changed: DataFrame, cfg: LineageConfig = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, links, ``artifact_id`` of all that were checked anew), as :func:`checked` gives them for ``artifacts`` and ``edges``.
+
+    ``nodes`` and ``links`` are what it gave for the store as it was, and
+    ``changed`` (``artifact_id``) are the artifacts that were added, taken away
+    or altered since, or whose edges were.  These are checked, and their children,
+    whose edges say whether a parent is there and authentic; the work follows
+    the change and not the store.
+    """
+    scratch = Scratch(artifacts.sparkSession, "rechecked")
+    changed = few(scratch.table(changed.select("artifact_id").distinct(), "changed"))
+    touched = nodes.join(changed, "artifact_id", "left_semi").select("vertex_id").unionByName(artifacts.join(changed, "artifact_id", "left_semi").select("vertex_id"))
+    touched = scratch.table(touched.where("vertex_id is not null").distinct(), "touched")
+    below = edges.join(few(touched).select(F.col("vertex_id").alias("parent_vertex_id")), "parent_vertex_id", "left_semi").select(F.col("child_vertex_id").alias("vertex_id"))
+    again = scratch.table(touched.unionByName(below).distinct(), "again")
+    new, new_links = checked(*of_vertices(artifacts, edges, again, scratch), cfg)
+    new = scratch.table(new.join(few(again), "vertex_id", "left_semi").select(*nodes.columns), "nodes")
+    ids = nodes.join(few(again), "vertex_id", "left_semi").select("artifact_id").unionByName(new.select("artifact_id")).unionByName(changed.select("artifact_id"))
+    ids = scratch.table(ids.distinct(), "ids")
+    kept = nodes.join(few(again), "vertex_id", "left_anti").select(*nodes.columns)
+    kept_links = links.join(few(ids).select(F.col("artifact_id").alias("child")), "child", "left_anti").select(*links.columns)
+    return kept.unionByName(new), kept_links.unionByName(new_links.select(*links.columns)), ids

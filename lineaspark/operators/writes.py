@@ -8,7 +8,8 @@ from ..config import ATTESTATION_FIELDS, DEFAULT, DERIVED_ROLES, EDGE_KINDS, MAX
 from ..functions import columns as C, surrogates
 from ..schema import ARTIFACTS, EDGES, NODE_FIELDS
 from ..sources.snapshots import Scratch
-from .signing import attestation, authentic_edge, batch_of, context_text, context_token, edge_tag, node_tag
+from ..sources.versions import Versions
+from .signing import attestation, authentic_edge, authentic_node, batch_of, checked, context_text, context_token, edge_tag, few, node_tag, of_vertices, source_fields
 
 
 def create_only(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -74,21 +75,95 @@ def parse_sources(raw: DataFrame) -> DataFrame:
     return rows.withColumn("fault", fault).drop("_v", "_extra", "_whole")
 
 
-def register_sources(sources: DataFrame, stored: DataFrame, cfg: LineageConfig = DEFAULT) -> DataFrame:
-    """(``artifact_id``, ``detail``) of parsed registrations (see :func:`parse_sources`) against stored artifacts.
+def registrations(sources: DataFrame, cfg: LineageConfig = DEFAULT) -> DataFrame:
+    """(``request``, ``detail``, the fields of ``ARTIFACTS``) of parsed registrations (see :func:`parse_sources`): the record that each asks for, or why it is refused.
 
-    The connector's signature must cover id and content.  A stored artifact of
-    that id must be the very one, but for its tag; whether its tag holds is
-    ``signing``'s to say.
+    The connector's signature must cover id and content.  ``detail`` is null where a record goes on.
     """
     signed = (F.col("issuer") == cfg.connector_issuer) & (F.col("key_id") == cfg.connector_key_id) & (F.col("signature") == attestation(F.col("artifact_id"), F.col("content"), cfg))
-    old = stored.select("artifact_id", F.col("content_hash").alias("_hash"))
-    rows = sources.join(old, "artifact_id", "left")
+    detail = F.when(F.col("fault").isNotNull(), F.col("fault")).when(~F.coalesce(signed, F.lit(False)), "SOURCE_ATTESTATION_INVALID")
+    fields = source_fields(F.col("artifact_id"), F.col("content"), cfg)
+    rows = sources.select("request", detail.alias("detail"), *(fields[f].alias(f) for f in NODE_FIELDS)).withColumn("auth_tag", node_tag(cfg))
+    return rows.select("request", "detail", *(F.col(f.name).cast(f.dataType) for f in ARTIFACTS))
+
+
+def _standing(wanted: DataFrame, stored: DataFrame, edges: DataFrame, cfg: LineageConfig) -> DataFrame:
+    """(``vertex_id``, ``_stored`` record, ``_whole``) of what is stored where ``wanted`` would be; ``_stored`` is null if its tag doesn't hold or the vertex is there twice.
+
+    ``_whole`` says whether its structure and edges are as verification wants them.  Only these vertices are read and verified.
+    """
+    scratch = Scratch(wanted.sparkSession, "standing")
+    ids = scratch.table(wanted.select("vertex_id").where("vertex_id is not null").distinct(), "ids")
+    some, own = of_vertices(stored, edges, ids, scratch)
+    some = scratch.table(some, "some")
+    nodes = checked(some, own, cfg)[0].groupBy("vertex_id").agg(F.bool_and(F.col("node_ok") & F.col("structure_ok") & F.col("edges_ok") & ~F.col("dangling")).alias("_whole"))
+    record = F.when(authentic_node(cfg), F.struct(*NODE_FIELDS))
+    here = some.join(few(ids), "vertex_id", "left_semi").select("vertex_id", record.alias("_r")).groupBy("vertex_id").agg(F.count("*").alias("_n"), F.first("_r").alias("_r"))
+    return scratch.table(here.join(nodes, "vertex_id", "left").select("vertex_id", F.when(F.col("_n") == 1, F.col("_r")).alias("_stored"), F.coalesce("_whole", F.lit(False)).alias("_whole"), F.lit(True).alias("_there")), "standing")
+
+
+def plan_registrations(asked: DataFrame, stored: DataFrame, edges: DataFrame, cfg: LineageConfig = DEFAULT) -> DataFrame:
+    """(``request``, ``detail``, the record, ``first``: the request whose record counts) of :func:`registrations`; ``detail`` is null where a record is to be written.
+
+    A record that is stored must be the very one in all its signed fields, its
+    tag must hold, and it must still verify.  Of several of a batch that ask for one artifact the
+    first writes, and the others are compared with what it writes.
+    """
+    scratch = Scratch(asked.sparkSession, "registrations")
+    rows = scratch.table(asked, "asked")
+    open_, record = rows.where("detail is null"), F.struct(*NODE_FIELDS)
+    first = open_.groupBy("vertex_id").agg(F.min_by(record, "request").alias("_first"), F.min("request").alias("first"))
+    old = _standing(open_, stored, edges, cfg)
+    out = rows.join(first, "vertex_id", "left").join(old, "vertex_id", "left")
     detail = (
-        F.when(F.col("fault").isNotNull(), F.col("fault")).when(~F.coalesce(signed, F.lit(False)), "SOURCE_ATTESTATION_INVALID").when(F.col("_hash").isNull(), "WRITE_COMMITTED")
-        .when(F.col("_hash") == C.sha256_hex(F.col("content")), "WRITE_REPLAYED").otherwise("ARTIFACT_IMMUTABILITY_CONFLICT")
+        F.when(F.col("detail").isNotNull(), F.col("detail"))
+        .when(F.col("_there"), F.when(~F.col("_stored").eqNullSafe(record), "ARTIFACT_IMMUTABILITY_CONFLICT").when(~F.col("_whole"), "INVALID_COMMITTED_ANCESTRY").otherwise("WRITE_REPLAYED"))
+        .when(F.col("request") > F.col("first"), F.when(F.col("_first").eqNullSafe(record), "WRITE_REPLAYED").otherwise("ARTIFACT_IMMUTABILITY_CONFLICT"))
     )
-    return rows.select("artifact_id", detail.alias("detail"))
+    later = F.coalesce(F.col("_there"), F.lit(False))
+    return scratch.table(out.select("request", detail.alias("detail"), *(f.name for f in ARTIFACTS), F.when(~later & F.col("detail").isNull(), F.col("first")).alias("first")), "plan")
+
+
+def new_records(plan: DataFrame) -> DataFrame:
+    """The artifacts that a plan writes."""
+    return plan.where("detail is null").select(*(f.name for f in ARTIFACTS))
+
+
+def confirm_registrations(plan: DataFrame, stored: DataFrame, edges: DataFrame, cfg: LineageConfig = DEFAULT) -> DataFrame:
+    """(``request``, ``artifact_id``, ``detail``) of all registrations, where ``stored`` and ``edges`` are read back after the new records were written.
+
+    A record must be there as it was written and verify; if it isn't, neither it
+    nor a replay of it within the batch has been committed.
+    """
+    written = plan.where("detail is null")
+    found = written.join(_standing(written, stored, edges, cfg), "vertex_id", "left")
+    good = found.select(F.col("request").alias("first"), F.coalesce(F.col("_stored").eqNullSafe(F.struct(*NODE_FIELDS)) & F.col("_whole"), F.lit(False)).alias("_good"))
+    rows = plan.join(good, "first", "left")
+    lost = F.coalesce(~F.col("_good"), F.lit(False)) & (F.col("detail").isNull() | (F.col("detail") == "WRITE_REPLAYED"))
+    return rows.select("request", "artifact_id", F.when(lost, "SOURCE_COMMIT_VERIFICATION_FAILED").otherwise(F.coalesce("detail", F.lit("WRITE_COMMITTED"))).alias("detail"))
+
+
+def register(sources: DataFrame, store: Versions, cfg: LineageConfig = DEFAULT) -> DataFrame:
+    """(``request``, ``artifact_id``, ``detail``) of parsed registrations, written to the next version of a store that has ``artifacts`` and ``edges``.
+
+    The batch is planned against the latest version, its new records are
+    published on top of that one, and then read back.  If another version came
+    meanwhile nothing is written and the error is ``StaleVersion``: plan again.
+    """
+    base = store.list()[-1]
+    at = lambda v: (store.read("artifacts", ARTIFACTS, v), store.read("edges", EDGES, v))
+    plan = plan_registrations(registrations(sources, cfg), *at(base), cfg)
+    after = store.commit({"artifacts": new_records(plan)}, base=base)
+    return confirm_registrations(plan, *at(after), cfg)
+
+
+def register_sources(sources: DataFrame, stored: DataFrame, cfg: LineageConfig = DEFAULT) -> DataFrame:
+    """(``artifact_id``, ``detail``) of what would become of parsed registrations against stored artifacts without edges, in no order of their own."""
+    spark = sources.sparkSession
+    if "request" not in sources.columns:
+        sources = Scratch(spark, "sources").table(sources.withColumn("request", F.monotonically_increasing_id()), "sources")
+    plan = plan_registrations(registrations(sources, cfg), stored, spark.createDataFrame([], EDGES), cfg)
+    return plan.select("artifact_id", F.coalesce("detail", F.lit("WRITE_COMMITTED")).alias("detail"))
 
 
 #: Columns of a prepared context.
@@ -167,6 +242,9 @@ def stage(requests: DataFrame, artifacts: DataFrame, edges: DataFrame, valid: Da
     })
     rows = scratch.table(rows.select("request", "_detail", *NODE_FIELDS, "parent_ids", "duplicate_parent_count"), "records")
     record = F.struct(*NODE_FIELDS)
+    # only what the plan asks for is verified
+    ids = few(scratch.table(rows.select("artifact_id").distinct(), "ids"))
+    artifacts, edges = artifacts.join(ids, "artifact_id", "left_semi"), edges.join(ids.withColumnRenamed("artifact_id", "child_artifact_id"), "child_artifact_id", "left_semi")
     first = rows.where("_detail is null").groupBy("artifact_id").agg(F.min_by(record, "request").alias("_first"), F.min("request").alias("_request"))
     stored = artifacts.select("artifact_id", F.struct(*NODE_FIELDS).alias("_stored"), F.col("auth_state").alias("_state"), (F.col("auth_tag") == node_tag(cfg)).alias("_signed"))
     sets = edges.groupBy(F.col("child_artifact_id").alias("artifact_id")).agg(F.count("*").alias("_n"), F.bool_and(authentic_edge(cfg)).alias("_edges_ok"))
@@ -204,9 +282,11 @@ def commit(plan: DataFrame, stored: DataFrame, edges: DataFrame, valid: DataFram
     parents; then it is committed, by a compare-and-set on batch, context,
     state and tag, and its parents, by ``valid``, must still be.
     """
-    open_ = plan.where("detail is null")
+    open_, scratch = plan.where("detail is null"), Scratch(plan.sparkSession, "commit")
     wanted, _ = pending(plan, stored, cfg)
-    back = stored.select("artifact_id", F.struct(*NODE_FIELDS, "auth_tag").alias("_back")).join(wanted.select("artifact_id", F.struct(*NODE_FIELDS, "auth_tag").alias("_want")), "artifact_id")
+    ids = few(scratch.table(open_.select("artifact_id").distinct(), "ids"))
+    edges = edges.join(ids.withColumnRenamed("artifact_id", "child_artifact_id"), "child_artifact_id", "left_semi")
+    back = stored.join(ids, "artifact_id", "left_semi").select("artifact_id", F.struct(*NODE_FIELDS, "auth_tag").alias("_back")).join(wanted.select("artifact_id", F.struct(*NODE_FIELDS, "auth_tag").alias("_want")), "artifact_id")
     sets = edges.groupBy(F.col("child_artifact_id").alias("artifact_id")).agg(F.count("*").alias("_n"), F.bool_and(authentic_edge(cfg)).alias("_ok"), F.min("batch_id").alias("_b0"), F.max("batch_id").alias("_b1"))
     small = edges.join(sets.where(F.col("_n") <= MAX_PARENTS).select(F.col("artifact_id").alias("child_artifact_id")), "child_artifact_id", "left_semi")
     names = small.groupBy(F.col("child_artifact_id").alias("artifact_id")).agg(F.array_sort(F.collect_list("parent_artifact_id")).alias("_parents"))
@@ -216,7 +296,7 @@ def commit(plan: DataFrame, stored: DataFrame, edges: DataFrame, valid: DataFram
     yes = lambda c: F.coalesce(c, F.lit(False))
     exact = yes((F.col("_n") == F.col("parent_count")) & F.col("_ok") & (F.col("_parents") == F.col("parent_ids")) & (F.col("_b0") == F.col("batch_id")) & (F.col("_b1") == F.col("batch_id")))
     detail = F.when(~yes(F.col("_back") == F.col("_want")), "PENDING_STAGE_CONFLICT").when(~exact, "INCOMPLETE_STAGED_ANCESTRY").when(~yes(F.col("_still")), "COMMIT_VERIFICATION_FAILED").otherwise("WRITE_COMMITTED")
-    done = Scratch(plan.sparkSession, "commit").table(rows.select("request", "artifact_id", detail.alias("detail")), "done")
+    done = scratch.table(rows.select("request", "artifact_id", detail.alias("detail")), "done")
     # what was staged whole is committed, and then found to be valid or not
     go = done.where(F.col("detail").isin("WRITE_COMMITTED", "COMMIT_VERIFICATION_FAILED")).select("artifact_id")
     new = open_.join(go, "artifact_id", "left_semi").withColumn("auth_tag", node_tag(cfg)).select("artifact_id", F.col("auth_tag").alias("committed_tag"), F.lit("committed").alias("committed"))

@@ -48,35 +48,68 @@ def snapshots(spark: SparkSession, sf_dir: str, name: str) -> Versions:
 def _snapshot(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], raw, version: int | None = None) -> tuple[DataFrame, DataFrame]:
     store = snapshots(spark, sf_dir, name)
     if version is None:
-        state = state_of(spark, *(f"{sf_dir}/{t}.parquet" for t in tables))
-        version = store.find(state)
-        if version is None:
-            nodes, derivations = raw()
-            artifacts = Scratch(spark, f"sign-{name}").table(signing.sign(nodes, derivations)[0], "artifacts")
-            version = store.commit({"artifacts": artifacts, "edges": signing.edges_of(artifacts, derivations)}, state)
+        version = _version(spark, sf_dir, name, tables, raw)
     return store.read("artifacts", ARTIFACTS, version), store.read("edges", EDGES, version)
 
 
+def _version(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], raw) -> int:
+    """The version made from the tables as they are, which is made if there is none."""
+    store, state = snapshots(spark, sf_dir, name), state_of(spark, *(f"{sf_dir}/{t}.parquet" for t in tables))
+    version = store.find(state)
+    if version is None:
+        nodes, derivations = raw()
+        artifacts = Scratch(spark, f"sign-{name}").table(signing.sign(nodes, derivations)[0], "artifacts")
+        version = store.commit({"artifacts": artifacts, "edges": signing.edges_of(artifacts, derivations)}, state)
+    return version
+
+
+def _verdicts(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], raw) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, links, validity) of a stored graph, stored beside it once for each of its versions."""
+    version = _version(spark, sf_dir, name, tables, raw)
+    store, state = snapshots(spark, sf_dir, f"{name}-verdicts"), f"version {version}"
+    found = store.find(state)
+    if found is None:
+        scratch = Scratch(spark, f"verdicts-{name}")
+        nodes, links = signing.checked(*_snapshot(spark, sf_dir, name, tables, raw, version))
+        nodes = scratch.table(nodes, "nodes")
+        found = store.commit({"nodes": nodes, "links": links, "valid": closure.valid_closures(nodes, links)}, state)
+    return tuple(store.read(t, version=found) for t in ("nodes", "links", "valid"))
+
+
+def _acting_raw(spark, sf_dir):
+    nodes, derivations = star.actions(spark, sf_dir)
+    return star.nodes(spark, sf_dir).where("role <> 'action_argument'").unionByName(nodes), star.derivations(spark, sf_dir).where(~F.col("child").startswith("lineitem/")).unionByName(derivations)
+
+
+def _lost(artifact_id):
+    return F.coalesce(artifact_id.startswith("part/") & (F.substring(artifact_id, 6, 20).try_cast("bigint") % 97 == 5), F.lit(False))
+
+
 def acting(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The signed graph that actions are decided on: the star without its line items and with events' actions, of which two nations were tampered with and some parts were lost."""
+    artifacts, edges = _spoilt(*_snapshot(spark, sf_dir, "actions", (*STAR, "events"), lambda: _acting_raw(spark, sf_dir)))
+    return artifacts.where(~_lost(F.col("artifact_id"))), edges
 
-    def raw():
-        nodes, derivations = star.actions(spark, sf_dir)
-        return star.nodes(spark, sf_dir).where("role <> 'action_argument'").unionByName(nodes), star.derivations(spark, sf_dir).where(~F.col("child").startswith("lineitem/")).unionByName(derivations)
 
-    artifacts, edges = _spoilt(*_snapshot(spark, sf_dir, "actions", (*STAR, "events"), raw))
-    number = F.substring("artifact_id", 6, 20).try_cast("bigint")
-    return artifacts.where(~F.coalesce(F.col("artifact_id").startswith("part/") & (number % 97 == 5), F.lit(False))), edges
+def acting_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdicts on :func:`acting`, from those stored on the graph before it was spoilt."""
+    nodes, links, _ = _verdicts(spark, sf_dir, "actions", (*STAR, "events"), lambda: _acting_raw(spark, sf_dir))
+    changed = _spoilt_ids(spark).unionByName(nodes.where(_lost(F.col("artifact_id"))).select("artifact_id"))
+    return Scratch(spark, "acting").table(signing.rechecked(nodes, links, *acting(spark, sf_dir), changed)[0], "nodes")
 
 
-def checked(spark: SparkSession, sf_dir: str, change=None) -> tuple[DataFrame, DataFrame]:
-    """Verdicts of the (changed) star graph, written once since every level of a walk reads them."""
-    scratch = Scratch(spark, "graph")
-    artifacts, edges = signed(spark, sf_dir)
-    if change:
-        artifacts, edges = change(artifacts, edges)
-    nodes, links = signing.checked(artifacts, edges)
-    return scratch.table(nodes, "nodes"), links
+def checked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The stored verdicts on the star's graph: (nodes, links, validity)."""
+    return _verdicts(spark, sf_dir, "star", STAR, lambda: (star.nodes(spark, sf_dir), star.derivations(spark, sf_dir)))
+
+
+def checked_spoilt(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same after two nations were tampered with, kept up from the stored ones."""
+    nodes, links, valid = checked(spark, sf_dir)
+    scratch = Scratch(spark, "spoilt")
+    nodes, links, anew = signing.rechecked(nodes, links, *_spoilt(*signed(spark, sf_dir)), _spoilt_ids(spark))
+    nodes, links = scratch.table(nodes, "nodes"), scratch.table(links, "links")
+    return nodes, links, closure.revalidated(valid, nodes, links, anew)
 
 
 def _values(spark: SparkSession, rows, names: str) -> DataFrame:
@@ -273,17 +306,21 @@ _DEGREE = "d AS (SELECT child, count(*) AS out FROM edg GROUP BY child)"
 SELECT root AS artifact_id, {_VERIFIED}, CAST(NULL AS VARCHAR) AS fault_artifact_id, count(*) AS node_count, CAST(sum(coalesce(out, 0)) AS BIGINT) AS edge_count, count(*) FILTER (WHERE out IS NULL) AS source_count, CAST(max(depth) AS BIGINT) AS deepest_hops
 FROM reach LEFT JOIN d ON node = child GROUP BY root""")
 def closure_all_roots(spark, sf_dir):
-    nodes, edges = checked(spark, sf_dir)
+    nodes, _, _ = checked(spark, sf_dir)
     return closure.verify(nodes, nodes.where("role = 'action_argument'"), DEFAULT.max_ancestry_depth)
 
 
 @query(f"WITH {O.ART} SELECT artifact_id, CASE WHEN generation > 2 THEN 'UNRESOLVED' ELSE 'VERIFIED' END AS classification, CASE WHEN generation > 2 THEN 'DEPTH_CAP_REACHED' ELSE 'ANCESTRY_VERIFIED' END AS detail FROM art UNION ALL SELECT 'absent/1', 'MISSING', 'ARTIFACT_NOT_FOUND' UNION ALL SELECT '', 'INVALID', 'INVALID_ARTIFACT_ID'")
 def closure_depth2(spark, sf_dir):
-    nodes, edges = checked(spark, sf_dir)
+    nodes, _, _ = checked(spark, sf_dir)
     asked = nodes.select("artifact_id").unionByName(spark.createDataFrame([("absent/1",), ("",)], "artifact_id string"))
     return closure.verify(nodes, asked, 2).select("artifact_id", "classification", "detail")
 
 
+def _spoilt_ids(spark):
+    return _values(spark, [("nation/2",), ("nation/9",)], "artifact_id")
+
+
 def _spoilt(artifacts, edges):
     return writes.tamper(artifacts, F.col("artifact_id").isin("nation/2", "nation/9"), "content_hash", "0" * 64), edges
 
@@ -292,15 +329,15 @@ def _spoilt(artifacts, edges):
 SELECT a.artifact_id, CASE WHEN b.root IS NULL THEN 'VERIFIED' ELSE 'INVALID' END AS classification, CASE WHEN b.root IS NULL THEN 'ANCESTRY_VERIFIED' ELSE 'EDGE_OR_PARENT' END AS detail FROM art a LEFT JOIN bad b ON a.artifact_id = b.root WHERE a.role = 'action_argument'""")
 def closure_faults(spark, sf_dir):
     """A tampered parent is reported at the child whose edge leads to it."""
-    nodes, edges = checked(spark, sf_dir, _spoilt)
+    nodes, _, _ = checked_spoilt(spark, sf_dir)
     return closure.verify(nodes, nodes.where("role = 'action_argument'"), 16).select("artifact_id", "classification", "detail")
 
 
 @query(f"""WITH RECURSIVE {O.ART}, {O.OBS}, bad AS (SELECT unnest(['nation/2', 'nation/9']) AS node UNION SELECT child FROM bad JOIN edg ON node = parent)
 SELECT artifact_id, artifact_id NOT IN (SELECT node FROM bad) AS valid FROM art""")
 def closure_validity(spark, sf_dir):
-    nodes, edges = checked(spark, sf_dir, _spoilt)
-    return closure.valid_closures(nodes, edges).select("artifact_id", F.col("value").alias("valid"))
+    """Kept up from the stored values when two nations change."""
+    return checked_spoilt(spark, sf_dir)[2].select("artifact_id", F.col("value").alias("valid"))
 
 
 @query(f"""WITH RECURSIVE {O.WALK}, {O.capped("('nation/2', 'nation/9')", 5)}
@@ -308,14 +345,14 @@ SELECT artifact_id, CASE WHEN cap_depth IS NOT NULL AND (fault_depth IS NULL OR
 FROM art LEFT JOIN caps ON artifact_id = caps.root LEFT JOIN faults ON artifact_id = faults.root WHERE role = 'action_argument'""")
 def closure_node_cap(spark, sf_dir):
     """Of more than 5 nodes: a fault below the depth where they are met counts, one from there on doesn't."""
-    nodes, _ = checked(spark, sf_dir, _spoilt)
+    nodes, _, _ = checked_spoilt(spark, sf_dir)
     return closure.verify(nodes, nodes.where("role = 'action_argument'"), 16, node_cap=5).select("artifact_id", "detail")
 
 
 @query(f"""WITH RECURSIVE {O.WALK}, bad AS (SELECT DISTINCT root FROM reach WHERE node IN ('nation/2', 'nation/9'))
 SELECT a.artifact_id, CASE WHEN b.root IS NULL THEN 'PASS' ELSE 'BLOCK' END AS status, CASE WHEN b.root IS NULL THEN 'PROVENANCE_VERIFIED' ELSE 'ARTIFACT_NOT_AUTHENTIC' END AS detail FROM art a LEFT JOIN bad b ON a.artifact_id = b.root WHERE a.role = 'action_argument'""")
 def integrity_facade(spark, sf_dir):
-    nodes, edges = checked(spark, sf_dir, _spoilt)
+    nodes, _, _ = checked_spoilt(spark, sf_dir)
     return closure.integrity(closure.verify(nodes, nodes.where("role = 'action_argument'"), 16))
 
 
@@ -515,7 +552,7 @@ def _decided(spark, sf_dir) -> DataFrame:
     now = F.when(n % 23 == 21, None).when(n % 23 == 19, at + 5000).when(n % 23 == 20, at - 1).otherwise(at + 7)
     rows = rows.withColumn("now", now).withColumn("adapter", F.when(n % 29 == 23, "failed").when(n % 31 == 24, "timeout").otherwise("ok"))
     most = min(100_000, max(1, read(spark, sf_dir, "events").count() // 5))
-    return decide.authorize(rows, *acting(spark, sf_dir), LineageConfig(max_ancestry_depth=3, max_closure_nodes=9, min_trusted_sources=2, max_ledger_entries=most))
+    return decide.authorize(rows, *acting(spark, sf_dir), LineageConfig(max_ancestry_depth=3, max_closure_nodes=9, min_trusted_sources=2, max_ledger_entries=most), nodes=acting_nodes(spark, sf_dir))
 
 
 @query(f"{O.DECISIONS} SELECT event_id, status, reason_code, detail, stage, trusted_state_id, authorization_id, policy_version, n_sources, n_witnesses, executed FROM decisions")
@@ -536,8 +573,7 @@ def action_proof(spark, sf_dir):
     artifacts, edges = acting(spark, sf_dir)
     decided = Scratch(spark, "proof").table(_decided(spark, sf_dir).where("stage is null or stage > 0"), "decided")
     cfg = LineageConfig(max_ancestry_depth=3, max_closure_nodes=9)
-    nodes, _ = signing.checked(artifacts, edges, cfg)
-    verdicts, reach = closure.walk(nodes, decided.select(F.col("provenance_artifact_id").alias("artifact_id")), 3, cfg)
+    verdicts, reach = closure.walk(acting_nodes(spark, sf_dir), decided.select(F.col("provenance_artifact_id").alias("artifact_id")), 3, cfg)
     heads, sources, _ = report.results(artifacts, edges, verdicts.where("classification = 'VERIFIED'"), cfg, reach)
     return report.action_proof(decided, heads, sources).select("event_id", "root", "status", "detail", "executed", "ancestry_status", "node_count", "deepest_hops", "source_ids")
 
@@ -750,9 +786,7 @@ def _written(spark, sf_dir):
     many = F.when(k % 11 == 5, F.transform(F.sequence(F.lit(1), F.lit(65)), lambda _: name("order/", k))).when(k % 11 == 7, F.array(one, one, one)).otherwise(F.array(one))
     role, kind = F.when(k % 11 == 1, "boss").otherwise("summary"), F.when(k % 11 == 2, "like").otherwise("summarize")
     asked = orders.select(name("digest/", k).alias("artifact_id"), role.alias("role"), kind.alias("kind"), F.explode(F.concat(many, F.array(name("part/", k % parts)))).alias("parent"))
-    spoilt, _ = _spoilt(artifacts, edges)
-    nodes, links = signing.checked(spoilt, edges)
-    valid = closure.valid_closures(scratch.table(nodes, "nodes"), links)
+    valid = scratch.table(checked_spoilt(spark, sf_dir)[2], "valid")
     number = F.substring("artifact_id", 7, 20).try_cast("bigint")
     older = artifacts.withColumn("generation", F.when(F.col("artifact_id").startswith("order/") & (number % 13 == 9), F.col("generation") + 1).otherwise(F.col("generation")))
     contexts = scratch.table(writes.prepare(asked, older, valid), "contexts").withColumn("request", F.substring("artifact_id", 8, 20).cast("bigint"))
@@ -799,6 +833,39 @@ def forged_parents(spark, sf_dir):
     return writes.probe(done, artifacts, edges, claimed)
 
 
+def _sources(rows, role="source"):
+    """Signed artifacts of (``artifact_id``, ``content``), without parents."""
+    kinds = {"role": role, "lineage_kind": "source", "trust_state": "trusted_source", "authority_id": "registry"}
+    none = rows.sparkSession.createDataFrame([], "child string, parent string")
+    return signing.sign(rows.select("artifact_id", "content", F.lit(0).alias("generation"), *(F.lit(v).alias(k) for k, v in kinds.items())), none)[0]
+
+
+@query("""WITH d AS (SELECT doc_id, ((doc_id % 12) + 12) % 12 AS m FROM documents WHERE doc_id IS NOT NULL)
+SELECT 2 * doc_id AS request, CASE WHEN m <> 7 THEN 'doc/' || doc_id END AS artifact_id, CASE WHEN m = 3 THEN 'WRITE_REPLAYED' WHEN m IN (4, 5, 8) THEN 'ARTIFACT_IMMUTABILITY_CONFLICT' WHEN m IN (6, 10) THEN 'SOURCE_ATTESTATION_INVALID'
+  WHEN m = 7 THEN 'INVALID_ARTIFACT_ID' WHEN m = 9 THEN 'INVALID_COMMITTED_ANCESTRY' WHEN m = 11 THEN 'SOURCE_COMMIT_VERIFICATION_FAILED' ELSE 'WRITE_COMMITTED' END AS detail FROM d
+UNION ALL SELECT 2 * doc_id + 1, 'doc/' || doc_id, CASE m WHEN 1 THEN 'WRITE_REPLAYED' WHEN 2 THEN 'ARTIFACT_IMMUTABILITY_CONFLICT' WHEN 10 THEN 'WRITE_COMMITTED' ELSE 'SOURCE_COMMIT_VERIFICATION_FAILED' END FROM d WHERE m IN (1, 2, 10, 11)""")
+def register_batch(spark, sf_dir):
+    """Registrations written as one version on top of another: repeats in the batch, records stored as they are, otherwise, in another role, with a tag that doesn't hold or with parents, and some that the write loses."""
+    scratch, d = Scratch(spark, "register"), F.col("doc_id")
+    rows = read(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", F.pmod(d, F.lit(12)).alias("m"), F.concat(F.lit("doc/"), d.cast("string")).alias("artifact_id"), F.concat(F.lit("text of "), d.cast("string")).alias("content"))
+    rows, m = scratch.table(rows, "rows"), F.col("m")
+    old = _sources(rows.where("m in (3, 8, 9)")).unionByName(_sources(rows.where("m = 4").withColumn("content", F.lit("other")))).unionByName(_sources(rows.where("m = 5"), "claim"))
+    number = F.pmod(F.substring("artifact_id", 5, 20).cast("bigint"), F.lit(12))
+    old = scratch.table(writes.tamper(old, number == 8, "auth_tag", "0" * 64), "old")
+    above = rows.where("m = 9").select(F.col("artifact_id").alias("child"), F.concat(F.lit("doc/"), (d - 6).cast("string")).alias("parent"))
+    store = Versions(spark, f"{scratch.base}/store")
+    store.commit({"artifacts": old, "edges": signing.edges_of(old, above)})
+    both = rows.select("*", F.lit(0).alias("again")).unionByName(rows.where("m in (1, 2, 10, 11)").select("*", F.lit(1).alias("again")))
+    content = F.when((m == 2) & (F.col("again") == 1), "another text").otherwise(F.col("content"))
+    bad = (m == 6) | ((m == 10) & (F.col("again") == 0))
+    both = both.withColumn("content", content).withColumn("fault", F.when(m == 7, "INVALID_ARTIFACT_ID")).withColumn("artifact_id", F.when(m != 7, F.col("artifact_id")))
+    said = both.select((2 * d + F.col("again")).alias("request"), "artifact_id", "content", "fault", F.lit(DEFAULT.connector_issuer).alias("issuer"), F.lit(DEFAULT.connector_key_id).alias("key_id"), F.when(bad, F.lit("0" * 64)).otherwise(signing.attestation(F.col("artifact_id"), F.col("content"))).alias("signature"))
+    at = lambda v: (store.read("artifacts", ARTIFACTS, v), store.read("edges", EDGES, v))
+    plan = writes.plan_registrations(writes.registrations(said), *at(1))
+    store.commit({"artifacts": writes.new_records(plan).where(number != 11)}, base=1)
+    return writes.confirm_registrations(plan, *at(2))
+
+
 @query("""WITH d AS (SELECT *, ((doc_id % 9) + 9) % 9 AS m FROM documents)
 SELECT CASE WHEN m = 8 THEN NULL ELSE 'doc/' || doc_id END AS artifact_id, CASE WHEN m = 7 THEN 'INVALID_SOURCE_INPUT' WHEN m = 5 THEN 'UNTRUSTED_CONTROL_FIELD' WHEN doc_id IS NULL OR m = 8 THEN 'INVALID_ARTIFACT_ID' WHEN text IS NULL OR octet_length(encode(text)) > 1000000 THEN 'INVALID_ARTIFACT_CONTENT'
   WHEN m IN (0, 6) THEN 'INVALID_SOURCE_ATTESTATION' WHEN m = 1 THEN 'SOURCE_ATTESTATION_INVALID' WHEN m = 2 THEN 'WRITE_REPLAYED' WHEN m = 3 THEN 'ARTIFACT_IMMUTABILITY_CONFLICT' ELSE 'WRITE_COMMITTED' END AS detail FROM d WHERE m IS NULL OR m <> 7
@@ -814,7 +881,7 @@ def attestation(spark, sf_dir):
     body = F.to_json(F.struct(F.when(m != 8, F.col("artifact_id")).alias("id"), F.col("content")))
     raw = F.concat(F.substring(body, F.lit(1), F.length(body) - 1), F.when(body == "{}", "").otherwise(","), F.lit('"attestation":'), said, F.when(m == 5, ',"trust_state":"trusted"}').otherwise("}"))
     raw = F.when(m == 7, F.lit("[]")).otherwise(raw)
-    stored = rows.where("m in (2, 3)").select("artifact_id", F.sha2(F.when(m == 2, F.col("content")).otherwise("other"), 256).alias("content_hash"))
+    stored = _sources(rows.where("m in (2, 3)").withColumn("content", F.when(m == 2, F.col("content")).otherwise("other")))
     return writes.register_sources(writes.parse_sources(rows.select(raw.alias("raw"))), stored)
 
 

@@ -88,7 +88,7 @@ class Versions:
         for name, df in tables.items():
             df.write.parquet(f"{self.path}/{folder}/{name}")
             files = [[n, size] for n, size, _ in _files(self.spark, f"{self.path}/{folder}/{name}")]
-            parts.setdefault(name, []).append({"folder": f"{folder}/{name}", "files": files})
+            parts.setdefault(name, []).append({"folder": f"{folder}/{name}", "files": files, "schema": df.schema.json()})
         while True:
             latest = max(self.list(), default=0)
             if base and latest != base:
@@ -116,10 +116,11 @@ class Versions:
             return False
         return True
 
-    def read(self, name: str, schema: T.StructType, version: int | None = None) -> DataFrame:
-        """A table as of a version, or of the latest; files that are no more as the manifest has them are an error."""
+    def read(self, name: str, schema: T.StructType | None = None, version: int | None = None) -> DataFrame:
+        """A table as of a version, or of the latest, with the schema that it was written with if none is given; files that are no more as the manifest has them are an error."""
         parts = self.manifest(version)["tables"][name]
         for p in parts:
             if [[n, size] for n, size, _ in _files(self.spark, f"{self.path}/{p['folder']}")] != p["files"]:
                 raise ValueError(f"{p['folder']} isn't what was published")
+        schema = schema or T.StructType.fromJson(json.loads(parts[0]["schema"]))
         return self.spark.read.schema(schema).parquet(*(f"{self.path}/{p['folder']}" for p in parts))
