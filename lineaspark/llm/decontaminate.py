@@ -12,21 +12,26 @@ by exact shingle containment.
 
 Documents are scanned once for each block of items.  A block is bounded by
 ``block_bytes`` of item text and is what executors get by broadcast: the texts
-and their sketches.  Exact shingles are made for the items that a document
-hits, so a large benchmark takes more scans and no more memory.
+and their sketches.  Of several blocks one is searched after another, each in a
+job that writes what it found, and the next one's broadcast takes its place.
+Exact shingles are made for the items that a document hits, so a large benchmark
+takes more scans and no more memory.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import freeing, packed, ship, unpacked
+from .line_dedup import numbered
+from .shared import Scratch, freeing, packed, ship, unpacked
 from .shingles import CHUNK, shingles, slices, word_hashes
 
 #: Beyond ASCII, what separates words: signs and spaces of Latin-1, general punctuation and symbols, ideographic and full-width punctuation.
@@ -157,14 +162,27 @@ class Items:
         return [(k, i, n) for k in sorted(by) for i, n in self.verify(texts[k], sorted(by[k]))]
 
 
-def blocks(benchmark: DataFrame, block_bytes: int = 32 << 20) -> Iterator[Items]:
+def blocks(benchmark: DataFrame, block_bytes: int = 32 << 20) -> tuple[int, Iterator[Items]]:
     """The items in blocks of about ``block_bytes`` of text: as many blocks as their total asks for, each item in one, repeated rows once with their number."""
     items = benchmark.where("text is not null").groupBy("item_id", "text").agg(F.count("*").alias("times"))
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = max(1, -(-int(size) // block_bytes))
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        yield Items([tuple(r) for r in rows])
+    part = lambda k: items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
+    return n, (Items([tuple(r) for r in part(k)]) for k in range(n))
+
+
+def _searched(docs: DataFrame, benchmark: DataFrame, block_bytes: int, scratch: Scratch, search: Callable[[DataFrame, Broadcast], DataFrame]) -> DataFrame:
+    """What ``search`` finds for all blocks: at once if there is one, and else written block after block."""
+    n, every = blocks(benchmark, block_bytes)
+    found = []
+    for k, block in enumerate(every):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        here = search(docs, shared)
+        if n == 1:
+            return here
+        found.append(scratch.table(here, f"block-{k}"))
+        shared.unpersist()
+    return reduce(DataFrame.unionByName, found)
 
 
 def contained(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 32 << 20) -> DataFrame:
@@ -174,14 +192,15 @@ def contained(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 32 << 20
     fewer words is one shingle of all of them, and one without words (or null)
     is in no document.  Repeated rows give a pair each.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     spark = docs.sparkSession
     ship(spark)
     kinds = [docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()]
-    out = None
-    for block in blocks(benchmark, block_bytes):
-        shared = spark.sparkContext.broadcast(block)
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def search(docs: DataFrame, shared: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = shared.value
             for b in batches:
                 for j in range(0, b.num_rows, 1024):
@@ -199,32 +218,43 @@ def contained(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 32 << 20
                         ["doc_id", "item_id", "n_shingles", "n_shared", "containment"],
                     )
 
-        from pyspark.sql.pandas.types import to_arrow_type
+        return docs.select("doc_id", "text").mapInArrow(freeing(run), f"doc_id {kinds[0]}, item_id {kinds[1]}, n_shingles bigint, n_shared bigint, containment double")
 
-        item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
-        one = docs.select("doc_id", "text").mapInArrow(freeing(run), f"doc_id {kinds[0]}, item_id {kinds[1]}, n_shingles bigint, n_shared bigint, containment double")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _searched(docs, benchmark, block_bytes, Scratch(spark, "contained"), search)
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 32 << 20) -> DataFrame:
-    """The rows of ``docs`` that contain no item; all columns stay and nothing is shuffled."""
-    spark = docs.sparkSession
+def keep_clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 32 << 20, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs`` that contain no item; all columns stay.
+
+    With one block they are filtered as they are read.  With more, each block is
+    a job of its own that writes the rows that go, and these are taken out in
+    the end, by broadcast if they are counted to be few.
+    """
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "clean")
     ship(spark)
-    rows = packed(docs, "text")
-    for block in blocks(benchmark, block_bytes):
-        shared = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def clean(rows: DataFrame, shared: Broadcast, of: bool) -> DataFrame:
+        """The rows that have none of a block's items, or those that have."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for j in range(0, b.num_rows, 1024):
                     part = b.slice(j, 1024)
-                    keep = np.ones(part.num_rows, bool)
-                    keep[[k for k, _, _ in shared.value.search(part.column("text").to_pylist())]] = False
+                    keep = np.full(part.num_rows, of)
+                    keep[[k for k, _, _ in shared.value.search(part.column("text").to_pylist())]] = not of
                     yield part.filter(pa.array(keep))
 
-        rows = rows.mapInArrow(freeing(run), rows.schema)
-    return unpacked(rows, docs.columns, ("text",))
+        return rows.mapInArrow(freeing(run), rows.schema)
+
+    n, every = blocks(benchmark, block_bytes)
+    if n == 1:
+        return unpacked(clean(packed(docs, "text"), spark.sparkContext.broadcast(next(every)), True), docs.columns, ("text",))
+    rows = numbered(packed(docs, "doc_id", "text"), scratch)
+    few = lambda _, shared: clean(rows.select("_doc", "text"), shared, False).select("_doc")
+    gone = scratch.table(_searched(docs, benchmark, block_bytes, scratch, few).distinct(), "gone")
+    if gone.count() <= broadcast_rows:
+        gone = F.broadcast(gone)
+    return unpacked(rows.join(gone, "_doc", "left_anti"), docs.columns, ("doc_id", "text"))
 
 
 SQL = r"""

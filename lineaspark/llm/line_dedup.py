@@ -63,7 +63,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def intervals(lines: DataFrame, scratch: Scratch, most_levels: int = 40) -> list[DataFrame]:
-    """Per level k the suffixes that share their first 2^k lines with another: (``_doc``, ``seq``, ``rank``)."""
+    """Per level k, up to ``most_levels``, the suffixes that share their first 2^k lines with another: (``_doc``, ``seq``, ``rank``)."""
     names = scratch.table(_ranked(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), ["h1", "h2"]), "names-0")
     found = [scratch.table(lines.join(names, ["h1", "h2"]).select("_doc", "seq", "rank"), "level-0")]
     for k in range(most_levels):
@@ -176,7 +176,7 @@ def dedup_lines(docs: DataFrame, broadcast_lines: int = 2_000_000, min_lines: in
     scratch = Scratch(docs.sparkSession, "lines")
     docs = numbered(packed(docs, "doc_id", "text"), scratch)
     lines = scratch.table(lines_of(docs.select("_doc", "text")), "lines")
-    spans = later_copies(intervals(lines, scratch), min_lines).drop("first")
+    spans = later_copies(intervals(lines, scratch, min_lines.bit_length() - 1), min_lines).drop("first")  # no level beyond the one that it asks for
     if single:
         spans = spans.unionByName(long_copies(lines))
     gone = scratch.table(gone_lines(lines, spans), "gone")

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import links
 from .components import components
 from .line_dedup import numbered
 from .shared import Scratch, freeing, packed, ship, unpacked
@@ -41,12 +42,6 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(shingles(words, min(width, len(words)))) if len(words) else words
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0] + [len(x) for x in arrays]).astype(np.int32)
-    flat = np.concatenate([np.empty(0, np.uint64), *arrays]).view(np.int64)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-
-
 def _fingerprint(s: np.ndarray) -> list[int]:
     return [int(np.packbits(_bit_counts(h) * 2 > len(s)).view(">u8")[0].astype(np.uint64).view(np.int64)) for h in (s, other(s, 1))]
 
@@ -85,7 +80,7 @@ def sketches(docs: DataFrame, often: np.ndarray) -> DataFrame:
                     prefix.append(np.concatenate([s[~late], s[late]])[: len(s) - -(-4 * len(s) // 5) + 1])
                 f = np.array(fps, np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_doc"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(f[:, 0]), pa.array(f[:, 1]), _lists(prefix)],
+                    [part.column("_doc"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(f[:, 0]), pa.array(f[:, 1]), links.lists(prefix)],
                     ["_doc", "node", "n", "f1", "f2", "prefix"],
                 )
 
@@ -93,73 +88,6 @@ def sketches(docs: DataFrame, often: np.ndarray) -> DataFrame:
     return docs.select("_doc", "text").mapInArrow(freeing(run), f"_doc {kind}, node bigint, n bigint, f1 bigint, f2 bigint, prefix array<bigint>")
 
 
-def _grown(count: int, near) -> tuple[list[int], list[int]]:
-    """A spanning forest of ``count`` members, where ``near(u, rest)`` gives those of ``rest`` that are linked to ``u``."""
-    free, a, b = np.ones(count, bool), [], []
-    for s in range(count):
-        if not free[s]:
-            continue
-        free[s], queue = False, [s]
-        while queue:
-            u = queue.pop()
-            rest = np.flatnonzero(free)
-            if not len(rest):
-                return a, b
-            found = near(u, rest)
-            free[found] = False
-            queue += found.tolist()
-            a += [u] * len(found)
-            b += found.tolist()
-    return a, b
-
-
-def _edges(batches: Iterator[pa.RecordBatch], key: str, forest) -> Iterator[pa.RecordBatch]:
-    """Edges of ``forest`` over each run of equal ``key`` in rows sorted by it; a run may span batches."""
-    held: list[pa.RecordBatch] = []
-
-    def solve(rows: pa.Table) -> pa.RecordBatch:
-        node = rows.column("node").to_numpy()
-        keys = rows.column(key).to_numpy()
-        cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
-        pairs: set[tuple[int, int]] = set()
-        for k in np.flatnonzero(np.diff(cuts) > 1).tolist():
-            s, e = int(cuts[k]), int(cuts[k + 1])
-            a, b = forest(rows, s, e)
-            pairs.update((min(x, y), max(x, y)) for x, y in zip(node[s:e][a].tolist(), node[s:e][b].tolist(), strict=True))
-        both = np.array(sorted(pairs), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(key).to_numpy(zero_copy_only=False)
-        last = int(np.searchsorted(keys, keys[-1], "left"))
-        same = not held or held[-1].column(key)[-1].as_py() == keys[0]
-        if last or not same:
-            yield solve(pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks())
-            held = []
-        held.append(batch.slice(last))
-    if held:
-        yield solve(pa.Table.from_batches(held).combine_chunks())
-
-
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows (``cell``, ``node``), sorted by ``cell``, that share their cell with another row."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
-        cell = rows.column("cell").to_numpy()
-        last = int(np.searchsorted(cell, cell[-1], "left"))
-        same = cell[1:] == cell[:-1]
-        met = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        yield rows.slice(0, last).filter(pa.array(met[:last]))
-        held = [rows.slice(last)]
-    if held and held[0].num_rows > 1:
-        yield held[0]
-
-
 def _coarse(rows: pa.Table, s: int, e: int) -> tuple[list[int], list[int]]:
     n, f1, f2 = (rows.column(c).slice(s, e - s).to_numpy().astype(np.uint64, copy=False) for c in ("n", "f1", "f2"))
 
@@ -168,42 +96,14 @@ def _coarse(rows: pa.Table, s: int, e: int) -> tuple[list[int], list[int]]:
         close = np.bitwise_count(f1[rest] ^ f1[u]).astype(np.int64) + np.bitwise_count(f2[rest] ^ f2[u]) <= GATE
         return rest[close & (np.minimum(m, n[u]) * 5 >= np.maximum(m, n[u]) * 4)]
 
-    return _grown(e - s, near)
+    return links.grown(e - s, near)
 
 
-def _exact(rows: pa.Table, s: int, e: int) -> tuple[list[int], list[int]]:
-    sets = [np.asarray(x.values).view(np.uint64) for x in rows.column("hashes").slice(s, e - s)]
-    n = np.array([len(x) for x in sets])
-
-    def near(u: int, rest: np.ndarray) -> np.ndarray:
-        rest = rest[np.minimum(n[rest], n[u]) * 5 >= np.maximum(n[rest], n[u]) * 4]
-        if not len(rest):
-            return rest
-        every = np.concatenate([sets[i] for i in rest])
-        at = np.minimum(np.searchsorted(sets[u], every), n[u] - 1)
-        both = np.add.reduceat((sets[u][at] == every).astype(np.int64), np.cumsum(n[rest]) - n[rest])
-        return rest[both * 5 >= (n[rest] + n[u] - both) * 4]
-
-    return _grown(e - s, near)
+def labels(docs: DataFrame, scratch: Scratch, block: int = 4096, set_block: int = 1 << 20, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(``_doc``, ``least`` of its group) for every row of ``docs`` (``_doc``, ``text``); wordless texts are one group.
 
-
-def _blocked(rows: DataFrame, key: str, scratch: Scratch, name: str, block: int) -> DataFrame:
-    """``rows`` with ``key`` for runs of ``block`` rows or so: a greater one is cut, and every pair of its blocks is a run."""
-    big = scratch.table(rows.groupBy(key).count().where(F.col("count") > block), name)
-    if big.isEmpty():
-        return rows
-    cut = rows.join(big, key).withColumn("_n", F.ceil(F.col("count") / block).cast("int")).withColumn("_k", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
-    unit = F.explode(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda j: F.xxhash64(F.col(key), F.least(j, "_k"), F.greatest(j, "_k")))).alias("_unit")
-    cut = cut.select("*", unit).withColumn(key, F.col("_unit")).select(*rows.columns)
-    return rows.join(big, key, "left_anti").select(*rows.columns).unionByName(cut)
-
-
-def _linked(rows: DataFrame, key: str, forest) -> DataFrame:
-    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(freeing(lambda b: _edges(b, key, forest)), "a bigint, b bigint")
-
-
-def labels(docs: DataFrame, scratch: Scratch, block: int = 4096, set_block: int = 512, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """(``_doc``, ``least`` of its group) for every row of ``docs`` (``_doc``, ``text``); wordless texts are one group."""
+    ``block`` bounds the rows of a cell that are compared at a time, ``set_block`` the hashes of a coarse group's sets.
+    """
     ship(docs.sparkSession)
     seen = scratch.table(sketches(docs, frequent(docs, scratch)), "sketches")
     one = scratch.table(seen.groupBy("node").agg(F.min("_doc").alias("_doc"), F.first("n").alias("n"), F.first("f1").alias("f1"), F.first("f2").alias("f2")), "one")
@@ -211,10 +111,10 @@ def labels(docs: DataFrame, scratch: Scratch, block: int = 4096, set_block: int
     if copies.count() <= broadcast_rows:
         copies = F.broadcast(copies)
     cells = seen.join(copies, "_doc", "left_anti").select(F.explode("prefix").alias("cell"), "node")
-    cells = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(freeing(_met), "cell bigint, node bigint")
+    cells = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(freeing(links.met), "cell bigint, node bigint")
     cells = scratch.table(scratch.table(cells, "met").join(one.drop("_doc"), "node"), "cells")
-    coarse = components(_linked(_blocked(cells, "cell", scratch, "big", block), "cell", _coarse), scratch)
-    group = scratch.table(one.join(coarse, "node").select("_doc", "node", F.col("root").alias("grp")), "coarse")
+    coarse = components(links.linked(cells, "cell", _coarse, scratch, "cells", block), scratch)
+    group = scratch.table(one.join(coarse, "node").select("_doc", "node", "n", F.col("root").alias("grp")), "coarse")
 
     if group.count() <= broadcast_rows:
         group = F.broadcast(group)
@@ -223,12 +123,12 @@ def labels(docs: DataFrame, scratch: Scratch, block: int = 4096, set_block: int
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
-                hashes = _lists([shingle_set(t) for t in part.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column("grp"), part.column("node"), hashes], ["grp", "node", "hashes"])
+                hashes = links.lists([shingle_set(t) for t in part.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("grp", "node", "n")), hashes], ["grp", "node", "n", "hashes"])
 
-    sets = docs.join(group, "_doc").select("grp", "node", "text").mapInArrow(freeing(run), "grp bigint, node bigint, hashes array<bigint>")
+    sets = docs.join(group, "_doc").select("grp", "node", "n", "text").mapInArrow(freeing(run), "grp bigint, node bigint, n bigint, hashes array<bigint>")
     exact = Scratch(docs.sparkSession, "near-exact")
-    roots = components(_linked(_blocked(scratch.table(sets, "sets"), "grp", scratch, "big-groups", set_block), "grp", _exact), exact)
+    roots = components(links.linked(scratch.table(sets, "sets"), "grp", links.similar_sets(4, 5), scratch, "groups", set_block, "n"), exact)
     names = scratch.table(one.join(roots, "node", "left").select("node", "_doc", F.coalesce("root", "node").alias("root")), "names")
     least = names.groupBy("root").agg(F.min("_doc").alias("least"))
     return seen.select("_doc", "node").join(names.join(least, "root").select("node", "least"), "node").select("_doc", "least")
