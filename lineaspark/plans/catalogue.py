@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import DEFAULT, LineageConfig
 from ..functions import columns as C
-from ..functions import sql
+from ..functions import json_paths, sql
 from ..operators import closure, decide, ledger, lookups, paths, report, signing, writes
 from ..schema import ARTIFACTS, EDGES
 from ..sources import star
+from ..sources.buckets import Buckets
 from ..sources.snapshots import Scratch, shared_dir
 from ..sources.tables import read
 from ..sources.versions import Versions, state_of
@@ -59,7 +60,7 @@ def _version(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...
     if version is None:
         nodes, derivations = raw()
         artifacts = Scratch(spark, f"sign-{name}").table(signing.sign(nodes, derivations)[0], "artifacts")
-        version = store.commit({"artifacts": artifacts, "edges": signing.edges_of(artifacts, derivations)}, state)
+        version = store.commit({"artifacts": artifacts, "edges": signing.edges_of(artifacts, derivations)}, state, sorted_by={"artifacts": "vertex_id"})
     return version
 
 
@@ -132,7 +133,7 @@ def _n(c: str):
 @query(f"WITH {O.SIGNED} SELECT * FROM artifacts WHERE artifact_id = 'order/1'")
 def artifact_lookup(spark, sf_dir):
     artifacts, _ = signed(spark, sf_dir)
-    return artifacts.where(F.col("vertex_id") == C.vertex_id(F.lit("order/1")))
+    return lookups.by_vertex(artifacts, C.vertex_id(F.lit("order/1")))
 
 
 @query(f"WITH {O.ART} SELECT artifact_id, role, CAST(generation AS BIGINT) AS generation FROM art WHERE artifact_id IN (SELECT 'customer/' || (c_custkey * 3) FROM customer)")
@@ -911,6 +912,43 @@ def evidence_contract(spark, sf_dir):
     return decide.field_contract(got, _expected(got, {"detail": "UNTRUSTED_CONTROL_FIELD", "child_vertices": "0", "claimed_vertices": "0", "child_edges": "0", "executed": "false"}))
 
 
+@query("""SELECT 'case-' || c_custkey AS name, path, CASE c_custkey % 7 WHEN 1 THEN path <> '$.graph.vertices' WHEN 2 THEN false WHEN 3 THEN false WHEN 4 THEN path <> '$.graph.deep.x[1].y z' AND path <> '$.graph.ids' ELSE true END AND path <> '$.absent' AS ok
+FROM customer, (VALUES ('$.graph.vertices'), ('$.graph.ids'), ('$.graph.deep.x[1].y z'), ('$.setup.nation'), ('$.absent')) t(path)""")
+def evidence_paths(spark, sf_dir):
+    """Reports written as files and read back, whatever is nested in them against what must be: fields that are missing or otherwise, and reports that are there twice or repeat a name, fail."""
+    k, scratch = F.col("c_custkey"), Scratch(spark, "evidence")
+    text = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y.cast("string") for y in x))
+    vertices = F.when(k % 7 == 1, "").otherwise(text('"vertices":', k % 3, ","))
+    ids = F.when(k % 7 == 4, '["b","a"]').otherwise('["a","b"]')
+    raw = text('{"name":"case-', k, '","setup":{"nation":', F.col("c_nationkey"), F.when(k % 7 == 3, ',"nation":0').otherwise(""), '},"graph":{', vertices, '"ids":', ids, ',"deep":{"x":[null,{"y z":', F.when(k % 7 == 4, "1").otherwise("true"), "}]}}}")
+    rows = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", raw.alias("value"), F.explode(F.sequence(F.lit(0), F.when(k % 7 == 2, 1).otherwise(0))))
+    rows.select("value").write.text(f"{scratch.base}/reports")
+    found = json_paths.paths(spark.read.text(f"{scratch.base}/reports").select(F.get_json_object("value", "$.name").alias("name"), F.col("value").alias("raw")))
+    want = {"$.graph.vertices": (k % 3).cast("string"), "$.graph.ids": F.lit('["a","b"]'), '$.graph.deep.x[1]["y z"]': F.lit("true"), "$.setup.nation": F.col("c_nationkey").cast("string"), "$.absent": F.lit("null")}
+    expected = read(spark, sf_dir, "customer").select(text("case-", k).alias("name"), F.explode(F.array(*(F.struct(F.lit(p).alias("path"), v.alias("value")) for p, v in want.items()))).alias("x")).select("name", "x.*")
+    return json_paths.contract(found, expected).withColumn("path", F.replace("path", F.lit('["y z"]'), F.lit(".y z")))
+
+
+@query(f"""WITH {O.ART}, {O.OBS}, x AS (SELECT child, parent, {O.id48("'lineage:edge:' || child || ':' || parent || ':' || lineage_kind")} AS edge_id FROM edg JOIN art ON child = artifact_id WHERE child LIKE 'nation/%' OR child LIKE 'supplier/%')
+SELECT CAST(1 AS BIGINT) AS version, edge_id, child AS child_artifact_id FROM x WHERE child LIKE 'nation/%' UNION ALL SELECT 2, edge_id, child FROM x WHERE child LIKE 'nation/%' OR child LIKE 'supplier/%7'""")
+def bucketed_upsert(spark, sf_dir):
+    """Edges in buckets before and after a batch, part of which is stored already; buckets without a key of the batch keep their files."""
+    _, edges = signed(spark, sf_dir)
+    store, nations = Buckets(spark, Scratch(spark, "buckets").base, "edge_id", 16), F.col("child_artifact_id").startswith("nation/")
+    store.create(edges.where(nations))
+    store.upsert(edges.where(F.col("child_artifact_id").rlike("^(nation/1|supplier/.*7)$")), lambda old, new: writes.create_only(old, new, "edge_id"))
+    at = lambda v: store.read(v).select(F.lit(v).cast("bigint").alias("version"), "edge_id", "child_artifact_id")
+    return at(1).unionByName(at(2))
+
+
+@query(f"""WITH RECURSIVE {O.WALK} SELECT root, string_agg(node, ',' ORDER BY generation, node) AS shown FROM reach JOIN art ON node = artifact_id GROUP BY root""")
+def display_order(spark, sf_dir):
+    """The nodes of each result as they are shown: by generation, then by id in language order (which for these ids is the bytes')."""
+    artifacts, heads, _, witnesses = _results(spark, sf_dir)
+    shown = report.displayed(report.graph_nodes(heads, witnesses, artifacts))
+    return shown.select("root", F.array_join(F.transform("nodes", lambda n: n["artifact_id"]), ",").alias("shown"))
+
+
 # contracts
 
 

@@ -75,9 +75,12 @@ class Versions:
         """The latest version made from this state."""
         return next((v for v in reversed(self.list()) if self.manifest(v)["state"] == state), None)
 
-    def commit(self, tables: dict[str, DataFrame], state: str = "", base: int | None = None) -> int:
+    def commit(self, tables: dict[str, DataFrame], state: str = "", base: int | None = None, sorted_by: dict[str, str] | None = None) -> int:
         """Write ``tables`` and publish them as a version; gives its number.
 
+        A table that ``sorted_by`` names a column for is written in files of ranges
+        of it, with Bloom filters, so that one value is looked up in one row group.
+
         With ``base`` they are added to the tables of that version, which must
         be the latest: else, and if another commit is published meanwhile, the
         error is :class:`StaleVersion` and nothing was published.  Without it the
@@ -86,7 +89,9 @@ class Versions:
         folder = f"data/{uuid.uuid4().hex}"
         parts = {k: list(v) for k, v in self.manifest(base)["tables"].items()} if base else {}
         for name, df in tables.items():
-            df.write.parquet(f"{self.path}/{folder}/{name}")
+            by = (sorted_by or {}).get(name)
+            writer = df.repartitionByRange(by).sortWithinPartitions(by).write.option(f"parquet.bloom.filter.enabled#{by}", "true") if by else df.write
+            writer.parquet(f"{self.path}/{folder}/{name}")
             files = [[n, size] for n, size, _ in _files(self.spark, f"{self.path}/{folder}/{name}")]
             parts.setdefault(name, []).append({"folder": f"{folder}/{name}", "files": files, "schema": df.schema.json()})
         while True:
