@@ -4,9 +4,10 @@ A payload is stored as an 8-bit greyscale PNG, 64 samples a line, and images
 are members of uncompressed ZIP archives in the shared folder.  The manifest,
 a Parquet table, has a row for each stretch of an archive with the places of
 its members, so nobody reads an archive's whole directory.  The data source
-``member_ranges`` plans byte ranges over the archives from the stretches' ends
-alone; a task reads the places of the members whose records begin in its
-ranges, and streams these as Arrow batches of bounded size.  Each member is
+``member_ranges`` plans byte ranges over the archives from the manifest's footers
+alone, which say how many stretches there are and how long the longest is; a
+task reads the stretches that its ranges are of, and streams the members whose
+records begin in them as Arrow batches of bounded size.  Each member is
 read by its own offset and retried on its own; one that stays unreadable gives
 a row with an error and no bytes, and the others are not read again.
 """
@@ -25,6 +26,7 @@ from urllib.parse import quote, unquote
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -94,10 +96,10 @@ def _open(uri: str):
 
 
 _INDEX = pa.schema([
-    ("uri", pa.string()), ("first", pa.int64()), ("end", pa.int64()), ("members", pa.int64()),
+    ("uri", pa.string()), ("first", pa.int64()), ("end", pa.int64()), ("bytes", pa.int64()), ("members", pa.int64()),
     ("places", pa.list_(pa.struct([("member", pa.string()), ("at", pa.int64()), ("size", pa.int64()), ("crc", pa.int64())]))),
 ])
-_INDEX_SQL = "uri string, first bigint, end bigint, members bigint, places array<struct<member:string,at:bigint,size:bigint,crc:bigint>>"
+_INDEX_SQL = "uri string, first bigint, end bigint, bytes bigint, members bigint, places array<struct<member:string,at:bigint,size:bigint,crc:bigint>>"
 
 
 def member_name(doc_id, n: int) -> str:
@@ -111,7 +113,7 @@ def id_of(member: str) -> str | None:
 
 
 def write(docs: DataFrame, uri: str, archive_bytes: int = 256 << 20, stretch_bytes: int = 16 << 20) -> DataFrame:
-    """Store every row's payload in archives below ``uri``; gives the manifest (``uri``, ``first``, ``end``, ``members``, ``places``), a row a stretch.
+    """Store every row's payload in archives below ``uri``; gives the manifest (``uri``, ``first``, ``end``, ``bytes``, ``members``, ``places``), a row a stretch.
 
     Members are named by ``doc_id`` (of any type, as text) and a number, so
     repeated and null ids keep a member each.  Only archives in the manifest
@@ -126,7 +128,7 @@ def write(docs: DataFrame, uri: str, archive_bytes: int = 256 << 20, stretch_byt
 
         def stretch() -> pa.RecordBatch:
             nonlocal first, places
-            row = {"uri": name, "first": first, "end": out.tell(), "members": len(places), "places": places}
+            row = {"uri": name, "first": first, "end": out.tell(), "bytes": out.tell() - first, "members": len(places), "places": places}
             first, places = out.tell(), []
             return pa.RecordBatch.from_pylist([row], _INDEX)
 
@@ -159,9 +161,9 @@ def write(docs: DataFrame, uri: str, archive_bytes: int = 256 << 20, stretch_byt
 
 
 class Range(InputPartition):
-    """Byte ranges of stretches: (manifest file, archive, where the stretch begins, first byte, end)."""
+    """Byte ranges: (manifest file, first and end of their numbers in it, ranges a stretch)."""
 
-    def __init__(self, pieces: list[tuple[str, str, int, int, int]]):
+    def __init__(self, pieces: list[tuple[str, int, int, int]]):
         self.pieces = pieces
 
 
@@ -187,27 +189,47 @@ class MemberReader(DataSourceReader):
         self.attempts = int(options.get("attempts", 3))
 
     def partitions(self) -> list[Range]:
-        """Byte ranges, from where stretches begin and end; no archive is opened here, and no place of a member read."""
-        import pyarrow.dataset as ds
-
+        """Byte ranges by number, of all stretches in order; of a manifest's file only the footer is read here."""
         fs, path = pyarrow.fs.FileSystem.from_uri(self.manifest)
-        pieces = []
-        for f in sorted(f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(path)) if f.path.endswith(".parquet")):
-            for batch in ds.dataset(f, filesystem=fs, format="parquet").to_batches(columns=["uri", "first", "end"]):
-                for r in batch.to_pylist():
-                    pieces += [(f, r["uri"], r["first"], k, min(r["end"], k + self.step)) for k in range(r["first"], r["end"], self.step)]
-        each = max(1, -(-len(pieces) // self.most))
-        return [Range(pieces[k : k + each]) for k in range(0, len(pieces), each)] or [Range([])]
-
-    def places(self, piece: tuple[str, str, int, int, int]) -> list[dict]:
-        """The members whose records begin in a byte range."""
-        import pyarrow.dataset as ds
-
-        file, uri, begin, first, end = piece
+        files = []
+        for name in sorted(f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(path)) if f.path.endswith(".parquet")):
+            with fs.open_input_file(name) as f:
+                footer = pq.ParquetFile(f).metadata
+            column = footer.schema.names.index("bytes")
+            longest = max((footer.row_group(g).column(column).statistics.max for g in range(footer.num_row_groups)), default=0)
+            if footer.num_rows:
+                splits = max(1, -(-longest // self.step))
+                files.append((name, footer.num_rows * splits, splits))
+        each = max(1, -(-sum(n for _, n, _ in files) // self.most))
+        out, pieces, room = [], [], each
+        for name, n, splits in files:
+            at = 0
+            while at < n:
+                took = min(room, n - at)
+                pieces.append((name, at, at + took, splits))
+                at, room = at + took, room - took
+                if not room:
+                    out.append(Range(pieces))
+                    pieces, room = [], each
+        return [*out, Range(pieces)] if pieces or not out else out
+
+    def places(self, piece: tuple[str, int, int, int]) -> Iterator[tuple[str, list[dict]]]:
+        """(archive, members whose records begin in the ranges) for each stretch that the ranges are of; only its row group is read."""
+        name, lo, hi, splits = piece
         fs, _ = pyarrow.fs.FileSystem.from_uri(self.manifest)
-        mine = (ds.field("uri") == uri) & (ds.field("first") == begin)
-        found = ds.dataset(file, filesystem=fs, format="parquet").to_table(columns=["places"], filter=mine).column("places")
-        return [m for row in found.to_pylist() for m in row if first <= m["at"] < end]
+        with fs.open_input_file(name) as f:
+            file, at = pq.ParquetFile(f), 0
+            for g in range(file.num_row_groups):
+                n = file.metadata.row_group(g).num_rows
+                first, end = max(lo // splits, at), min((hi - 1) // splits + 1, at + n)
+                if first < end:
+                    rows = file.read_row_group(g, columns=["uri", "first", "end", "places"]).slice(first - at, end - first)
+                    for k in range(rows.num_rows):
+                        (r,) = rows.slice(k, 1).to_pylist()
+                        row = (first + k) * splits  # the number of its first range
+                        begin, stop = r["first"] + max(0, lo - row) * self.step, r["first"] + min(splits, hi - row) * self.step
+                        yield r["uri"], [m for m in r["places"] if begin <= m["at"] < min(stop, r["end"])]
+                at += n
 
     def fetch(self, file, at: int, size: int) -> bytes:
         """One member's bytes by the offset of its record; tests override it to fail."""
@@ -220,10 +242,11 @@ class MemberReader(DataSourceReader):
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held = 0
-        for piece in partition.pieces:
-            uri = piece[1]
+        for uri, members in (x for piece in partition.pieces for x in self.places(piece)):
+            if not members:
+                continue
             file = _open(uri)
-            for m in self.places(piece):
+            for m in members:
                 data, error, tries = None, None, 0
                 while data is None and tries < self.attempts:
                     tries += 1
@@ -289,7 +312,8 @@ def features(members: DataFrame) -> DataFrame:
 def media_columns(docs: DataFrame) -> DataFrame:
     """Store every payload, read the archives back, and describe what was read: a row for each of ``docs``, ids of their own type."""
     scratch = Scratch(docs.sparkSession, "media")
-    scratch.table(write(docs, f"{scratch.base}/archives"), "manifest")
+    # small row groups, as a task reads the one that has its stretch
+    write(docs, f"{scratch.base}/archives").write.option("parquet.block.size", 1 << 20).parquet(f"{scratch.base}/manifest")
     found = features(read(docs.sparkSession, f"{scratch.base}/manifest"))
     return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 

@@ -19,6 +19,7 @@ import uuid
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -326,9 +327,9 @@ def read(manifest: DataFrame) -> DataFrame:
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
         for b in batches:
             for uri, base in zip(b.column("uri").to_pylist(), b.column("base").to_pylist(), strict=True):
-                rows = [(d, base + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for d, at, ids in Reader(uri).documents()]
-                cols = list(zip(*rows, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+                found = ((d, base + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for d, at, ids in Reader(uri).documents())
+                while rows := list(islice(found, 20_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     # a given number of partitions isn't merged, however small the manifest is
     return files.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

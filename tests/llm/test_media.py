@@ -75,3 +75,21 @@ def test_ranges_cover_members_once_and_retries_are_by_member(spark):
             assert (r["media"], r["error"], r["attempts"]) == (None, "gone" if reader.dead % 7 or r["attempts"] > 1 else "lost", 3)
         else:
             assert r["media"] == p["media"] and r["attempts"] == (2 if r["record_at"] % 7 == 0 else 1)
+
+
+def test_planning_reads_footers_and_covers_every_split(spark, monkeypatch):
+    scratch = Scratch(spark, "t")
+    rows = [(k, f"text {k} " * (k % 90), "", "", 0) for k in range(300)]
+    manifest = f"{scratch.base}/manifest"
+    media.write(spark.createDataFrame(rows, SCHEMA).repartition(3), f"{scratch.base}/a", archive_bytes=9000, stretch_bytes=1500).write.option("parquet.block.size", 1).parquet(manifest)
+    stretches = spark.read.parquet(manifest).count()
+    reads = []
+    whole = media.pq.ParquetFile.read_row_group
+    monkeypatch.setattr(media.pq.ParquetFile, "read_row_group", lambda self, g, **k: reads.append(g) or whole(self, g, **k))
+    want = sorted(m["member"] for r in spark.read.parquet(manifest).collect() for m in r.places)
+    for step, most in ((1 << 20, 100_000), (400, 100_000), (400, 7), (1 << 20, 1), (1, 50)):
+        reader = media.MemberReader({"manifest": manifest, "range_bytes": step, "partitions": most})
+        parts = reader.partitions()
+        assert not reads and 1 <= len(parts) <= most and (step < 1 << 20 or most < 9 or len(parts) == stretches)
+        assert sorted(m["member"] for p in parts for piece in p.pieces for _, ms in reader.places(piece) for m in ms) == want
+        reads.clear()
