@@ -61,3 +61,23 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, "a b c d e f", "", 0)], SCHEMA)
     assert dc.contained(some, bench.limit(0)).collect() == []
     assert dc.keep_clean(some, bench.limit(0)).count() == 1
+
+
+def test_many_blocks_are_searched_one_after_another(spark, monkeypatch):
+    """A plan never holds more than one Python stage over the texts, and every way gives the same rows, shuffled or broadcast."""
+    rng = random.Random(4)
+    items = [(k, f"item {k} " + " ".join(rng.choices("abcdefgh", k=6))) for k in range(60)]
+    docs = [(k if k % 9 else None, f"text {k} {items[k][1] if k % 3 == 0 and k < 60 else ''} end", "i", 1) for k in range(90)]
+    df, bench = spark.createDataFrame(docs, SCHEMA).repartition(3), spark.createDataFrame(items, "item_id bigint, text string")
+    stages, table = [], dc.Scratch.table
+
+    def counted(self, frame, name):
+        stages.append(frame._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow"))
+        return table(self, frame, name)
+
+    monkeypatch.setattr(dc.Scratch, "table", counted)
+    whole = sorted(map(str, dc.keep_clean(df, bench).collect()))
+    assert len(whole) == 70 and not stages
+    for few in (1_000_000, 0):
+        assert sorted(map(str, dc.keep_clean(df, bench, 900, few).collect())) == whole
+    assert max(stages) == 1 and sum(stages) >= 10

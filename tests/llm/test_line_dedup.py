@@ -122,3 +122,15 @@ def test_later_copies_of_single_long_lines_go(spark):
     want = dict(enumerate(texts)) | {6: "g\nh", 8: "i", 10: "l", 11: "m"}
     del want[7]  # a document of one line, with an earlier copy
     assert got == want
+
+
+def test_no_more_levels_than_are_asked_for(spark, monkeypatch):
+    names, table = [], line_dedup.Scratch.table
+    monkeypatch.setattr(line_dedup.Scratch, "table", lambda self, df, name: names.append(name) or table(self, df, name))
+    text = "\n".join(["the same line"] * 64)
+    df = spark.createDataFrame([(1, text, "", 0, 0), (2, text, "", 0, 0)], SCHEMA)
+    for least, most in ((2, 1), (3, 1), (5, 2)):
+        names.clear()
+        got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, min_lines=least).collect()}
+        assert got == {1: "the same line"}
+        assert max(int(n.split("-")[1]) for n in names if n.startswith("level")) == most
