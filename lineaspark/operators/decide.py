@@ -150,7 +150,7 @@ def authorize(requests: DataFrame, artifacts: DataFrame, edges: DataFrame, cfg:
     verdicts = scratch.table(verdicts, "verdicts")
     sound = verdicts.where("classification = 'VERIFIED'").select("artifact_id")
     heads, sources, witnesses = (scratch.table(x, n) for x, n in zip(report.results(artifacts, edges, sound, cfg, reach), ("heads", "sources", "witnesses"), strict=True))
-    whole = report.contract(heads.withColumn("digest", F.col("content_hash")), sources, witnesses, cfg)
+    whole = report.contract(heads.withColumn("digest", F.col("content_hash")), sources, witnesses, cfg, written=True)
     facts = verdicts.join(heads.select("root", "content_hash", "batch_id").withColumnRenamed("root", "artifact_id"), "artifact_id", "left")
     facts = facts.join(whole.select(F.col("root").alias("artifact_id"), F.col("valid").alias("_whole")), "artifact_id", "left").join(source_sums(sources, witnesses, cfg).withColumnRenamed("root", "artifact_id"), "artifact_id", "left")
     facts = scratch.table(facts.select("artifact_id", "classification", F.col("detail").alias("_found"), "content_hash", "batch_id", "_whole", "n_sources", "n_untrusted", "n_unallowed", "n_witnesses"), "facts")

@@ -38,7 +38,7 @@ STAR = ("region", "part", "nation", "supplier", "customer", "orders", "lineitem"
 
 def signed(spark: SparkSession, sf_dir: str, version: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The star's signed graph as a stored snapshot: of the tables as they are, made once for each state of them, or of a version from before."""
-    return _snapshot(spark, sf_dir, "star", STAR, lambda: (star.nodes(spark, sf_dir), star.derivations(spark, sf_dir)), version)
+    return _snapshot(spark, sf_dir, "star", STAR, lambda: _star_raw(spark, sf_dir), version)
 
 
 def snapshots(spark: SparkSession, sf_dir: str, name: str) -> Versions:
@@ -64,17 +64,25 @@ def _version(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...
     return version
 
 
-def _verdicts(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], raw) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, links, validity) of a stored graph, stored beside it once for each of its versions."""
-    version = _version(spark, sf_dir, name, tables, raw)
-    store, state = snapshots(spark, sf_dir, f"{name}-verdicts"), f"version {version}"
+def _stored(spark: SparkSession, sf_dir: str, name: str, version: int, make) -> tuple[DataFrame, ...]:
+    """Tables that ``make`` gives of a version of a graph, stored beside it once for each of its versions."""
+    store, state = snapshots(spark, sf_dir, name), f"version {version}"
     found = store.find(state)
     if found is None:
-        scratch = Scratch(spark, f"verdicts-{name}")
+        found = store.commit(make(), state)
+    return tuple(store.read(t, version=found) for t in store.manifest(found)["tables"])
+
+
+def _verdicts(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], raw) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, links, validity) of a graph as it is stored."""
+    version = _version(spark, sf_dir, name, tables, raw)
+
+    def make():
         nodes, links = signing.checked(*_snapshot(spark, sf_dir, name, tables, raw, version))
-        nodes = scratch.table(nodes, "nodes")
-        found = store.commit({"nodes": nodes, "links": links, "valid": closure.valid_closures(nodes, links)}, state)
-    return tuple(store.read(t, version=found) for t in ("nodes", "links", "valid"))
+        nodes = Scratch(spark, f"verdicts-{name}").table(nodes, "nodes")
+        return {"nodes": nodes, "links": links, "valid": closure.valid_closures(nodes, links)}
+
+    return _stored(spark, sf_dir, f"{name}-verdicts", version, make)
 
 
 def _acting_raw(spark, sf_dir):
@@ -93,19 +101,28 @@ def acting(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def acting_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdicts on :func:`acting`, from those stored on the graph before it was spoilt."""
-    nodes, links, _ = _verdicts(spark, sf_dir, "actions", (*STAR, "events"), lambda: _acting_raw(spark, sf_dir))
-    changed = _spoilt_ids(spark).unionByName(nodes.where(_lost(F.col("artifact_id"))).select("artifact_id"))
-    return Scratch(spark, "acting").table(signing.rechecked(nodes, links, *acting(spark, sf_dir), changed)[0], "nodes")
+    """The verdicts on :func:`acting`, made from those on the graph before it was spoilt, and stored."""
+    raw = lambda: _acting_raw(spark, sf_dir)
+
+    def make():
+        nodes, links, _ = _verdicts(spark, sf_dir, "actions", (*STAR, "events"), raw)
+        changed = _spoilt_ids(spark).unionByName(nodes.where(_lost(F.col("artifact_id"))).select("artifact_id"))
+        return {"nodes": signing.rechecked(nodes, links, *acting(spark, sf_dir), changed)[0]}
+
+    return _stored(spark, sf_dir, "acting-verdicts", _version(spark, sf_dir, "actions", (*STAR, "events"), raw), make)[0]
+
+
+def _star_raw(spark, sf_dir):
+    return star.nodes(spark, sf_dir), star.derivations(spark, sf_dir)
 
 
 def checked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The stored verdicts on the star's graph: (nodes, links, validity)."""
-    return _verdicts(spark, sf_dir, "star", STAR, lambda: (star.nodes(spark, sf_dir), star.derivations(spark, sf_dir)))
+    return _verdicts(spark, sf_dir, "star", STAR, lambda: _star_raw(spark, sf_dir))
 
 
-def checked_spoilt(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The same after two nations were tampered with, kept up from the stored ones."""
+def kept_up(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same after two nations were tampered with, made from the stored ones."""
     nodes, links, valid = checked(spark, sf_dir)
     scratch = Scratch(spark, "spoilt")
     nodes, links, anew = signing.rechecked(nodes, links, *_spoilt(*signed(spark, sf_dir)), _spoilt_ids(spark))
@@ -113,6 +130,12 @@ def checked_spoilt(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return nodes, links, closure.revalidated(valid, nodes, links, anew)
 
 
+def checked_spoilt(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What :func:`kept_up` gives, stored."""
+    version = _version(spark, sf_dir, "star", STAR, lambda: _star_raw(spark, sf_dir))
+    return _stored(spark, sf_dir, "spoilt-verdicts", version, lambda: dict(zip(("nodes", "links", "valid"), kept_up(spark, sf_dir), strict=True)))
+
+
 def _values(spark: SparkSession, rows, names: str) -> DataFrame:
     """A small table as literals of a statement, which are planned as a local relation and need no job of their own."""
     text = lambda x: f"'{x}'" if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else f"{x}L"
@@ -338,7 +361,7 @@ def closure_faults(spark, sf_dir):
 SELECT artifact_id, artifact_id NOT IN (SELECT node FROM bad) AS valid FROM art""")
 def closure_validity(spark, sf_dir):
     """Kept up from the stored values when two nations change."""
-    return checked_spoilt(spark, sf_dir)[2].select("artifact_id", F.col("value").alias("valid"))
+    return kept_up(spark, sf_dir)[2].select("artifact_id", F.col("value").alias("valid"))
 
 
 @query(f"""WITH RECURSIVE {O.WALK}, {O.capped("('nation/2', 'nation/9')", 5)}
@@ -787,7 +810,7 @@ def _written(spark, sf_dir):
     many = F.when(k % 11 == 5, F.transform(F.sequence(F.lit(1), F.lit(65)), lambda _: name("order/", k))).when(k % 11 == 7, F.array(one, one, one)).otherwise(F.array(one))
     role, kind = F.when(k % 11 == 1, "boss").otherwise("summary"), F.when(k % 11 == 2, "like").otherwise("summarize")
     asked = orders.select(name("digest/", k).alias("artifact_id"), role.alias("role"), kind.alias("kind"), F.explode(F.concat(many, F.array(name("part/", k % parts)))).alias("parent"))
-    valid = scratch.table(checked_spoilt(spark, sf_dir)[2], "valid")
+    valid = checked_spoilt(spark, sf_dir)[2]
     number = F.substring("artifact_id", 7, 20).try_cast("bigint")
     older = artifacts.withColumn("generation", F.when(F.col("artifact_id").startswith("order/") & (number % 13 == 9), F.col("generation") + 1).otherwise(F.col("generation")))
     contexts = scratch.table(writes.prepare(asked, older, valid), "contexts").withColumn("request", F.substring("artifact_id", 8, 20).cast("bigint"))
