@@ -1,4 +1,4 @@
-"""Near copies by Jaccard similarity of word shingles: prefix filter, SimHash gate, exact verification.
+"""Near copies by Jaccard similarity of word shingles: SimHash grid, prefix filter and gate, exact verification.
 
 A text is the set of its runs of 5 words.  Two sets of similarity 0.8 or more
 share 0.8 of the larger one at least, so under any common order of all shingles
@@ -6,9 +6,13 @@ they share one of the first n - ceil(0.8 n) + 1 of each.  The order is that of
 the hashes, after which come the shingles that a sample shows to be frequent;
 the sample decides about the work and never about the result.
 
-Texts that share such a shingle, have sizes in the ratio and SimHashes of 128
-bits within 50 are joined to coarse groups.  At a similarity of exactly 0.8 about
-20 bits differ, and the chance of more than 50 is below 1e-8.  Inside the coarse
+Texts whose first 64 bits of SimHash lie within 4 are met by the popcount grid of
+:mod:`simhash`; the prefix filter finds the others, beyond the grid's radius.  Those
+that share a shingle of the prefix, have sizes in the ratio and SimHashes of 256 bits
+within 90 are joined to coarse groups with them.  At a similarity of exactly 0.8
+39 to 48 bits differ, and the chance of more than 90 is below 1e-8.  Of unrelated
+texts one pair in about 700,000 passes, so coarse groups stay those of near
+copies when cells grow with the corpus.  Inside the coarse
 groups every pair is compared by its whole sets, but for those that are joined
 already; components of these links are the result.  Shingles are compared by
 64-bit hashes.
@@ -22,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import links
+from . import links, simhash
 from .components import components
 from .line_dedup import numbered
 from .shared import Scratch, freeing, packed, ship, unpacked
@@ -30,7 +34,8 @@ from .shingles import mix, other, shingles, slices, word_hashes
 from .simhash import _bit_counts, _lowered
 
 WIDTH = 5
-GATE = 50
+GATE = 90
+_PRINTS = ("f1", "f2", "f3", "f4")
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 
@@ -43,7 +48,11 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
 
 
 def _fingerprint(s: np.ndarray) -> list[int]:
-    return [int(np.packbits(_bit_counts(h) * 2 > len(s)).view(">u8")[0].astype(np.uint64).view(np.int64)) for h in (s, other(s, 1))]
+    out = []
+    for _ in _PRINTS:
+        out.append(int(np.packbits(_bit_counts(s) * 2 > len(s)).view(">u8")[0].astype(np.uint64).view(np.int64)))
+        s = other(s, 1)
+    return out
 
 
 def frequent(docs: DataFrame, scratch: Scratch, sample: int = 20_000, least: int = 20, most: int = 1_000_000) -> np.ndarray:
@@ -62,7 +71,7 @@ def frequent(docs: DataFrame, scratch: Scratch, sample: int = 20_000, least: int
 
 
 def sketches(docs: DataFrame, often: np.ndarray) -> DataFrame:
-    """(``_doc``, ``node`` digest of the set, ``n`` shingles, ``f1``, ``f2`` SimHash, ``prefix``) for every row."""
+    """(``_doc``, ``node`` digest of the set, ``n`` shingles, ``f1`` to ``f4`` SimHash, ``prefix``) for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,27 +87,35 @@ def sketches(docs: DataFrame, often: np.ndarray) -> DataFrame:
                     size.append(len(s))
                     fps.append(_fingerprint(s))
                     prefix.append(np.concatenate([s[~late], s[late]])[: len(s) - -(-4 * len(s) // 5) + 1])
-                f = np.array(fps, np.int64).reshape(-1, 2)
+                f = np.array(fps, np.int64).reshape(-1, len(_PRINTS))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_doc"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(f[:, 0]), pa.array(f[:, 1]), links.lists(prefix)],
-                    ["_doc", "node", "n", "f1", "f2", "prefix"],
+                    [part.column("_doc"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), *(pa.array(x) for x in f.T.copy()), links.lists(prefix)],
+                    ["_doc", "node", "n", *_PRINTS, "prefix"],
                 )
 
     kind = docs.schema["_doc"].dataType.simpleString()
-    return docs.select("_doc", "text").mapInArrow(freeing(run), f"_doc {kind}, node bigint, n bigint, f1 bigint, f2 bigint, prefix array<bigint>")
+    return docs.select("_doc", "text").mapInArrow(freeing(run), f"_doc {kind}, node bigint, n bigint, {', '.join(f'{f} bigint' for f in _PRINTS)}, prefix array<bigint>")
 
 
 def _coarse(rows: pa.Table, s: int, e: int) -> tuple[list[int], list[int]]:
-    n, f1, f2 = (rows.column(c).slice(s, e - s).to_numpy().astype(np.uint64, copy=False) for c in ("n", "f1", "f2"))
+    n, *prints = (rows.column(c).slice(s, e - s).to_numpy().astype(np.uint64, copy=False) for c in ("n", *_PRINTS))
 
     def near(u: int, rest: np.ndarray) -> np.ndarray:
         m = n[rest]
-        close = np.bitwise_count(f1[rest] ^ f1[u]).astype(np.int64) + np.bitwise_count(f2[rest] ^ f2[u]) <= GATE
-        return rest[close & (np.minimum(m, n[u]) * 5 >= np.maximum(m, n[u]) * 4)]
+        rest = rest[np.minimum(m, n[u]) * 5 >= np.maximum(m, n[u]) * 4]
+        return rest[sum(np.bitwise_count(f[rest] ^ f[u]).astype(np.int64) for f in prints) <= GATE]
 
     return links.grown(e - s, near)
 
 
+def _by_grid(one: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges (``a``, ``b``) between nodes whose first prints lie within the grid's 4 bits."""
+    first = scratch.table(one.groupBy("f1").agg(F.min("node").alias("rep")), "prints")
+    end = lambda c: first.select(F.col("f1").alias(c), F.col("rep").alias(f"_{c}"))
+    found = simhash.links(first.select(F.col("f1").alias("fp")), scratch).join(end("a"), "a").join(end("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    return found.unionByName(one.join(first, "f1").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")))
+
+
 def labels(docs: DataFrame, scratch: Scratch, block: int = 4096, set_block: int = 1 << 20, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(``_doc``, ``least`` of its group) for every row of ``docs`` (``_doc``, ``text``); wordless texts are one group.
 
@@ -106,14 +123,17 @@ def labels(docs: DataFrame, scratch: Scratch, block: int = 4096, set_block: int
     """
     ship(docs.sparkSession)
     seen = scratch.table(sketches(docs, frequent(docs, scratch)), "sketches")
-    one = scratch.table(seen.groupBy("node").agg(F.min("_doc").alias("_doc"), F.first("n").alias("n"), F.first("f1").alias("f1"), F.first("f2").alias("f2")), "one")
+    one = scratch.table(seen.groupBy("node").agg(F.min("_doc").alias("_doc"), *(F.first(c).alias(c) for c in ("n", *_PRINTS))), "one")
     copies = scratch.table(seen.select("_doc", "node").join(one.select("node", F.col("_doc").alias("first")), "node").where("_doc <> first").select("_doc"), "copies")
     if copies.count() <= broadcast_rows:
         copies = F.broadcast(copies)
     cells = seen.join(copies, "_doc", "left_anti").select(F.explode("prefix").alias("cell"), "node")
     cells = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(freeing(links.met), "cell bigint, node bigint")
     cells = scratch.table(scratch.table(cells, "met").join(one.drop("_doc"), "node"), "cells")
-    coarse = components(links.linked(cells, "cell", _coarse, scratch, "cells", block), scratch)
+    scratch.drop("met")
+    near = links.linked(cells, "cell", _coarse, scratch, "cells", block)
+    coarse = components(near.unionByName(_by_grid(one, scratch)), scratch)
+    scratch.drop("cells")
     group = scratch.table(one.join(coarse, "node").select("_doc", "node", "n", F.col("root").alias("grp")), "coarse")
 
     if group.count() <= broadcast_rows:

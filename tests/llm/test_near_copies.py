@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from lineaspark.llm import near_copies, shingles
 
@@ -87,3 +88,22 @@ def test_real_documents_against_all_pairs(spark):
     want = {rows[k][0] for k in groups([t for _, t in rows])}
     assert len(want) < len(rows) - 20
     assert {r.doc_id for r in near_copies.keep_one(docs).collect()} == want
+
+
+def test_unrelated_texts_do_not_pass_the_gate():
+    """Of prints of unrelated sets hardly a pair passes, whatever cell they meet in; of sets at similarity 0.8 every pair does."""
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**64, 200, np.uint64)) for _ in range(600)]
+    near = [np.unique(np.concatenate([s[20:180], s[180:190], rng.integers(0, 2**64, 10, np.uint64)])) for s in sets[:100]]
+    table = lambda x: pa.table({"n": [len(s) for s in x], **dict(zip(near_copies._PRINTS, zip(*map(near_copies._fingerprint, x), strict=True), strict=True))})
+    assert len(near_copies._coarse(table(sets), 0, len(sets))[0]) <= 3  # of 180,000 pairs
+    both = [s for pair in zip(sets[:100], near, strict=True) for s in pair]
+    a, b = near_copies._coarse(table(both), 0, 200)
+    assert sorted(zip(a, b, strict=True)) == [(2 * k, 2 * k + 1) for k in range(100)]
+
+
+def test_the_grid_takes_part_in_the_stage(spark, monkeypatch):
+    calls, links = [], near_copies.simhash.links
+    monkeypatch.setattr(near_copies.simhash, "links", lambda *a, **k: calls.append(1) or links(*a, **k))
+    rows = [(1, "a b c d e f g", "", "", 0), (2, "A b c d e f g", "", "", 0)]
+    assert [r.doc_id for r in near_copies.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()] == [1] and calls
