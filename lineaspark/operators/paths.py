@@ -85,7 +85,7 @@ def search(edges: DataFrame, sources: DataFrame, targets: DataFrame | None, dire
     else:
         scratch = Scratch(edges.sparkSession, "paths")
         useful = _useful(scratch.table(steps, "steps"), sources, targets, max_len, scratch)
-        front, found = _start(sources), []
+        front, found, made = _start(sources), [], 0
         for h in range(1, max_len + 1):
             ahead = front.join(useful, F.col("at") == F.col("_from")).where(~F.array_contains("nodes", F.col("_to")) & (F.col("_left") + h <= max_len))
             level = scratch.table(ahead.select(*_extended(), "_left"), f"front-{h}")
@@ -93,6 +93,10 @@ def search(edges: DataFrame, sources: DataFrame, targets: DataFrame | None, dire
             front = level.drop("_left")
             if h < max_len and level.isEmpty():
                 break
+            if limit and not per_pair and h < max_len:  # paths of more hops come after all of these
+                made += found[-1].count()
+                if made >= limit:
+                    break
         out = reduce(DataFrame.unionByName, found)
     out = out.select("source", F.col("at").alias("target"), F.size("kinds").alias("hops"), "nodes", "kinds")
     if per_pair:

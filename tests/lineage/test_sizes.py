@@ -3,7 +3,7 @@
 import os
 
 import pytest
-from lineaspark.operators import lookups, signing, writes
+from lineaspark.operators import lookups, paths, signing, writes
 from lineaspark.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +47,13 @@ def test_edges_are_exchanged_once_for_each_end(no_broadcast):
     assert exchanges(ready) <= 4
     (r,) = ready.collect()
     assert (r.detail, r.generation, r.parent_ids, r.duplicate_parent_count) == ("CONTEXT_PREPARED", 2, ["o", "p"], 1)
+
+
+def test_a_limit_ends_the_search_at_its_length(spark, monkeypatch):
+    levels, table = [], paths.Scratch.table
+    monkeypatch.setattr(paths.Scratch, "table", lambda self, df, name: levels.append(name) or table(self, df, name))
+    edges = spark.createDataFrame([("b", "a", "k"), ("c", "b", "k"), ("d", "c", "k")], "child string, parent string, kind string")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "node string")
+    (r,) = paths.search(edges, ids("a"), ids("b", "d"), "incoming", 3, limit=1).collect()
+    assert r.nodes == ["a", "b"] and [n for n in levels if n.startswith("front")] == ["front-1"]
+    assert [r.hops for r in paths.search(edges, ids("a"), ids("b", "d"), "incoming", 3, limit=2).collect()] == [1, 3]
