@@ -3,7 +3,7 @@
 import os
 
 import pytest
-from lineaspark.operators import lookups, paths, signing, writes
+from lineaspark.operators import lookups, paths, report, signing, writes
 from lineaspark.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -57,3 +57,23 @@ def test_a_limit_ends_the_search_at_its_length(spark, monkeypatch):
     (r,) = paths.search(edges, ids("a"), ids("b", "d"), "incoming", 3, limit=1).collect()
     assert r.nodes == ["a", "b"] and [n for n in levels if n.startswith("front")] == ["front-1"]
     assert [r.hops for r in paths.search(edges, ids("a"), ids("b", "d"), "incoming", 3, limit=2).collect()] == [1, 3]
+
+
+def test_a_walk_meets_a_node_once_whatever_the_roots(spark, monkeypatch):
+    made, table = {}, report.Scratch.table
+    monkeypatch.setattr(report.Scratch, "table", lambda self, df, name: made.setdefault(name, table(self, df, name)))
+    pairs = spark.createDataFrame([*((f"line/{k}", "order/1") for k in range(9)), ("order/1", "nation/1"), ("order/1", "region/1"), ("nation/1", "region/1")], "child string, parent string")
+    roots = spark.createDataFrame([(f"line/{k}",) for k in range(9)], "artifact_id string")
+    rows = {tuple(r) for r in report.walk(pairs, roots, 4, report.Scratch(spark, "t")).collect()}
+    assert rows == {(f"line/{k}", n, d, False) for k in range(9) for n, d in ((f"line/{k}", 0), ("order/1", 1), ("nation/1", 2), ("region/1", 3))}
+    assert [made[f"walk-{d}"].count() for d in range(4)] == [9, 1, 2, 1]
+    made.clear()
+    cut = {r.truncated for r in report.walk(pairs, roots, 2, report.Scratch(spark, "t")).collect()}
+    assert cut == {True}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_results_are_not_written_with_their_digests(spark, monkeypatch):
+    columns, table = set(), report.Scratch.table
+    monkeypatch.setattr(report.Scratch, "table", lambda self, df, name: columns.update(df.columns) or table(self, df, name))
+    assert catalogue.graph_edges(spark, SF).count() and not columns & {"batch_id", "content_hash"}
