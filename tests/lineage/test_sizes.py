@@ -77,3 +77,16 @@ def test_results_are_not_written_with_their_digests(spark, monkeypatch):
     columns, table = set(), report.Scratch.table
     monkeypatch.setattr(report.Scratch, "table", lambda self, df, name: columns.update(df.columns) or table(self, df, name))
     assert catalogue.graph_edges(spark, SF).count() and not columns & {"batch_id", "content_hash"}
+
+
+def test_nodes_are_exchanged_without_digests_and_lists_as_they_are(no_broadcast):
+    nodes = no_broadcast.createDataFrame([("o", "source", 0, "source", "x", "trusted_source", "registry"), ("c", "claim", 1, "support", "y", "derived", "w")], "artifact_id string, role string, generation int, lineage_kind string, content string, trust_state string, authority_id string")
+    lists = no_broadcast.createDataFrame([("c", ["o", "o"]), ("c", ["p"])], "child string, parents array<string>")
+    artifacts, edges = signing.sign(nodes, lists)
+    plan = artifacts._jdf.queryExecution().executedPlan().toString()
+    assert "sha2(" not in plan[plan.index("Exchange hashpartitioning(artifact_id") :].split("Scan ", 1)[0]
+    pairs = signing.sign(nodes, signing.pairs_of(lists))
+    assert sorted(artifacts.collect()) == sorted(pairs[0].collect()) and edges.collect() == pairs[1].collect()
+    assert {r.artifact_id: r.parent_count for r in artifacts.collect()} == {"o": 0, "c": 2} and edges.count() == 1
+    sets = signing.parent_sets(lists)._jdf.queryExecution().executedPlan().toString()
+    assert sets.index("Generate explode") < sets.index("Exchange hashpartitioning(child")
