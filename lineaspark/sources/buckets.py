@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .snapshots import Scratch
+from .snapshots import Scratch, tidy
 from .versions import StaleVersion, Versions, _files
 
 _BUCKET = "_bucket"
@@ -32,7 +32,8 @@ class Buckets:
     def _write(self, df: DataFrame, base: int | None, kept: list[dict]) -> int:
         folder = f"data/{uuid.uuid4().hex}"
         at = f"{self.versions.path}/{folder}"
-        self._bucketed(df).repartition(_BUCKET).write.partitionBy(_BUCKET).parquet(at)
+        with tidy(self.spark):
+            self._bucketed(df).repartition(_BUCKET).write.partitionBy(_BUCKET).parquet(at)
         parts: dict[int, list] = {}
         for name, size, _ in _files(self.spark, at):
             _, bucket, file = name.split("/")
