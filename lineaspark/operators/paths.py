@@ -1,10 +1,9 @@
 """Paths between sources and targets, and what may be asked of them.
 
-A search is bounded from both ends.  The least hops from a source to each node,
-and from each node to a target, come first, a written level at a time.  An edge
-is of use only if the hops before it, itself and the hops after it are within
-the length, and a prefix is extended only over such edges, and only while
-it can still arrive.  So no more prefixes are made than lead to a target, but for
+A search is bounded from both ends.  The steps that each hop can take from the
+sources come first, a written level at a time, and of these, from the last hop
+back, those from which a target is within reach.  A prefix is extended only over
+such steps.  So no more prefixes are made than lead to a target, but for
 those that meet themselves, and joins grow with the length and not with its square.
 """
 
@@ -14,30 +13,53 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..sources.snapshots import Scratch
+from ..sources.snapshots import Scratch, tidy
 
 
-def least_hops(steps: DataFrame, start: DataFrame, most: int, scratch: Scratch, name: str) -> DataFrame:
-    """(``node``, ``hops``) of the nodes within ``most`` steps (``_from``, ``_to``) from ``start`` (``node``), each level written once."""
-    levels = [scratch.table(start.select("node").distinct().withColumn("hops", F.lit(0)), f"{name}-0")]
-    for h in range(1, most + 1):
-        ahead = levels[-1].join(steps, F.col("node") == F.col("_from")).select(F.col("_to").alias("node")).distinct()
-        seen = reduce(DataFrame.unionByName, levels).select("node")
-        levels.append(scratch.table(ahead.join(seen, "node", "left_anti").withColumn("hops", F.lit(h)), f"{name}-{h}"))
-        if levels[-1].isEmpty():
-            break
-    return reduce(DataFrame.unionByName, levels)
+#: Parts in which steps are stored, by what stands before the first slash of the id that they leave.
+_PARTS = 16
+
+
+def _part(node: Column) -> Column:
+    return F.pmod(F.xxhash64(F.substring_index(node, "/", 1)), F.lit(_PARTS)).cast("int")
+
 
+def _useful(steps: DataFrame, sources: DataFrame, targets: DataFrame | None, max_len: int, scratch: Scratch) -> list[DataFrame]:
+    """For each hop the steps (``_from``, ``_to``, ``_kind``) that a path can take there: ``_hit`` where it may end, ``_on`` where it can go on.
 
-def _useful(steps: DataFrame, sources: DataFrame, targets: DataFrame | None, max_len: int, scratch: Scratch) -> DataFrame:
-    """The steps that a path of ``max_len`` hops or fewer can take, with ``_left``, the least hops from there to a target."""
-    before = least_hops(steps, sources, max_len - 1, scratch, "before").select(F.col("node").alias("_from"), F.col("hops").alias("_before"))
-    near = steps.join(before, "_from")
+    Steps are written in parts, and a hop reads those that its nodes fall in.  Forward
+    it is written which steps each hop can take, and then backward which of them can still arrive.
+    """
+    steps = steps.where("_from is not null and _to is not null")
     if targets is None:
-        return scratch.table(near.select("_from", "_to", "_kind", F.lit(0).alias("_left")), "useful")
-    back = near.select(F.col("_to").alias("_from"), F.col("_from").alias("_to"))
-    after = least_hops(back, targets, max_len - 1, scratch, "after").select(F.col("node").alias("_to"), F.col("hops").alias("_left"))
-    return scratch.table(near.join(after, "_to").where(F.col("_before") + 1 + F.col("_left") <= max_len).select("_from", "_to", "_kind", "_left"), "useful")
+        steps = steps.withColumn("_hit", F.lit(True))
+    else:  # marked here, where steps often lie by the id that they lead to
+        steps = steps.join(targets.select(F.col("node").alias("_to"), F.lit(True).alias("_hit")).distinct(), "_to", "left").select("_from", "_to", "_kind", F.coalesce("_hit", F.lit(False)).alias("_hit"))
+    path = f"{scratch.base}/steps"
+    with tidy(steps.sparkSession):
+        steps.withColumn("_part", _part(F.col("_from"))).write.partitionBy("_part").parquet(path)
+    steps = steps.sparkSession.read.schema("_from string, _to string, _kind string, _hit boolean, _part int").parquet(path)
+    known = [r[0] for r in steps.select("_part").distinct().collect()]  # at most _PARTS
+    onward = _part(F.col("_to")).isin(known) if known else F.lit(False)  # ids that some step may leave
+    front, taken = scratch.table(sources.select("node").where("node is not null").distinct(), "before-0"), []
+    for h in range(1, max_len + 1):
+        parts = [r[0] for r in front.select(_part(F.col("node"))).distinct().collect() if r[0] in known]
+        if not parts:
+            break
+        ahead = steps.where(F.col("_part").isin(parts)).join(front.withColumnRenamed("node", "_from"), "_from", "left_semi").select("_from", "_to", "_kind", "_hit")
+        taken.append(scratch.table(ahead, f"taken-{h}"))
+        if h < max_len:
+            front = scratch.table(taken[-1].where(onward).select(F.col("_to").alias("node")).distinct(), f"before-{h}")
+    if not taken or targets is None:
+        return [x.withColumn("_on", F.lit(True)) for x in taken]
+    out = [taken[-1].where("_hit").withColumn("_on", F.lit(False))]
+    for h in range(len(taken) - 1, 0, -1):
+        after = scratch.table(out[0].select(F.col("_from").alias("_to")).distinct(), f"after-{h}").withColumn("_on", F.lit(True))
+        last = taken[h - 1].where(~onward & F.col("_hit")).withColumn("_on", F.lit(False))
+        more = taken[h - 1].where(onward).join(after, "_to", "left").select("_from", "_to", "_kind", "_hit", F.coalesce("_on", F.lit(False)).alias("_on")).where("_hit or _on")
+        out.insert(0, last.unionByName(more))
+    useful = scratch.table(reduce(DataFrame.unionByName, (x.withColumn("_hop", F.lit(h)) for h, x in enumerate(out, 1))), "useful")
+    return [useful.where(F.col("_hop") == h).drop("_hop") for h in range(1, len(out) + 1)]
 
 
 def _start(sources: DataFrame) -> DataFrame:
@@ -84,20 +106,23 @@ def search(edges: DataFrame, sources: DataFrame, targets: DataFrame | None, dire
         out = _at_once(steps, sources, targets, max_len)
     else:
         scratch = Scratch(edges.sparkSession, "paths")
-        useful = _useful(scratch.table(steps, "steps"), sources, targets, max_len, scratch)
+        useful = _useful(steps, sources, targets, max_len, scratch)
         front, found, made = _start(sources), [], 0
-        for h in range(1, max_len + 1):
-            ahead = front.join(useful, F.col("at") == F.col("_from")).where(~F.array_contains("nodes", F.col("_to")) & (F.col("_left") + h <= max_len))
-            level = scratch.table(ahead.select(*_extended(), "_left"), f"front-{h}")
-            found.append(level.where("_left = 0").drop("_left"))
-            front = level.drop("_left")
-            if h < max_len and level.isEmpty():
+        for h, step in enumerate(useful, 1):
+            ahead = front.join(step, F.col("at") == F.col("_from")).where(~F.array_contains("nodes", F.col("_to"))).select(*_extended(), "_hit", "_on")
+            if h == len(useful):  # read once
+                found.append(ahead.where("_hit").drop("_hit", "_on"))
+                break
+            level = scratch.table(ahead, f"front-{h}")
+            found.append(level.where("_hit").drop("_hit", "_on"))
+            front = level.where("_on").drop("_hit", "_on")
+            if front.isEmpty():
                 break
             if limit and not per_pair and h < max_len:  # paths of more hops come after all of these
                 made += found[-1].count()
                 if made >= limit:
                     break
-        out = reduce(DataFrame.unionByName, found)
+        out = reduce(DataFrame.unionByName, found) if found else _start(sources).where("false")
     out = out.select("source", F.col("at").alias("target"), F.size("kinds").alias("hops"), "nodes", "kinds")
     if per_pair:
         order = Window.partitionBy("source", "target").orderBy("hops", "nodes", "kinds")

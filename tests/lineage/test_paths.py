@@ -88,3 +88,16 @@ def test_lengths_and_directions_that_are_none(spark):
         with pytest.raises(ValueError):
             paths.search(e, n, None, **bad)
     assert paths.search(e.where("false"), n, None).collect() == []
+
+
+def test_a_step_is_written_for_the_hops_that_can_take_it(spark, monkeypatch):
+    """Two ways to each line, of two and three hops: no step of the first is met again by the third hop, and the last hop's paths aren't written."""
+    rows = [("nation/1", f"supplier/{k}") for k in range(3)] + [(f"supplier/{k}", f"line/{k}") for k in range(3)] + [("nation/1", "customer/1"), ("customer/1", "order/1")] + [("order/1", f"line/{k}") for k in range(3)] + [(f"part/{k}", f"line/{k}") for k in range(3)]
+    sizes, table = {}, Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name: sizes.setdefault(name, (out := table(self, df, name)).count()) * 0 or out)
+    df = spark.createDataFrame([(b, a, "k") for a, b in rows], "child string, parent string, kind string")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "node string")
+    got = paths.search(df, ids("nation/1"), ids(*(f"line/{k}" for k in range(3))), "incoming", 3, per_pair=1)
+    assert found(got) == [("nation/1", f"line/{k}", 2, ("nation/1", f"supplier/{k}", f"line/{k}"), ("k", "k")) for k in range(3)]
+    assert [sizes[f"taken-{h}"] for h in (1, 2, 3)] == [4, 4, 3] and sizes["useful"] == 11 and "front-3" not in sizes
+    assert found(paths.search(df, ids("line/1"), ids("nation/1"), "incoming", 3)) == []
