@@ -4,6 +4,7 @@ import os
 from pathlib import Path
 
 import pytest
+from lineaspark.functions import json_paths
 from lineaspark.operators import lookups, paths, report, signing, writes
 from lineaspark.plans import catalogue
 from lineaspark.sources import snapshots, star
@@ -146,3 +147,11 @@ def test_repeated_lines_with_a_null_key_are_one_artifact(spark, tmp_path):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     spark.createDataFrame([(1, 2), (1, 2), (None, 3), (3, None), (None, None)], "l_orderkey bigint, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert sorted(r.artifact_id for r in star.nodes(spark, str(tmp_path)).collect()) == ["lineitem/", "lineitem/1-2", "lineitem/3"]
+
+
+def test_a_contract_holds_no_set_of_its_paths(no_broadcast):
+    rows = no_broadcast.createDataFrame([("a", "$.x", "1"), ("a", "$.x", "1"), ("a", "$.y", "2")], "name string, path string, value string")
+    got = json_paths.contract(rows, rows.distinct())
+    assert {(r.path, r.ok) for r in got.collect()} == {("$.x", False), ("$.y", True)}
+    plain = json_paths.contract(rows, rows.where("value = '2'"))
+    assert plain._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
