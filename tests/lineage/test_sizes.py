@@ -174,3 +174,27 @@ def test_two_nodes_of_one_id_count_twice(spark):
     nodes = spark.createDataFrame([("s", 0, True), ("s", 0, True), *(("a", 1, False),) * 2, ("b", 2, False)], "artifact_id string, generation int, terminal boolean")
     pairs = spark.createDataFrame([("a", "s", 1, 0), ("b", "a", 2, 1)], "child string, parent string, child_generation int, parent_generation int")
     assert sorted((r.artifact_id, r.digits) for r in closure.path_counts(nodes, pairs).collect()) == [("a", "2"), ("a", "2"), ("b", "4"), ("s", "1"), ("s", "1")]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_writes_keep_no_copy_of_the_store(spark, monkeypatch):
+    made, table = [], Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name: made.append((name, out := table(self, df, name))) or out)
+    done, artifacts, edges, _ = catalogue._written(spark, SF)
+    left = [(n, df) for n, df in made if n in ("new", "before") or "parent_ids" in df.columns or "auth_tag" in df.columns and n != "old"]
+    assert {n for n, _ in left} >= {"new", "new-edges", "plan"}
+    gone = {"asked", "decided", "plan", "old"}  # some of these were dropped with what they were made for
+    for n, df in left:
+        of = "child_artifact_id" if "child_artifact_id" in df.columns else "artifact_id"
+        assert n in gone or not df.columns.count("auth_tag") or df.where(~df[of].startswith("digest/")).isEmpty()
+    ids = artifacts.select("artifact_id")
+    assert ids.where("artifact_id like 'order/%'").count() == spark.read.parquet(f"{SF}/orders.parquet").count() and ids.count() == ids.distinct().count()
+    assert edges.where("child_artifact_id like 'order/%'").count() and done.where("detail = 'WRITE_COMMITTED'").count()
+
+
+def test_a_record_is_compared_by_all_its_fields(spark):
+    rows = spark.createDataFrame([("a", None), ("a", ""), (None, "a"), ("a", None)], "x string, y string")
+    assert len({bytes(r.d) for r in rows.select(writes._digest(["x", "y"]).alias("d")).collect()}) == 3
+    kind = writes._kinds_of(spark.createDataFrame([("order/1",)], "i string"))
+    assert spark.createDataFrame([("order/2",), ("order",), (None,)], "i string").where(kind("i")).count() == 2
+    assert spark.range(1).select(writes._kinds_of(spark.createDataFrame([], "i string"))("id").alias("k")).first().k is False
