@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..sources.snapshots import Scratch, tidy
 
@@ -38,7 +38,7 @@ def _useful(steps: DataFrame, sources: DataFrame, targets: DataFrame | None, max
     path = f"{scratch.base}/steps"
     with tidy(steps.sparkSession):
         steps.withColumn("_part", _part(F.col("_from"))).write.partitionBy("_part").parquet(path)
-    steps = steps.sparkSession.read.schema("_from string, _to string, _kind string, _hit boolean, _part int").parquet(path)
+    steps = steps.sparkSession.read.schema(T.StructType([*steps.schema, T.StructField("_part", T.IntegerType())])).parquet(path)  # ids may be numbers
     known = [r[0] for r in steps.select("_part").distinct().collect()]  # at most _PARTS
     onward = _part(F.col("_to")).isin(known) if known else F.lit(False)  # ids that some step may leave
     front, taken = scratch.table(sources.select("node").where("node is not null").distinct(), "before-0"), []

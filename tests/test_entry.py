@@ -31,3 +31,13 @@ def test_names_agree():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_no_helper_replaces_another():
+    """Two functions of one name in the catalogue: the second takes the place of the first, and queries that mean the first fail."""
+    import ast
+    from collections import Counter
+
+    with open(catalogue.__file__) as f:
+        made = Counter(x.name for x in ast.parse(f.read()).body if isinstance(x, ast.FunctionDef))
+    assert not [name for name, n in made.items() if n > 1]
