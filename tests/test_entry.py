@@ -41,3 +41,13 @@ def test_no_helper_replaces_another():
     with open(catalogue.__file__) as f:
         made = Counter(x.name for x in ast.parse(f.read()).body if isinstance(x, ast.FunctionDef))
     assert not [name for name, n in made.items() if n > 1]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_walks_fold_no_validity(spark, monkeypatch):
+    def folded(*_):
+        raise AssertionError("a walk reads no validity")
+
+    monkeypatch.setattr(catalogue.closure, "valid_closures", folded)
+    monkeypatch.setattr(catalogue.closure, "revalidated", folded)
+    assert catalogue.spoilt_nodes(spark, f"{SF}/").where("not node_ok").count() == 2  # the folder by another name: nothing is stored for it yet
